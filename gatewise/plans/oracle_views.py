@@ -48,6 +48,13 @@ VIEWS: dict[str, str] = {
  when 1 then '{"id":"m'||cast(event_id as string)||'","model":"claude-sonnet-4-6","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}],"stop_reason":"max_tokens","usage":{"input_tokens":'||cast(event_id % 400 as string)||',"output_tokens":5}}'
  when 2 then '{"candidates":[{"content":{"parts":[{"text":"g"}]},"finishReason":"SAFETY"}],"usageMetadata":{"promptTokenCount":'||cast(event_id % 400 as string)||',"candidatesTokenCount":3,"totalTokenCount":'||cast(event_id % 400 + 3 as string)||'}}'
  else '{"type":"error","error":{"type":"rate_limit_error","message":"slow down"}}' end as body from events""",
+    "gw_request_bodies": """select conv_id, turn, 'team-'||cast(conv_id % 20 as string) as consumer_id,
+ case when (conv_id+turn) % 17 = 0 then '{"model": "gpt-4o", "messages": ['
+  when (conv_id+turn) % 19 = 0 then '{"model":"gpt-4o","messages":[]}'
+  when (conv_id+turn) % 23 = 0 then '{"messages":[{"role":"user","content":"x"}]}'
+  when (conv_id+turn) % 29 = 0 then null
+  else '{"model":"'||(case conv_id % 3 when 0 then 'gpt-4o' when 1 then 'claude-sonnet-4-6' else 'gemini-2.0-flash' end)||'","messages":[{"role":"system","content":"be brief"},{"role":"user","content":"turn '||cast(turn as string)||'"}],"max_tokens":'||cast(turn*100+100 as string)||'}' end as body
+ from conversations where role='user'""",
 }
 
 # views that read other views

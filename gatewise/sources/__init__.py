@@ -9,4 +9,5 @@ from gatewise.sources.tables import (  # noqa: F401
     gw_prompts,
     gw_shadow,
     gw_payloads,
+    gw_request_bodies,
 )

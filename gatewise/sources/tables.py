@@ -209,3 +209,23 @@ def gw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         _case(k, ["openai", "anthropic", "google", "anthropic_error"]).alias("provider"),
         F.when(k == 0, openai).when(k == 1, anthropic).when(k == 2, google).otherwise(err).alias("body"),
     )
+
+
+def gw_request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw request bodies (one per user turn), some malformed on purpose:
+    truncated JSON, empty message list, missing model, missing body."""
+    cv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    k = F.col("conv_id") + F.col("turn")
+    model = _case(F.col("conv_id") % 3, ["gpt-4o", "claude-sonnet-4-6", "gemini-2.0-flash"])
+    good = F.concat(
+        F.lit('{"model":"'), model, F.lit('","messages":[{"role":"system","content":"be brief"},{"role":"user","content":"turn '),
+        _s("turn"), F.lit('"}],"max_tokens":'), _s(F.col("turn") * 100 + 100), F.lit("}"),
+    )
+    body = (
+        F.when(k % 17 == 0, F.lit('{"model": "gpt-4o", "messages": ['))
+        .when(k % 19 == 0, F.lit('{"model":"gpt-4o","messages":[]}'))
+        .when(k % 23 == 0, F.lit('{"messages":[{"role":"user","content":"x"}]}'))
+        .when(k % 29 == 0, F.lit(None).cast("string"))
+        .otherwise(good)
+    )
+    return cv.select("conv_id", "turn", F.concat(F.lit("team-"), _s(F.col("conv_id") % 20)).alias("consumer_id"), body.alias("body"))
