@@ -55,6 +55,15 @@ VIEWS: dict[str, str] = {
   when (conv_id+turn) % 29 = 0 then null
   else '{"model":"'||(case conv_id % 3 when 0 then 'gpt-4o' when 1 then 'claude-sonnet-4-6' else 'gemini-2.0-flash' end)||'","messages":[{"role":"system","content":"be brief"},{"role":"user","content":"turn '||cast(turn as string)||'"}],"max_tokens":'||cast(turn*100+100 as string)||'}' end as body
  from conversations where role='user'""",
+    "gw_stream_chunks": """select stream_id, seq, data from (
+ select conv_id*1000+turn as stream_id, (conv_id+turn) % 5 = 0 as cut, len(string_split(text, ' ')) as n,
+  unnest(string_split(text, ' ')) as w, unnest(range(0, len(string_split(text, ' ')))) as pos from conversations where role = 'assistant') b
+ cross join lateral (select cast(pos as bigint) as seq,
+  'data: ' || json_object('choices', json_array(json_object('delta', json_object('content', case when pos < n - 1 then w || ' ' else w end)))) as data) x
+ where not cut or pos < n - 3
+ union all
+ select conv_id*1000+turn as stream_id, cast(len(string_split(text, ' ')) as bigint) as seq, 'data: [DONE]' as data from conversations
+ where role = 'assistant' and (conv_id+turn) % 5 <> 0""",
 }
 
 # views that read other views
@@ -79,4 +88,7 @@ def with_views(sql: str, *names: str, extra: list[tuple[str, str]] | None = None
         ctes.append(raw.strip())
     if not ctes:
         return sql
-    return "WITH " + ",\n".join(ctes) + "\n" + sql
+    body = sql.lstrip()
+    if body[:5].lower() == "with ":
+        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(ctes) + "\n" + body

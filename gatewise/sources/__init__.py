@@ -10,4 +10,5 @@ from gatewise.sources.tables import (  # noqa: F401
     gw_shadow,
     gw_payloads,
     gw_request_bodies,
+    gw_stream_chunks,
 )

@@ -229,3 +229,21 @@ def gw_request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(good)
     )
     return cv.select("conv_id", "turn", F.concat(F.lit("team-"), _s(F.col("conv_id") % 20)).alias("consumer_id"), body.alias("body"))
+
+
+def gw_stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SSE chunks of assistant replies: one delta per word plus ``[DONE]``;
+    every fifth stream is cut before its last three words and never ends."""
+    cv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    words = F.split(F.col("text"), " ")
+    base = cv.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"),
+        ((F.col("conv_id") + F.col("turn")) % 5 == 0).alias("cut"),
+        F.size(words).alias("n"),
+        F.posexplode(words).alias("pos", "w"),
+    )
+    delta = F.when(F.col("pos") < F.col("n") - 1, F.concat(F.col("w"), F.lit(" "))).otherwise(F.col("w"))
+    chunk = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(delta.alias("content")).alias("delta"))).alias("choices"))))
+    body = base.where(~F.col("cut") | (F.col("pos") < F.col("n") - 3)).select("stream_id", F.col("pos").cast("bigint").alias("seq"), chunk.alias("data"))
+    done = base.where(~F.col("cut") & (F.col("pos") == 0)).select("stream_id", F.col("n").cast("bigint").alias("seq"), F.lit("data: [DONE]").alias("data"))
+    return body.unionByName(done)
