@@ -1 +1,255 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: progressive delivery."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gatewise.operators import canary as C
+from gatewise.operators.jsontree import sql_leaves
+from gatewise.plans.catalog import register
+from gatewise.plans.oracle_views import with_views
+from gatewise.sources import gw_canary, gw_requests, gw_shadow
+from gatewise.sources.tables import dense_ts
+
+PCT = 10
+MD5PCT = "((('0x' || substr(md5({k}), 1, 8))::BIGINT) % 100)"
+
+
+@register("c1_assign_version_crc32")
+def c1_assign_version_crc32(spark, sf):
+    return C.assign_version(gw_requests(spark, sf), "client_ip", PCT, "crc32").select("event_id", "client_ip", "assigned_version")
+
+
+@register(
+    "c1_assign_version_md5",
+    with_views(
+        f"select event_id, client_ip, case when {MD5PCT.format(k='client_ip')} < {PCT} then 'canary' else 'baseline' end as assigned_version from gw_requests",
+        "gw_requests",
+    ),
+)
+def c1_assign_version_md5(spark, sf):
+    return C.assign_version(gw_requests(spark, sf), "client_ip", PCT, "md5").select("event_id", "client_ip", "assigned_version")
+
+
+@register(
+    "c2_split_accuracy",
+    with_views(
+        f"""select route_id, count(*) as requests, sum(case when {MD5PCT.format(k='client_ip')} < {PCT} then 1 else 0 end) as canary,
+ sum(case when {MD5PCT.format(k='client_ip')} < {PCT} then 1 else 0 end) / count(*) * 100 as canary_pct,
+ abs(sum(case when {MD5PCT.format(k='client_ip')} < {PCT} then 1 else 0 end) / count(*) * 100 - {float(PCT)}) as deviation_pp,
+ abs(sum(case when {MD5PCT.format(k='client_ip')} < {PCT} then 1 else 0 end) / count(*) * 100 - {float(PCT)}) <= 1.0 as within_tolerance
+ from gw_requests group by route_id""",
+        "gw_requests",
+    ),
+)
+def c2_split_accuracy(spark, sf):
+    a = C.assign_version(gw_requests(spark, sf), "client_ip", PCT, "md5")
+    return C.split_accuracy(a, PCT).select("route_id", "requests", F.col("canary").cast("bigint").alias("canary"), "canary_pct", "deviation_pp", "within_tolerance")
+
+
+_C3_SQL = """select route_id, version, time_bucket(interval '10 seconds', ts_dense) as bucket_start, count(*) as total,
+ cast(sum(case when status >= 500 then 1 else 0 end) as bigint) as errors from gw_canary group by route_id, version, bucket_start"""
+
+
+def _buckets(spark, sf):
+    return C.error_buckets(gw_canary(spark, sf))
+
+
+@register("c3_error_buckets", with_views(_C3_SQL, "gw_canary"), bench=True)
+def c3_error_buckets(spark, sf):
+    return _buckets(spark, sf)
+
+
+_C4_SQL = """select route_id, version, bucket_start, total, errors,
+ sum(total) over w as win_total, cast(sum(errors) over w as bigint) as win_errors,
+ case when sum(total) over w > 0 then (sum(errors) over w) / (sum(total) over w) else 0.0 end as error_rate
+ from c3 window w as (partition by route_id, version order by cast(epoch(bucket_start) as bigint) range between 50 preceding and current row)"""
+
+
+def _rates(spark, sf):
+    return C.error_rate(_buckets(spark, sf))
+
+
+@register("c4_error_rate", with_views(_C4_SQL, "gw_canary", extra=[("c3", _C3_SQL)]), bench=True)
+def c4_error_rate(spark, sf):
+    r = _rates(spark, sf)
+    return r.select("route_id", "version", "bucket_start", "total", "errors", F.col("win_total").cast("bigint").alias("win_total"), F.col("win_errors").cast("bigint").alias("win_errors"), "error_rate")
+
+
+_C5_SQL = """select coalesce(c.route_id, b.route_id) as route_id, coalesce(c.bucket_start, b.bucket_start) as bucket_start,
+ coalesce(c.win_total, 0) as canary_total, coalesce(b.win_total, 0) as baseline_total,
+ coalesce(c.error_rate, 0.0) as canary_rate, coalesce(b.error_rate, 0.0) as baseline_rate,
+ (coalesce(c.error_rate, 0.0) - coalesce(b.error_rate, 0.0)) * 100 as delta_pp,
+ case when coalesce(b.error_rate, 0.0) > 0.10 then 'baseline_unhealthy'
+  when coalesce(c.win_total, 0) >= 10 and (coalesce(c.error_rate, 0.0) - coalesce(b.error_rate, 0.0)) * 100 > 2.0 then 'breach'
+  when coalesce(c.win_total, 0) < 10 then 'insufficient' else 'ok' end as verdict
+ from (select * from c4 where version = 'canary') c full outer join (select * from c4 where version = 'baseline') b
+ on c.route_id = b.route_id and c.bucket_start = b.bucket_start"""
+
+
+def _verdicts(spark, sf):
+    return C.health_verdict(_rates(spark, sf))
+
+
+@register("c5_health_verdict", with_views(_C5_SQL, "gw_canary", extra=[("c3", _C3_SQL), ("c4", _C4_SQL)]))
+def c5_health_verdict(spark, sf):
+    v = _verdicts(spark, sf)
+    return v.select("route_id", "bucket_start", F.col("canary_total").cast("bigint").alias("canary_total"), F.col("baseline_total").cast("bigint").alias("baseline_total"), "canary_rate", "baseline_rate", "delta_pp", "verdict")
+
+
+@register(
+    "c6_latency_guard",
+    with_views(
+        """with g as (select route_id, time_bucket(interval '60 seconds', ts_dense) as window_start, version, count(*) as n, quantile_disc(latency_ms, 0.95) as p95
+  from gw_canary group by all)
+ select coalesce(c.route_id, b.route_id) as route_id, coalesce(c.window_start, b.window_start) as window_start, c.n as canary_n, b.n as baseline_n,
+  c.p95 as canary_p95, b.p95 as baseline_p95, coalesce(c.n >= 50 and b.n >= 50 and c.p95 > b.p95 * 1.5, false) as latency_pause
+ from (select * from g where version = 'canary') c full outer join (select * from g where version = 'baseline') b
+ on c.route_id = b.route_id and c.window_start = b.window_start""",
+        "gw_canary",
+    ),
+)
+def c6_latency_guard(spark, sf):
+    return C.latency_guard(gw_canary(spark, sf))
+
+
+def _replay(spark, sf):
+    return C.stage_replay(_verdicts(spark, sf))
+
+
+@register("c7_stage_replay")
+def c7_stage_replay(spark, sf):
+    return _replay(spark, sf)
+
+
+@register("c8_stage_timeline")
+def c8_stage_timeline(spark, sf):
+    return C.stage_timeline(_replay(spark, sf))
+
+
+@register("c9_rollback_events")
+def c9_rollback_events(spark, sf):
+    return C.rollback_events(_replay(spark, sf))
+
+
+DISABLED = ("2024-01-01 00:10:00", "2024-01-01 00:20:00")
+
+
+@register(
+    "c11_shadow_sample",
+    with_views(
+        f"""select request_id, ts_dense from gw_requests where {MD5PCT.format(k='request_id')} < 10
+ and not (ts_dense >= timestamp '{DISABLED[0]}' and ts_dense < timestamp '{DISABLED[1]}')""",
+        "gw_requests",
+    ),
+)
+def c11_shadow_sample(spark, sf):
+    d = spark.createDataFrame([DISABLED], "start string, end string").select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
+    return C.shadow_sample(gw_requests(spark, sf), 10, "request_id", "md5", d, "ts_dense").select("request_id", "ts_dense")
+
+
+def _shadow_outcomes(spark, sf):
+    s = gw_shadow(spark, sf)
+    eid = F.substring(F.col("request_id"), 5, 20).cast("bigint")
+    return s.select(
+        "request_id", eid.alias("id"), F.concat(F.lit("route-"), (eid % 5).cast("string")).alias("route_id"), dense_ts(eid).alias("ts"), (F.col("status") < 500).alias("success")
+    )
+
+
+@register("c12_shadow_auto_disable")
+def c12_shadow_auto_disable(spark, sf):
+    return C.shadow_auto_disable(_shadow_outcomes(spark, sf), "route_id").select("request_id", "route_id", "ts", "success", "skipped", "tripped", "fail_count")
+
+
+WEIGHTS = [("v1", 70), ("v2", 20), ("v3", 10)]
+
+
+@register(
+    "c13_weighted_assignment",
+    with_views(
+        f"""select event_id, case when {MD5PCT.format(k='request_id')} < 70 then 'v1' when {MD5PCT.format(k='request_id')} < 90 then 'v2' else 'v3' end as "group" from gw_requests""",
+        "gw_requests",
+    ),
+)
+def c13_weighted_assignment(spark, sf):
+    w = spark.createDataFrame(WEIGHTS, "group string, weight int")
+    return C.weighted_assignment(gw_requests(spark, sf), w, "request_id").select("event_id", "group")
+
+
+def _pairs(spark, sf):
+    s = gw_shadow(spark, sf)
+    p = s.select("request_id", F.lit(200).alias("status_p"), F.col("bytes_primary").alias("bytes_p"), F.col("latency_primary_ms").alias("latency_p"), F.col("body_primary").alias("body_p"))
+    sh = s.select("request_id", F.col("status").alias("status_s"), F.col("bytes_shadow").alias("bytes_s"), F.col("latency_shadow_ms").alias("latency_s"), F.col("body_shadow").alias("body_s"))
+    return p, sh
+
+
+_C14_SQL = """select request_id, 200 = status as status_match, abs(bytes_shadow - bytes_primary) as body_length_delta,
+ cast(floor(latency_shadow_ms - latency_primary_ms) as bigint) as latency_delta_ms,
+ case when 200 <> status then 'status' when abs(bytes_shadow - bytes_primary) <> 0 then 'body_length' else 'none' end as diff_type from gw_shadow"""
+
+
+@register("c14_basic_diff", with_views(_C14_SQL, "gw_shadow"))
+def c14_basic_diff(spark, sf):
+    p, s = _pairs(spark, sf)
+    return C.basic_diff(p, s)
+
+
+_C15_SQL = f"""with a as ({sql_leaves('gw_shadow', ['request_id'], 'body_primary')}),
+ b as ({sql_leaves('gw_shadow', ['request_id'], 'body_shadow')}),
+ j as (select coalesce(a.request_id, b.request_id) as request_id, coalesce(a.path, b.path) as path, a.path is not null as has_a, b.path is not null as has_b,
+  a.path is not null and b.path is not null and a.value_type = b.value_type and a.value is not distinct from b.value as same
+  from a full outer join b on a.request_id = b.request_id and a.path = b.path),
+ g as (select request_id, sum(has_a::int) as n_a, sum(has_b::int) as n_b, sum(same::int) as n_same,
+  array_to_string(list_sort(list(path) filter (where not same)), ',') as diff_fields from j group by request_id)
+select s.request_id, round(coalesce(case when n_a + n_b = 0 then 1.0 else 2.0 * n_same / (n_a + n_b) end, 1.0), 6) as similarity, coalesce(g.diff_fields, '') as diff_fields
+from gw_shadow s left join g on s.request_id = g.request_id"""
+
+
+def _structural(spark, sf):
+    p, s = _pairs(spark, sf)
+    return C.structural_diff(p.join(s, "request_id"))
+
+
+@register("c15_structural_diff", with_views(_C15_SQL, "gw_shadow"), bench=True)
+def c15_structural_diff(spark, sf):
+    return _structural(spark, sf).withColumn("diff_fields", F.array_join("diff_fields", ","))
+
+
+@register(
+    "c16_diff_choice",
+    with_views(
+        """select request_id, case when body_primary is not null and body_shadow is not null and octet_length(encode(body_primary)) <= 1048576
+  and octet_length(encode(body_shadow)) <= 1048576 and not contains(lower(case when cast(substr(request_id, 5) as bigint) % 7 = 0 then 'text/event-stream' else 'application/json' end), 'event-stream')
+  then 'structural' else 'basic' end as diff_mode from gw_shadow""",
+        "gw_shadow",
+    ),
+)
+def c16_diff_choice(spark, sf):
+    p, s = _pairs(spark, sf)
+    j = p.join(s, "request_id").withColumn(
+        "content_type", F.when(F.substring(F.col("request_id"), 5, 20).cast("bigint") % 7 == 0, "text/event-stream").otherwise("application/json")
+    )
+    return C.diff_choice(j).select("request_id", "diff_mode")
+
+
+@register(
+    "c17_diff_report",
+    with_views(
+        f"""with d as ({_C14_SQL}), s as ({_C15_SQL.replace(chr(10), ' ')})
+ select 'route-' || cast(cast(substr(d.request_id, 5) as bigint) % 5 as varchar) as route_id, d.diff_type, count(*) as n,
+  quantile_disc(d.latency_delta_ms, 0.5) as latency_delta_p50, quantile_disc(d.latency_delta_ms, 0.95) as latency_delta_p95,
+  quantile_disc(s.similarity, 0.5) as similarity_p50, min(s.similarity) as similarity_min
+ from d join s on d.request_id = s.request_id group by all""",
+        "gw_shadow",
+    ),
+)
+def c17_diff_report(spark, sf):
+    p, s = _pairs(spark, sf)
+    d = C.basic_diff(p, s).join(_structural(spark, sf), "request_id")
+    d = d.withColumn("route_id", F.concat(F.lit("route-"), (F.substring(F.col("request_id"), 5, 20).cast("bigint") % 5).cast("string")))
+    return C.diff_report(d)
+
+
+@register("c18_canary_status")
+def c18_canary_status(spark, sf):
+    return C.canary_status(_replay(spark, sf), _verdicts(spark, sf))
