@@ -1 +1,217 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: provider breaker, failover, routing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gatewise.operators import providers as B
+from gatewise.operators import quota as Q
+from gatewise.plans.catalog import register
+from gatewise.plans.oracle_views import with_views
+from gatewise.plans.sqlbits import pricing_values
+from gatewise.sources import gw_requests
+
+THRESHOLD = 2
+COOLDOWN = 30
+CHAIN = ["gpt-4o-mini", "claude-haiku-4-5", "gemini-2.0-flash"]
+KEY = "model"
+
+
+def _outcomes(spark, sf):
+    r = gw_requests(spark, sf)
+    return r.select("provider", F.col("ts_dense").alias("ts"), "event_id", (F.col("status") < 500).alias("success"), "latency_ms", "model", "route_id")
+
+
+def _breaker(spark, sf):
+    return B.breaker_replay(_outcomes(spark, sf), [KEY], "ts", "event_id", THRESHOLD, COOLDOWN)
+
+
+_OUT = "select model, ts_dense as ts, event_id, status < 500 as success, case when status >= 500 then 1 else 0 end as f from gw_requests"
+_B1_CTES = [
+    ("o", _OUT),
+    ("a", "select *, sum(f) over (partition by model order by ts, event_id rows between unbounded preceding and current row) as cum_fail from o"),
+    (
+        "b",
+        """select *, cum_fail - coalesce(last_value(case when success then cum_fail end ignore nulls) over (partition by model order by ts, event_id rows between unbounded preceding and current row), 0) as streak,
+ last_value(case when f = 1 then ts end ignore nulls) over (partition by model order by ts, event_id rows between unbounded preceding and 1 preceding) as prev_fail_ts from a""",
+    ),
+    (
+        "c",
+        f"""select *, case when f = 1 and streak = {THRESHOLD} then 'T' when success and prev_fail_ts is not null and epoch(ts) - epoch(prev_fail_ts) >= {COOLDOWN} then 'R' end as marker from b""",
+    ),
+    (
+        "d",
+        """select *, last_value(marker ignore nulls) over (partition by model order by ts, event_id rows between unbounded preceding and current row) as lm,
+ last_value(marker ignore nulls) over (partition by model order by ts, event_id rows between unbounded preceding and 1 preceding) as pm from c""",
+    ),
+    (
+        "brk",
+        f"""select model, ts, event_id, success, cast(streak as bigint) as streak, case when lm = 'T' then 'open' else 'closed' end as state,
+ case when pm = 'T' then 'open' else 'closed' end as prev_state,
+ case when pm is distinct from 'T' and lm = 'T' then 'opened' when pm = 'T' and lm is distinct from 'T' then 'closed'
+  when pm = 'T' and f = 1 and epoch(ts) - epoch(prev_fail_ts) >= {COOLDOWN} then 'probe_failed' end as transition,
+ case when f = 1 then ts else prev_fail_ts end as last_fail_ts from d""",
+    ),
+]
+
+
+@register("b1_breaker_replay", with_views("select model, event_id, streak, state, prev_state, transition from brk", "gw_requests", extra=_B1_CTES), bench=True)
+def b1_breaker_replay(spark, sf):
+    return _breaker(spark, sf).select("model", "event_id", "streak", "state", "prev_state", "transition")
+
+
+@register(
+    "b2_failure_streaks",
+    with_views(
+        """with i as (select *, sum(case when success then 1 else 0 end) over (partition by model order by ts, event_id rows between unbounded preceding and current row) as island from o),
+ r as (select model, island, count(*) as run, min(ts) as run_start from i where not success group by model, island)
+ select model, max(run) as longest_failure_streak, count(*) as failure_runs, arg_min(run_start, (-run, run_start)) as longest_run_start from r group by model""",
+        "gw_requests",
+        extra=[("o", _OUT)],
+    ),
+)
+def b2_failure_streaks(spark, sf):
+    return B.failure_streaks(_outcomes(spark, sf), [KEY], "ts", "event_id")
+
+
+def _choices(spark, sf):
+    r = gw_requests(spark, sf).select("event_id", F.col("ts_dense").alias("ts"), "model")
+    return B.provider_choice(r, _breaker(spark, sf), CHAIN, "ts", "event_id", COOLDOWN, key=KEY)
+
+
+_CHAIN_SQL = "[" + ", ".join(f"'{c}'" for c in CHAIN) + "]"
+_B3_CTES = _B1_CTES + [
+    (
+        "fan",
+        f"""select event_id as probe_id, ts_dense as ts, event_id, model as requested_provider, unnest(ordered) as p, unnest(range(len(ordered))) as priority
+ from (select *, list_filter([model] || {_CHAIN_SQL}, lambda v, i: list_position([model] || {_CHAIN_SQL}, v) = i) as ordered from gw_requests) x""",
+    ),
+    (
+        "u",
+        """select probe_id, p as model, ts, event_id, 0 as kind, null::varchar as st, null::timestamp as lf, priority from fan
+ union all select null, model, ts, event_id, 1, state, last_fail_ts, null from brk""",
+    ),
+    (
+        "asof_st",
+        f"""select probe_id, model, priority, case when st2 = 'open' and epoch(ts) - epoch(lf2) >= {COOLDOWN} then 'half_open' else coalesce(st2, 'closed') end as breaker_state from (
+ select *, last_value(st ignore nulls) over w as st2, last_value(lf ignore nulls) over w as lf2 from u
+ window w as (partition by model order by ts, event_id, kind rows between unbounded preceding and 1 preceding)) z where kind = 0""",
+    ),
+    (
+        "choice",
+        """select r.event_id, r.model as requested_provider, b.chosen_provider, coalesce(b.depth, -1) as fallback_depth,
+ case when b.chosen_provider is null then 'ARIA_SH_ALL_PROVIDERS_DOWN' end as error_code
+ from gw_requests r left join (select probe_id, arg_min(model, priority) as chosen_provider, min(priority) as depth from asof_st where breaker_state <> 'open' group by probe_id) b
+ on r.event_id = b.probe_id""",
+    ),
+]
+
+
+@register("b3_provider_choice", with_views("select * from choice", "gw_requests", extra=_B3_CTES))
+def b3_provider_choice(spark, sf):
+    return _choices(spark, sf).select("event_id", "requested_provider", "chosen_provider", F.col("fallback_depth").cast("bigint").alias("fallback_depth"), "error_code")
+
+
+@register(
+    "b4_failover_counts",
+    with_views(
+        """select requested_provider as from_provider, chosen_provider as to_provider, count(*) as failovers from choice
+ where chosen_provider is not null and chosen_provider <> requested_provider group by all""",
+        "gw_requests",
+        extra=_B3_CTES,
+    ),
+)
+def b4_failover_counts(spark, sf):
+    return B.failover_counts(_choices(spark, sf))
+
+
+_B5_SQL = """with x as (select provider, model, latency_ms, time_bucket(interval '1 minute', ts_dense) - to_minutes(k) as window_start
+  from gw_requests, range(0, 5) t(k)),
+ g as (select window_start, provider, model, count(*) as n, quantile_disc(latency_ms, 0.5) as p50, quantile_disc(latency_ms, 0.95) as p95 from x group by all)
+ select window_start, provider, model, n, p50, p95, case when min(n) over (partition by window_start) >= 10 then 'latency' else 'round_robin' end as mode,
+  row_number() over (partition by window_start order by p95, p50, provider, model) as rank from g"""
+
+
+@register("b5_latency_ranking", with_views(_B5_SQL, "gw_requests"))
+def b5_latency_ranking(spark, sf):
+    r = gw_requests(spark, sf)
+    d = B.latency_ranking(r, "ts_dense")
+    return d.select("window_start", "provider", "model", "n", "p50", "p95", "mode", F.col("rank").cast("bigint").alias("rank"))
+
+
+QUALITY = 0.95
+
+
+def _stats_sql() -> str:
+    return f"""select r.route_id, r.model, coalesce(p.input_per_1k + p.output_per_1k, 0.04) as price,
+ avg(case when r.status = 200 then 1.0 else 0.0 end) as quality, quantile_disc(r.latency_ms, 0.5) as p50
+ from gw_requests r left join pricing p on r.model = p.model group by r.route_id, r.model, coalesce(p.input_per_1k + p.output_per_1k, 0.04)"""
+
+
+@register(
+    "b6_cost_ranking",
+    with_views(
+        f"""with ok as (select *, row_number() over (partition by route_id order by price, p50, model) as rn from st where quality >= {QUALITY}),
+ fb as (select *, row_number() over (partition by route_id order by quality desc, price, model) as rn from st where route_id not in (select route_id from ok))
+ select route_id, model, cast(price as double) as price, quality, p50, 'cheapest_qualified' as selection from ok where rn = 1
+ union all select route_id, model, cast(price as double), quality, p50, 'highest_quality_warning' from fb where rn = 1""",
+        "gw_requests",
+        extra=[("pricing", pricing_values()), ("st", _stats_sql())],
+    ),
+)
+def b6_cost_ranking(spark, sf):
+    r = gw_requests(spark, sf)
+    from gatewise.functions.pricing import pricing_frame
+
+    p = pricing_frame(spark).where(F.col("model") != "_default").select("model", (F.col("input_per_1k") + F.col("output_per_1k")).alias("_price"))
+    st = (
+        r.join(F.broadcast(p), "model", "left")
+        .withColumn("price", F.coalesce(F.col("_price"), F.lit("0.04").cast("decimal(13,8)")))
+        .groupBy("route_id", "model", "price")
+        .agg(F.avg(F.when(F.col("status") == 200, 1.0).otherwise(0.0)).alias("quality"), F.percentile_approx("latency_ms", 0.5).alias("p50"))
+    )
+    return B.cost_ranking(st, QUALITY).select("route_id", "model", F.col("price").cast("double").alias("price"), "quality", "p50", "selection")
+
+
+@register(
+    "b7_breaker_filtered_ranking",
+    with_views(
+        _B5_SQL.replace(
+            "g as (select window_start",
+            "g0 as (select window_start",
+        ).replace(
+            "from x group by all)",
+            f"""from x group by all),
+ pr as (select distinct window_start, window_start + interval '5 minutes' as wend, model from g0),
+ st as (select pr.window_start, pr.model, brk.state, brk.last_fail_ts, pr.wend from pr asof left join brk on pr.model = brk.model and pr.wend >= brk.ts),
+ ex as (select window_start, model from st where state = 'open' and not (epoch(wend) - epoch(last_fail_ts) >= {COOLDOWN})),
+ g as (select * from g0 where not exists (select 1 from ex where ex.window_start = g0.window_start and ex.model = g0.model))""",
+        ),
+        "gw_requests",
+        extra=_B1_CTES,
+    ),
+)
+def b7_breaker_filtered_ranking(spark, sf):
+    r = gw_requests(spark, sf)
+    # providers whose breaker is open at the window end are removed (as-of probe per window and provider)
+    win = r.select(F.window("ts_dense", "5 minutes", "1 minute").alias("w"), KEY).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("ts"), KEY).distinct()
+    win = win.withColumn("event_id", F.lit(1 << 62).cast("bigint")).withColumn("_probe_id", F.monotonically_increasing_id())
+    st = B.asof_breaker_state(win, _breaker(spark, sf), [KEY], "ts", "event_id", COOLDOWN)
+    excluded = win.join(st, ["_probe_id", KEY]).where(F.col("breaker_state") == "open").select("window_start", KEY)
+    d = B.latency_ranking(r, "ts_dense", excluded=excluded)
+    return d.select("window_start", "provider", "model", "n", "p50", "p95", "mode", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register(
+    "b8_availability_report",
+    with_views(
+        """select model, count(*) as requests, avg(success::int::double) as success_share,
+ round(sum(case when state = 'open' then coalesce(epoch(nxt) - epoch(ts), 0.0) else 0.0 end), 3) as open_seconds,
+ cast(sum(case when transition = 'opened' then 1 else 0 end) as bigint) as times_opened
+ from (select *, lead(ts) over (partition by model order by ts, event_id) as nxt from brk) group by model""",
+        "gw_requests",
+        extra=_B1_CTES,
+    ),
+)
+def b8_availability_report(spark, sf):
+    return B.availability_report(_breaker(spark, sf), [KEY])
