@@ -23,7 +23,21 @@ _W = "[0-9A-Za-z_]"
 ASCII_BOUNDARY = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 
-def java_regex(rx: str) -> str:
+NOT_WORD_BEFORE = f"(?<!{_W})"
+NOT_WORD_AFTER = f"(?!{_W})"
+
+
+def java_regex(rx: str, word_start: bool = False, word_end: bool = False) -> str:
+    """Rewrite ``\\b`` for Java with ASCII word characters.
+
+    When the match always starts (ends) with a word character, a leading
+    (trailing) boundary is exactly "no word character before (after)", a
+    single cheap lookaround; otherwise the full boundary test is used.
+    """
+    if word_start and rx.startswith(r"\b"):
+        rx = NOT_WORD_BEFORE + rx[2:]
+    if word_end and rx.endswith(r"\b"):
+        rx = rx[:-2] + NOT_WORD_AFTER
     return rx.replace(r"\b", ASCII_BOUNDARY)
 
 
@@ -118,6 +132,12 @@ class Pattern:
     validator: Callable[[Column], Column] | None = None
     sql_validator: Callable[[str], str] | None = None
     guard: str | None = None  # substring every match contains (cheap pre-check)
+    word_start: bool = True  # every match begins with an ASCII word character
+    word_end: bool = True  # every match ends with an ASCII word character
+
+    @property
+    def java(self) -> str:
+        return java_regex(self.regex, self.word_start, self.word_end)
 
 
 # The eight pattern families (regex, field type, level, placeholder).
@@ -125,7 +145,7 @@ PATTERNS: dict[str, Pattern] = {
     "pan": Pattern("pan", r"\b([3-6]\d{12,18})\b", "pan", "L4", "[REDACTED_PAN]", luhn, sql_luhn),
     "msisdn": Pattern("msisdn", r"(\+?90\s?5\d{2}\s?\d{3}\s?\d{2}\s?\d{2})", "phone", "L3", "[REDACTED_PHONE]", msisdn_valid, sql_msisdn, "90"),
     "tc_kimlik": Pattern("tc_kimlik", r"\b(\d{11})\b", "national_id", "L3", "[REDACTED_NATIONAL_ID]", tc_kimlik_valid, sql_tc),
-    "email": Pattern("email", r"\b([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})\b", "email", "L3", "[REDACTED_EMAIL]", None, None, "@"),
+    "email": Pattern("email", r"\b([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})\b", "email", "L3", "[REDACTED_EMAIL]", None, None, "@", word_start=False),
     "iban_tr": Pattern("iban_tr", r"\b(TR\d{2}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{2})\b", "iban", "L3", "[REDACTED_IBAN]", iban_valid, sql_iban, "TR"),
     "imei": Pattern("imei", r"\b(\d{15})\b", "imei", "L3", "[REDACTED_IMEI]", imei_valid, sql_imei),
     "ip_address": Pattern("ip_address", r"\b((?:\d{1,3}\.){3}\d{1,3})\b", "ip", "L3", "[REDACTED_IP]", ip_valid, sql_ip, "."),
@@ -159,7 +179,7 @@ def resolve(names: Sequence[str] | None) -> list[Pattern]:
 
 
 def _family_matches(text: Column, p: Pattern, whitelist: Sequence[str] | None) -> Column:
-    arr = F.regexp_extract_all(text, F.lit(java_regex(p.regex)), 1)
+    arr = F.regexp_extract_all(text, F.lit(p.java), 1)
     if p.guard:
         arr = F.when(F.instr(text, p.guard) > 0, arr).otherwise(F.array().cast("array<string>"))
     if p.validator is not None:

@@ -23,3 +23,15 @@ def bounded_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_
 
 def to_double(c):
     return c.cast("double")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row-wise work (regex scans, JSON walks) at least one
+    partition per core.
+
+    Large inputs already have far more splits than cores and pass through
+    untouched; a small input stored as one row group (one busy task) is
+    round-robin repartitioned, a shuffle of the few rows it has.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewise.operators.common import spread
+
 MAX_DEPTH = 8
 
 
@@ -39,7 +41,7 @@ def json_leaves(df: DataFrame, keys: Sequence[str], body_col: str, max_depth: in
     """
     keys = list(keys)
     node = "struct<path:string,parent_type:string,v:variant>"
-    cur = df.select(*keys, F.lit("$").alias("path"), F.lit("root").alias("parent_type"), F.try_parse_json(F.col(body_col)).alias("v")).where(
+    cur = spread(df).select(*keys, F.lit("$").alias("path"), F.lit("root").alias("parent_type"), F.try_parse_json(F.col(body_col)).alias("v")).where(
         F.col("v").isNotNull()
     )
     for _ in range(max_depth):

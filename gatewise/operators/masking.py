@@ -98,11 +98,27 @@ def consumer_role(requests: DataFrame, consumers: DataFrame, key: str = "consume
 
 
 def masked_projection(df: DataFrame, role_col: str, columns: dict[str, str], policies=None) -> DataFrame:
-    """Mask each listed column (column -> field type) by the row's role."""
-    out = df
-    for c, ft in columns.items():
-        out = out.withColumn(c, S.apply_strategy(F.col(c), policy_lookup(F.col(role_col), ft, policies)))
-    return out
+    """Mask each listed column (column -> field type) by the row's role.
+
+    The policy is configuration, so each column becomes one CASE over the
+    roles holding only the strategies those roles use (unknown role ->
+    redact): a single projection that stays inside whole-stage codegen.
+    """
+    policies = DEFAULT_POLICIES if policies is None else policies
+    role = F.lower(F.coalesce(F.col(role_col), F.lit("")))
+    cols = []
+    for c in df.columns:
+        if c not in columns:
+            cols.append(F.col(c))
+            continue
+        ft, v = columns[c], F.col(c)
+        expr = None
+        for r, (d, o) in policies.items():
+            fn = S.STRATEGIES.get(o.get(ft, d), S.redact)
+            expr = F.when(role == r.lower(), fn(v)) if expr is None else expr.when(role == r.lower(), fn(v))
+        expr = S.redact(v) if expr is None else expr.otherwise(S.redact(v))
+        cols.append(F.when(v.isNotNull(), expr).alias(c))
+    return df.select(*cols)
 
 
 def tokenize(df: DataFrame, col: str, key: str, out_col: str = "token") -> tuple[DataFrame, DataFrame]:

@@ -10,19 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewise.functions import pii as PF
+from gatewise.operators.common import spread
 
 # ---------------------------------------------------------------- P1-P4
 
 
 def pii_scan(df: DataFrame, text_col: str, keys: Sequence[str], patterns=None, whitelist=None) -> DataFrame:
     """One row per match (keys, pii_type, field_type, value, classification, placeholder)."""
-    return df.select(*keys, F.inline(PF.scan(F.col(text_col), patterns, whitelist)))
+    return spread(df).select(*keys, F.inline(PF.scan(F.col(text_col), patterns, whitelist)))
 
 
 def pii_mask(df: DataFrame, text_col: str, patterns=None, out_col: str = "masked_text") -> DataFrame:
     """Masked text and number of matches (repeats of a value count)."""
     m = PF.scan(F.col(text_col), patterns)
-    return df.withColumn("_m", m).withColumn(out_col, PF.mask_text(F.col(text_col), F.col("_m"))).withColumn(
+    return spread(df).withColumn("_m", m).withColumn(out_col, PF.mask_text(F.col(text_col), F.col("_m"))).withColumn(
         "match_count", F.size("_m")
     ).drop("_m")
 
@@ -30,7 +31,7 @@ def pii_mask(df: DataFrame, text_col: str, patterns=None, out_col: str = "masked
 def pii_contains(df: DataFrame, text_col: str, patterns=None) -> DataFrame:
     """Flag and first match."""
     m = PF.scan(F.col(text_col), patterns)
-    return df.withColumn("_m", m).withColumn("has_pii", F.size("_m") > 0).withColumn(
+    return spread(df).withColumn("_m", m).withColumn("has_pii", F.size("_m") > 0).withColumn(
         "first_match", F.try_element_at("_m", F.lit(1))
     ).drop("_m")
 
@@ -249,7 +250,7 @@ def exfiltration_scan(conversations: DataFrame, min_containment: float = 0.5) ->
 def audit_excerpt(df: DataFrame, text_col: str = "text", n: int = 200) -> DataFrame:
     """First ``n`` characters of the text, masked before cutting."""
     m = PF.scan(F.col(text_col))
-    return df.withColumn("payload_excerpt", F.left(PF.mask_text(F.col(text_col), m), F.lit(n)))
+    return spread(df).withColumn("payload_excerpt", F.left(PF.mask_text(F.col(text_col), m), F.lit(n)))
 
 
 def security_action(findings: DataFrame) -> DataFrame:

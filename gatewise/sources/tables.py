@@ -234,7 +234,9 @@ def gw_request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gw_stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SSE chunks of assistant replies: one delta per word plus ``[DONE]``;
     every fifth stream is cut before its last three words and never ends."""
-    cv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    from gatewise.operators.common import spread
+
+    cv = spread(read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant"))
     words = F.split(F.col("text"), " ")
     base = cv.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"),
