@@ -284,7 +284,9 @@ def _throttle_fold(pdf: pd.DataFrame, window_s: float = 60.0) -> pd.DataFrame:
             retry[i] = int(np.ceil(window_s - (t[i] - last)))
         else:
             last = t[i]
-    return pd.DataFrame({"id": pdf["id"].to_numpy(), "throttle_allowed": allow, "retry_after": pd.array(np.where(retry >= 0, retry, 0), dtype="Int64").where(retry >= 0)})
+    ra = pd.array(np.where(retry >= 0, retry, 0), dtype="Int64")
+    ra[retry < 0] = pd.NA
+    return pd.DataFrame({"id": pdf["id"].to_numpy(), "throttle_allowed": allow, "retry_after": ra})
 
 
 def overage(

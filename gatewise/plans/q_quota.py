@@ -142,3 +142,225 @@ def q4_quota_decision(spark, sf):
         "event_id", "consumer_id", "allowed", "reason", "used_value", F.col("remaining_tokens").cast("bigint").alias("remaining_tokens"),
         F.col("remaining_dollars").cast("double").alias("remaining_dollars"),
     )
+
+
+# ---------------------------------------------------------------- q5 most restrictive
+
+LIMITS = [("team-1", "route-1", 20000), ("team-1", None, 50000), (None, "route-2", 600000), ("team-2", None, 1000), ("team-5", "route-0", 1500)]
+
+
+def _lim_sql() -> str:
+    def q(x):
+        return "null" if x is None else (str(x) if isinstance(x, int) else f"'{x}'")
+
+    return "select * from (values " + ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in LIMITS) + ") t(consumer_id, route_id, limit_tokens)"
+
+
+_TOK = "cast(tokens_input + tokens_output as bigint)"
+
+
+@register(
+    "q5_most_restrictive_quota",
+    with_views(
+        f"""with u as (select consumer_id, route_id, sum({_TOK}) as used_cr from gw_requests group by all),
+ uc as (select consumer_id, sum({_TOK}) as used_c from gw_requests group by all),
+ ur as (select route_id, sum({_TOK}) as used_r from gw_requests group by all),
+ b as (select u.*, uc.used_c, ur.used_r from u join uc using (consumer_id) join ur using (route_id)),
+ c as (select b.consumer_id, b.route_id, l.limit_tokens - b.used_cr as remaining, 'consumer_route' as scope, l.limit_tokens as lim from b join lim l on b.consumer_id = l.consumer_id and b.route_id = l.route_id
+  union all select b.consumer_id, b.route_id, l.limit_tokens - b.used_c, 'consumer', l.limit_tokens from b join lim l on b.consumer_id = l.consumer_id and l.route_id is null
+  union all select b.consumer_id, b.route_id, l.limit_tokens - b.used_r, 'route', l.limit_tokens from b join lim l on b.route_id = l.route_id and l.consumer_id is null),
+ r as (select *, row_number() over (partition by consumer_id, route_id order by remaining, scope, lim) as rn from c)
+ select b.consumer_id, b.route_id, cast(b.used_cr as bigint) as used_cr, r.scope as applied_scope, cast(r.remaining as bigint) as remaining_tokens, r.lim as applied_limit
+ from b left join r on b.consumer_id = r.consumer_id and b.route_id = r.route_id and r.rn = 1""",
+        "gw_requests",
+        extra=[("lim", _lim_sql())],
+    ),
+)
+def q5_most_restrictive_quota(spark, sf):
+    r = gw_requests(spark, sf).withColumn("_t", F.col("tokens_input") + F.col("tokens_output"))
+    u = r.groupBy("consumer_id", "route_id").agg(F.sum("_t").alias("used_cr"))
+    uc = r.groupBy("consumer_id").agg(F.sum("_t").alias("used_c"))
+    ur = r.groupBy("route_id").agg(F.sum("_t").alias("used_r"))
+    usage = u.join(uc, "consumer_id").join(ur, "route_id")
+    lim = spark.createDataFrame(LIMITS, "consumer_id string, route_id string, limit_tokens bigint")
+    d = Q.most_restrictive_quota(usage, lim)
+    return d.select("consumer_id", "route_id", F.col("used_cr").cast("bigint").alias("used_cr"), "applied_scope", F.col("remaining_tokens").cast("bigint").alias("remaining_tokens"), "applied_limit")
+
+
+# ---------------------------------------------------------------- q6 overage / q10 reset
+
+
+@register(
+    "q6_overage_block",
+    with_views(
+        """select event_id, reason is null as final_allowed, case when reason is not null then 402 end as overage_status,
+ case when period = 'daily' then date_trunc('day', ts) + interval 1 day when period = 'monthly' then date_trunc('month', ts) + interval 1 month end as resets_at
+ from dec""",
+        "gw_requests",
+        extra=PRICED + [("usage", USAGE)],
+        raw=_DECISION_SQL,
+    ),
+)
+def q6_overage_block(spark, sf):
+    d = Q.overage(_decisions(spark, sf), "block")
+    return d.select("event_id", "final_allowed", "overage_status", "resets_at")
+
+
+@register("q6_overage_throttle")
+def q6_overage_throttle(spark, sf):
+    d = Q.overage(_decisions(spark, sf), "throttle")
+    return d.select("event_id", "consumer_id", "ts", "exhausted", "final_allowed", "overage_status", "retry_after")
+
+
+@register(
+    "q10_reset_time",
+    with_views(
+        "select event_id, date_trunc('day', ts) + interval 1 day as reset_daily, date_trunc('month', ts) + interval 1 month as reset_monthly from gw_requests",
+        "gw_requests",
+    ),
+)
+def q10_reset_time(spark, sf):
+    r = gw_requests(spark, sf)
+    return r.select("event_id", Q.reset_time(F.lit("daily"), F.col("ts")).alias("reset_daily"), Q.reset_time(F.lit("monthly"), F.col("ts")).alias("reset_monthly"))
+
+
+# ---------------------------------------------------------------- q7 fail policy
+
+OUTAGES = [("2024-01-05 00:00:00", "2024-01-05 06:00:00"), ("2024-01-20 12:00:00", "2024-01-20 13:00:00")]
+
+
+@register(
+    "q7_fail_policy_closed",
+    with_views(
+        """select event_id, case when o.s is not null then false else dec.reason is null end as allowed,
+ case when o.s is not null then 'quota_service_unavailable' else dec.reason end as reason, o.s is not null as in_outage
+ from dec left join (values """
+        + ", ".join(f"(timestamp '{a}', timestamp '{b}')" for a, b in OUTAGES)
+        + """) o(s, e) on dec.ts >= o.s and dec.ts <= o.e""",
+        "gw_requests",
+        extra=PRICED + [("usage", USAGE)],
+        raw=_DECISION_SQL,
+    ),
+)
+def q7_fail_policy_closed(spark, sf):
+    o = spark.createDataFrame(OUTAGES, "start string, end string").select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
+    d = Q.fail_policy(_decisions(spark, sf), o, "fail_closed")
+    return d.select("event_id", "allowed", "reason", "in_outage")
+
+
+# ---------------------------------------------------------------- q8 / q9 alerts and utilization
+
+_LEDGER_SQL = """select *, sum(usage_tokens) over (partition by consumer_id, month order by ts, event_id rows between unbounded preceding and current row) as month_tokens_after,
+ sum(usage_tokens) over (partition by consumer_id, day order by ts, event_id rows between unbounded preceding and current row) as day_tokens_after from usage"""
+
+
+def _ledger(spark, sf):
+    return Q.usage_ledger(_usage(spark, sf))
+
+
+@register(
+    "q8_budget_alerts",
+    with_views(
+        f"""with x as (select consumer_id, ts, event_id, month, month_tokens_after, month_tokens_after / {float(MONTHLY_LIMIT)} * 100 as utilization_pct, t.th as threshold_pct
+  from ledger, (values (80), (90), (100)) t(th) where month_tokens_after / {float(MONTHLY_LIMIT)} * 100 >= t.th),
+ f as (select consumer_id, month, threshold_pct, arg_min(ts, (ts, event_id)) as alert_ts, arg_min(event_id, (ts, event_id)) as event_id,
+  arg_min(month_tokens_after, (ts, event_id)) as current_used, arg_min(utilization_pct, (ts, event_id)) as utilization_pct from x group by all)
+ select consumer_id, 'monthly_tokens' as quota_type, threshold_pct, strftime(month, '%Y-%m') as period, alert_ts, event_id, cast(current_used as bigint) as current_used,
+  cast({MONTHLY_LIMIT} as bigint) as budget_limit, utilization_pct from f""",
+        "gw_requests",
+        extra=PRICED + [("usage", USAGE), ("ledger", _LEDGER_SQL)],
+    ),
+)
+def q8_budget_alerts(spark, sf):
+    a = Q.budget_alerts(_ledger(spark, sf), MONTHLY_LIMIT)
+    return a.select("consumer_id", "quota_type", "threshold_pct", "period", "alert_ts", "event_id", F.col("current_used").cast("bigint").alias("current_used"), "budget_limit", "utilization_pct")
+
+
+@register(
+    "q9_utilization",
+    with_views(
+        f"""select consumer_id, 'daily' as period, day as period_start, cast(arg_max(day_tokens_after, (ts, event_id)) as bigint) as used,
+  arg_max(day_tokens_after, (ts, event_id)) / {float(DAILY_LIMIT)} * 100 as utilization_pct from ledger group by consumer_id, day
+ union all select consumer_id, 'monthly', month, cast(arg_max(month_tokens_after, (ts, event_id)) as bigint),
+  arg_max(month_tokens_after, (ts, event_id)) / {float(MONTHLY_LIMIT)} * 100 from ledger group by consumer_id, month""",
+        "gw_requests",
+        extra=PRICED + [("usage", USAGE), ("ledger", _LEDGER_SQL)],
+    ),
+)
+def q9_utilization(spark, sf):
+    u = Q.utilization(_ledger(spark, sf), DAILY_LIMIT, MONTHLY_LIMIT)
+    return u.select("consumer_id", "period", "period_start", F.col("used").cast("bigint").alias("used"), "utilization_pct")
+
+
+# ---------------------------------------------------------------- q11 reconcile
+
+
+def _exact(b):
+    return b.where(F.col("model_ix") % 3 != 0).select("request_id", (F.col("tokens_input") + F.col("tokens_output") + F.length("request_id") % 7 - 3).alias("exact_tokens"))
+
+
+@register(
+    "q11_reconcile",
+    with_views(
+        """with ex as (select request_id, tokens_input + tokens_output + length(request_id) % 7 - 3 as exact_tokens from gw_billing where model_ix % 3 <> 0),
+ j as (select b.*, e.exact_tokens from gw_billing b left join ex e on b.request_id = e.request_id)
+ select consumer_id, count(*) as requests, cast(sum(case when exact_tokens is not null then 1 else 0 end) as bigint) as reconciled,
+  cast(sum(exact_tokens - (tokens_input + tokens_output)) as bigint) as delta_tokens, cast(sum(coalesce(exact_tokens, tokens_input + tokens_output)) as bigint) as corrected_tokens
+ from j group by consumer_id""",
+        "gw_billing",
+    ),
+)
+def q11_reconcile(spark, sf):
+    b = gw_billing(spark, sf)
+    r = Q.reconcile(b, _exact(b))
+    return r.groupBy("consumer_id").agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.sum(F.col("reconciled").cast("int")).cast("bigint").alias("reconciled"),
+        F.sum("delta_tokens").cast("bigint").alias("delta_tokens"),
+        F.sum("corrected_tokens").cast("bigint").alias("corrected_tokens"),
+    )
+
+
+# ---------------------------------------------------------------- q12 / q13 / q14
+
+
+@register(
+    "q12_spend_rollup",
+    with_views(
+        """select consumer_id, model, cast(ts as date) as day, count(*) as requests, cast(sum(cost_usd) as double) as cost_usd,
+ cast(sum(tokens_input + tokens_output) as bigint) as tokens, cast(grouping(consumer_id, model, cast(ts as date)) as int) as gid
+ from priced group by rollup (consumer_id, model, cast(ts as date))""",
+        "gw_requests",
+        extra=PRICED,
+    ),
+)
+def q12_spend_rollup(spark, sf):
+    d = _priced(spark, sf).withColumn("day", F.to_date("ts"))
+    r = Q.spend_rollup(d, ["consumer_id", "model", "day"])
+    return r.select("consumer_id", "model", "day", "requests", "cost_usd", F.col("tokens").cast("bigint").alias("tokens"), F.col("gid").cast("int").alias("gid"))
+
+
+@register(
+    "q13_chargeback_top10",
+    with_views(
+        """with per as (select consumer_id, sum(cost_usd) as spend, count(*) as requests from priced group by consumer_id)
+ select consumer_id, cast(spend as double) as spend_usd, requests, cast(spend as double) / (select cast(sum(cost_usd) as double) from priced) as share,
+  dense_rank() over (order by spend desc) as spend_rank from per order by spend desc, consumer_id limit 10""",
+        "gw_requests",
+        extra=PRICED,
+    ),
+)
+def q13_chargeback_top10(spark, sf):
+    d = Q.chargeback(_priced(spark, sf), 10)
+    return d.select("consumer_id", "spend_usd", "requests", "share", F.col("spend_rank").cast("bigint").alias("spend_rank"))
+
+
+@register("q14_token_estimate_accuracy")
+def q14_token_estimate_accuracy(spark, sf):
+    from gatewise.functions import llm as L
+    from gatewise.sources import gw_payloads
+
+    p = gw_payloads(spark, sf)
+    r = p.select(L.normalize_response(F.col("provider"), F.col("body")).alias("r")).select("r.*")
+    r = r.withColumn("est", L.approx_tokens(F.col("content"))).withColumn("model", F.coalesce("model", F.lit("unknown")))
+    return Q.token_estimate_accuracy(r, "est", "completion_tokens")
