@@ -28,7 +28,7 @@ def _kind(v: Column) -> Column:
 
 def _scalar_type(v: Column) -> Column:
     s = F.schema_of_variant(v)
-    return F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "NULL", "null").otherwise("number")
+    return F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.isin("NULL", "VOID"), "null").otherwise("number")
 
 
 def json_leaves(df: DataFrame, keys: Sequence[str], body_col: str, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -1 +1,226 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: JSON body masking."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gatewise.functions import pii as PF
+from gatewise.functions import strategies as S
+from gatewise.operators import jsonmask as J
+from gatewise.operators import requests as R
+from gatewise.operators.jsontree import json_leaves, sql_leaves
+from gatewise.operators.masking import DEFAULT_POLICIES
+from gatewise.plans.catalog import register
+from gatewise.plans.oracle_views import with_views
+from gatewise.sources import gw_bodies
+
+RULES = [
+    {"id": "r-email", "path": "$.user.email", "strategy": "mask:email", "field_type": "email"},
+    {"id": "r-pan", "path": "$.items[*].pan", "strategy": "last4", "field_type": "pan"},
+]
+
+
+def _maskable(spark, sf):
+    return R.maskable_gate(gw_bodies(spark, sf)).where(F.col("maskable")).select("body_id", "role", "body")
+
+
+def _leaves(spark, sf):
+    b = _maskable(spark, sf)
+    return json_leaves(b, ["body_id", "role"], "body")
+
+
+_MASKABLE_SQL = "select body_id, role, body from gw_bodies where contains(lower(content_type), 'json') and json_valid(body)"
+_LEAVES_SQL = sql_leaves("mb", ["body_id", "role"], "body").replace("select s.body_id, s.role,", "select s.body_id, s.role,")
+
+
+def _ctes():
+    return [("mb", _MASKABLE_SQL), ("lv", _LEAVES_SQL + "")]
+
+
+@register("j1_json_leaves", with_views("select body_id, path, value_type, value from lv", "gw_bodies", extra=_ctes()))
+def j1_json_leaves(spark, sf):
+    return _leaves(spark, sf).select("body_id", "path", "value_type", "value")
+
+
+@register(
+    "j2_jsonpath_find",
+    with_views(
+        " union all ".join(f"select body_id, path, '{r['id']}' as rule_id from lv where regexp_matches(path, '{J.jsonpath_regex(r['path'])}')" for r in RULES + [{"id": "r-any-note", "path": "$..note"}, {"id": "r-items", "path": "$.items[*]"}]),
+        "gw_bodies",
+        extra=_ctes(),
+    ),
+)
+def j2_jsonpath_find(spark, sf):
+    lv = _leaves(spark, sf)
+    parts = [lv.where(F.col("path").rlike(J.jsonpath_regex(r["path"]))).select("body_id", "path", F.lit(r["id"]).alias("rule_id")) for r in RULES + [{"id": "r-any-note", "path": "$..note"}, {"id": "r-items", "path": "$.items[*]"}]]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _role_case(ft: str, default: str) -> str:
+    whens = " ".join(f"when '{r}' then '{o.get(ft, d or default)}'" for r, (d, o) in DEFAULT_POLICIES.items())
+    return f"case lower(coalesce(role, '')) {whens} else 'redact' end"
+
+
+def _j3_sql() -> str:
+    parts = []
+    for i, r in enumerate(RULES):
+        parts.append(
+            f"select body_id, role, path, value, '{r['id']}' as rule_id, '{r['field_type']}' as field_type, {_role_case(r['field_type'], r['strategy'])} as strategy, {i} as ix "
+            f"from lv where regexp_matches(path, '{J.jsonpath_regex(r['path'])}')"
+        )
+    u = " union all ".join(parts)
+    return f"""select body_id, role, path, value, rule_id, field_type, strategy, {S.sql_apply('value', 'strategy')} as new_value, 'explicit_rule' as source from (
+ select *, row_number() over (partition by body_id, path order by ix desc) as rn from ({u}) where strategy <> 'full') where rn = 1"""
+
+
+def _explicit(spark, sf, lv=None):
+    lv = _leaves(spark, sf) if lv is None else lv
+    return J.explicit_masking(lv, RULES)
+
+
+@register("j3_explicit_masking", with_views("select body_id, path, rule_id, field_type, strategy, new_value from j3", "gw_bodies", extra=_ctes() + [("j3", _j3_sql())]))
+def j3_explicit_masking(spark, sf):
+    return _explicit(spark, sf).select("body_id", "path", "rule_id", "field_type", "strategy", "new_value")
+
+
+def _j4_sql() -> str:
+    fams = PF.AUTO_DETECT_DEFAULT
+    first = "coalesce(" + ", ".join(f"({PF.sql_scan('value', [f])})[1]" for f in fams) + ")"
+    fts = sorted({PF.resolve([f])[0].field_type for f in fams})
+    strat = "case " + " ".join(
+        f"when m.field_type = '{ft}' then (case when {_role_case(ft, 'mask')} = 'mask' then '{J.MASK_BY_TYPE.get(ft, 'redact')}' else {_role_case(ft, 'mask')} end)" for ft in fts
+    ) + " end"
+    return f"""select body_id, role, path, value, m.field_type as field_type, m.pii_type as pii_type, {strat} as strategy from (
+ select *, {first} as m from lv where value_type = 'string' and not exists (select 1 from j3 where j3.body_id = lv.body_id and j3.path = lv.path)) where m is not null"""
+
+
+def _auto(spark, sf, lv=None, j3=None):
+    lv = _leaves(spark, sf) if lv is None else lv
+    j3 = _explicit(spark, sf, lv) if j3 is None else j3
+    return J.auto_masking(lv, j3)
+
+
+_J4_OUT = f"select body_id, path, 'auto' as rule_id, field_type, strategy, {S.sql_apply('value', 'strategy')} as new_value, 'auto_detect' as source from j4a where strategy <> 'full'"
+
+
+@register(
+    "j4_auto_masking",
+    with_views(f"select body_id, path, field_type, strategy, new_value from ({_J4_OUT})", "gw_bodies", extra=_ctes() + [("j3", _j3_sql()), ("j4a", _j4_sql())]),
+)
+def j4_auto_masking(spark, sf):
+    return _auto(spark, sf).select("body_id", "path", "field_type", "strategy", "new_value")
+
+
+_FACTS_SQL = "select body_id, path, rule_id, field_type, strategy, new_value, source from j3 union all " + _J4_OUT
+
+
+@register(
+    "j10_masking_counters",
+    with_views(
+        "select f.field_type, f.strategy, b.role, count(*) as applied from facts f join mb b on f.body_id = b.body_id group by all",
+        "gw_bodies",
+        extra=_ctes() + [("j3", _j3_sql()), ("j4a", _j4_sql()), ("facts", _FACTS_SQL)],
+    ),
+)
+def j10_masking_counters(spark, sf):
+    lv = _leaves(spark, sf)
+    j3 = _explicit(spark, sf, lv)
+    facts = J.masked_facts(j3, J.auto_masking(lv, j3))
+    return J.masking_counters(facts, _maskable(spark, sf))
+
+
+_J5_SQL = """select body_id, role, path, value, coalesce(sum(length(value) + 1) over (partition by body_id order by path rows between unbounded preceding and 1 preceding), 0) as part_start
+ from lv where value_type = 'string' and length(value) >= 3 and not exists (select 1 from facts f where f.body_id = lv.body_id and f.path = lv.path)"""
+
+
+def _candidates(spark, sf):
+    lv = _leaves(spark, sf)
+    j3 = _explicit(spark, sf, lv)
+    facts = J.masked_facts(j3, J.auto_masking(lv, j3))
+    return lv, J.ner_candidates(lv, facts)
+
+
+@register(
+    "j5_ner_candidates",
+    with_views(
+        "select body_id, path, part_start, part_start + length(value) as part_end from j5",
+        "gw_bodies",
+        extra=_ctes() + [("j3", _j3_sql()), ("j4a", _j4_sql()), ("facts", _FACTS_SQL), ("j5", _J5_SQL)],
+    ),
+)
+def j5_ner_candidates(spark, sf):
+    _, c = _candidates(spark, sf)
+    return c.select("body_id", "path", F.col("part_start").cast("bigint").alias("part_start"), F.col("part_end").cast("bigint").alias("part_end"))
+
+
+def _entities(c):
+    """Detector output fixture derived from the candidates: a PERSON span on
+    every name, a span straddling into the next part, a low-confidence one."""
+    name = c.where(F.col("path") == "$.user.name")
+    person = name.select("body_id", F.col("part_start").cast("int").alias("start"), (F.col("part_start") + F.length("value")).cast("int").alias("end"), F.lit("PERSON").alias("entity_type"), F.lit(0.9).alias("confidence"))
+    straddle = name.select("body_id", (F.col("part_start") + F.length("value") - 1).cast("int").alias("start"), (F.col("part_start") + F.length("value") + 2).cast("int").alias("end"), F.lit("LOCATION").alias("entity_type"), F.lit(0.95).alias("confidence"))
+    weak = c.where(F.col("path").endswith(".note")).select("body_id", F.col("part_start").cast("int").alias("start"), (F.col("part_start") + 2).cast("int").alias("end"), F.lit("ORGANIZATION").alias("entity_type"), F.lit(0.5).alias("confidence"))
+    return person.unionByName(straddle).unionByName(weak)
+
+
+_ENT_SQL = """select body_id, part_start as start, part_start + length(value) as "end", 'PERSON' as entity_type, 0.9 as confidence from j5 where path = '$.user.name'
+ union all select body_id, part_start + length(value) - 1, part_start + length(value) + 2, 'LOCATION', 0.95 from j5 where path = '$.user.name'
+ union all select body_id, part_start, part_start + 2, 'ORGANIZATION', 0.5 from j5 where suffix(path, '.note')"""
+
+_J6_SQL = """select e.body_id, p.path, e.start, e."end", e.entity_type, e.confidence
+ from (select * from ents where "end" > start and confidence >= 0.7) e
+ asof join (select body_id, path, part_start, part_start + length(value) as part_end from j5) p on e.body_id = p.body_id and e.start >= p.part_start
+ where e."end" <= p.part_end"""
+
+
+@register(
+    "j6_j7_ner_masking",
+    with_views(
+        f"""select a.body_id, a.path, a.entity_type, 'redact' as strategy, '[REDACTED]' as new_value from (
+ select *, row_number() over (partition by body_id, path order by confidence desc, start) as rn from ({_J6_SQL})) a where rn = 1""",
+        "gw_bodies",
+        extra=_ctes() + [("j3", _j3_sql()), ("j4a", _j4_sql()), ("facts", _FACTS_SQL), ("j5", _J5_SQL), ("ents", _ENT_SQL)],
+    ),
+)
+def j6_j7_ner_masking(spark, sf):
+    lv, c = _candidates(spark, sf)
+    assigned = J.assign_entities(c, _entities(c))
+    m = J.ner_masking(assigned, lv)
+    return m.select("body_id", "path", "entity_type", "strategy", "new_value")
+
+
+@register(
+    "j8_ner_fail_closed",
+    with_views(
+        "select body_id, path, 'redact' as strategy from j5 where body_id % 7 = 0",
+        "gw_bodies",
+        extra=_ctes() + [("j3", _j3_sql()), ("j4a", _j4_sql()), ("facts", _FACTS_SQL), ("j5", _J5_SQL)],
+    ),
+)
+def j8_ner_fail_closed(spark, sf):
+    _, c = _candidates(spark, sf)
+    detected = c.where(F.col("body_id") % 7 != 0).select("body_id")
+    return J.ner_fail_closed(c, detected, "closed").select("body_id", "path", "strategy")
+
+
+@register("j9_rewrite_bodies")
+def j9_rewrite_bodies(spark, sf):
+    lv = _leaves(spark, sf)
+    j3 = _explicit(spark, sf, lv)
+    facts = J.masked_facts(j3, J.auto_masking(lv, j3))
+    return J.rewrite_bodies(_maskable(spark, sf), facts).select("body_id", "role", "masked_body")
+
+
+@register("j12_j13_entity_merge_and_regex_missed")
+def j12_j13_entity_merge_and_regex_missed(spark, sf):
+    lv, c = _candidates(spark, sf)
+    e1 = _entities(c)
+    e2 = e1.withColumn("confidence", F.col("confidence") - 0.05)
+    merged = J.merge_entities(e1, e2)
+    ner = J.ner_masking(J.assign_entities(c, merged), lv)
+    j3 = _explicit(spark, sf, lv)
+    regex = J.masked_facts(j3, J.auto_masking(lv, j3))
+    return J.regex_missed(ner, regex)
