@@ -35,3 +35,16 @@ def spread(df: DataFrame) -> DataFrame:
     """
     par = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage between stages of a multi-pass operator.
+
+    Writes ``df`` once to the shared ``spark.checkpoint.dir`` (reliable
+    checkpoint, survives executor loss) so later passes that read it twice --
+    the rows and their chunk summary -- do not recompute its upstream.
+    """
+    from gatewise.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gatewise.functions.pricing import DEFAULT_PRICING
 from gatewise.operators import scan as SC
+from gatewise.operators.common import materialize
 
 
 def _secs(c):
@@ -38,21 +39,47 @@ def breaker_replay(
 
     Adds ``streak``, ``state`` (closed/open), ``prev_state``,
     ``transition`` (opened / closed / probe_failed) and ``last_fail_ts``.
+
+    Two chunked passes.  Pass 1 needs one window inside (key, chunk): the
+    local failure count, the local count at the latest success and the latest
+    earlier failure time; their carries across chunks (total failures, the
+    global count at the latest success, the latest failure time) are combined
+    on the small chunk table.  Pass 2 scans the trigger/reset markers.
     """
     key = list(key)
     order = [ts_col, id_col]
+    pos = F.struct(*[F.col(o) for o in order])
     d = outcomes.withColumn("_chunk", SC.time_chunk(F.col(ts_col), chunk_s)).withColumn("_fail", (~F.col("success")).cast("int"))
-    d = SC.running_sums(d, key, "_chunk", order, {"_cum_fail": F.col("_fail")})
-    d = SC.last_values(d, key, "_chunk", order, {"_cf_at_succ": F.when(F.col("success"), F.col("_cum_fail"))}, inclusive=True)
-    d = SC.last_values(d, key, "_chunk", order, {"_prev_fail_ts": F.when(F.col("_fail") == 1, F.col(ts_col))}, inclusive=False)
-    d = d.withColumn("streak", (F.col("_cum_fail") - F.coalesce(F.col("_cf_at_succ"), F.lit(0))).cast("bigint"))
+    w_in = Window.partitionBy(*key, "_chunk").orderBy(*order)
+    incl = w_in.rowsBetween(Window.unboundedPreceding, 0)
+    excl = w_in.rowsBetween(Window.unboundedPreceding, -1)
+    d = (
+        d.withColumn("_lcf", F.sum("_fail").over(incl))
+        .withColumn("_lcf_succ", F.last(F.when(F.col("success"), F.col("_lcf")), ignorenulls=True).over(incl))
+        .withColumn("_lprev_fail", F.last(F.when(F.col("_fail") == 1, F.col(ts_col)), ignorenulls=True).over(excl))
+    )
+    summ = d.groupBy(*key, "_chunk").agg(
+        F.sum("_fail").alias("_tf"),
+        F.max_by(F.col("_lcf"), F.when(F.col("success"), pos)).alias("_scf"),
+        F.max(F.when(F.col("_fail") == 1, F.col(ts_col))).alias("_slf"),
+    )
+    w_k = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_cfail", F.coalesce(F.sum("_tf").over(w_k), F.lit(0)))
+    summ = summ.select(
+        *key, "_chunk", "_cfail",
+        F.last(F.col("_cfail") + F.col("_scf"), ignorenulls=True).over(w_k).alias("_ccf_succ"),
+        F.last("_slf", ignorenulls=True).over(w_k).alias("_clast_fail"),
+    )
+    d = SC.join_back(d, summ, [*key, "_chunk"])
+    cum_fail = F.col("_lcf") + F.col("_cfail")
+    cf_at_succ = F.coalesce(F.col("_lcf_succ") + F.col("_cfail"), F.col("_ccf_succ"), F.lit(0))
+    d = d.withColumn("streak", (cum_fail - cf_at_succ).cast("bigint")).withColumn("_prev_fail_ts", F.coalesce("_lprev_fail", "_clast_fail"))
     gap = _secs(ts_col) - _secs(F.col("_prev_fail_ts"))
     marker = F.when((F.col("_fail") == 1) & (F.col("streak") == threshold), F.lit("T")).when(
         F.col("success") & F.col("_prev_fail_ts").isNotNull() & (gap >= cooldown_s), F.lit("R")
     )
     d = d.withColumn("_marker", marker)
-    d = SC.last_values(d, key, "_chunk", order, {"_last_marker": F.col("_marker")}, inclusive=True)
-    d = SC.last_values(d, key, "_chunk", order, {"_prev_marker": F.col("_marker")}, inclusive=False)
+    d = SC.last_values(d, key, "_chunk", order, {"_last_marker": F.col("_marker")}, inclusive=True, also_exclusive={"_prev_marker": F.col("_marker")})
     state = F.when(F.col("_last_marker") == "T", "open").otherwise("closed")
     prev = F.when(F.col("_prev_marker") == "T", "open").otherwise("closed")
     transition = (
@@ -66,7 +93,7 @@ def breaker_replay(
         .withColumn("prev_state", prev)
         .withColumn("transition", transition)
         .withColumn("last_fail_ts", last_fail)
-        .drop("_chunk", "_fail", "_cum_fail", "_cf_at_succ", "_prev_fail_ts", "_marker", "_last_marker", "_prev_marker")
+        .drop("_chunk", "_fail", "_lcf", "_lcf_succ", "_lprev_fail", "_cfail", "_ccf_succ", "_clast_fail", "_prev_fail_ts", "_marker", "_last_marker", "_prev_marker")
     )
 
 
@@ -118,7 +145,7 @@ def provider_choice(
     ch = F.array(*[F.lit(c) for c in chain])
     order = F.array_distinct(F.concat(F.array(F.col(key)), ch))
     fan = requests.select(F.col(id_col).alias("_probe_id"), ts_col, id_col, F.col(key).alias("requested_provider"), F.posexplode(order).alias("priority", key))
-    st = asof_breaker_state(fan.select("_probe_id", key, ts_col, id_col, "priority"), breaker, [key], ts_col, id_col, cooldown_s)
+    st = asof_breaker_state(fan.select("_probe_id", key, ts_col, id_col, "priority"), materialize(breaker.select(key, ts_col, id_col, "state", "last_fail_ts")), [key], ts_col, id_col, cooldown_s)
     fan = fan.join(st, ["_probe_id", key])
     ok = fan.where(F.col("breaker_state") != "open")
     best = ok.groupBy("_probe_id").agg(F.min_by(key, "priority").alias("chosen_provider"), F.min("priority").alias("fallback_depth"))

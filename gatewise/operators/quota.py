@@ -37,6 +37,7 @@ from gatewise.functions.pricing import (
     pricing_frame,
 )
 from gatewise.operators.common import bounded_broadcast
+from gatewise.operators.scan import join_back
 
 # ---------------------------------------------------------------- Q1 / Q2
 
@@ -130,7 +131,7 @@ def _prefix_in_month(
     days = days.select(
         key, "day", *[F.coalesce(F.sum(f"_t_{n}").over(w_m), F.lit(0)).alias(f"_o_{n}") for n in cols]
     )
-    out = out.join(days, [key, "day"], "left")
+    out = join_back(out, days, [key, "day"])
     for n in cols:
         out = out.withColumn(f"{prefix}_{n}_month", F.col(f"_o_{n}") + F.col(f"{prefix}_{n}_day")).drop(f"_o_{n}", f"_v_{n}")
     return out

@@ -23,6 +23,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_back(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of per-chunk carries onto the rows on ``keys``.
+
+    Null-safe equality keeps the optimizer from inferring IS NOT NULL filters
+    on one branch only, so both branches keep an identical upstream and the
+    shuffle feeding them is computed once (ReusedExchange).
+    """
+    s = summary.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in summary.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_j_{k}"))
+        cond = c if cond is None else cond & c
+    return rows.join(s, cond, "left").drop(*[f"_j_{k}" for k in keys])
+
+
 def time_chunk(ts: Column, seconds: int = 3600) -> Column:
     """Chunk id of a timestamp: floor(epoch / seconds)."""
     return F.floor(F.unix_timestamp(ts.cast("timestamp")) / seconds).cast("bigint")
@@ -38,28 +53,36 @@ def running_sums(df: DataFrame, key: Sequence[str], chunk: str, order: Sequence[
     summ = d.groupBy(*key, chunk).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     w_k = Window.partitionBy(*key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*key, chunk, *[F.coalesce(F.sum(f"_t_{n}").over(w_k), F.lit(0)).alias(f"_c_{n}") for n in sums])
-    d = d.join(summ, [*key, chunk], "left")
+    d = join_back(d, summ, [*key, chunk])
     for n in sums:
         d = d.withColumn(n, F.col(f"_ls_{n}") + F.col(f"_c_{n}")).drop(f"_v_{n}", f"_ls_{n}", f"_c_{n}")
     return d
 
 
 def last_values(
-    df: DataFrame, key: Sequence[str], chunk: str, order: Sequence[str], lasts: dict[str, Column], inclusive: bool = True
+    df: DataFrame,
+    key: Sequence[str],
+    chunk: str,
+    order: Sequence[str],
+    lasts: dict[str, Column],
+    inclusive: bool = True,
+    also_exclusive: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Last non-null value per key in ``order`` (up to and including the row,
-    or strictly before it with ``inclusive=False``)."""
+    or strictly before it with ``inclusive=False``).  ``also_exclusive``
+    adds strictly-before scans of more values in the same pass."""
     key = list(key)
-    hi = 0 if inclusive else -1
-    w_in = Window.partitionBy(*key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
+    specs = [(n, c, inclusive) for n, c in lasts.items()] + [(n, c, False) for n, c in (also_exclusive or {}).items()]
+    w_base = Window.partitionBy(*key, chunk).orderBy(*order)
     ordk = F.struct(*[F.col(o) for o in order])
     d = df
-    for n, c in lasts.items():
+    for n, c, inc in specs:
+        w_in = w_base.rowsBetween(Window.unboundedPreceding, 0 if inc else -1)
         d = d.withColumn(f"_v_{n}", c).withColumn(f"_ll_{n}", F.last(f"_v_{n}", ignorenulls=True).over(w_in))
-    summ = d.groupBy(*key, chunk).agg(*[F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), ordk)).alias(f"_t_{n}") for n in lasts])
+    summ = d.groupBy(*key, chunk).agg(*[F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), ordk)).alias(f"_t_{n}") for n, _, _ in specs])
     w_k = Window.partitionBy(*key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select(*key, chunk, *[F.last(f"_t_{n}", ignorenulls=True).over(w_k).alias(f"_c_{n}") for n in lasts])
-    d = d.join(summ, [*key, chunk], "left")
-    for n in lasts:
+    summ = summ.select(*key, chunk, *[F.last(f"_t_{n}", ignorenulls=True).over(w_k).alias(f"_c_{n}") for n, _, _ in specs])
+    d = join_back(d, summ, [*key, chunk])
+    for n, _, _ in specs:
         d = d.withColumn(n, F.coalesce(F.col(f"_ll_{n}"), F.col(f"_c_{n}"))).drop(f"_v_{n}", f"_ll_{n}", f"_c_{n}")
     return d

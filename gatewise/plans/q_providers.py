@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gatewise.operators import providers as B
 from gatewise.operators import quota as Q
+from gatewise.operators.common import materialize
 from gatewise.plans.catalog import register
 from gatewise.plans.oracle_views import with_views
 from gatewise.plans.sqlbits import pricing_values
@@ -196,7 +197,8 @@ def b7_breaker_filtered_ranking(spark, sf):
     # providers whose breaker is open at the window end are removed (as-of probe per window and provider)
     win = r.select(F.window("ts_dense", "5 minutes", "1 minute").alias("w"), KEY).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("ts"), KEY).distinct()
     win = win.withColumn("event_id", F.lit(1 << 62).cast("bigint")).withColumn("_probe_id", F.monotonically_increasing_id())
-    st = B.asof_breaker_state(win, _breaker(spark, sf), [KEY], "ts", "event_id", COOLDOWN)
+    brk = materialize(_breaker(spark, sf).select(KEY, "ts", "event_id", "state", "last_fail_ts"))
+    st = B.asof_breaker_state(win, brk, [KEY], "ts", "event_id", COOLDOWN)
     excluded = win.join(st, ["_probe_id", KEY]).where(F.col("breaker_state") == "open").select("window_start", KEY)
     d = B.latency_ranking(r, "ts_dense", excluded=excluded)
     return d.select("window_start", "provider", "model", "n", "p50", "p95", "mode", F.col("rank").cast("bigint").alias("rank"))
