@@ -70,23 +70,24 @@ def _strategy_for(role: Column, field_type: str, default: str, policies) -> Colu
 def explicit_masking(leaves: DataFrame, rules: Sequence[dict], role_col: str = "role", policies=None) -> DataFrame:
     """Every rule in order; strategy resolved by role (rule strategy is
     the default); ``full`` is skipped; NULL stays NULL.  Facts:
-    (keys, path, rule_id, field_type, strategy, source, new_value)."""
+    (keys, path, rule_id, field_type, strategy, source, new_value).
+
+    One pass over the leaves: the last matching rule of each leaf (rules
+    apply in order, a later rule on the same path wins) is picked by a CASE
+    from the last rule backwards -- no union per rule, no shuffle.
+    """
     role = F.lower(F.coalesce(F.col(role_col), F.lit("")))
-    parts = []
-    for i, r in enumerate(rules):
+    pick = None
+    for i in reversed(range(len(rules))):
+        r = rules[i]
         ft = r.get("field_type", "unknown")
-        strat = _strategy_for(role, ft, r["strategy"], policies)
-        m = leaves.where(F.col("path").rlike(jsonpath_regex(r["path"]))).withColumn("strategy", strat)
-        m = m.where(F.col("strategy") != "full").select(
-            "*", F.lit(r.get("id", f"rule-{i}")).alias("rule_id"), F.lit(ft).alias("field_type"), F.lit(i).alias("_rule_ix")
+        hit = F.struct(
+            F.lit(r.get("id", f"rule-{i}")).alias("rule_id"), F.lit(ft).alias("field_type"), _strategy_for(role, ft, r["strategy"], policies).alias("strategy")
         )
-        parts.append(m)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # a later rule on the same path wins (rules apply in order)
-    w = Window.partitionBy("body_id", "path").orderBy(F.col("_rule_ix").desc())
-    out = out.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_rule_ix")
+        cond = F.col("path").rlike(jsonpath_regex(r["path"]))
+        pick = F.when(cond, hit) if pick is None else pick.when(cond, hit)
+    out = leaves.withColumn("_r", pick).where(F.col("_r").isNotNull() & (F.col("_r.strategy") != "full"))
+    out = out.select("*", "_r.rule_id", "_r.field_type", "_r.strategy").drop("_r")
     return out.withColumn("new_value", S.apply_strategy(F.col("value"), F.col("strategy"))).withColumn("source", F.lit("explicit_rule"))
 
 
@@ -234,6 +235,27 @@ def regex_missed(ner_facts: DataFrame, regex_facts: DataFrame) -> DataFrame:
     return ner_facts.join(regex_facts.select("body_id", "path"), ["body_id", "path"], "left_anti").groupBy("field_type").agg(F.count(F.lit(1)).alias("missed_by_regex"))
 
 
+def mask_bodies(
+    bodies: DataFrame,
+    rules: Sequence[dict],
+    keys: Sequence[str] = ("body_id", "role"),
+    body_col: str = "body",
+    patterns: Sequence[str] = tuple(PF.AUTO_DETECT_DEFAULT),
+    whitelist_paths: Sequence[str] = (),
+    policies=None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """J1-J4 + J9 + J10 as one job graph: the leaves table is walked once and
+    materialized (it feeds the explicit rules, the auto-detect anti-join and
+    the NER candidates), then (leaves, facts, rewritten bodies) are returned."""
+    from gatewise.operators.common import materialize
+
+    lv = materialize(json_leaves(bodies, list(keys), body_col))
+    j3 = explicit_masking(lv, rules, policies=policies)
+    j4 = auto_masking(lv, j3, patterns, whitelist_paths, policies=policies)
+    facts = masked_facts(j3, j4)
+    return lv, facts, rewrite_bodies(bodies, facts, body_col)
+
+
 def detect_entities(candidates: DataFrame, detector, schema: str = "body_id long, start int, end int, entity_type string, confidence double") -> DataFrame:
     """Run a user-supplied detector over candidate parts with
     ``mapInPandas`` (one model load per Python worker, Arrow batches).

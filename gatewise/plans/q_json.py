@@ -8,6 +8,7 @@ from gatewise.functions import pii as PF
 from gatewise.functions import strategies as S
 from gatewise.operators import jsonmask as J
 from gatewise.operators import requests as R
+from gatewise.operators.common import materialize
 from gatewise.operators.jsontree import json_leaves, sql_leaves
 from gatewise.operators.masking import DEFAULT_POLICIES
 from gatewise.plans.catalog import register
@@ -26,7 +27,7 @@ def _maskable(spark, sf):
 
 def _leaves(spark, sf):
     b = _maskable(spark, sf)
-    return json_leaves(b, ["body_id", "role"], "body")
+    return materialize(json_leaves(b, ["body_id", "role"], "body"))
 
 
 _MASKABLE_SQL = "select body_id, role, body from gw_bodies where contains(lower(content_type), 'json') and json_valid(body)"
@@ -140,7 +141,7 @@ def _candidates(spark, sf):
     lv = _leaves(spark, sf)
     j3 = _explicit(spark, sf, lv)
     facts = J.masked_facts(j3, J.auto_masking(lv, j3))
-    return lv, J.ner_candidates(lv, facts)
+    return lv, materialize(J.ner_candidates(lv, facts))
 
 
 @register(
@@ -208,10 +209,8 @@ def j8_ner_fail_closed(spark, sf):
 
 @register("j9_rewrite_bodies")
 def j9_rewrite_bodies(spark, sf):
-    lv = _leaves(spark, sf)
-    j3 = _explicit(spark, sf, lv)
-    facts = J.masked_facts(j3, J.auto_masking(lv, j3))
-    return J.rewrite_bodies(_maskable(spark, sf), facts).select("body_id", "role", "masked_body")
+    _, _, out = J.mask_bodies(_maskable(spark, sf), RULES)
+    return out.select("body_id", "role", "masked_body")
 
 
 @register("j12_j13_entity_merge_and_regex_missed")
