@@ -223,3 +223,106 @@ def j12_j13_entity_merge_and_regex_missed(spark, sf):
     j3 = _explicit(spark, sf, lv)
     regex = J.masked_facts(j3, J.auto_masking(lv, j3))
     return J.regex_missed(ner, regex)
+
+
+# ---------------------------------------------------------------- T6 masking_audit from MASK_APPLIED events
+
+
+def _mask_events(spark, sf):
+    """MASK_APPLIED audit events: one per body, field details in metadata."""
+    lv = _leaves(spark, sf)
+    j3 = _explicit(spark, sf, lv)
+    facts = J.masked_facts(j3, J.auto_masking(lv, j3))
+    b = _maskable(spark, sf)
+    per = facts.groupBy("body_id").agg(
+        F.collect_list(F.struct("path", "strategy", "rule_id", F.col("field_type").alias("pii_type"), "source")).alias("field_details")
+    )
+    ev = per.join(b.select("body_id", "role"), "body_id")
+    return ev.select(
+        F.concat(F.lit("team-"), (F.col("body_id") % 20).cast("string")).alias("consumer_id"),
+        F.lit("route-mask").alias("route_id"),
+        F.lit("MASK_APPLIED").alias("event_type"),
+        F.col("body_id").cast("string").alias("request_id"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("body_id").cast("decimal(18,6)"))).alias("timestamp"),
+        F.to_json(F.struct("role", "field_details")).alias("metadata"),
+    )
+
+
+@register(
+    "t6_masking_audit_from_events",
+    with_views(
+        """select 'team-' || cast(f.body_id % 20 as varchar) as consumer_id, coalesce(b.role, 'unknown') as consumer_role, cast(f.body_id as varchar) as request_id,
+ f.path as field_path, f.strategy as mask_strategy, f.rule_id, f.field_type as pii_type, f.source from facts f join mb b on f.body_id = b.body_id""",
+        "gw_bodies",
+        extra=_ctes() + [("j3", _j3_sql()), ("j4a", _j4_sql()), ("facts", _FACTS_SQL)],
+    ),
+)
+def t6_masking_audit_from_events(spark, sf):
+    from gatewise.sources import sinks as T
+
+    m = T.masking_audit_from_events(_mask_events(spark, sf))
+    return m.select("consumer_id", "consumer_role", "request_id", "field_path", "mask_strategy", "rule_id", "pii_type", "source")
+
+
+# ---------------------------------------------------------------- J11 entity detection with a user detector
+
+
+def capitalized_token_detector(pdf):
+    """Example detector: capitalised tokens are PERSON candidates (0.8)."""
+    import re as _re
+
+    import pandas as _pd
+
+    rows = []
+    for bid, val, start in zip(pdf["body_id"], pdf["value"], pdf["part_start"]):
+        for m in _re.finditer(r"\b[A-Z][A-Za-z0-9]+\b", val or ""):
+            rows.append((int(bid), int(start + m.start()), int(start + m.end()), "PERSON", 0.8))
+    return _pd.DataFrame(rows, columns=["body_id", "start", "end", "entity_type", "confidence"])
+
+
+@register("j11_detect_entities")
+def j11_detect_entities(spark, sf):
+    lv, c = _candidates(spark, sf)
+    ents = J.detect_entities(c, capitalized_token_detector)
+    return J.assign_entities(c, ents)
+
+
+# ---------------------------------------------------------------- A8 privacy panels
+
+
+@register(
+    "a8_masking_rate_panel",
+    with_views(
+        """select time_bucket(interval '1 minute', timestamp '2024-01-01 00:00:00' + to_seconds(body_id)) - to_minutes(k) + interval '5 minutes' as ts,
+ field_type, strategy, count(*) / 300.0 as rate from facts, range(0, 5) t(k) group by all""",
+        "gw_bodies",
+        extra=_ctes() + [("j3", _j3_sql()), ("j4a", _j4_sql()), ("facts", _FACTS_SQL)],
+    ),
+)
+def a8_masking_rate_panel(spark, sf):
+    from gatewise.operators import metrics as A
+
+    lv = _leaves(spark, sf)
+    j3 = _explicit(spark, sf, lv)
+    facts = J.masked_facts(j3, J.auto_masking(lv, j3))
+    facts = facts.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("body_id").cast("decimal(18,6)")))
+    return A.rate(facts, "ts", ["field_type", "strategy"]).select("ts", "field_type", "strategy", "rate")
+
+
+@register(
+    "a8_violations_and_skips_panel",
+    with_views(
+        """select 'violations' as panel, field_type as label, count(*) as n from (select field_type from j4a where strategy <> 'full') group by all
+ union all select 'large_body_skips', skip_reason, count(*) from (select case when not contains(lower(coalesce(content_type, '')), 'json') then 'not_json_content_type'
+  when octet_length(encode(body)) > 10485760 then 'body_too_large' when not json_valid(body) then 'invalid_json' end as skip_reason from gw_bodies) where skip_reason is not null group by all""",
+        "gw_bodies",
+        extra=_ctes() + [("j3", _j3_sql()), ("j4a", _j4_sql())],
+    ),
+)
+def a8_violations_and_skips_panel(spark, sf):
+    lv = _leaves(spark, sf)
+    j4 = J.auto_masking(lv, _explicit(spark, sf, lv))
+    v = j4.groupBy(F.col("field_type").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("panel", F.lit("violations"))
+    g = R.maskable_gate(gw_bodies(spark, sf)).where(F.col("skip_reason").isNotNull())
+    k = g.groupBy(F.col("skip_reason").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("panel", F.lit("large_body_skips"))
+    return v.unionByName(k).select("panel", "label", "n")
