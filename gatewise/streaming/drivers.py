@@ -80,3 +80,51 @@ def reassemble_stream(chunks: DataFrame, ts_col: str = "ts", idle: str = "30 sec
         F.count(F.lit(1)).alias("n_chunks"),
     )
     return g.select("stream_id", F.array_join(F.transform("_parts", lambda p: p["t"]), "").alias("content"), "n_chunks", (F.col("_d") == 1).alias("done"), (F.col("_d") == 0).alias("interrupted"))
+
+
+BREAKER_STATE_SCHEMA = "state string, failures long, opened_at double, last_fail double"
+BREAKER_OUT_SCHEMA = "key string, event_id long, ts timestamp, state string"
+
+
+def breaker_stream(outcomes: DataFrame, key: str = "provider", ts_col: str = "ts", id_col: str = "event_id", threshold: int = 3, cooldown_s: float = 30.0) -> DataFrame:
+    """B1 on a stream: keyed state (state, failures, opened_at) carried across
+    micro-batches with ``applyInPandasWithState``; each batch's rows of a key
+    are folded in (ts, id) order.  Emits the state after every outcome, the
+    same rows the batch replay gives."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def fold(k, pdfs, state):
+        if state.exists:
+            st, failures, opened, _ = state.get
+        else:
+            st, failures, opened = "closed", 0, float("nan")
+        outs = []
+        for pdf in pdfs:
+            pdf = pdf.sort_values([ts_col, id_col], kind="mergesort")
+            t = pdf[ts_col].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+            ok = pdf["success"].to_numpy(dtype=bool)
+            res = []
+            for i in range(len(pdf)):
+                if st == "open" and t[i] - opened >= cooldown_s:
+                    st = "half_open"
+                if ok[i]:
+                    if st == "half_open":
+                        st, failures = "closed", 0
+                    elif st == "closed":
+                        failures = 0
+                else:
+                    if st == "half_open":
+                        st, opened = "open", t[i]
+                    else:
+                        failures += 1
+                        if failures >= threshold:
+                            st, opened = "open", t[i]
+                res.append("open" if st == "open" else "closed")
+            outs.append(pd.DataFrame({"key": k[0], "event_id": pdf[id_col].to_numpy(), "ts": pdf[ts_col].to_numpy(), "state": res}))
+        state.update((st, int(failures), float(opened) if opened == opened else float("nan"), float("nan")))
+        yield pd.concat(outs) if outs else pd.DataFrame({"key": [], "event_id": np.array([], dtype="int64"), "ts": [], "state": []})
+
+    src = _evt(outcomes, ts_col).select(F.col(key).alias("key"), ts_col, id_col, "success")
+    return src.groupBy("key").applyInPandasWithState(fold, BREAKER_OUT_SCHEMA, BREAKER_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)

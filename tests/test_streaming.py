@@ -35,3 +35,23 @@ def test_error_buckets_stream_equals_batch(spark):
     diff = got.exceptAll(exp.select(*got.columns))
     assert diff.count() == 0
     assert got.count() >= exp.count() - 10
+
+
+def test_breaker_stream_equals_batch(spark):
+    from gatewise.operators import providers as B
+    from gatewise.sources import gw_requests
+
+    r = gw_requests(spark, SF).select("model", F.col("ts_dense").alias("ts"), "event_id", (F.col("status") < 500).alias("success"))
+    d = tempfile.mkdtemp(prefix="gw-brk-")
+    src = os.path.join(d, "in")
+    r.write.parquet(src)
+    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (
+        D.breaker_stream(stream, "model", "ts", "event_id", 2, 30.0)
+        .writeStream.outputMode("append").format("memory").queryName("brk_out")
+        .option("checkpointLocation", os.path.join(d, "ckpt")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination(180)
+    got = {(x.key, x.event_id, x.state) for x in spark.sql("select * from brk_out").collect()}
+    exp = {(x.model, x.event_id, x.state) for x in B.breaker_replay(r, ["model"], "ts", "event_id", 2, 30.0).collect()}
+    assert got == exp
