@@ -31,7 +31,16 @@ def _scalar_type(v: Column) -> Column:
     return F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.isin("NULL", "VOID"), "null").otherwise("number")
 
 
-def json_leaves(df: DataFrame, keys: Sequence[str], body_col: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def nesting_bound(df: DataFrame, body_col: str) -> int:
+    """Upper bound of JSON nesting depth over a column: the largest number of
+    opening brackets outside string literals in any body (one aggregate)."""
+    stripped = F.regexp_replace(F.col(body_col), r'"(?:[^"\\]|\\.)*"', "")
+    opens = F.length(stripped) - F.length(F.regexp_replace(stripped, r"[\[{]", ""))
+    v = df.agg(F.max(opens)).first()[0]
+    return int(v or 0)
+
+
+def json_leaves(df: DataFrame, keys: Sequence[str], body_col: str, max_depth: int = MAX_DEPTH, bound_depth: bool = True) -> DataFrame:
     """Rows (keys..., path, parent_type, value_type, value, is_string).
 
     ``value`` is the scalar rendered as text (strings unquoted, numbers as
@@ -40,6 +49,8 @@ def json_leaves(df: DataFrame, keys: Sequence[str], body_col: str, max_depth: in
     a linear chain over a single scan of the input.
     """
     keys = list(keys)
+    if bound_depth:
+        max_depth = max(0, min(max_depth, nesting_bound(df, body_col)))
     node = "struct<path:string,parent_type:string,v:variant>"
     cur = spread(df).select(*keys, F.lit("$").alias("path"), F.lit("root").alias("parent_type"), F.try_parse_json(F.col(body_col)).alias("v")).where(
         F.col("v").isNotNull()
