@@ -153,11 +153,28 @@ def shadow_sample(requests: DataFrame, pct: int = 10, key: str = "request_id", h
     return s
 
 
-def shadow_auto_disable(outcomes: DataFrame, key: str, ts_col: str = "ts", id_col: str = "id", threshold: int = 3, window_s: float = 300.0, disable_s: float = 300.0) -> DataFrame:
-    """Keyed fold; segments cut at quiet gaps > window (state resets)."""
-    seg = folds.segment_by_gap(outcomes, key, ts_col, id_col, max(window_s, disable_s))
-    inp = seg.select(F.col(key).alias("k"), "seg", F.col(ts_col).alias("ts"), F.col(id_col).alias("id"), "success")
-    res = inp.groupBy("k", "seg").applyInPandas(
+def shadow_auto_disable(
+    outcomes: DataFrame, key: str, ts_col: str = "ts", id_col: str = "id", threshold: int = 3, window_s: float = 300.0, disable_s: float = 300.0, chunk_s: int = 3600
+) -> DataFrame:
+    """Keyed fold of the shadow auto-disable rule.
+
+    Exact segmentation: an event with no failure in the preceding
+    max(window, disable) seconds starts from a fresh state (no failure chain
+    to continue, no disable period running), whatever came before.  Such
+    sync events are found with a chunked last-failure scan, segments are
+    numbered by a chunked running count and packed 512 to a group, so a busy
+    key is spread over many groups.
+    """
+    from gatewise.operators import scan as SC
+
+    memory = max(window_s, disable_s)
+    d = outcomes.withColumn("_chunk", SC.time_chunk(F.col(ts_col), chunk_s))
+    d = SC.last_values(d, [key], "_chunk", [ts_col, id_col], {"_prev_fail": F.when(~F.col("success"), F.col(ts_col))}, inclusive=False)
+    gap = F.unix_micros(F.col(ts_col).cast("timestamp")) / 1e6 - F.unix_micros(F.col("_prev_fail").cast("timestamp")) / 1e6
+    d = d.withColumn("_sync", (F.col("_prev_fail").isNull() | (gap > memory)).cast("int"))
+    d = SC.running_sums(d, [key], "_chunk", [ts_col, id_col], {"_seg": F.col("_sync")})
+    inp = d.select(F.col(key).alias("k"), F.floor(F.col("_seg") / 512).alias("pack"), F.col(ts_col).alias("ts"), F.col(id_col).alias("id"), "success")
+    res = inp.groupBy("k", "pack").applyInPandas(
         lambda pdf: folds.shadow_disable_fold(pdf, threshold, window_s, disable_s), "id long, skipped boolean, tripped boolean, fail_count long"
     )
     return outcomes.join(res.withColumnRenamed("id", id_col), id_col, "left")

@@ -148,12 +148,15 @@ def c11_shadow_sample(spark, sf):
     return C.shadow_sample(gw_requests(spark, sf), 10, "request_id", "md5", d, "ts_dense").select("request_id", "ts_dense")
 
 
+SHADOW_TIMEOUT_MS = 500
+
+
 def _shadow_outcomes(spark, sf):
+    """A shadow call fails on a 5xx or when it exceeds the shadow timeout."""
     s = gw_shadow(spark, sf)
     eid = F.substring(F.col("request_id"), 5, 20).cast("bigint")
-    return s.select(
-        "request_id", eid.alias("id"), F.concat(F.lit("route-"), (eid % 5).cast("string")).alias("route_id"), dense_ts(eid).alias("ts"), (F.col("status") < 500).alias("success")
-    )
+    ok = (F.col("status") < 500) & (F.col("latency_shadow_ms") <= SHADOW_TIMEOUT_MS)
+    return s.select("request_id", eid.alias("id"), F.concat(F.lit("route-"), (eid % 5).cast("string")).alias("route_id"), dense_ts(eid).alias("ts"), ok.alias("success"))
 
 
 @register("c12_shadow_auto_disable")

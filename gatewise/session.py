@@ -38,6 +38,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     for k, v in SCALE_CONF.items():
         b = b.config(k, v)
+    if os.environ.get("GATEWISE_SESSION_TZ"):  # robustness checks only
+        b = b.config("spark.sql.session.timeZone", os.environ["GATEWISE_SESSION_TZ"])
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark, scratch)

@@ -33,7 +33,8 @@ def _s(c: Column | str) -> Column:
 def dense_ts(event_id: Column) -> Column:
     """One row every 250 ms from 2024-01-01 (timestamp_ntz)."""
     secs = (event_id * F.lit(0.25)).cast("decimal(18,6)")
-    return F.lit(EPOCH_2024).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+    # parsed from text: a Python datetime literal would pass through the session time zone
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
 
 
 def _case(key: Column, values: list[str]) -> Column:

@@ -76,3 +76,18 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_shadow_segmentation_is_exact(spark):
+    """Segments cut at sync events give the same rows as one fold per key."""
+    from gatewise.plans import q_canary
+    from gatewise.plans.catalog import queries
+
+    sf = "/root/testdata/sf0.01"
+    got = queries()["c12_shadow_auto_disable"](spark, sf).toPandas()
+    o = q_canary._shadow_outcomes(spark, sf).toPandas()
+    exp = pd.concat([folds.shadow_disable_fold(g[["ts", "id", "success"]]) for _, g in o.groupby("route_id")]).sort_values("id")
+    got["id"] = got["request_id"].str[4:].astype("int64")
+    got = got.sort_values("id")
+    assert (exp[["skipped", "tripped", "fail_count"]].to_numpy() == got[["skipped", "tripped", "fail_count"]].to_numpy()).all()
+    assert exp.tripped.sum() > 0
