@@ -132,6 +132,7 @@ class Pattern:
     validator: Callable[[Column], Column] | None = None
     sql_validator: Callable[[str], str] | None = None
     guard: str | None = None  # substring every match contains (cheap pre-check)
+    guard_rx: str | None = None  # short regex every text with a match contains
     word_start: bool = True  # every match begins with an ASCII word character
     word_end: bool = True  # every match ends with an ASCII word character
 
@@ -142,14 +143,14 @@ class Pattern:
 
 # The eight pattern families (regex, field type, level, placeholder).
 PATTERNS: dict[str, Pattern] = {
-    "pan": Pattern("pan", r"\b([3-6]\d{12,18})\b", "pan", "L4", "[REDACTED_PAN]", luhn, sql_luhn),
+    "pan": Pattern("pan", r"\b([3-6]\d{12,18})\b", "pan", "L4", "[REDACTED_PAN]", luhn, sql_luhn, guard_rx=r"\d{11}"),
     "msisdn": Pattern("msisdn", r"(\+?90\s?5\d{2}\s?\d{3}\s?\d{2}\s?\d{2})", "phone", "L3", "[REDACTED_PHONE]", msisdn_valid, sql_msisdn, "90"),
-    "tc_kimlik": Pattern("tc_kimlik", r"\b(\d{11})\b", "national_id", "L3", "[REDACTED_NATIONAL_ID]", tc_kimlik_valid, sql_tc),
+    "tc_kimlik": Pattern("tc_kimlik", r"\b(\d{11})\b", "national_id", "L3", "[REDACTED_NATIONAL_ID]", tc_kimlik_valid, sql_tc, guard_rx=r"\d{11}"),
     "email": Pattern("email", r"\b([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})\b", "email", "L3", "[REDACTED_EMAIL]", None, None, "@", word_start=False),
     "iban_tr": Pattern("iban_tr", r"\b(TR\d{2}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{2})\b", "iban", "L3", "[REDACTED_IBAN]", iban_valid, sql_iban, "TR"),
-    "imei": Pattern("imei", r"\b(\d{15})\b", "imei", "L3", "[REDACTED_IMEI]", imei_valid, sql_imei),
-    "ip_address": Pattern("ip_address", r"\b((?:\d{1,3}\.){3}\d{1,3})\b", "ip", "L3", "[REDACTED_IP]", ip_valid, sql_ip, "."),
-    "dob": Pattern("dob", r"\b((19|20)\d{2}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01]))\b", "dob", "L3", "[REDACTED_DOB]", None, None, "-"),
+    "imei": Pattern("imei", r"\b(\d{15})\b", "imei", "L3", "[REDACTED_IMEI]", imei_valid, sql_imei, guard_rx=r"\d{11}"),
+    "ip_address": Pattern("ip_address", r"\b((?:\d{1,3}\.){3}\d{1,3})\b", "ip", "L3", "[REDACTED_IP]", ip_valid, sql_ip, ".", guard_rx=r"\d\.\d"),
+    "dob": Pattern("dob", r"\b((19|20)\d{2}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01]))\b", "dob", "L3", "[REDACTED_DOB]", None, None, "-", guard_rx=r"\d-[01]\d-[0-3]\d"),
 }
 # Fixed order when no family list is given (decision D10) and alias of D1.
 DEFAULT_ORDER = ["pan", "imei", "tc_kimlik", "iban_tr", "msisdn", "email", "ip_address", "dob"]
@@ -180,8 +181,14 @@ def resolve(names: Sequence[str] | None) -> list[Pattern]:
 
 def _family_matches(text: Column, p: Pattern, whitelist: Sequence[str] | None) -> Column:
     arr = F.regexp_extract_all(text, F.lit(p.java), 1)
+    cond = None
     if p.guard:
-        arr = F.when(F.instr(text, p.guard) > 0, arr).otherwise(F.array().cast("array<string>"))
+        cond = F.instr(text, p.guard) > 0
+    if p.guard_rx:
+        g = text.rlike(p.guard_rx)
+        cond = g if cond is None else cond & g
+    if cond is not None:
+        arr = F.when(cond, arr).otherwise(F.array().cast("array<string>"))
     if p.validator is not None:
         arr = F.filter(arr, p.validator)
     if whitelist:

@@ -260,9 +260,10 @@ def quota_decision(
 
 def reset_time(period: Column, ts: Column) -> Column:
     """Q10: next UTC midnight (daily) or first instant of next month (monthly)."""
-    day_start = F.date_trunc("day", ts)
-    return F.when(period == "daily", day_start + F.expr("INTERVAL 1 DAY")).when(
-        period == "monthly", F.add_months(F.trunc(ts.cast("date"), "month"), 1).cast("timestamp_ntz")
+    # date arithmetic, then timestamp_ntz: independent of the session time zone
+    d = F.to_date(ts)
+    return F.when(period == "daily", F.date_add(d, 1).cast("timestamp_ntz")).when(
+        period == "monthly", F.add_months(F.trunc(d, "month"), 1).cast("timestamp_ntz")
     )
 
 
