@@ -36,7 +36,7 @@ from gatewise.functions.pricing import (
     cost_expr,
     pricing_frame,
 )
-from gatewise.operators.common import bounded_broadcast
+from gatewise.operators.common import bounded_broadcast, materialize
 from gatewise.operators.scan import join_back
 
 # ---------------------------------------------------------------- Q1 / Q2
@@ -115,26 +115,32 @@ def _prefix_in_month(
     df: DataFrame, key: str, order: Sequence[str], cols: dict[str, Column], prefix: str
 ) -> DataFrame:
     """For every named value, the sum over earlier rows of the same key and
-    month, as ``{prefix}_{name}_day`` (same day) and ``{prefix}_{name}_month``.
+    day (``{prefix}_{name}_day``) and month (``{prefix}_{name}_month``).
 
-    Two-level scan: rows are ordered within (key, day); the month offset of a
-    day comes from a window over the pre-aggregated day totals.
+    Two-level scan: rows are ordered only within (key, UTC hour); the day
+    and month offsets of each hour come from windows over the pre-aggregated
+    hour totals (one row per key and hour), joined back on (key, hour).
     """
-    w_day = Window.partitionBy(key, "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df
+    out = df.withColumn("_hour", F.date_format(F.col(order[0]), "HH").cast("int"))
+    w_hr = Window.partitionBy(key, "day", "_hour").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     for name, c in cols.items():
-        out = out.withColumn(f"_v_{name}", c).withColumn(
-            f"{prefix}_{name}_day", F.coalesce(F.sum(f"_v_{name}").over(w_day), F.lit(0).cast(c_type(out, c)))
-        )
-    days = out.groupBy(key, "day", "month").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in cols])
-    w_m = Window.partitionBy(key, "month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(
-        key, "day", *[F.coalesce(F.sum(f"_t_{n}").over(w_m), F.lit(0)).alias(f"_o_{n}") for n in cols]
+        out = out.withColumn(f"_v_{name}", c).withColumn(f"_h_{name}", F.coalesce(F.sum(f"_v_{name}").over(w_hr), F.lit(0).cast(c_type(out, c))))
+    hours = out.groupBy(key, "day", "_hour", "month").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in cols])
+    w_d = Window.partitionBy(key, "day").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    w_m = Window.partitionBy(key, "month").orderBy("day", "_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select(
+        key, "day", "_hour",
+        *[F.coalesce(F.sum(f"_t_{n}").over(w_d), F.lit(0)).alias(f"_od_{n}") for n in cols],
+        *[F.coalesce(F.sum(f"_t_{n}").over(w_m), F.lit(0)).alias(f"_om_{n}") for n in cols],
     )
-    out = join_back(out, days, [key, "day"])
+    out = join_back(out, hours, [key, "day", "_hour"])
     for n in cols:
-        out = out.withColumn(f"{prefix}_{n}_month", F.col(f"_o_{n}") + F.col(f"{prefix}_{n}_day")).drop(f"_o_{n}", f"_v_{n}")
-    return out
+        out = (
+            out.withColumn(f"{prefix}_{n}_day", F.col(f"_od_{n}") + F.col(f"_h_{n}"))
+            .withColumn(f"{prefix}_{n}_month", F.col(f"_om_{n}") + F.col(f"_h_{n}"))
+            .drop(f"_od_{n}", f"_om_{n}", f"_h_{n}", f"_v_{n}")
+        )
+    return out.drop("_hour")
 
 
 def c_type(df: DataFrame, c: Column) -> str:
@@ -180,6 +186,10 @@ def quota_decision(
     monthly dollars; ``used >= limit`` is exhausted.  Output columns:
     ``allowed, reason, period, limit_value, used_value, remaining_tokens,
     remaining_dollars`` plus the usage before the request.
+
+    The three passes each read their input twice (rows and hour totals), so
+    the output of passes 1 and 2 is checkpointed to the shared checkpoint
+    folder: the plan stays linear in the number of passes.
     """
     order = [ts_col, id_col]
     big = 1 << 62
@@ -188,10 +198,9 @@ def quota_decision(
     lusd = F.lit(str(monthly_dollars) if monthly_dollars is not None else "1e15").cast("decimal(22,6)")
 
     df = _day_month(requests, ts_col)
-    w_day = Window.partitionBy(key, "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     # 1. admitted under the daily limit alone (prefix of the day)
-    df = df.withColumn("_d0", F.coalesce(F.sum("usage_tokens").over(w_day), F.lit(0).cast("bigint")))
-    df = df.withColumn("_a_d", F.col("_d0") < ld)
+    df = _prefix_in_month(df, key, order, {"tok": F.col("usage_tokens")}, "_p0").withColumnRenamed("_p0_tok_day", "_d0").drop("_p0_tok_month")
+    df = materialize(df.withColumn("_a_d", F.col("_d0") < ld))
     # 2. month prefix of usage admitted by the daily rule
     df = _prefix_in_month(
         df,
@@ -203,7 +212,7 @@ def quota_decision(
         },
         "_m1",
     )
-    df = df.withColumn("allowed", F.col("_a_d") & (F.col("_m1_tok_month") < lm) & (F.col("_m1_usd_month") < lusd))
+    df = materialize(df.withColumn("allowed", F.col("_a_d") & (F.col("_m1_tok_month") < lm) & (F.col("_m1_usd_month") < lusd)))
     # 3. true usage before each request = prefix of admitted usage
     df = _prefix_in_month(
         df,
