@@ -37,14 +37,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage between stages of a multi-pass operator.
 
-    Writes ``df`` once to the shared ``spark.checkpoint.dir`` (reliable
-    checkpoint, survives executor loss) so later passes that read it twice --
-    the rows and their chunk summary -- do not recompute its upstream.
+    Writes ``df`` once as parquet to a fresh folder under the shared
+    ``spark.checkpoint.dir`` and reads it back.  Later passes that read it
+    twice (rows and their chunk summary) do not recompute its upstream, the
+    read-back is column-pruned, and the files survive executor loss.  (An
+    eager ``checkpoint()`` would compute the plan twice: once to count, once
+    to write.)
     """
+    import uuid
+
     from gatewise.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/stages/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -123,7 +123,10 @@ dec as (select *, case when du >= {DAILY_LIMIT} then 'daily_token_quota_exceeded
 
 
 def _decisions(spark, sf):
-    return Q.quota_decision(_usage(spark, sf), DAILY_LIMIT, MONTHLY_LIMIT, MONTHLY_DOLLARS)
+    # project first: the operator checkpoints between passes, and a
+    # checkpoint materializes every column it is given
+    u = _usage(spark, sf).select("event_id", "consumer_id", "ts", "usage_tokens", "usage_cost")
+    return Q.quota_decision(u, DAILY_LIMIT, MONTHLY_LIMIT, MONTHLY_DOLLARS)
 
 
 @register(
