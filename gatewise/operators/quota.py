@@ -279,27 +279,6 @@ def reset_time(period: Column, ts: Column) -> Column:
 # ---------------------------------------------------------------- Q6 overage
 
 
-def _throttle_fold(pdf: pd.DataFrame, window_s: float = 60.0) -> pd.DataFrame:
-    """Greedy per segment: admit when 60 s have passed since the last admit."""
-    pdf = pdf.sort_values(["ts", "id"], kind="mergesort")
-    t = pdf["ts"].astype("int64").to_numpy() / 1e6  # microseconds -> seconds
-    ex = pdf["exhausted"].to_numpy(dtype=bool)
-    allow = np.ones(len(pdf), dtype=bool)
-    retry = np.full(len(pdf), -1, dtype=np.int64)
-    last = None
-    for i in range(len(pdf)):
-        if not ex[i]:
-            continue
-        if last is not None and t[i] - last < window_s:
-            allow[i] = False
-            retry[i] = int(np.ceil(window_s - (t[i] - last)))
-        else:
-            last = t[i]
-    ra = pd.array(np.where(retry >= 0, retry, 0), dtype="Int64")
-    ra[retry < 0] = pd.NA
-    return pd.DataFrame({"id": pdf["id"].to_numpy(), "throttle_allowed": allow, "retry_after": ra})
-
-
 def overage(
     decisions: DataFrame,
     policy: str = "block",
@@ -328,17 +307,13 @@ def overage(
         ).withColumn("retry_after", F.lit(None).cast("bigint"))
     if policy != "throttle":
         raise ValueError(policy)
-    ex = base.where(F.col("exhausted")).select(F.col(key).alias("k"), F.col(ts_col).alias("ts"), F.col(id_col).alias("id"), "exhausted")
-    # state of the greedy rule resets after a quiet gap of >= throttle_s: split there
-    w = Window.partitionBy("k").orderBy("ts", "id")
-    gap = (F.col("ts").cast("timestamp").cast("double") - F.lag(F.col("ts").cast("timestamp").cast("double")).over(w)) >= throttle_s
-    ex = ex.withColumn("seg", F.sum(F.when(gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # independent segments are packed 512 to a group: the greedy rule admits
-    # the first request after any >= 60 s gap, so one sequential pass over
-    # consecutive segments is exact and avoids one Python call per segment
-    ex = ex.withColumn("seg", F.floor(F.col("seg") / 512))
-    folded = ex.groupBy("k", "seg").applyInPandas(
-        lambda pdf: _throttle_fold(pdf, float(throttle_s)), "id long, throttle_allowed boolean, retry_after long"
+    # greedy keyed rule (one admitted request per window): exact, with
+    # bounded pandas groups and pointer jumping for keys that never pause
+    from gatewise.operators.spacing import greedy_spacing
+
+    ex = base.where(F.col("exhausted")).select(key, ts_col, id_col)
+    folded = greedy_spacing(ex, key, ts_col, id_col, float(throttle_s)).select(
+        F.col(id_col).alias("id"), F.col("admitted").alias("throttle_allowed"), "retry_after"
     )
     out = base.join(folded.withColumnRenamed("id", id_col), id_col, "left")
     return (

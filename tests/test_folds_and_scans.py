@@ -91,3 +91,29 @@ def test_shadow_segmentation_is_exact(spark):
     got = got.sort_values("id")
     assert (exp[["skipped", "tripped", "fail_count"]].to_numpy() == got[["skipped", "tripped", "fail_count"]].to_numpy()).all()
     assert exp.tripped.sum() > 0
+
+
+def test_greedy_spacing_exact_both_routes(spark):
+    """Bounded-group fold and pointer jumping both equal the sequential rule."""
+    from gatewise.operators.spacing import greedy_spacing
+
+    rnd = random.Random(3)
+    rows = []
+    for k in ["a", "b", "c"]:
+        t = 0.0
+        for _ in range(300):
+            t += rnd.choice([1, 3, 7, 13, 29, 61, 90]) if k != "c" else rnd.choice([1, 2, 5, 11, 20, 40])
+            rows.append((k, t, len(rows)))
+    exp = {}
+    for k in "abc":
+        last = None
+        for _, t, i in [r for r in rows if r[0] == k]:
+            ok = last is None or t - last >= 60
+            exp[i] = ok
+            last = t if ok else last
+    df = spark.createDataFrame(rows, "k string, t double, id long").withColumn(
+        "ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("t").cast("decimal(18,6)"))
+    )
+    for max_rows in (1_000_000, 5):
+        got = {r.id: r.admitted for r in greedy_spacing(df, "k", "ts", "id", 60.0, max_group_rows=max_rows, chunk_s=300).collect()}
+        assert got == exp
