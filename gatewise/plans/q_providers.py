@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatewise.operators import providers as B
-from gatewise.operators import quota as Q
 from gatewise.operators.common import materialize
 from gatewise.plans.catalog import register
 from gatewise.plans.oracle_views import with_views
