@@ -23,6 +23,27 @@ SCALE_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, executor_cores: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Partition sizing for a cluster run over ``input_bytes`` of parquet.
+
+    Splits and shuffle partitions target ~256 MiB so a task's working set
+    fits executor memory with room for sort buffers; shuffle partitions are
+    at least 3 x total cores so every wave keeps all cores busy, and AQE
+    coalesces small ones and splits skewed ones at run time.  At 100 TB this
+    gives ~400k input splits and ~400k initial shuffle partitions, coalesced
+    by AQE to the advisory size.
+    """
+    parts = max(3 * executor_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        **SCALE_CONF,
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "gatewise") -> SparkSession:
     """A local session for tests and benchmarks (UI off, UTC, AQE on)."""
     scratch = tempfile.mkdtemp(prefix="gatewise-")

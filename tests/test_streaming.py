@@ -55,3 +55,23 @@ def test_breaker_stream_equals_batch(spark):
     got = {(x.key, x.event_id, x.state) for x in spark.sql("select * from brk_out").collect()}
     exp = {(x.model, x.event_id, x.state) for x in B.breaker_replay(r, ["model"], "ts", "event_id", 2, 30.0).collect()}
     assert got == exp
+
+
+def test_audit_drain_stream(spark):
+    from gatewise.sources import sinks as T
+
+    d = tempfile.mkdtemp(prefix="gw-audit-")
+    raw = os.path.join(d, "raw")
+    os.makedirs(raw)
+    good = '{"id":"1","consumer_id":"c1","route_id":"r1","event_type":"QUOTA_EXCEEDED","action_taken":"BLOCKED","request_id":"q1","timestamp":"2024-01-01T00:00:01.000000"}'
+    lines = [good, good, '{"id":"2","consumer_id":"c1","event_type":"NOT_AN_EVENT","timestamp":"2024-01-01T00:00:02.000000"}', '{"trunc']
+    with open(os.path.join(raw, "part-0.json"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    table, dead = os.path.join(d, "audit"), os.path.join(d, "dead")
+    q = D.audit_drain_stream(spark, raw, table, dead, name=f"audit-{os.path.basename(d)}", trigger={"availableNow": True})
+    q.awaitTermination(120)
+    got = spark.read.parquet(table)
+    assert got.count() == 1 and got.first().event_type == "QUOTA_EXCEEDED" and "month" in got.columns
+    reasons = sorted(r.reason for r in spark.read.parquet(dead).collect())
+    assert reasons == ["bad_event_type", "unparseable"]
+    assert T.EVENT_TYPES[2] == "QUOTA_EXCEEDED"
