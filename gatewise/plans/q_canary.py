@@ -159,7 +159,28 @@ def _shadow_outcomes(spark, sf):
     return s.select("request_id", eid.alias("id"), F.concat(F.lit("route-"), (eid % 5).cast("string")).alias("route_id"), dense_ts(eid).alias("ts"), ok.alias("success"))
 
 
-@register("c12_shadow_auto_disable")
+_C12_SQL = """WITH RECURSIVE o as (select request_id, cast(substr(request_id, 5) as bigint) as id, 'route-' || cast(cast(substr(request_id, 5) as bigint) % 5 as varchar) as route_id,
+  timestamp '2024-01-01 00:00:00' + to_milliseconds(cast(substr(request_id, 5) as bigint) * 250) as ts,
+  status < 500 and latency_shadow_ms <= 500 as success from gw_shadow),
+ e as (select *, epoch(ts) as t, row_number() over (partition by route_id order by ts, id) as rn from o),
+ rec as (
+  select route_id, rn, request_id, t, case when success then 0 else 1 end as fails, case when success then null else t end as last_fail,
+   null::double as until, false as skipped, false as tripped from e where rn = 1
+  union all
+  select x.route_id, x.rn, x.request_id, x.t,
+   case when r.until is not null and x.t < r.until then r.fails when x.success then 0
+    when (case when r.last_fail is not null and x.t - r.last_fail <= 300 then r.fails else 0 end) + 1 >= 3 then 0
+    else (case when r.last_fail is not null and x.t - r.last_fail <= 300 then r.fails else 0 end) + 1 end,
+   case when r.until is not null and x.t < r.until then r.last_fail when x.success then r.last_fail else x.t end,
+   case when r.until is not null and x.t < r.until then r.until
+    when not x.success and (case when r.last_fail is not null and x.t - r.last_fail <= 300 then r.fails else 0 end) + 1 >= 3 then x.t + 300 else r.until end,
+   r.until is not null and x.t < r.until,
+   not (r.until is not null and x.t < r.until) and not x.success and (case when r.last_fail is not null and x.t - r.last_fail <= 300 then r.fails else 0 end) + 1 >= 3
+  from rec r join e x on x.route_id = r.route_id and x.rn = r.rn + 1)
+select o.request_id, o.route_id, o.ts, o.success, r.skipped, r.tripped, cast(r.fails as bigint) as fail_count from o join rec r on o.request_id = r.request_id"""
+
+
+@register("c12_shadow_auto_disable", "WITH RECURSIVE " + with_views("with " + _C12_SQL[len("WITH RECURSIVE ") :], "gw_shadow")[len("WITH ") :])
 def c12_shadow_auto_disable(spark, sf):
     return C.shadow_auto_disable(_shadow_outcomes(spark, sf), "route_id").select("request_id", "route_id", "ts", "success", "skipped", "tripped", "fail_count")
 

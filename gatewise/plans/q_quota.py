@@ -209,7 +209,29 @@ def q6_overage_block(spark, sf):
     return d.select("event_id", "final_allowed", "overage_status", "resets_at")
 
 
-@register("q6_overage_throttle")
+_THROTTLE_SQL = """, ex as (select consumer_id, ts, event_id, row_number() over (partition by consumer_id order by ts, event_id) as rn from dec where reason is not null),
+ rec as (
+  select consumer_id, rn, event_id, ts, ts as last_ok, true as ok, null::bigint as retry from ex where rn = 1
+  union all
+  select e.consumer_id, e.rn, e.event_id, e.ts,
+   case when epoch(e.ts) - epoch(r.last_ok) >= 60 then e.ts else r.last_ok end,
+   epoch(e.ts) - epoch(r.last_ok) >= 60,
+   case when epoch(e.ts) - epoch(r.last_ok) >= 60 then null else cast(ceil(60 - (epoch(e.ts) - epoch(r.last_ok))) as bigint) end
+  from rec r join ex e on e.consumer_id = r.consumer_id and e.rn = r.rn + 1)"""
+
+
+@register(
+    "q6_overage_throttle",
+    "WITH RECURSIVE "
+    + with_views(
+        """select d.event_id, d.consumer_id, d.ts, d.reason is not null as exhausted, coalesce(r.ok, true) as final_allowed,
+ case when r.ok = false then 429 end as overage_status, r.retry as retry_after
+ from dec d left join rec r on d.event_id = r.event_id""",
+        "gw_requests",
+        extra=PRICED + [("usage", USAGE)],
+        raw=_DECISION_SQL + _THROTTLE_SQL,
+    )[len("WITH ") :],
+)
 def q6_overage_throttle(spark, sf):
     d = Q.overage(_decisions(spark, sf), "throttle")
     return d.select("event_id", "consumer_id", "ts", "exhausted", "final_allowed", "overage_status", "retry_after")
