@@ -117,17 +117,54 @@ def _replay(spark, sf):
     return C.stage_replay(_verdicts(spark, sf))
 
 
-@register("c7_stage_replay")
+from gatewise.operators.folds import DEFAULT_SCHEDULE as _SCHED  # noqa: E402
+
+_PCTS = "[" + ", ".join(str(p) for p, _ in _SCHED) + "]"
+_HOLDS = "[" + ", ".join(str(h) for _, h in _SCHED) + "]"
+_N = len(_SCHED)
+_ADV = f"(st like 'STAGE%' and x.t - started >= {_HOLDS}[stage + 1] and x.verdict = 'ok' and x.ctot >= 10)"
+_NEXT_IS_STAGE = f"(stage + 1 < {_N} and {_PCTS}[stage + 2] < 100)"
+_BEFF = "(case when b is not null and x.t - b > 300 then null else b end)"
+
+_C7_SQL = f"""WITH RECURSIVE ticks as (select route_id, bucket_start + interval '10 seconds' as ts, epoch(bucket_start) + 10 as t, verdict, canary_total as ctot,
+  row_number() over (partition by route_id order by bucket_start) as rn from c5),
+ rec as (
+  select route_id, 0::bigint as rn, null::timestamp as ts, null::varchar as verdict, 0 as stage, 'STAGE_1' as st, t as started, null::double as b, null::varchar as ev
+  from ticks where rn = 1
+  union all
+  select x.route_id, x.rn, x.ts, x.verdict,
+   case when st in ('PROMOTED', 'ROLLED_BACK') or x.verdict in ('baseline_unhealthy', 'breach') then stage
+    when {_ADV} then (case when {_NEXT_IS_STAGE} then stage + 1 else {_N - 1} end) else stage end,
+   case when st in ('PROMOTED', 'ROLLED_BACK') or x.verdict = 'baseline_unhealthy' then st
+    when x.verdict = 'breach' then (case when {_BEFF} is null then (case when st like 'STAGE%' then 'PAUSED' else st end)
+      when x.t - {_BEFF} >= 60 then 'ROLLED_BACK' else st end)
+    when {_ADV} then (case when {_NEXT_IS_STAGE} then 'STAGE_' || cast(stage + 2 as varchar) else 'PROMOTED' end) else st end,
+   case when st in ('PROMOTED', 'ROLLED_BACK') or x.verdict in ('baseline_unhealthy', 'breach') then started when {_ADV} then x.t else started end,
+   case when st in ('PROMOTED', 'ROLLED_BACK') or x.verdict = 'baseline_unhealthy' then b
+    when x.verdict = 'breach' then (case when {_BEFF} is null then x.t when x.t - {_BEFF} >= 60 then null else {_BEFF} end) else null end,
+   case when st in ('PROMOTED', 'ROLLED_BACK') then null when x.verdict = 'baseline_unhealthy' then 'baseline_unhealthy'
+    when x.verdict = 'breach' then (case when {_BEFF} is null then (case when st like 'STAGE%' then 'paused_breach' end) when x.t - {_BEFF} >= 60 then 'rolled_back' end)
+    when {_ADV} then (case when {_NEXT_IS_STAGE} then 'advanced' else 'promoted' end) end
+  from rec r join ticks x on x.route_id = r.route_id and x.rn = r.rn + 1)
+select route_id, ts, verdict, st as state, case when st = 'ROLLED_BACK' then 0 when st = 'PROMOTED' then 100 else {_PCTS}[stage + 1] end as traffic_pct,
+ stage + 1 as stage, ev as event from rec where rn >= 1"""
+
+_C7_ORACLE = "WITH RECURSIVE " + with_views("with " + _C7_SQL[len("WITH RECURSIVE ") :], "gw_canary", extra=[("c3", _C3_SQL), ("c4", _C4_SQL), ("c5", _C5_SQL)])[len("WITH ") :]
+
+
+@register("c7_stage_replay", _C7_ORACLE)
 def c7_stage_replay(spark, sf):
-    return _replay(spark, sf)
+    r = _replay(spark, sf)
+    return r.select("route_id", "ts", "verdict", "state", F.col("traffic_pct").cast("int").alias("traffic_pct"), F.col("stage").cast("int").alias("stage"), "event")
 
 
-@register("c8_stage_timeline")
+@register("c8_stage_timeline", "WITH RECURSIVE " + with_views("with " + _C7_SQL[len("WITH RECURSIVE ") :].replace("\nselect route_id, ts, verdict, st as state", ", rp as (select route_id, ts, verdict, st as state") + ")" + '\nselect route_id, traffic_pct, state, ts as start_ts, lead(ts) over (partition by route_id order by ts) as end_ts,\n cast(epoch(lead(ts) over (partition by route_id order by ts)) - epoch(ts) as bigint) as duration_s\n from (select *, lag(traffic_pct) over (partition by route_id order by ts) as prev from rp) where prev is null or prev <> traffic_pct', "gw_canary", extra=[("c3", _C3_SQL), ("c4", _C4_SQL), ("c5", _C5_SQL)])[len("WITH ") :])
 def c8_stage_timeline(spark, sf):
-    return C.stage_timeline(_replay(spark, sf))
+    t = C.stage_timeline(_replay(spark, sf))
+    return t.select("route_id", F.col("traffic_pct").cast("int").alias("traffic_pct"), "state", "start_ts", "end_ts", F.col("duration_s").cast("bigint").alias("duration_s"))
 
 
-@register("c9_rollback_events")
+@register("c9_rollback_events", "WITH RECURSIVE " + with_views("with " + _C7_SQL[len("WITH RECURSIVE ") :].replace("\nselect route_id, ts, verdict, st as state", ", rp as (select route_id, ts, verdict, st as state") + ")" + "\nselect route_id, ts, event, 'CANARY_ROLLBACK' as event_type, 'ROLLED_BACK' as action_taken,\n json_object('type', 'aria_canary_rollback', 'route_id', route_id, 'reason', event, 'timestamp', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'))::varchar as notification\n from rp where event like 'rolled_back%'", "gw_canary", extra=[("c3", _C3_SQL), ("c4", _C4_SQL), ("c5", _C5_SQL)])[len("WITH ") :])
 def c9_rollback_events(spark, sf):
     return C.rollback_events(_replay(spark, sf))
 
@@ -274,6 +311,8 @@ def c17_diff_report(spark, sf):
     return C.diff_report(d)
 
 
-@register("c18_canary_status")
+@register("c18_canary_status", "WITH RECURSIVE " + with_views("with " + _C7_SQL[len("WITH RECURSIVE ") :].replace("\nselect route_id, ts, verdict, st as state", ", rp as (select route_id, ts, verdict, st as state") + ")" + '\nselect s.route_id, s.ts, s.state, s.traffic_pct, s.stage, v.canary_rate, v.baseline_rate, v.canary_total, v.baseline_total\n from (select route_id, arg_max(ts, ts) as ts, arg_max(state, ts) as state, arg_max(traffic_pct, ts) as traffic_pct, arg_max(stage, ts) as stage from rp group by route_id) s\n join (select route_id, arg_max(canary_rate, bucket_start) as canary_rate, arg_max(baseline_rate, bucket_start) as baseline_rate,\n  arg_max(canary_total, bucket_start) as canary_total, arg_max(baseline_total, bucket_start) as baseline_total from c5 group by route_id) v on s.route_id = v.route_id', "gw_canary", extra=[("c3", _C3_SQL), ("c4", _C4_SQL), ("c5", _C5_SQL)])[len("WITH ") :])
 def c18_canary_status(spark, sf):
-    return C.canary_status(_replay(spark, sf), _verdicts(spark, sf))
+    st = C.canary_status(_replay(spark, sf), _verdicts(spark, sf))
+    return st.select("route_id", "ts", "state", F.col("traffic_pct").cast("int").alias("traffic_pct"), F.col("stage").cast("int").alias("stage"),
+                     "canary_rate", "baseline_rate", F.col("canary_total").cast("bigint").alias("canary_total"), F.col("baseline_total").cast("bigint").alias("baseline_total"))
