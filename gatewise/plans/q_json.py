@@ -213,7 +213,19 @@ def j9_rewrite_bodies(spark, sf):
     return out.select("body_id", "role", "masked_body")
 
 
-@register("j12_j13_entity_merge_and_regex_missed")
+@register(
+    "j12_j13_entity_merge_and_regex_missed",
+    with_views(
+        f"""select entity_type as field_type, count(*) as missed_by_regex from (
+ select *, row_number() over (partition by body_id, path order by confidence desc, start) as rn from (
+  {_J6_SQL.replace("from ents", "from merged")})) where rn = 1 group by entity_type""",
+        "gw_bodies",
+        extra=_ctes()
+        + [("j3", _j3_sql()), ("j4a", _j4_sql()), ("facts", _FACTS_SQL), ("j5", _J5_SQL), ("ents", _ENT_SQL),
+           ("ents_both", "select * from ents union all select body_id, start, \"end\", entity_type, confidence - 0.05 from ents"),
+           ("merged", "select body_id, start, \"end\", entity_type, confidence from (select *, row_number() over (partition by body_id, start, \"end\", entity_type order by confidence desc) as rn from ents_both where confidence >= 0.7) where rn = 1")],
+    ),
+)
 def j12_j13_entity_merge_and_regex_missed(spark, sf):
     lv, c = _candidates(spark, sf)
     e1 = _entities(c)

@@ -380,7 +380,19 @@ def q13_chargeback_top10(spark, sf):
     return d.select("consumer_id", "spend_usd", "requests", "share", F.col("spend_rank").cast("bigint").alias("spend_rank"))
 
 
-@register("q14_token_estimate_accuracy")
+def _q14_sql() -> str:
+    from gatewise.plans.q_llm import _U2_SQL
+
+    return with_views(
+        """with x as (select coalesce(model, 'unknown') as model, cast(ceil(len(regexp_extract_all(coalesce(content, ''), '\\S+')) * 1.3) as bigint) as est,
+  completion_tokens as act from (""" + _U2_SQL + """) where completion_tokens > 0)
+ select model, count(*) as n, quantile_disc(abs(est - act) / act, 0.5) as p50_rel_error, quantile_disc(abs(est - act) / act, 0.95) as p95_rel_error,
+  avg(case when abs(est - act) / act <= 0.2 then 1.0 else 0.0 end) as share_within_20pct from x group by model""",
+        "gw_payloads",
+    )
+
+
+@register("q14_token_estimate_accuracy", _q14_sql())
 def q14_token_estimate_accuracy(spark, sf):
     from gatewise.functions import llm as L
     from gatewise.sources import gw_payloads
