@@ -84,7 +84,10 @@ def ship_package(spark: SparkSession) -> None:
     if id(sc) in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="gatewise-pkg-"), "gatewise.zip")
+    # built next to the code it packages (the driver's copy of the library)
+    dist = os.path.join(os.path.dirname(pkg), ".dist")
+    os.makedirs(dist, exist_ok=True)
+    out = os.path.join(dist, f"gatewise-{os.getpid()}.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
             for f in files:
