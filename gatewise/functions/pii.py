@@ -226,7 +226,7 @@ def first_family(text: Column, patterns: Sequence[str] | None = None) -> Column:
     Early exit per field: ``coalesce`` of per-family first matches, no explode.
     """
     firsts = [F.try_element_at(_family_matches(F.coalesce(text, F.lit("")), p, None), F.lit(1)) for p in resolve(patterns)]
-    return F.coalesce(*firsts) if firsts else F.lit(None)
+    return F.coalesce(*firsts) if firsts else F.lit(None).cast(MATCH_TYPE[len("array<") : -1])
 
 
 # ----------------------------------------------------------------- DuckDB scan text

@@ -113,6 +113,7 @@ def auto_masking(
         s = _strategy_for(role, ft, "mask", policies)
         s = F.when(s == "mask", F.lit(MASK_BY_TYPE.get(ft, "redact"))).otherwise(s)
         strat = F.when(F.col("_m.field_type") == ft, s) if strat is None else strat.when(F.col("_m.field_type") == ft, s)
+    strat = F.lit(None).cast("string") if strat is None else strat
     d = d.withColumn("strategy", strat).withColumn("field_type", F.col("_m.field_type")).withColumn("pii_type", F.col("_m.pii_type"))
     d = d.where(F.col("strategy") != "full")
     return d.withColumn("new_value", S.apply_strategy(F.col("value"), F.col("strategy"))).withColumn("rule_id", F.lit("auto")).withColumn(
