@@ -88,6 +88,45 @@ def health_verdict(
     return j.withColumn("delta_pp", delta).withColumn("verdict", verdict)
 
 
+def verdicts_from_traffic(
+    df: DataFrame,
+    ts_col: str = "ts_dense",
+    window_seconds: int = 60,
+    threshold_pp: float = 2.0,
+    min_requests: int = 10,
+    baseline_max: float = 0.10,
+    key: str = "route_id",
+    bucket_s: int = BUCKET_S,
+) -> DataFrame:
+    """C3 -> C5 in one pass: 10-second buckets per route with canary and
+    baseline counts side by side (conditional sums, one shuffle), then one
+    rolling range window per route for both versions -- no per-version
+    windows and no full outer join.  Same rows as ``health_verdict``."""
+    is_c = F.col("version") == "canary"
+    is_err = F.col("status") >= 500
+    b = df.groupBy(key, F.window(ts_col, f"{bucket_s} seconds").alias("w")).agg(
+        F.sum(is_c.cast("int")).alias("c_n"), F.sum((is_c & is_err).cast("int")).alias("c_e"),
+        F.sum((~is_c).cast("int")).alias("b_n"), F.sum((~is_c & is_err).cast("int")).alias("b_e"),
+    ).select(key, F.col("w.start").alias("bucket_start"), "c_n", "c_e", "b_n", "b_e")
+    n = max(window_seconds // bucket_s, 1)
+    epoch = F.unix_timestamp(F.col("bucket_start").cast("timestamp"))
+    w = Window.partitionBy(key).orderBy(epoch).rangeBetween(-(n - 1) * bucket_s, 0)
+    r = b.select(key, "bucket_start", *[F.sum(c).over(w).alias(c) for c in ("c_n", "c_e", "b_n", "b_e")])
+    rate = lambda e, t: F.when(F.col(t) > 0, F.col(e) / F.col(t)).otherwise(F.lit(0.0))
+    r = r.select(
+        key, "bucket_start", F.col("c_n").alias("canary_total"), F.col("b_n").alias("baseline_total"),
+        rate("c_e", "c_n").alias("canary_rate"), rate("b_e", "b_n").alias("baseline_rate"),
+    )
+    delta = (F.col("canary_rate") - F.col("baseline_rate")) * 100
+    verdict = (
+        F.when(F.col("baseline_rate") > baseline_max, "baseline_unhealthy")
+        .when((F.col("canary_total") >= min_requests) & (delta > threshold_pp), "breach")
+        .when(F.col("canary_total") < min_requests, "insufficient")
+        .otherwise("ok")
+    )
+    return r.withColumn("delta_pp", delta).withColumn("verdict", verdict)
+
+
 def latency_guard(df: DataFrame, window: str = "60 seconds", ratio: float = 1.5, min_requests: int = 50, ts_col: str = "ts_dense", key: str = "route_id") -> DataFrame:
     """Canary p95 > baseline p95 x 1.5 with >= 50 requests each -> pause."""
     g = df.groupBy(key, F.window(ts_col, window).alias("w"), "version").agg(

@@ -76,19 +76,21 @@ def c4_error_rate(spark, sf):
     return r.select("route_id", "version", "bucket_start", "total", "errors", F.col("win_total").cast("bigint").alias("win_total"), F.col("win_errors").cast("bigint").alias("win_errors"), "error_rate")
 
 
-_C5_SQL = """select coalesce(c.route_id, b.route_id) as route_id, coalesce(c.bucket_start, b.bucket_start) as bucket_start,
- coalesce(c.win_total, 0) as canary_total, coalesce(b.win_total, 0) as baseline_total,
- coalesce(c.error_rate, 0.0) as canary_rate, coalesce(b.error_rate, 0.0) as baseline_rate,
- (coalesce(c.error_rate, 0.0) - coalesce(b.error_rate, 0.0)) * 100 as delta_pp,
- case when coalesce(b.error_rate, 0.0) > 0.10 then 'baseline_unhealthy'
-  when coalesce(c.win_total, 0) >= 10 and (coalesce(c.error_rate, 0.0) - coalesce(b.error_rate, 0.0)) * 100 > 2.0 then 'breach'
-  when coalesce(c.win_total, 0) < 10 then 'insufficient' else 'ok' end as verdict
- from (select * from c4 where version = 'canary') c full outer join (select * from c4 where version = 'baseline') b
- on c.route_id = b.route_id and c.bucket_start = b.bucket_start"""
+_C5_SQL = """with vb as (select route_id, time_bucket(interval '10 seconds', ts_dense) as bucket_start,
+  sum(case when version = 'canary' then 1 else 0 end) as c_n, sum(case when version = 'canary' and status >= 500 then 1 else 0 end) as c_e,
+  sum(case when version <> 'canary' then 1 else 0 end) as b_n, sum(case when version <> 'canary' and status >= 500 then 1 else 0 end) as b_e
+  from gw_canary group by all),
+ vr as (select route_id, bucket_start, sum(c_n) over w as c_n, sum(c_e) over w as c_e, sum(b_n) over w as b_n, sum(b_e) over w as b_e from vb
+  window w as (partition by route_id order by cast(epoch(bucket_start) as bigint) range between 50 preceding and current row)),
+ vx as (select route_id, bucket_start, cast(c_n as bigint) as canary_total, cast(b_n as bigint) as baseline_total,
+  case when c_n > 0 then c_e / c_n else 0.0 end as canary_rate, case when b_n > 0 then b_e / b_n else 0.0 end as baseline_rate from vr)
+select *, (canary_rate - baseline_rate) * 100 as delta_pp,
+ case when baseline_rate > 0.10 then 'baseline_unhealthy' when canary_total >= 10 and (canary_rate - baseline_rate) * 100 > 2.0 then 'breach'
+  when canary_total < 10 then 'insufficient' else 'ok' end as verdict from vx"""
 
 
 def _verdicts(spark, sf):
-    return C.health_verdict(_rates(spark, sf))
+    return C.verdicts_from_traffic(gw_canary(spark, sf))
 
 
 @register("c5_health_verdict", with_views(_C5_SQL, "gw_canary", extra=[("c3", _C3_SQL), ("c4", _C4_SQL)]))

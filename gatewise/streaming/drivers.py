@@ -128,3 +128,32 @@ def breaker_stream(outcomes: DataFrame, key: str = "provider", ts_col: str = "ts
 
     src = _evt(outcomes, ts_col).select(F.col(key).alias("key"), ts_col, id_col, "success")
     return src.groupBy("key").applyInPandasWithState(fold, BREAKER_OUT_SCHEMA, BREAKER_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def verdict_stream(traffic: DataFrame, ts_col: str = "ts", watermark: str = "2 minutes", threshold_pp: float = 2.0, min_requests: int = 10, baseline_max: float = 0.10) -> DataFrame:
+    """C3-C5 on a stream: one sliding-window aggregation (60 s every 10 s)
+    with canary and baseline counts side by side, then the verdict.  The row
+    for window [s, s+60) equals the batch verdict of bucket s+50."""
+    is_c = F.col("version") == "canary"
+    is_err = F.col("status") >= 500
+    g = (
+        _evt(traffic, ts_col).withWatermark(ts_col, watermark)
+        .groupBy(F.window(ts_col, "60 seconds", "10 seconds").alias("w"), "route_id")
+        .agg(
+            F.sum(is_c.cast("int")).alias("canary_total"), F.sum((is_c & is_err).cast("int")).alias("c_e"),
+            F.sum((~is_c).cast("int")).alias("baseline_total"), F.sum((~is_c & is_err).cast("int")).alias("b_e"),
+        )
+    )
+    cr = F.when(F.col("canary_total") > 0, F.col("c_e") / F.col("canary_total")).otherwise(F.lit(0.0))
+    br = F.when(F.col("baseline_total") > 0, F.col("b_e") / F.col("baseline_total")).otherwise(F.lit(0.0))
+    delta = (cr - br) * 100
+    verdict = (
+        F.when(br > baseline_max, "baseline_unhealthy")
+        .when((F.col("canary_total") >= min_requests) & (delta > threshold_pp), "breach")
+        .when(F.col("canary_total") < min_requests, "insufficient")
+        .otherwise("ok")
+    )
+    return g.select(
+        "route_id", (F.col("w.end") - F.expr("INTERVAL 10 SECONDS")).alias("bucket_start"), "canary_total", "baseline_total",
+        cr.alias("canary_rate"), br.alias("baseline_rate"), verdict.alias("verdict"),
+    )
