@@ -308,13 +308,16 @@ def c16_diff_choice(spark, sf):
 )
 def c17_diff_report(spark, sf):
     p, s = _pairs(spark, sf)
-    d = C.basic_diff(p, s).join(_structural(spark, sf), "request_id")
+    d = C.basic_diff(p, s).join(C.structural_diff(p.join(s, "request_id")), "request_id")
     d = d.withColumn("route_id", F.concat(F.lit("route-"), (F.substring(F.col("request_id"), 5, 20).cast("bigint") % 5).cast("string")))
     return C.diff_report(d)
 
 
 @register("c18_canary_status", "WITH RECURSIVE " + with_views("with " + _C7_SQL[len("WITH RECURSIVE ") :].replace("\nselect route_id, ts, verdict, st as state", ", rp as (select route_id, ts, verdict, st as state") + ")" + '\nselect s.route_id, s.ts, s.state, s.traffic_pct, s.stage, v.canary_rate, v.baseline_rate, v.canary_total, v.baseline_total\n from (select route_id, arg_max(ts, ts) as ts, arg_max(state, ts) as state, arg_max(traffic_pct, ts) as traffic_pct, arg_max(stage, ts) as stage from rp group by route_id) s\n join (select route_id, arg_max(canary_rate, bucket_start) as canary_rate, arg_max(baseline_rate, bucket_start) as baseline_rate,\n  arg_max(canary_total, bucket_start) as canary_total, arg_max(baseline_total, bucket_start) as baseline_total from c5 group by route_id) v on s.route_id = v.route_id', "gw_canary", extra=[("c3", _C3_SQL), ("c4", _C4_SQL), ("c5", _C5_SQL)])[len("WITH ") :])
 def c18_canary_status(spark, sf):
-    st = C.canary_status(_replay(spark, sf), _verdicts(spark, sf))
+    from gatewise.operators.common import materialize
+
+    v = materialize(_verdicts(spark, sf), "verdicts")  # read by the replay and by the status join
+    st = C.canary_status(C.stage_replay(v), v)
     return st.select("route_id", "ts", "state", F.col("traffic_pct").cast("int").alias("traffic_pct"), F.col("stage").cast("int").alias("stage"),
                      "canary_rate", "baseline_rate", F.col("canary_total").cast("bigint").alias("canary_total"), F.col("baseline_total").cast("bigint").alias("baseline_total"))
