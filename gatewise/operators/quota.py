@@ -14,9 +14,10 @@ Scale notes
   windows only: inside a period the allowed prefix is monotone, so the
   requests admitted under the daily limit alone are computed first, then the
   monthly prefix of those, then the true allowed prefix.  Only ``throttle``
-  needs a greedy fold (one admitted request per 60 s); that fold runs per
-  consumer segment split wherever exhausted requests are 60 s apart, which
-  resets its state.
+  needs a greedy rule (one admitted request per 60 s): ``spacing.py``
+  computes it exactly with bounded pandas groups for segments split where
+  exhausted requests are 60 s apart, and pointer jumping for consumers that
+  never pause.
 """
 
 from __future__ import annotations

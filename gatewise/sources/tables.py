@@ -9,8 +9,6 @@ the scan to the columns each query uses and pushes filters into parquet.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +17,6 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-EPOCH_2024 = _dt.datetime(2024, 1, 1)
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
