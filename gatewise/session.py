@@ -84,9 +84,16 @@ def ship_package(spark: SparkSession) -> None:
     if id(sc) in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    # built next to the code it packages (the driver's copy of the library)
+    # built next to the code it packages (the driver's copy of the library);
+    # a read-only install falls back to a scratch folder on the driver
     dist = os.path.join(os.path.dirname(pkg), ".dist")
-    os.makedirs(dist, exist_ok=True)
+    try:
+        os.makedirs(dist, exist_ok=True)
+        probe = os.path.join(dist, f".w{os.getpid()}")
+        open(probe, "w").close()
+        os.remove(probe)
+    except OSError:
+        dist = tempfile.mkdtemp(prefix="gatewise-pkg-")
     out = os.path.join(dist, f"gatewise-{os.getpid()}.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
