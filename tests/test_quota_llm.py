@@ -61,3 +61,47 @@ def test_quota_block_invariants(spark):
     assert allowed == [True] * 7 + [False] * 23  # 7 x 300 = 2100 >= 2000 after the 7th
     assert all(r.reason == "daily_token_quota_exceeded" for r in d[7:])
     assert d[-1].day_tokens_before == 2100
+
+
+def test_multi_limit_decision_matches_sequential_replay(spark):
+    """The three-pass window derivation equals a plain sequential replay of
+    the block policy with daily tokens, monthly tokens and monthly dollars."""
+    import random
+
+    rnd = random.Random(11)
+    rows = []
+    for c in ["a", "b", "c"]:
+        t = 0
+        for _ in range(250):
+            t += rnd.choice([600, 1800, 3600, 7200, 20000])
+            rows.append((len(rows), c, t, rnd.randint(0, 3000), rnd.randint(0, 900), rnd.choice([200, 200, 200, 500])))
+    LD, LM, LUSD = 9000, 60000, Decimal("0.25")
+    df = spark.createDataFrame(rows, "event_id long, consumer_id string, t long, ti long, tout long, status int").select(
+        "event_id", "consumer_id", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("t").cast("decimal(18,6)"))).alias("ts"),
+        F.col("ti").alias("tokens_input"), F.col("tout").alias("tokens_output"), "status", F.lit("gpt-4o").alias("model"),
+    )
+    priced = Q.usage_columns(Q.with_cost(df))
+    got = {r.event_id: (r.allowed, r.reason) for r in Q.quota_decision(priced, LD, LM, str(LUSD)).collect()}
+    exp = {}
+    for r in sorted(priced.select("event_id", "consumer_id", "ts", "usage_tokens", "usage_cost").collect(), key=lambda r: (r.consumer_id, r.ts, r.event_id)):
+        st = exp.setdefault(("state", r.consumer_id), {"day": None, "month": None, "d": 0, "m": 0, "usd": Decimal(0)})
+        day, month = r.ts.date(), (r.ts.year, r.ts.month)
+        if st["day"] != day:
+            st["day"], st["d"] = day, 0
+        if st["month"] != month:
+            st["month"], st["m"], st["usd"] = month, 0, Decimal(0)
+        if st["d"] >= LD:
+            v = (False, "daily_token_quota_exceeded")
+        elif st["m"] >= LM:
+            v = (False, "monthly_token_quota_exceeded")
+        elif st["usd"] >= LUSD:
+            v = (False, "monthly_dollar_budget_exceeded")
+        else:
+            v = (True, None)
+            st["d"] += r.usage_tokens
+            st["m"] += r.usage_tokens
+            st["usd"] += r.usage_cost
+        exp[r.event_id] = v
+    exp = {k: v for k, v in exp.items() if not isinstance(k, tuple)}
+    assert got == exp
+    assert {v[1] for v in exp.values()} >= {None, "daily_token_quota_exceeded", "monthly_token_quota_exceeded"}
