@@ -207,11 +207,25 @@ def shadow_auto_disable(
     from gatewise.operators import scan as SC
 
     memory = max(window_s, disable_s)
-    d = outcomes.withColumn("_chunk", SC.time_chunk(F.col(ts_col), chunk_s))
-    d = SC.last_values(d, [key], "_chunk", [ts_col, id_col], {"_prev_fail": F.when(~F.col("success"), F.col(ts_col))}, inclusive=False)
-    gap = F.unix_micros(F.col(ts_col).cast("timestamp")) / 1e6 - F.unix_micros(F.col("_prev_fail").cast("timestamp")) / 1e6
-    d = d.withColumn("_sync", (F.col("_prev_fail").isNull() | (gap > memory)).cast("int"))
-    d = SC.running_sums(d, [key], "_chunk", [ts_col, id_col], {"_seg": F.col("_sync")})
+    order = [ts_col, id_col]
+    t = F.unix_micros(F.col(ts_col).cast("timestamp")) / 1e6
+    d = outcomes.withColumn("_chunk", SC.time_chunk(F.col(ts_col), chunk_s)).withColumn("_t", t)
+    # pass 1: previous failure time and previous event kind
+    d = SC.last_values(d, [key], "_chunk", order, {"_prev_fail": F.when(~F.col("success"), F.col("_t"))}, inclusive=False,
+                       also_exclusive={"_prev_ok": F.col("success")})
+    # chains: consecutive failures, no success between, gaps <= window
+    start = ~F.col("success") & (F.col("_prev_ok").isNull() | F.col("_prev_ok") | F.col("_prev_fail").isNull() | (F.col("_t") - F.col("_prev_fail") > window_s))
+    d = SC.running_sums(d.withColumn("_start", start.cast("int")), [key], "_chunk", order, {"_chain": F.col("_start"), "_cf": (~F.col("success")).cast("int")})
+    d = SC.last_values(d, [key], "_chunk", order, {"_cf_at_start": F.when(F.col("_start") == 1, F.col("_cf"))}, inclusive=True)
+    pos = F.when(~F.col("success"), F.col("_cf") - F.col("_cf_at_start") + 1)
+    # pass 3: latest failure that is third or later in its chain (only such failures can trip)
+    d = SC.last_values(d.withColumn("_pos", pos), [key], "_chunk", order, {"_prev_trip_cand": F.when(F.col("_pos") >= threshold, F.col("_t"))}, inclusive=False)
+    quiet = F.col("_prev_fail").isNull() | (F.col("_t") - F.col("_prev_fail") > memory)
+    free_ok = F.col("success") & (F.col("_prev_trip_cand").isNull() | (F.col("_t") - F.col("_prev_trip_cand") >= disable_s))
+    # an event starts a fresh state when no failure precedes it within the rule's memory, or it is a
+    # success that no trip can have silenced (a trip needs a third-in-chain failure within disable_s)
+    d = d.withColumn("_sync", (quiet | free_ok).cast("int"))
+    d = SC.running_sums(d, [key], "_chunk", order, {"_seg": F.col("_sync")})
     inp = d.select(F.col(key).alias("k"), F.floor(F.col("_seg") / 512).alias("pack"), F.col(ts_col).alias("ts"), F.col(id_col).alias("id"), "success")
     res = inp.groupBy("k", "pack").applyInPandas(
         lambda pdf: folds.shadow_disable_fold(pdf, threshold, window_s, disable_s), "id long, skipped boolean, tripped boolean, fail_count long"
