@@ -211,15 +211,18 @@ def shadow_auto_disable(
     t = F.unix_micros(F.col(ts_col).cast("timestamp")) / 1e6
     d = outcomes.withColumn("_chunk", SC.time_chunk(F.col(ts_col), chunk_s)).withColumn("_t", t)
     # pass 1: previous failure time and previous event kind
-    d = SC.last_values(d, [key], "_chunk", order, {"_prev_fail": F.when(~F.col("success"), F.col("_t"))}, inclusive=False,
-                       also_exclusive={"_prev_ok": F.col("success")})
+    from gatewise.operators.common import materialize
+
+    # each chunked pass reads its input twice (rows + chunk summary): cut lineage between passes
+    d = materialize(SC.last_values(d, [key], "_chunk", order, {"_prev_fail": F.when(~F.col("success"), F.col("_t"))}, inclusive=False,
+                                   also_exclusive={"_prev_ok": F.col("success")}), "shadow1")
     # chains: consecutive failures, no success between, gaps <= window
     start = ~F.col("success") & (F.col("_prev_ok").isNull() | F.col("_prev_ok") | F.col("_prev_fail").isNull() | (F.col("_t") - F.col("_prev_fail") > window_s))
-    d = SC.running_sums(d.withColumn("_start", start.cast("int")), [key], "_chunk", order, {"_chain": F.col("_start"), "_cf": (~F.col("success")).cast("int")})
-    d = SC.last_values(d, [key], "_chunk", order, {"_cf_at_start": F.when(F.col("_start") == 1, F.col("_cf"))}, inclusive=True)
+    d = materialize(SC.running_sums(d.withColumn("_start", start.cast("int")), [key], "_chunk", order, {"_cf": (~F.col("success")).cast("int")}), "shadow2")
+    d = materialize(SC.last_values(d, [key], "_chunk", order, {"_cf_at_start": F.when(F.col("_start") == 1, F.col("_cf"))}, inclusive=True), "shadow3")
     pos = F.when(~F.col("success"), F.col("_cf") - F.col("_cf_at_start") + 1)
     # pass 3: latest failure that is third or later in its chain (only such failures can trip)
-    d = SC.last_values(d.withColumn("_pos", pos), [key], "_chunk", order, {"_prev_trip_cand": F.when(F.col("_pos") >= threshold, F.col("_t"))}, inclusive=False)
+    d = materialize(SC.last_values(d.withColumn("_pos", pos), [key], "_chunk", order, {"_prev_trip_cand": F.when(F.col("_pos") >= threshold, F.col("_t"))}, inclusive=False), "shadow4")
     quiet = F.col("_prev_fail").isNull() | (F.col("_t") - F.col("_prev_fail") > memory)
     free_ok = F.col("success") & (F.col("_prev_trip_cand").isNull() | (F.col("_t") - F.col("_prev_trip_cand") >= disable_s))
     # an event starts a fresh state when no failure precedes it within the rule's memory, or it is a
