@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewise.llm.batches import bound_batches
 from gatewise.llm.hashing import U64, WordHashes, gram_hashes, mix, multipliers
 from gatewise.operators.common import materialize
 
@@ -119,6 +120,7 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = N, share: tuple[
     than n words is one shingle of its own length.  Repeated rows on either
     side give a row each; null ids stay null.
     """
+    bound_batches(docs.sparkSession)
     out = None
     for block in _blocks(items):
         found = _search(docs, block, n, share)

@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 
 U64 = np.uint64
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 200_000
 
 
 class WordHashes(dict):

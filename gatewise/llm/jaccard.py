@@ -41,12 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewise.llm.batches import bound_batches
 from gatewise.llm.components import components
 from gatewise.llm.hashing import U64, WordHashes, ascii_words, mix, set_id, shingle_set
 from gatewise.operators.common import materialize
 
 MAX_LIGHT = 40  # the boundary is searched among set sizes up to this
-FLUSH_ROWS = 1_500_000  # list entries a task sorts at once
+FLUSH_ROWS = 500_000  # list entries a task sorts at once
 ROWS_PER_BUCKET = 1_000_000
 SHORT_LIST = 16
 BLOCK = 1024
@@ -374,6 +375,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rows and equal texts are copies of one set.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     sizes = materialize(set_sizes(docs, rule), "set-sizes")
     named = sizes.where("doc_id is not null and set_id is not null")
     small = {r[0]: r[1] for r in named.where(F.col("n_shingles") <= MAX_LIGHT).groupBy("n_shingles").count().collect()}

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewise.llm.batches import bound_batches
+
 SHARE = (9, 10)
 
 # Base phrases and their labels.
@@ -116,6 +118,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     that meets the threshold, else 0.  A null text is an empty one; repeated
     rows give a row each; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     frequency = {r[0].encode(): r[1] for r in block_frequencies(docs, templates).collect()}  # one row per template word
     index = TemplateIndex(templates, frequency, share)
     phrases = [(p.encode().split(), label) for p, label in BASE]

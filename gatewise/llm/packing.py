@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatewise.llm.batches import bound_batches
 from gatewise.llm.bpe import encoder
 from gatewise.operators.common import materialize
 
@@ -134,6 +135,7 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFram
     ``size`` ids is cut so that only its first piece may be shorter.  Other
     columns are ignored; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     pieces = materialize(pieces_of(docs, size, path), "pieces")
     each = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r[0]: r[1] for r in each.groupBy("length").agg(F.sum("n")).collect()}  # at most `size` rows

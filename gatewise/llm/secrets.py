@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewise.llm.batches import bound_batches
+
 
 @dataclass(frozen=True)
 class SecretRule:
@@ -371,6 +373,7 @@ def scan_secrets(docs: DataFrame, added: tuple[SecretRule, ...] = ADDED_RULES) -
     A null text is an empty one and has no spans; a null doc_id stays null;
     repeated rows each give a row; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rules = BASE_RULES + tuple(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

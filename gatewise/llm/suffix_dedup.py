@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewise.llm.batches import bound_batches
 from gatewise.llm.hashing import U64, WordHashes, ascii_words, gram_hashes
 from gatewise.operators.common import materialize
 
@@ -180,6 +181,7 @@ def repeated_passages(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     doc_id or text take no part; rows that share a doc_id are one document;
     other columns are ignored.  No passage gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     least = gram + window - 1
     kept = materialize(places(docs, gram, window), "places")
     shared = kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("gram", "n")

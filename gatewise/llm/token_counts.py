@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewise.llm.batches import bound_batches
 from gatewise.llm.bpe import Encoder, encoder
 
 LEAF = 512
@@ -118,6 +119,7 @@ def count_trees(docs: DataFrame, leaf: int = LEAF, path: str | None = None) -> D
                 trees.append(tree_of([bpe.count(text[a:e]) for a, e in zip([0, *cuts], cuts, strict=False)]) if cuts else [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), b.column("edits"), pa.array(ends, pa.list_(pa.int64())), pa.array(trees, pa.list_(pa.int64()))], ["doc_id", "text", "edits", "ends", "tree"])
 
+    bound_batches(docs.sparkSession)
     edits = F.col("edits") if "edits" in docs.columns else F.lit(None)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), edits.cast("array<struct<start:long,end:long,replacement:string>>").alias("edits"))
     return rows.mapInArrow(run, "doc_id long, text string, edits array<struct<start:long,end:long,replacement:string>>, ends array<long>, tree array<long>")

@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewise.llm.batches import bound_batches
+
 WORD = re.compile(r"[^\W\d_]+")
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 5000
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 200_000
 
 
 def features_of(word: str) -> list[str]:
@@ -158,6 +160,7 @@ def train(positive: list[str], unlabelled: list[str], prior: float, epochs: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> ToxicityModel:
+    bound_batches(docs.sparkSession)
     return train(*training_texts(docs, labels, max_positive, max_unlabelled))
 
 
