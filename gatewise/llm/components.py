@@ -3,8 +3,8 @@
 Alternating large-star / small-star rounds: every round links each node to the
 smallest neighbour it knows; the edge table turns into one star per component.
 Each round is a partial aggregate (map-side combine, so a hub node is never
-gathered in one task) and a join back.  Rounds are cut by a table written
-under ``spark.checkpoint.dir``.
+gathered in one task) and a join back, and writes its edges under
+``spark.checkpoint.dir``, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewise.operators.common import materialize
+from gatewise.llm.store import hold, written
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -39,10 +39,11 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes that are the smallest of their component and nodes without links do
     not appear; self links are ignored.  An empty table gives an empty result.
     """
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = _fingerprint(now)
+    first = hold(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    seen = _fingerprint(first)
+    now = written(first, seen[0], "edges")
     while seen[0]:
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = written(_small_star(_large_star(now)), seen[0], "edges")
         after = _fingerprint(now)
         if after == seen:
             break

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gatewise.llm.batches import bound_batches
 from gatewise.llm.hashing import U64, WordHashes, gram_hashes, mix, multipliers
-from gatewise.operators.common import materialize
+from gatewise.llm.store import hold
 
 N = 5
 SHARE = (8, 10)  # containment from which an item counts as leaked
@@ -151,5 +151,5 @@ _TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = N, share: tuple[int, int] = SHARE) -> DataFrame:
     """``docs`` without the documents that contain an item; all columns, null doc_ids kept."""
-    leaks = materialize(contained_items(docs, items, n, share).where("doc_id is not null").select(F.col("doc_id").alias("__leaked")).distinct(), "leaks")
+    leaks = hold(contained_items(docs, items, n, share).where("doc_id is not null").select(F.col("doc_id").alias("__leaked")).distinct())
     return docs.join(leaks, docs["doc_id"] == leaks["__leaked"], "left_anti")

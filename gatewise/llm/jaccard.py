@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from gatewise.llm.batches import bound_batches
 from gatewise.llm.components import components
 from gatewise.llm.hashing import U64, WordHashes, ascii_words, mix, set_id, shingle_set
-from gatewise.operators.common import materialize
+from gatewise.llm.store import hold
 
 MAX_LIGHT = 40  # the boundary is searched among set sizes up to this
 FLUSH_ROWS = 500_000  # list entries a task sorts at once
@@ -376,7 +376,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    sizes = materialize(set_sizes(docs, rule), "set-sizes")
+    sizes = hold(set_sizes(docs, rule))
     named = sizes.where("doc_id is not null and set_id is not null")
     small = {r[0]: r[1] for r in named.where(F.col("n_shingles") <= MAX_LIGHT).groupBy("n_shingles").count().collect()}
     boundary = choose_boundary(rule, small)
@@ -384,21 +384,21 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     entries = 2 * total * (rule.den - rule.num) // rule.num
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // ROWS_PER_BUCKET + 1)
 
-    lists = materialize(list_links(docs, rule, boundary, int(buckets)), "lists")
+    lists = hold(list_links(docs, rule, boundary, int(buckets)))
     pairs = lists.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     met = lists.select("id").unionAll(lists.select(F.col("rep").alias("id"))).distinct()
     owners = named.select("doc_id", F.col("set_id").alias("id")).join(met, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialize(sets_of(docs, owners, rule), "sets")
-    stars = materialize(verified(pairs, sets, rule), "links")
+    sets = hold(sets_of(docs, owners, rule))
+    stars = hold(verified(pairs, sets, rule))
     first = components(stars)
 
     # lists whose members are still apart
     members = lists.select("sig", "id").unionAll(lists.select("sig", F.col("rep").alias("id"))).distinct()
     comp = first.select(F.col("node").alias("id"), "component")
     placed = members.join(comp, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    placed = materialize(placed, "placed")
+    placed = hold(placed)
     spread = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("sig", "k")
-    apart = materialize(placed.join(spread, "sig"), "apart")
+    apart = hold(placed.join(spread, "sig"))
 
     short = apart.where(F.col("k") <= SHORT_LIST)
     left = short.select("sig", F.col("id").alias("a"), F.col("component").alias("ca"))
@@ -434,7 +434,7 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
 
     Rows with a null doc_id stay; of repeated rows with one doc_id and text one stays.
     """
-    found = materialize(jaccard_components(docs, rule), "components")
+    found = hold(jaccard_components(docs, rule))
     dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(dropped, docs["doc_id"] == dropped["__gone"], "left_anti")
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gatewise.llm.batches import bound_batches
 from gatewise.llm.bpe import encoder
-from gatewise.operators.common import materialize
+from gatewise.llm.store import hold
 
 SIZE = 1024
 END = np.array([2], dtype="<u4").tobytes()
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFram
     columns are ignored; an empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
-    pieces = materialize(pieces_of(docs, size, path), "pieces")
+    pieces = hold(pieces_of(docs, size, path))
     each = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r[0]: r[1] for r in each.groupBy("length").agg(F.sum("n")).collect()}  # at most `size` rows
     placed = sorted(best_fit(counts, size))

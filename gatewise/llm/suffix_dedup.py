@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gatewise.llm.batches import bound_batches
 from gatewise.llm.hashing import U64, WordHashes, ascii_words, gram_hashes
-from gatewise.operators.common import materialize
+from gatewise.llm.store import hold
 
 GRAM = 25
 WINDOW = 26  # GRAM + WINDOW - 1 = 50 words
@@ -183,7 +183,7 @@ def repeated_passages(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     """
     bound_batches(docs.sparkSession)
     least = gram + window - 1
-    kept = materialize(places(docs, gram, window), "places")
+    kept = hold(places(docs, gram, window))
     shared = kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("gram", "n")
     wanted = kept.join(shared, "gram")
     found = matches(contexts(docs, wanted, gram), gram, least)

@@ -28,6 +28,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewise.llm.batches import bound_batches
+from gatewise.llm.store import hold
 from gatewise.operators.common import materialize
 
 # Titles by the gender they state.
@@ -209,21 +211,21 @@ def surrogate_table(parts: DataFrame, key: str) -> DataFrame:
     two addresses can never meet.  The smallest form wins a contested
     surrogate; the others, and surrogates equal to a real form, try again.
     """
-    real = materialize(parts.distinct(), "entities")
+    real = hold(parts.distinct())
     taken_forms = real.select("type", F.when(F.col("type") == "mailbox", F.regexp_extract("form", "^(.*)@", 1)).otherwise(F.lower("form")).alias("surrogate")).distinct()
-    todo, done, attempt = real, None, 0
+    todo, done, attempt, keep = real, None, 0, hold
     while True:
-        drawn = materialize(todo.select("type", "form", F.lower(surrogate_of(F.col("type"), F.col("form"), F.lit(key), F.lit(attempt))).alias("surrogate")), "drawn")
+        drawn = hold(todo.select("type", "form", F.lower(surrogate_of(F.col("type"), F.col("form"), F.lit(key), F.lit(attempt))).alias("surrogate")))
         free = drawn.join(taken_forms, ["type", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
-        won = materialize(free.groupBy("type", "surrogate").agg(F.min("form").alias("form")).select("type", "form", "surrogate"), "won")
+        won = keep(free.groupBy("type", "surrogate").agg(F.min("form").alias("form")).select("type", "form", "surrogate"))
         done = won if done is None else done.unionAll(won)
-        lost = materialize(drawn.select("type", "form").join(won.select("type", "form"), ["type", "form"], "left_anti"), "lost")
+        lost = keep(drawn.select("type", "form").join(won.select("type", "form"), ["type", "form"], "left_anti"))
         attempt += 1
         if lost.isEmpty():
             return done
-        todo = lost
+        todo, keep = lost, lambda df: materialize(df, "redrawn")  # later attempts are small and cut their lineage
 
 
 def _spaced(original: Column, new: Column, pattern: str) -> Column:
@@ -263,12 +265,13 @@ def surrogate_texts(docs: DataFrame, key: str = "gatewise") -> DataFrame:
     text.  Null texts stay null with 0 entities; equal texts (repeated rows)
     get equal results.  ``key`` decides the surrogates.
     """
+    bound_batches(docs.sparkSession)
     text = F.col("text")
     guarded = docs.where(may_hold(text))
     others = docs.where(~may_hold(text)).withColumn("n_entities", F.lit(0))
 
-    hold = guarded.select(F.md5(text.cast("binary")).alias("__key"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("entities")).where(F.size("entities") > 0)
-    found = materialize(hold.groupBy("__key").agg(F.first("entities").alias("entities")), "found")
+    holding = guarded.select(F.md5(text.cast("binary")).alias("__key"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("entities")).where(F.size("entities") > 0)
+    found = hold(holding.groupBy("__key").agg(F.first("entities").alias("entities")))
     each = found.select("__key", F.posexplode("entities").alias("at", "entity"))
     parts = each.select("__key", "at", F.posexplode(parts_of(F.col("entity"))).alias("part", "p")).select("__key", "at", "part", "p.type", "p.form")
     table = surrogate_table(parts.select("type", "form"), key)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatewise.operators.common import materialize
+from gatewise.llm.store import hold
 
 PIVOTS = 64
 SHARD_ROWS = 8192
@@ -133,7 +133,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     take no part; repeated rows of one id and vector count once.  Scores are
     exact below 2^53.  An empty table gives an empty result.
     """
-    rows = materialize(quantised(vectors, id_col, vec_col, scale), "vectors")
+    rows = hold(quantised(vectors, id_col, vec_col, scale))
     dim = int(rows.agg(F.max(F.size("v"))).first()[0] or 0)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).toArrow()
     if not len(sample):
@@ -147,7 +147,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             pivot = (m @ pivots.T).argmax(axis=1) if len(m) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pivot.astype(np.int32)), pa.array([r.tobytes() for r in m], pa.binary())], ["vec_id", "pivot", "v"])
 
-    dealt = materialize(rows.mapInArrow(nearest, "vec_id long, pivot int, v binary"), "dealt")
+    dealt = hold(rows.mapInArrow(nearest, "vec_id long, pivot int, v binary"))
     parts = {r[0]: -(-r[1] // SHARD_ROWS) for r in dealt.groupBy("pivot").count().collect()}  # at most PIVOTS rows
     split = F.element_at(F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)), F.col("pivot"))
     sharded = dealt.select("vec_id", "v", (F.col("pivot").cast("long") * 2**40 + F.pmod(F.xxhash64("vec_id"), split)).alias("shard"), is_query.alias("is_query"))
@@ -173,7 +173,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             schema=pa.schema([("query_id", pa.int64()), ("kth", pa.float64()), ("ids", pa.binary()), ("v", pa.binary())]),
         )
 
-    index = materialize(sharded.groupBy("shard").applyInArrow(home, "query_id long, kth double, ids binary, v binary"), "index")
+    index = hold(sharded.groupBy("shard").applyInArrow(home, "query_id long, kth double, ids binary, v binary"))
     shards = index.where("ids is not null").select("ids", "v")
     asked = index.where("ids is null").select("query_id", "kth", "v")
     blocks = -(-asked.count() // QUERY_BLOCK)
