@@ -49,6 +49,7 @@ from gatewise.llm.store import hold
 MAX_LIGHT = 40  # the boundary is searched among set sizes up to this
 FLUSH_ROWS = 500_000  # list entries a task sorts at once
 ROWS_PER_BUCKET = 1_000_000
+MOST_BROADCAST = 1_000_000  # (doc_id, id) pairs: 16 MB
 SHORT_LIST = 16
 BLOCK = 1024
 
@@ -206,11 +207,12 @@ class _Lists:
         sigs = np.concatenate(self.sigs)
         owners = np.repeat(np.array([i for i, _ in self.ids], dtype=np.int64), [k for _, k in self.ids])
         self.sigs, self.ids, self.n = [], [], 0
-        sigs, owners, first, rep = star(sigs, owners)
+        # 32 bits of the signature under its bucket; a chance match is only a pair to verify
+        sigs, owners, first, rep = star(((sigs % U64(self.buckets)) << U64(32)) | (sigs >> U64(32)), owners)
         linked = ~first
-        bucket = (sigs[first] % U64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        s, o, bucket = sigs[first][order], owners[first][order], bucket[order]
+        s, o = sigs[first], owners[first]
+        bucket = (s >> U64(32)).astype(np.int64)
+        s = s.astype(np.uint32)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(s)]])
         rows = [(int(bucket[a]), s[a:e].tobytes(), o[a:e].tobytes(), b"") for a, e in zip(starts, ends, strict=True)]
@@ -270,7 +272,7 @@ def list_links(docs: DataFrame, rule: Rule, boundary: int, buckets: int) -> Data
                 if r["reps"]:
                     yield pa.RecordBatch.from_arrays([np.frombuffer(r[k], dtype=np.int64) for k in ("sigs", "owners", "reps")], ["sig", "id", "rep"])
                 else:
-                    sigs.append(np.frombuffer(r["sigs"], dtype=U64))
+                    sigs.append(np.frombuffer(r["sigs"], dtype=np.uint32).astype(U64) | (U64(r["bucket"]) << U64(32)))
                     owners.append(np.frombuffer(r["owners"], dtype=np.int64))
         if sigs:
             s, o, first, rep = star(np.concatenate(sigs), np.concatenate(owners))
@@ -283,7 +285,10 @@ def list_links(docs: DataFrame, rule: Rule, boundary: int, buckets: int) -> Data
 
 
 def sets_of(docs: DataFrame, owners: DataFrame, rule: Rule) -> DataFrame:
-    """(id, shingles) for ``owners`` (doc_id, id): the whole sets, read from the texts again."""
+    """(id, shingles) for ``owners`` (doc_id, id): the whole sets, read from the texts again.
+
+    A set may come twice where a row is repeated; links are made distinct later.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -300,8 +305,10 @@ def sets_of(docs: DataFrame, owners: DataFrame, rule: Rule) -> DataFrame:
                     ids, sets, held = [], [], 0
             yield _sets_batch(ids, sets)
 
+    if owners.count() <= MOST_BROADCAST:  # else the texts are shuffled to their owners
+        owners = F.broadcast(owners)
     rows = _texts(docs).where("body is not null").join(owners, "doc_id").select("body", "id")
-    return rows.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
+    return rows.mapInArrow(run, "id long, shingles array<long>")
 
 
 def _sets_batch(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -387,7 +394,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     lists = hold(list_links(docs, rule, boundary, int(buckets)))
     pairs = lists.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     met = lists.select("id").unionAll(lists.select(F.col("rep").alias("id"))).distinct()
-    owners = named.select("doc_id", F.col("set_id").alias("id")).join(met, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    owners = hold(named.select("doc_id", F.col("set_id").alias("id")).join(met, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")))
     sets = hold(sets_of(docs, owners, rule))
     stars = hold(verified(pairs, sets, rule))
     first = components(stars)
