@@ -49,6 +49,7 @@ from gatewise.llm.store import hold
 MAX_LIGHT = 40  # the boundary is searched among set sizes up to this
 FLUSH_ROWS = 500_000  # list entries a task sorts at once
 ROWS_PER_BUCKET = 1_000_000
+SKETCH_WORDS = 16  # longs of a set's parity sketch
 MOST_BROADCAST = 1_000_000  # (doc_id, id) pairs: 16 MB
 SHORT_LIST = 16
 BLOCK = 1024
@@ -285,7 +286,7 @@ def list_links(docs: DataFrame, rule: Rule, boundary: int, buckets: int) -> Data
 
 
 def sets_of(docs: DataFrame, owners: DataFrame, rule: Rule) -> DataFrame:
-    """(id, shingles) for ``owners`` (doc_id, id): the whole sets, read from the texts again.
+    """(id, n, sketch, shingles) for ``owners`` (doc_id, id): the whole sets, read from the texts again.
 
     A set may come twice where a row is repeated; links are made distinct later.
     """
@@ -298,7 +299,7 @@ def sets_of(docs: DataFrame, owners: DataFrame, rule: Rule) -> DataFrame:
                 s = shingle_set(cache.array(rule.words(body)), rule.n)
                 if set_id(s) == want:
                     ids.append(want)
-                    sets.append(s.astype(np.int64))
+                    sets.append(s)
                     held += len(s)
                 if held > 4_000_000:
                     yield _sets_batch(ids, sets)
@@ -308,24 +309,41 @@ def sets_of(docs: DataFrame, owners: DataFrame, rule: Rule) -> DataFrame:
     if owners.count() <= MOST_BROADCAST:  # else the texts are shuffled to their owners
         owners = F.broadcast(owners)
     rows = _texts(docs).where("body is not null").join(owners, "doc_id").select("body", "id")
-    return rows.mapInArrow(run, "id long, shingles array<long>")
+    return rows.mapInArrow(run, "id long, n long, sketch array<long>, shingles array<long>")
+
+
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH_WORDS longs: per hash bucket, whether the set has an odd number of shingles there.
+
+    Sketches of two sets differ in at most as many bits as the sets in shingles.
+    """
+    odd = np.bincount((s & U64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sets_batch(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
     ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-    flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], ["id", "shingles"])
+    flat = np.concatenate(sets).astype(np.int64) if sets else np.empty(0, dtype=np.int64)
+    sketches = np.concatenate([parity_sketch(s) for s in sets]) if sets else np.empty(0, dtype=np.int64)
+    at = np.arange(0, len(sketches) + 1, SKETCH_WORDS, dtype=np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(v, pa.int64())) for e, v in ((at, sketches), (ends, flat))]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), *lists], ["id", "n", "sketch", "shingles"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of set ids whose whole sets link."""
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    """The pairs (a, b) of set ids whose whole sets link.
+
+    Sizes and sketches rule most pairs out before any set is moved.
+    """
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    whole = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
+    least = F.ceil(rule.num * (F.col("na") + F.col("nb")) / (rule.num + rule.den) - 1e-9)
+    apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(rule.den * F.least("na", "nb") >= rule.num * F.greatest("na", "nb"))
+    near = near.where(apart <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "na", "nb")
     both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    small = F.least(F.size("sa"), F.size("sb"))
-    large = F.greatest(F.size("sa"), F.size("sb"))
-    return pairs.join(a, "a").join(b, "b").where(rule.den * small >= rule.num * large).where(rule.den * both >= rule.num * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    linked = near.join(whole("a"), "a").join(whole("b"), "b").where(rule.den * both >= rule.num * (F.col("na") + F.col("nb") - both))
+    return linked.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _block_links(rule: Rule) -> Callable:
