@@ -346,6 +346,27 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return linked.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _may_link(rule: Rule) -> Callable[[pa.Table], pa.Table]:
+    """Members of a block pair that sizes and sketches let link with a member of another component."""
+    columns = ["sig", "i", "j", "block", "id", "component"]
+
+    def run(table: pa.Table) -> pa.Table:
+        n, comp, block = (table.column(k).to_numpy() for k in ("n", "component", "block"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+        keep = np.zeros(len(n), dtype=bool)
+        one_block = block.min() == block.max()
+        for k in range(len(n)):
+            least = -(-rule.num * (n[k] + n) // (rule.num + rule.den))
+            other = comp != comp[k]
+            if not one_block:
+                other &= block != block[k]
+            other[other] = np.bitwise_count(sketch[other] ^ sketch[k]).sum(axis=1, dtype=np.int64) <= (n[k] + n - 2 * least)[other]
+            keep[k] = (other & (np.minimum(n[k], n) >= least)).any()
+        return table.filter(pa.array(keep)).select(columns)
+
+    return run
+
+
 def _block_links(rule: Rule) -> Callable:
     """Spanning links of one block pair of a long list (a matrix product over shared shingles)."""
 
@@ -435,7 +456,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     long = apart.where(F.col("k") > SHORT_LIST).select("sig", "id", "component", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"), n_blocks.alias("n"))
     long = long.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     long = long.select("sig", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    blocks = long.join(sets, "id").groupBy("sig", "i", "j").applyInArrow(_block_links_grouped(rule), "u long, v long")
+    sketched = long.join(sets.select("id", "n", "sketch"), "id").groupBy("sig", "i", "j")
+    long = sketched.applyInArrow(_may_link(rule), "sig long, i int, j int, block int, id long, component long")
+    blocks = long.join(sets.select("id", "shingles"), "id").groupBy("sig", "i", "j").applyInArrow(_block_links_grouped(rule), "u long, v long")
 
     links = stars.unionAll(extra).unionAll(blocks)
     final = components(links).select(F.col("node").alias("set_id"), "component")
