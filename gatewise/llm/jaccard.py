@@ -352,7 +352,7 @@ def _may_link(rule: Rule) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         n, comp, block = (table.column(k).to_numpy() for k in ("n", "component", "block"))
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(U64).reshape(len(n), -1)  # of signed numbers numpy counts the absolute value
         keep = np.zeros(len(n), dtype=bool)
         one_block = block.min() == block.max()
         for k in range(len(n)):
