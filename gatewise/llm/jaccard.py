@@ -50,7 +50,7 @@ MAX_LIGHT = 40  # the boundary is searched among set sizes up to this
 FLUSH_ROWS = 500_000  # list entries a task sorts at once
 ROWS_PER_BUCKET = 1_000_000
 SKETCH_WORDS = 16  # longs of a set's parity sketch
-MOST_BROADCAST = 1_000_000  # (doc_id, id) pairs: 16 MB
+MOST_BROADCAST = 1_000_000  # rows of a few longs: at most 50 MB
 SHORT_LIST = 16
 BLOCK = 1024
 
@@ -306,12 +306,16 @@ def sets_of(docs: DataFrame, owners: DataFrame, rule: Rule) -> DataFrame:
                     ids, sets, held = [], [], 0
             yield _sets_batch(ids, sets)
 
-    if owners.count() <= MOST_BROADCAST:  # else the texts are shuffled to their owners
-        owners = F.broadcast(owners)
-    rows = _texts(docs).where("body is not null").join(owners, "doc_id").select("body", "id")
+    rows = _texts(docs).where("body is not null").join(small(owners), "doc_id").select("body", "id")
     return rows.mapInArrow(run, "id long, n long, sketch array<long>, shingles array<long>")
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """A table of ids, held; marked for broadcast when it has few enough rows, else joined by shuffle."""
+    rows = hold(rows)
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
 def parity_sketch(s: np.ndarray) -> np.ndarray:
     """SKETCH_WORDS longs: per hash bucket, whether the set has an odd number of shingles there.
 
@@ -336,11 +340,14 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     Sizes and sketches rule most pairs out before any set is moved.
     """
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
-    whole = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     least = F.ceil(rule.num * (F.col("na") + F.col("nb")) / (rule.num + rule.den) - 1e-9)
     apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(rule.den * F.least("na", "nb") >= rule.num * F.greatest("na", "nb"))
     near = near.where(apart <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "na", "nb")
+    near = hold(near)
+    asked = small(near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).distinct())
+    asked_sets = sets.select("id", "shingles").join(asked, "id", "left_semi")
+    whole = lambda x: asked_sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
     linked = near.join(whole("a"), "a").join(whole("b"), "b").where(rule.den * both >= rule.num * (F.col("na") + F.col("nb") - both))
     return linked.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -433,7 +440,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     lists = hold(list_links(docs, rule, boundary, int(buckets)))
     pairs = lists.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     met = lists.select("id").unionAll(lists.select(F.col("rep").alias("id"))).distinct()
-    owners = hold(named.select("doc_id", F.col("set_id").alias("id")).join(met, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")))
+    owners = named.select("doc_id", F.col("set_id").alias("id")).join(met, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     sets = hold(sets_of(docs, owners, rule))
     stars = hold(verified(pairs, sets, rule))
     first = components(stars)
@@ -458,7 +465,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     long = long.select("sig", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     sketched = long.join(sets.select("id", "n", "sketch"), "id").groupBy("sig", "i", "j")
     long = sketched.applyInArrow(_may_link(rule), "sig long, i int, j int, block int, id long, component long")
-    blocks = long.join(sets.select("id", "shingles"), "id").groupBy("sig", "i", "j").applyInArrow(_block_links_grouped(rule), "u long, v long")
+    blocks = sets.select("id", "shingles").join(small(long), "id").groupBy("sig", "i", "j").applyInArrow(_block_links_grouped(rule), "u long, v long")
 
     links = stars.unionAll(extra).unionAll(blocks)
     final = components(links).select(F.col("node").alias("set_id"), "component")
