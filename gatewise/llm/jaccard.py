@@ -431,8 +431,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     bound_batches(spark)
     sizes = hold(set_sizes(docs, rule))
     named = sizes.where("doc_id is not null and set_id is not null")
-    small = {r[0]: r[1] for r in named.where(F.col("n_shingles") <= MAX_LIGHT).groupBy("n_shingles").count().collect()}
-    boundary = choose_boundary(rule, small)
+    counts = {r[0]: r[1] for r in named.where(F.col("n_shingles") <= MAX_LIGHT).groupBy("n_shingles").count().collect()}
+    boundary = choose_boundary(rule, counts)
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     entries = 2 * total * (rule.den - rule.num) // rule.num
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // ROWS_PER_BUCKET + 1)
