@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from gatewise.llm.batches import bound_batches
 from gatewise.llm.components import components
 from gatewise.llm.hashing import U64, WordHashes, ascii_words, mix, set_id, shingle_set
-from gatewise.llm.store import hold
+from gatewise.llm.store import hold, written
 
 MAX_LIGHT = 40  # the boundary is searched among set sizes up to this
 FLUSH_ROWS = 500_000  # list entries a task sorts at once
@@ -345,6 +345,7 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(rule.den * F.least("na", "nb") >= rule.num * F.greatest("na", "nb"))
     near = near.where(apart <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "na", "nb")
     near = hold(near)
+    near = written(near, near.count(), "near")  # a short plan from here on
     asked = small(near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).distinct())
     asked_sets = sets.select("id", "shingles").join(asked, "id", "left_semi")
     whole = lambda x: asked_sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
@@ -438,20 +439,23 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // ROWS_PER_BUCKET + 1)
 
     lists = hold(list_links(docs, rule, boundary, int(buckets)))
+    n_lists = lists.count()
+    lists = written(lists, n_lists, "lists")
     pairs = lists.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     met = lists.select("id").unionAll(lists.select(F.col("rep").alias("id"))).distinct()
     owners = named.select("doc_id", F.col("set_id").alias("id")).join(met, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    owners = written(owners, n_lists, "owners")
     sets = hold(sets_of(docs, owners, rule))
-    stars = hold(verified(pairs, sets, rule))
+    stars = written(verified(pairs, sets, rule), n_lists, "links")
     first = components(stars)
 
     # lists whose members are still apart
     members = lists.select("sig", "id").unionAll(lists.select("sig", F.col("rep").alias("id"))).distinct()
     comp = first.select(F.col("node").alias("id"), "component")
     placed = members.join(comp, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    placed = hold(placed)
+    placed = written(placed, 2 * n_lists, "placed")
     spread = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("sig", "k")
-    apart = hold(placed.join(spread, "sig"))
+    apart = written(placed.join(spread, "sig"), 2 * n_lists, "apart")
 
     short = apart.where(F.col("k") <= SHORT_LIST)
     left = short.select("sig", F.col("id").alias("a"), F.col("component").alias("ca"))

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -74,41 +75,31 @@ def _sample(rows: DataFrame, bound: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(bound)
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int) -> tuple[list[str], list[str], float]:
-    """Positive texts, unlabelled texts and the class prior, from training rows only."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int) -> tuple[DataFrame, float]:
+    """(positive, text) of the sampled training rows, and the class prior."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    train = ids.where("doc_id is not null").where(in_training(F.col("doc_id"))).distinct()
+    learnt = ids.where("doc_id is not null").where(in_training(F.col("doc_id"))).distinct()
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marked = marked.where(in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = marked.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
-    positive = _sample(marked.where("toxic > 0").select("doc_id").join(train, "doc_id"), max_positive).select("doc_id", F.lit(1).alias("positive"))
-    unlabelled = _sample(train, max_unlabelled).select("doc_id", F.lit(0).alias("positive"))
+    positive = _sample(marked.where("toxic > 0").select("doc_id").join(learnt, "doc_id"), max_positive).select("doc_id", F.lit(1).alias("positive"))
+    unlabelled = _sample(learnt, max_unlabelled).select("doc_id", F.lit(0).alias("positive"))
     wanted = F.broadcast(positive.unionAll(unlabelled))  # at most max_positive + max_unlabelled ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id").select("positive", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = ["\t".join(sorted(document_features(t))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["positive", "features"])
-
-    sets: tuple[list[str], list[str]] = ([], [])
-    for r in texts.mapInArrow(run, "positive int, features string").toLocalIterator():
-        sets[r[0]].append(r[1])
-    return sets[1], sets[0], share
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id").select("positive", "text"), share
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, epochs: int = 60, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
-    """nnPU training; each example is a tab-joined set of features."""
+def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, epochs: int = 60, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
+    """nnPU training; each example is its set of features."""
     if not positive or not unlabelled:
         return ToxicityModel({}, -4.0, prior)
     prior = min(max(prior, 1e-3), 0.5)
     in_p, in_u = Counter(), Counter()
     for examples, counts in ((positive, in_p), (unlabelled, in_u)):
         for e in examples:
-            counts.update(e.split("\t"))
+            counts.update(e)
     scales = {}
     for f, a in in_p.items():
-        if a >= 3 and f:
+        if a >= 3:
             b = in_u.get(f, 0)
             ratio = math.log((a + 0.5) / (len(positive) + 1)) - math.log((b + 0.5) / (len(unlabelled) + 1))
             sure = ratio - 2 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
@@ -120,7 +111,7 @@ def train(positive: list[str], unlabelled: list[str], prior: float, epochs: int
     def matrix(examples: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows, cols = [], []
         for i, e in enumerate(examples):
-            own = [names[f] for f in e.split("\t") if f in names]
+            own = [names[f] for f in e if f in names]
             rows += [i] * len(own)
             cols += own
         return np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
@@ -160,8 +151,21 @@ def train(positive: list[str], unlabelled: list[str], prior: float, epochs: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> ToxicityModel:
+    """Trains in one task on the bounded sample; only the weights come to the driver."""
     bound_batches(docs.sparkSession)
-    return train(*training_texts(docs, labels, max_positive, max_unlabelled))
+    rows, prior = training_rows(docs, labels, max_positive, max_unlabelled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: tuple[list, list] = ([], [])
+        for b in batches:
+            for positive, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sets[positive].append({sys.intern(f) for f in document_features(text)})
+        model = train(sets[1], sets[0], prior)
+        yield pa.RecordBatch.from_arrays([pa.array(["", *model.weights]), pa.array([model.bias, *model.weights.values()], pa.float64())], ["feature", "weight"])
+
+    found = dict(rows.repartition(1).mapInArrow(run, "feature string, weight double").collect())
+    bias = found.pop("")
+    return ToxicityModel(found, bias, prior)
 
 
 def score_column(model: ToxicityModel):
