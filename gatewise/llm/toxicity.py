@@ -11,7 +11,7 @@ step goes the other way).  The class prior pi is the share of toxic rows among
 the labelled training rows.
 
 Features of a word are the word and its 3- to 6-letter beginnings.  Kept are
-those whose log ratio between positives and unlabelled stays above zero by two
+those whose log ratio between positives and unlabelled stays above zero by three
 standard errors; that bound is the feature's scale.  A document's logit is the
 bias plus the weights of its distinct words, so a word's weight is looked up
 once per task and long texts are scored whole.
@@ -24,9 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,17 +36,20 @@ from pyspark.sql import functions as F
 from gatewise.llm.batches import bound_batches
 
 WORD = re.compile(r"[^\W\d_]+")
-MAX_POSITIVE = 2000
-MAX_UNLABELLED = 5000
+MAX_POSITIVE = 3000
+MAX_UNLABELLED = 8000
+SURE = 3.0  # standard errors by which a feature's log ratio must stay above zero
 _CACHE_LIMIT = 200_000
 
 
-def features_of(word: str) -> list[str]:
-    return [word, *(word[:k] + "~" for k in range(3, 7) if len(word) > k)]
+def features_of(word: str) -> list[int]:
+    """32-bit ids of the word and of its beginnings."""
+    return [zlib.crc32(f.encode("utf-8", "replace")) for f in (word, *(word[:k] + "~" for k in range(3, 7) if len(word) > k))]
 
 
-def document_features(text: str) -> set[str]:
-    return {f for w in set(WORD.findall(text.lower())) for f in features_of(w)}
+def document_features(text: str) -> np.ndarray:
+    """Sorted distinct feature ids of a whole text."""
+    return np.unique(np.array([f for w in set(WORD.findall(text.lower())) for f in features_of(w)], dtype=np.int64))
 
 
 def in_training(doc_id: Column) -> Column:
@@ -58,7 +59,7 @@ def in_training(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    weights: dict[str, float]
+    weights: dict[int, float]
     bias: float
     prior: float
 
@@ -88,33 +89,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_unl
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id").select("positive", "text"), share
 
 
-def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, epochs: int = 60, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
     """nnPU training; each example is its set of features."""
     if not positive or not unlabelled:
         return ToxicityModel({}, -4.0, prior)
     prior = min(max(prior, 1e-3), 0.5)
-    in_p, in_u = Counter(), Counter()
-    for examples, counts in ((positive, in_p), (unlabelled, in_u)):
-        for e in examples:
-            counts.update(e)
-    scales = {}
-    for f, a in in_p.items():
-        if a >= 3:
-            b = in_u.get(f, 0)
-            ratio = math.log((a + 0.5) / (len(positive) + 1)) - math.log((b + 0.5) / (len(unlabelled) + 1))
-            sure = ratio - 2 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if sure > 0.25:
-                scales[f] = sure
-    names = {f: i for i, f in enumerate(scales)}
-    scale = np.array(list(scales.values()))
-
-    def matrix(examples: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rows, cols = [], []
-        for i, e in enumerate(examples):
-            own = [names[f] for f in e if f in names]
-            rows += [i] * len(own)
-            cols += own
-        return np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
+    flat_p, flat_u = np.concatenate(positive), np.concatenate(unlabelled)
+    ids, a = np.unique(flat_p, return_counts=True)
+    ids, a = ids[a >= 3], a[a >= 3]
+    at = np.searchsorted(ids, flat_u) if len(ids) else np.empty(0, np.int64)
+    known = at < len(ids)
+    known[known] = ids[at[known]] == flat_u[known]
+    b = np.bincount(at[known], minlength=len(ids))
+    ratio = np.log((a + 0.5) / (len(positive) + 1)) - np.log((b + 0.5) / (len(unlabelled) + 1))
+    sure = ratio - SURE * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    names, scale = ids[sure > 0], sure[sure > 0]
+
+    def matrix(examples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows, cols = np.repeat(np.arange(len(examples)), list(map(len, examples))), np.concatenate(examples)
+        own = np.isin(cols, names)
+        return rows[own], np.searchsorted(names, cols[own])
 
     (pr, pc), (ur, uc) = matrix(positive), matrix(unlabelled)
     w, bias = np.full(len(names), 0.5), -1.0
@@ -147,7 +141,7 @@ def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, ep
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w, bias = w - move[:-1], bias - move[-1]
-    return ToxicityModel({f: float(w[i] * scale[i]) for f, i in names.items()}, float(bias), prior)
+    return ToxicityModel(dict(zip(names.tolist(), (w * scale).tolist(), strict=True)), float(bias), prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> ToxicityModel:
@@ -159,12 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
         sets: tuple[list, list] = ([], [])
         for b in batches:
             for positive, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sets[positive].append({sys.intern(f) for f in document_features(text)})
-        model = train(sets[1], sets[0], prior)
-        yield pa.RecordBatch.from_arrays([pa.array(["", *model.weights]), pa.array([model.bias, *model.weights.values()], pa.float64())], ["feature", "weight"])
+                sets[positive].append(document_features(text))
+        model = train(*(sorted(x, key=lambda f: f.tobytes()) for x in (sets[1], sets[0])), prior)  # in an order of its own
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *model.weights], pa.int64()), pa.array([model.bias, *model.weights.values()], pa.float64())], ["feature", "weight"])
 
-    found = dict(rows.repartition(1).mapInArrow(run, "feature string, weight double").collect())
-    bias = found.pop("")
+    found = dict(rows.repartition(1).mapInArrow(run, "feature long, weight double").collect())
+    bias = found.pop(-1)
     return ToxicityModel(found, bias, prior)
 
 
