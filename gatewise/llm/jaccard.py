@@ -49,7 +49,7 @@ from gatewise.llm.store import hold, written
 MAX_LIGHT = 40  # the boundary is searched among set sizes up to this
 FLUSH_ROWS = 500_000  # list entries a task sorts at once
 ROWS_PER_BUCKET = 1_000_000
-SKETCH_WORDS = 16  # longs of a set's parity sketch
+SKETCH_WORDS = 64  # longs of a set's parity sketch
 MOST_BROADCAST = 1_000_000  # rows of a few longs: at most 50 MB
 SHORT_LIST = 16
 BLOCK = 1024
