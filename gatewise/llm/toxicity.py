@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
         yield pa.RecordBatch.from_arrays([pa.array([-1, *model.weights], pa.int64()), pa.array([model.bias, *model.weights.values()], pa.float64())], ["feature", "weight"])
 
     found = dict(rows.repartition(1).mapInArrow(run, "feature long, weight double").collect())
-    bias = found.pop(-1)
+    bias = found.pop(-1, -4.0)  # no training row at all
     return ToxicityModel(found, bias, prior)
 
 
