@@ -1,87 +1,117 @@
-"""JSON leaves of a body column (J1), shared by masking and shadow diffs.
+"""JSON values of a body column (J1), shared by masking and shadow diffs.
 
 Bodies are parsed once into VARIANT.  Each level explodes the containers of
-the previous level (objects by key, arrays by position) and keeps scalar
-nodes as leaves, so the walk is plain DataFrame work: projections and
-``explode`` on executors, no Python.  Paths use one canonical form,
-``$.a[0].b`` (0-based).  ``max_depth`` bounds the number of levels planned;
-containers still open at the last level are emitted whole as leaves with
-their JSON text, so nothing is dropped.
+the previous level (objects by key, arrays by position), so the walk is plain
+DataFrame work without Python.  Paths use one canonical form, ``$.a[0].b``
+(0-based), with keys that are no plain names quoted: ``$."a.b"``.
+
+``LEVELS`` levels are planned.  Bodies that nest deeper, and bodies that
+VARIANT refuses for a repeated key, are walked by a text scan in Arrow batches
+instead and give the same rows, so no depth is cut off.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gatewise.functions.jsontext import live
 from gatewise.operators.common import spread
 
-MAX_DEPTH = 8
+LEVELS = 6
+_NODE = "struct<path:string,parent_type:string,open:boolean,v:variant>"
 
 
 def _kind(v: Column) -> Column:
     s = F.schema_of_variant(v)
-    return F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("scalar")
+    return (
+        F.when(s.startswith("OBJECT"), "object")
+        .when(s.startswith("ARRAY"), "array")
+        .when(s == "STRING", "string")
+        .when(s == "BOOLEAN", "boolean")
+        .when(s.isin("NULL", "VOID"), "null")
+        .otherwise("number")
+    )
 
 
-def _scalar_type(v: Column) -> Column:
-    s = F.schema_of_variant(v)
-    return F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.isin("NULL", "VOID"), "null").otherwise("number")
+def nesting_depth(body: Column) -> Column:
+    """Depth of open brackets outside string literals."""
+    bare = F.regexp_replace(body, r'"(?:[^"\\]|\\.)*"', "")
+    steps = F.transform(F.regexp_extract_all(bare, F.lit(r"[\[{}\]]"), F.lit(0)), lambda b: F.when(b.isin("[", "{"), 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(
+        steps, start, lambda a, s: F.struct((a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most")), lambda a: a["most"]
+    )
 
 
-def nesting_bound(df: DataFrame, body_col: str) -> int:
-    """Upper bound of JSON nesting depth over a column: the largest number of
-    opening brackets outside string literals in any body (one aggregate)."""
-    stripped = F.regexp_replace(F.col(body_col), r'"(?:[^"\\]|\\.)*"', "")
-    opens = F.length(stripped) - F.length(F.regexp_replace(stripped, r"[\[{]", ""))
-    v = df.agg(F.max(opens)).first()[0]
-    return int(v or 0)
+def _step(key: Column) -> Column:
+    quoted = F.concat(F.lit('"'), F.regexp_replace(key, r'(["\\])', r"\\$1"), F.lit('"'))
+    return F.concat(F.lit("."), F.when(key.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), key).otherwise(quoted))
 
 
-def json_leaves(df: DataFrame, keys: Sequence[str], body_col: str, max_depth: int = MAX_DEPTH, bound_depth: bool = True) -> DataFrame:
-    """Rows (keys..., path, parent_type, value_type, value, is_string).
+def json_nodes(df: DataFrame, keys: Sequence[str], body_col: str) -> DataFrame:
+    """Rows (keys..., path, parent_type, value_type, value) of every JSON value.
 
-    ``value`` is the scalar rendered as text (strings unquoted, numbers as
-    written, booleans true/false, JSON null -> NULL).  Each level is one
-    ``inline`` over a children array (a scalar yields itself), so the plan is
-    a linear chain over a single scan of the input.
+    Containers are rows too, with their JSON text as ``value``; scalars are
+    rendered as text (strings unquoted, JSON null -> NULL).  Null and invalid
+    bodies give no rows; of repeated keys the last one counts.
     """
     keys = list(keys)
-    if bound_depth:
-        max_depth = max(0, min(max_depth, nesting_bound(df, body_col)))
-    node = "struct<path:string,parent_type:string,v:variant>"
-    cur = spread(df).select(*keys, F.lit("$").alias("path"), F.lit("root").alias("parent_type"), F.try_parse_json(F.col(body_col)).alias("v")).where(
-        F.col("v").isNotNull()
-    )
-    for _ in range(max_depth):
+    rows = spread(df).select(*keys, F.col(body_col).alias("_body")).where(F.col("_body").isNotNull())
+    planned = F.try_parse_json("_body").isNotNull() & (nesting_depth(F.col("_body")) <= LEVELS)
+    cur = rows.where(planned).select(*keys, F.lit("$").alias("path"), F.lit("root").alias("parent_type"), F.lit(True).alias("open"), F.try_parse_json("_body").alias("v"))
+    for _ in range(LEVELS):
         kind = _kind(F.col("v"))
-        obj_children = F.transform(
+        members = F.transform(
             F.map_entries(F.try_variant_get(F.col("v"), "$", "map<string,variant>")),
-            lambda e: F.struct(F.concat(F.col("path"), F.lit("."), e["key"]).alias("path"), F.lit("object").alias("parent_type"), e["value"].alias("v")),
+            lambda e: F.struct(F.concat(F.col("path"), _step(e["key"])).alias("path"), F.lit("object").alias("parent_type"), F.lit(True).alias("open"), e["value"].alias("v")),
         )
-        arr_children = F.transform(
+        items = F.transform(
             F.try_variant_get(F.col("v"), "$", "array<variant>"),
-            lambda x, i: F.struct(F.concat(F.col("path"), F.lit("["), i.cast("string"), F.lit("]")).alias("path"), F.lit("array").alias("parent_type"), x.alias("v")),
+            lambda x, i: F.struct(F.concat(F.col("path"), F.lit("["), i.cast("string"), F.lit("]")).alias("path"), F.lit("array").alias("parent_type"), F.lit(True).alias("open"), x.alias("v")),
+        )
+        me = F.array(F.struct("path", "parent_type", F.lit(False).alias("open"), "v")).cast(f"array<{_NODE}>")
+        grown = (
+            F.when(F.col("open") & (kind == "object"), F.concat(me, members.cast(f"array<{_NODE}>")))
+            .when(F.col("open") & (kind == "array"), F.concat(me, items.cast(f"array<{_NODE}>")))
+            .otherwise(me)
         )
-        me = F.array(F.struct(F.col("path"), F.col("parent_type"), F.col("v")))
-        children = F.when(kind == "object", obj_children.cast(f"array<{node}>")).when(kind == "array", arr_children.cast(f"array<{node}>")).otherwise(me.cast(f"array<{node}>"))
-        cur = cur.select(*keys, F.inline(children))
+        cur = cur.select(*keys, F.inline(grown))
     kind = _kind(F.col("v"))
-    return cur.select(
-        *keys,
-        "path",
-        "parent_type",
-        F.when(kind == "scalar", _scalar_type(F.col("v"))).otherwise(F.lit("json")).alias("value_type"),
-        F.when(kind == "scalar", F.try_variant_get(F.col("v"), "$", "string")).otherwise(F.to_json(F.col("v"))).alias("value"),
-    ).withColumn("is_string", F.col("value_type") == "string")
+    value = F.when(kind.isin("object", "array"), F.to_json(F.col("v"))).otherwise(F.try_variant_get(F.col("v"), "$", "string"))
+    out = cur.select(*keys, "path", "parent_type", kind.alias("value_type"), value.alias("value"))
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [*keys, "path", "parent_type", "value_type", "value"]
+        for f in frames:
+            for at in range(0, len(f), 64):
+                part = f.iloc[at : at + 64]
+                found = [(*row[:-1], *node) for row in part.itertuples(index=False, name=None) for node in live(row[-1])]
+                yield pd.DataFrame(found, columns=columns, dtype=object)
+
+    schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(c, T.StringType()) for c in ("path", "parent_type", "value_type", "value"))])
+    return out.unionByName(rows.where(~planned).select(*keys, "_body").mapInPandas(walk, schema))
+
+
+def json_leaves(df: DataFrame, keys: Sequence[str], body_col: str) -> DataFrame:
+    """Scalars and empty containers of ``json_nodes``, with ``is_string``."""
+    n = json_nodes(df, keys, body_col)
+    leaf = ~F.col("value_type").isin("object", "array") | F.col("value").isin("{}", "[]")
+    return n.where(leaf).withColumn("is_string", F.col("value_type") == "string")
 
 
 # DuckDB twin: json_tree gives the same canonical paths.
-def sql_leaves(source: str, keys: Sequence[str], body_col: str) -> str:
+def sql_nodes(source: str, keys: Sequence[str], body_col: str) -> str:
     ks = ", ".join(f"s.{k}" for k in keys)
     return f"""select {ks}, t.fullkey as path,
- case when t.type = 'VARCHAR' then 'string' when t.type = 'BOOLEAN' then 'boolean' when t.type = 'NULL' then 'null' else 'number' end as value_type,
+ case t.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end as value_type,
  case when t.type = 'NULL' then null else t.value ->> '$' end as value
- from {source} s, json_tree(s.{body_col}) t where t.type not in ('OBJECT', 'ARRAY') and json_valid(s.{body_col})"""
+ from {source} s, json_tree(s.{body_col}) t where json_valid(s.{body_col})"""
+
+
+def sql_leaves(source: str, keys: Sequence[str], body_col: str) -> str:
+    return f"select * from ({sql_nodes(source, keys, body_col)}) where value_type not in ('object', 'array') or value in ('{{}}', '[]')"

@@ -71,7 +71,7 @@ def maskable_gate(bodies: DataFrame, max_body_size: int = MAX_BODY_SIZE) -> Data
     reason = (
         F.when(~ct.contains("json"), "not_json_content_type")
         .when(size > max_body_size, "body_too_large")
-        .when(F.try_parse_json("body").isNull(), "invalid_json")
+        .when(F.try_parse_json("body").isNull() & F.get_json_object("body", "$").isNull(), "invalid_json")  # VARIANT refuses repeated keys
     )
     return bodies.withColumn("body_bytes", size).withColumn("skip_reason", reason).withColumn("maskable", F.col("skip_reason").isNull())
 

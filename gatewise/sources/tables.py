@@ -140,7 +140,11 @@ def gw_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('"},"items":[{"pan":"'), F.col("pan"),
         F.lit('","note":"call '), F.col("phone"),
         F.lit('"},{"pan":null,"note":"ip '), F.col("ip"),
-        F.lit('"}],"tc":"'), F.col("national_id"), F.lit('"}'),
+        F.lit('"}],"tc":"'), F.col("national_id"),
+        F.lit('","amt":1.10,"a.b":"'), F.col("email"),
+        F.lit('","extra":{"owner":"'), F.col("email"),
+        F.lit('","tags":[]},"deep":' + '{"l":' * 9 + '"'), F.col("email"),
+        F.lit('"' + "}" * 10),
     )
     return c.select(
         F.col("cust_id").alias("body_id"),
