@@ -42,6 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     first = hold(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _fingerprint(first)
     now = written(first, seen[0], "edges")
+    first.unpersist()
     while seen[0]:
         now = written(_small_star(_large_star(now)), seen[0], "edges")
         after = _fingerprint(now)

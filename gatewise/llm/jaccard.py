@@ -344,8 +344,9 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(rule.den * F.least("na", "nb") >= rule.num * F.greatest("na", "nb"))
     near = near.where(apart <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "na", "nb")
-    near = hold(near)
-    near = written(near, near.count(), "near")  # a short plan from here on
+    held = hold(near)
+    near = written(held, held.count(), "near")  # a short plan from here on
+    held.unpersist()
     asked = small(near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).distinct())
     asked_sets = sets.select("id", "shingles").join(asked, "id", "left_semi")
     whole = lambda x: asked_sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
@@ -438,9 +439,10 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     entries = 2 * total * (rule.den - rule.num) // rule.num
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // ROWS_PER_BUCKET + 1)
 
-    lists = hold(list_links(docs, rule, boundary, int(buckets)))
-    n_lists = lists.count()
-    lists = written(lists, n_lists, "lists")
+    found = hold(list_links(docs, rule, boundary, int(buckets)))
+    n_lists = found.count()
+    lists = written(found, n_lists, "lists")
+    found.unpersist()
     pairs = lists.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     met = lists.select("id").unionAll(lists.select(F.col("rep").alias("id"))).distinct()
     owners = named.select("doc_id", F.col("set_id").alias("id")).join(met, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
@@ -494,9 +496,9 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     Rows with a null doc_id stay; of repeated rows with one doc_id and text one stays.
     """
     found = hold(jaccard_components(docs, rule))
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    dropped = small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     kept = docs.join(dropped, docs["doc_id"] == dropped["__gone"], "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    again = small(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")))  # no texts move when few ids repeat
     single = kept.join(again, kept["doc_id"] == again["__again"], "left_anti")
     repeated = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated)
