@@ -84,8 +84,8 @@ def imei_tac(c: Column) -> Column:
 
 
 def tokenize(c: Column, key: str = "gatewise") -> Column:
-    """M13 token: stable per distinct value (keyed SHA-256)."""
-    return F.concat(F.lit("tok_"), F.substring(F.sha2(F.concat(F.lit(key), c), 256), 1, 12))
+    """M13 token: stable per distinct value (128 bits of a keyed SHA-256)."""
+    return F.concat(F.lit("tok_"), F.substring(F.sha2(F.concat(F.lit(key), c), 256), 1, 32))
 
 
 def full(c: Column) -> Column:
@@ -158,7 +158,7 @@ def _sql(name: str, v: str) -> str:
         "mask:dob": f"'****-**-' || case when regexp_extract({v}, '-(\\d+)$', 1) = '' then '**' else regexp_extract({v}, '-(\\d+)$', 1) end",
         "full": v,
         "imei": f"case when length({v}) <= 8 then {v} else left({v}, 8) || repeat('*', length({v})-8) end",
-        "tokenize": f"'tok_' || substr(sha256('gatewise' || {v}), 1, 12)",
+        "tokenize": f"'tok_' || substr(sha256('gatewise' || {v}), 1, 32)",
     }[name]
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewise.operators import folds
-from gatewise.operators.common import bounded_broadcast
+from gatewise.operators.common import in_intervals
 from gatewise.operators.jsontree import json_leaves
 
 BUCKET_S = 10
@@ -67,27 +67,6 @@ def error_rate(buckets: DataFrame, window_seconds: int = 60, keys: Sequence[str]
     )
 
 
-def health_verdict(
-    rates: DataFrame,
-    threshold_pp: float = 2.0,
-    min_requests: int = 10,
-    baseline_max: float = 0.10,
-    key: str = "route_id",
-) -> DataFrame:
-    """Pivot canary / baseline per (route, bucket) (full outer) and judge."""
-    c = rates.where(F.col("version") == "canary").select(key, "bucket_start", F.col("win_total").alias("canary_total"), F.col("error_rate").alias("canary_rate"))
-    b = rates.where(F.col("version") == "baseline").select(key, "bucket_start", F.col("win_total").alias("baseline_total"), F.col("error_rate").alias("baseline_rate"))
-    j = c.join(b, [key, "bucket_start"], "full_outer").fillna(0, ["canary_total", "baseline_total"]).fillna(0.0, ["canary_rate", "baseline_rate"])
-    delta = (F.col("canary_rate") - F.col("baseline_rate")) * 100
-    verdict = (
-        F.when(F.col("baseline_rate") > baseline_max, "baseline_unhealthy")
-        .when((F.col("canary_total") >= min_requests) & (delta > threshold_pp), "breach")
-        .when(F.col("canary_total") < min_requests, "insufficient")
-        .otherwise("ok")
-    )
-    return j.withColumn("delta_pp", delta).withColumn("verdict", verdict)
-
-
 def verdicts_from_traffic(
     df: DataFrame,
     ts_col: str = "ts_dense",
@@ -101,7 +80,7 @@ def verdicts_from_traffic(
     """C3 -> C5 in one pass: 10-second buckets per route with canary and
     baseline counts side by side (conditional sums, one shuffle), then one
     rolling range window per route for both versions -- no per-version
-    windows and no full outer join.  Same rows as ``health_verdict``."""
+    windows and no full outer join."""
     is_c = F.col("version") == "canary"
     is_err = F.col("status") >= 500
     b = df.groupBy(key, F.window(ts_col, f"{bucket_s} seconds").alias("w")).agg(
@@ -178,17 +157,16 @@ def stage_timeline(replay: DataFrame, key: str = "route_id") -> DataFrame:
 def rollback_events(replay: DataFrame, key: str = "route_id") -> DataFrame:
     """Rollback transitions with a notification payload."""
     r = replay.where(F.col("event").startswith("rolled_back"))
-    payload = F.to_json(F.struct(F.lit("aria_canary_rollback").alias("type"), F.col(key).alias("route_id"), F.col("event").alias("reason"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")))
+    payload = F.to_json(F.struct(F.lit("canary_rollback").alias("type"), F.col(key).alias("route_id"), F.col("event").alias("reason"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")))
     return r.select(key, "ts", "event", F.lit("CANARY_ROLLBACK").alias("event_type"), F.lit("ROLLED_BACK").alias("action_taken"), payload.alias("notification"))
 
 
 def shadow_sample(requests: DataFrame, pct: int = 10, key: str = "request_id", hash_fn: str = "xxhash64", disabled: DataFrame | None = None, ts_col: str = "ts") -> DataFrame:
     """C11: deterministic hash sample; rows inside disabled periods
-    (``disabled(start, end)``, small interval table) are excluded."""
+    (``disabled(start, end)``) are excluded."""
     s = requests.where(hash_pct(F.col(key), hash_fn) < pct)
     if disabled is not None:
-        d = bounded_broadcast(disabled.select(F.col("start").alias("_ds"), F.col("end").alias("_de")))
-        s = s.join(d, (F.col(ts_col) >= F.col("_ds")) & (F.col(ts_col) < F.col("_de")), "left_anti")
+        s = in_intervals(s, ts_col, disabled, "left_anti")
     return s
 
 
@@ -236,18 +214,18 @@ def shadow_auto_disable(
     return outcomes.join(res.withColumnRenamed("id", id_col), id_col, "left")
 
 
-def weighted_assignment(df: DataFrame, weights: DataFrame, key: str, hash_fn: str = "md5") -> DataFrame:
+def weighted_assignment(df: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """Each row goes to the group whose cumulative weight range holds the
-    row's hash bucket: range join against the (small, broadcast) weight table."""
-    w = Window.orderBy("group")
-    total = weights.agg(F.sum("weight")).scalar()
-    ranges = weights.select(
-        "group",
-        (F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * 100 / total).alias("lo"),
-        (F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)) * 100 / total).alias("hi"),
-    )
-    b = df.withColumn("_b", hash_pct(F.col(key), hash_fn))
-    return b.join(bounded_broadcast(ranges), (F.col("_b") >= F.col("lo")) & (F.col("_b") < F.col("hi")), "left").drop("lo", "hi", "_b")
+    row's place: the first 32 bits of the key's md5, scaled to the total weight,
+    so that small weights get their share too.  The weights of a route are one
+    array (a scalar subquery), so the rows are only projected.  NULL keys and
+    tables without weight give a NULL group."""
+    w = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, 0)
+    ends = weights.where(F.col("weight") > 0).select(F.sum("weight").over(w).alias("hi"), "group")
+    d = df.withColumn("_table", ends.agg(F.array_sort(F.collect_list(F.struct("hi", "group")))).scalar())
+    place = F.conv(F.substring(F.md5(F.col(key)), 1, 8), 16, 10).cast("bigint") * F.try_element_at("_table", F.lit(-1))["hi"]
+    hit = F.filter("_table", lambda g: F.col("_place") < g["hi"] * F.lit(1 << 32))
+    return d.withColumn("_place", place).withColumn("group", F.try_element_at(hit, F.lit(1))["group"]).drop("_table", "_place")
 
 
 def basic_diff(primary: DataFrame, shadow: DataFrame, key: str = "request_id") -> DataFrame:

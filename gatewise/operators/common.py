@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Dimensions above this many rows are joined by shuffle instead of broadcast.
@@ -21,8 +21,24 @@ def bounded_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_
     return F.broadcast(dim) if n <= max_rows else dim
 
 
-def to_double(c):
-    return c.cast("double")
+def in_intervals(rows: DataFrame, ts_col: str, intervals: DataFrame, how: str, closed: bool = False, bucket_s: int = 3600) -> DataFrame:
+    """``rows`` joined (``how``: left, left_anti or left_semi) to ``intervals(start, end)``.
+
+    Overlapping intervals are merged first, so a row meets one at most; each is
+    dealt over the time buckets it touches, which makes the join an equality on
+    the bucket.  ``closed`` counts ``end`` itself in.  Spark picks broadcast or
+    shuffle from the sizes.  A left join adds ``_start`` (NULL: in none).
+    """
+    before = Window.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    known = intervals.where(F.col("start") <= F.col("end")).select("start", "end")
+    apart = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True))
+    runs = known.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(Window.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy("_run").agg(F.min("start").alias("_start"), F.max("end").alias("_end")).drop("_run")
+    bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / bucket_s)
+    dealt = merged.withColumn("_bucket", F.explode(F.sequence(bucket("_start"), bucket("_end"))))
+    inside = (F.col(ts_col) >= F.col("_start")) & (F.col(ts_col) <= F.col("_end") if closed else F.col(ts_col) < F.col("_end"))
+    out = rows.withColumn("_at", bucket(ts_col)).join(dealt, (F.col("_at") == F.col("_bucket")) & inside, how)
+    return out.drop("_at", "_bucket", "_end")
 
 
 def spread(df: DataFrame) -> DataFrame:

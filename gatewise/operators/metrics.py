@@ -23,17 +23,20 @@ def rate(df: DataFrame, ts_col: str, labels: Sequence[str], value: Column | None
     return g.select(F.col("w.end").alias("ts"), *labels, F.col("increase").cast("double").alias("increase"), (F.col("increase") / seconds).alias("rate"))
 
 
-def alert_episodes(ticks: DataFrame, keys: Sequence[str], ts_col: str, condition: Column, for_ticks: int) -> DataFrame:
+def alert_episodes(ticks: DataFrame, keys: Sequence[str], ts_col: str, condition: Column, for_ticks: int, step_s: int = 60) -> DataFrame:
     """A3: runs of consecutive evaluation ticks where ``condition`` holds
-    (gaps and islands on the tick sequence); an episode fires once its run
+    (gaps and islands on the tick sequence); a tick more than ``step_s`` seconds
+    after the one before it starts a new run.  An episode fires once its run
     reaches ``for_ticks`` (the rule's for-duration)."""
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy(ts_col)
-    t = ticks.withColumn("_c", condition).withColumn("_rn", F.row_number().over(w))
-    t = t.where(F.col("_c")).withColumn("_island", F.col("_rn") - F.row_number().over(w))
+    t = ticks.withColumn("_c", F.coalesce(condition, F.lit(False)))
+    gap = F.unix_timestamp(F.col(ts_col).cast("timestamp")) - F.unix_timestamp(F.lag(ts_col).over(w).cast("timestamp"))
+    fresh = ~F.coalesce(F.lag("_c").over(w), F.lit(False)) | (gap > step_s)
+    t = t.withColumn("_island", F.sum((F.col("_c") & fresh).cast("int")).over(w)).where("_c")
     ep = t.groupBy(*keys, "_island").agg(F.min(ts_col).alias("start_ts"), F.max(ts_col).alias("end_ts"), F.count(F.lit(1)).alias("ticks"))
     return ep.withColumn("fired", F.col("ticks") >= for_ticks).withColumn(
-        "fires_at", F.when(F.col("fired"), F.col("start_ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(for_ticks - 1), F.lit(0)))
+        "fires_at", F.when(F.col("fired"), F.col("start_ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit((for_ticks - 1) * step_s)))
     ).drop("_island")
 
 

@@ -35,7 +35,7 @@ from gatewise.functions.pricing import (
     cost_expr,
     pricing_frame,
 )
-from gatewise.operators.common import bounded_broadcast, materialize
+from gatewise.operators.common import bounded_broadcast, in_intervals, materialize
 from gatewise.operators.scan import join_back
 
 # ---------------------------------------------------------------- Q1 / Q2
@@ -329,13 +329,11 @@ def overage(
 def fail_policy(decisions: DataFrame, outages: DataFrame, policy: str = "fail_open", ts_col: str = "ts") -> DataFrame:
     """Q7: requests inside a quota-store outage pass degraded or get 503.
 
-    ``outages(start, end)`` is a small interval table: broadcast range join
-    (bounded by ``bounded_broadcast``), at most one outage per request by
-    construction of non-overlapping intervals.
+    ``outages(start, end)`` may overlap and counts both ends in; each request
+    gives one row.
     """
-    o = outages.select(F.col("start").alias("_os"), F.col("end").alias("_oe"))
-    j = decisions.join(bounded_broadcast(o), (F.col(ts_col) >= F.col("_os")) & (F.col(ts_col) <= F.col("_oe")), "left")
-    in_outage = F.col("_os").isNotNull()
+    j = in_intervals(decisions, ts_col, outages, "left", closed=True)
+    in_outage = F.col("_start").isNotNull()
     j = j.withColumn("in_outage", in_outage)
     if policy == "fail_closed":
         j = j.withColumn("allowed", F.when(in_outage, F.lit(False)).otherwise(F.col("allowed"))).withColumn(
@@ -345,7 +343,7 @@ def fail_policy(decisions: DataFrame, outages: DataFrame, policy: str = "fail_op
         j = j.withColumn("allowed", F.when(in_outage, F.lit(True)).otherwise(F.col("allowed"))).withColumn(
             "degraded", in_outage
         )
-    return j.drop("_os", "_oe")
+    return j.drop("_start")
 
 
 # ---------------------------------------------------------------- Q8 / Q9 alerts and utilization
@@ -403,11 +401,11 @@ def most_restrictive_quota(usage: DataFrame, limits: DataFrame, key: str = "cons
     ``limits(consumer_id, route_id, limit_tokens)`` with NULL meaning "any";
     ``usage(consumer_id, route_id, used_cr, used_c, used_r)``.
     """
-    lim = bounded_broadcast(limits)
+    lim = limits  # may grow with the consumers: Spark picks the join from its size
     cr = lim.where(F.col(key).isNotNull() & F.col(route).isNotNull()).select(key, route, F.col("limit_tokens").alias("l_cr"))
     c = lim.where(F.col(key).isNotNull() & F.col(route).isNull()).select(key, F.col("limit_tokens").alias("l_c"))
     r = lim.where(F.col(key).isNull() & F.col(route).isNotNull()).select(route, F.col("limit_tokens").alias("l_r"))
-    j = usage.join(F.broadcast(cr), [key, route], "left").join(F.broadcast(c), key, "left").join(F.broadcast(r), route, "left")
+    j = usage.join(cr, [key, route], "left").join(c, key, "left").join(r, route, "left")
     cands = F.array(
         F.struct((F.col("l_cr") - F.col("used_cr")).alias("remaining"), F.lit("consumer_route").alias("scope"), F.col("l_cr").alias("limit")),
         F.struct((F.col("l_c") - F.col("used_c")).alias("remaining"), F.lit("consumer").alias("scope"), F.col("l_c").alias("limit")),

@@ -166,7 +166,7 @@ def c8_stage_timeline(spark, sf):
     return t.select("route_id", F.col("traffic_pct").cast("int").alias("traffic_pct"), "state", "start_ts", "end_ts", F.col("duration_s").cast("bigint").alias("duration_s"))
 
 
-@register("c9_rollback_events", "WITH RECURSIVE " + with_views("with " + _C7_SQL[len("WITH RECURSIVE ") :].replace("\nselect route_id, ts, verdict, st as state", ", rp as (select route_id, ts, verdict, st as state") + ")" + "\nselect route_id, ts, event, 'CANARY_ROLLBACK' as event_type, 'ROLLED_BACK' as action_taken,\n json_object('type', 'aria_canary_rollback', 'route_id', route_id, 'reason', event, 'timestamp', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'))::varchar as notification\n from rp where event like 'rolled_back%'", "gw_canary", extra=[("c3", _C3_SQL), ("c4", _C4_SQL), ("c5", _C5_SQL)])[len("WITH ") :])
+@register("c9_rollback_events", "WITH RECURSIVE " + with_views("with " + _C7_SQL[len("WITH RECURSIVE ") :].replace("\nselect route_id, ts, verdict, st as state", ", rp as (select route_id, ts, verdict, st as state") + ")" + "\nselect route_id, ts, event, 'CANARY_ROLLBACK' as event_type, 'ROLLED_BACK' as action_taken,\n json_object('type', 'canary_rollback', 'route_id', route_id, 'reason', event, 'timestamp', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'))::varchar as notification\n from rp where event like 'rolled_back%'", "gw_canary", extra=[("c3", _C3_SQL), ("c4", _C4_SQL), ("c5", _C5_SQL)])[len("WITH ") :])
 def c9_rollback_events(spark, sf):
     return C.rollback_events(_replay(spark, sf))
 
@@ -224,13 +224,14 @@ def c12_shadow_auto_disable(spark, sf):
     return C.shadow_auto_disable(_shadow_outcomes(spark, sf), "route_id").select("request_id", "route_id", "ts", "success", "skipped", "tripped", "fail_count")
 
 
-WEIGHTS = [("v1", 70), ("v2", 20), ("v3", 10)]
+WEIGHTS = [("v1", 700), ("v2", 296), ("v3", 4)]
 
 
 @register(
     "c13_weighted_assignment",
     with_views(
-        f"""select event_id, case when {MD5PCT.format(k='request_id')} < 70 then 'v1' when {MD5PCT.format(k='request_id')} < 90 then 'v2' else 'v3' end as "group" from gw_requests""",
+        """select event_id, case when part < 700 * 4294967296 then 'v1' when part < 996 * 4294967296 then 'v2' else 'v3' end as "group" from (
+ select event_id, cast('0x' || substr(md5(request_id), 1, 8) as bigint) * 1000 as part from gw_requests)""",
         "gw_requests",
     ),
 )

@@ -76,7 +76,7 @@ TOKEN_KEY = "0123456789abcdef0123456789abcdef"
 @register(
     "m13_tokenize_roundtrip",
     with_views(
-        f"select cust_id, 'tok_' || substr(sha256('{TOKEN_KEY}' || email), 1, 12) as token, true as roundtrip_ok from gw_customers",
+        f"select cust_id, 'tok_' || substr(sha256('{TOKEN_KEY}' || email), 1, 32) as token, true as roundtrip_ok from gw_customers",
         "gw_customers",
     ),
 )

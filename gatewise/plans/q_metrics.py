@@ -81,8 +81,8 @@ _A3_TICKS = """select ts, route_id, count(*) as total, sum(case when status >= 5
     with_views(
         """select route_id, min(ts) as start_ts, max(ts) as end_ts, count(*) as ticks, count(*) >= 5 as fired,
  case when count(*) >= 5 then min(ts) + interval '4 minutes' end as fires_at from (
- select *, row_number() over (partition by route_id order by ts) - row_number() over (partition by route_id, errors / total > 0.05 order by ts) as isl from ticks)
- where errors / total > 0.05 group by route_id, isl""",
+ select *, ts - to_minutes(row_number() over (partition by route_id order by ts)) as isl from ticks where errors / total > 0.05)
+ group by route_id, isl""",
         "gw_requests",
         extra=[("ticks", _A3_TICKS)],
     ),

@@ -251,26 +251,41 @@ def q10_reset_time(spark, sf):
 
 # ---------------------------------------------------------------- q7 fail policy
 
-OUTAGES = [("2024-01-05 00:00:00", "2024-01-05 06:00:00"), ("2024-01-20 12:00:00", "2024-01-20 13:00:00")]
+OUTAGES = [("2024-01-05 00:00:00", "2024-01-05 06:00:00"), ("2024-01-20 12:00:00", "2024-01-20 13:00:00"), ("2024-01-05 03:00:00", "2024-01-05 09:00:00")]
+
+
+_IN_OUTAGE = "exists (select 1 from (values " + ", ".join(f"(timestamp '{a}', timestamp '{b}')" for a, b in OUTAGES) + ") o(s, e) where dec.ts >= o.s and dec.ts <= o.e)"
+
+
+def _outages(spark):
+    return spark.createDataFrame(OUTAGES, "start string, end string").select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
 
 
 @register(
     "q7_fail_policy_closed",
     with_views(
-        """select event_id, case when o.s is not null then false else dec.reason is null end as allowed,
- case when o.s is not null then 'quota_service_unavailable' else dec.reason end as reason, o.s is not null as in_outage
- from dec left join (values """
-        + ", ".join(f"(timestamp '{a}', timestamp '{b}')" for a, b in OUTAGES)
-        + """) o(s, e) on dec.ts >= o.s and dec.ts <= o.e""",
+        f"""select event_id, not out_ and reason is null as allowed, case when out_ then 'quota_service_unavailable' else reason end as reason, out_ as in_outage
+ from (select *, {_IN_OUTAGE} as out_ from dec)""",
         "gw_requests",
         extra=PRICED + [("usage", USAGE)],
         raw=_DECISION_SQL,
     ),
 )
 def q7_fail_policy_closed(spark, sf):
-    o = spark.createDataFrame(OUTAGES, "start string, end string").select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
-    d = Q.fail_policy(_decisions(spark, sf), o, "fail_closed")
-    return d.select("event_id", "allowed", "reason", "in_outage")
+    return Q.fail_policy(_decisions(spark, sf), _outages(spark), "fail_closed").select("event_id", "allowed", "reason", "in_outage")
+
+
+@register(
+    "q7_fail_policy_open",
+    with_views(
+        f"select event_id, out_ or reason is null as allowed, reason, out_ as degraded from (select *, {_IN_OUTAGE} as out_ from dec)",
+        "gw_requests",
+        extra=PRICED + [("usage", USAGE)],
+        raw=_DECISION_SQL,
+    ),
+)
+def q7_fail_policy_open(spark, sf):
+    return Q.fail_policy(_decisions(spark, sf), _outages(spark), "fail_open").select("event_id", "allowed", "reason", "degraded")
 
 
 # ---------------------------------------------------------------- q8 / q9 alerts and utilization

@@ -109,14 +109,20 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback_root: str | None = None)
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared, fault-tolerant folder and is
-    used as is.  Only when it is unset (tests, local runs) is a scratch
-    folder set.
+    used as is, and so is a folder the caller gave to ``setCheckpointDir``.
+    Only where neither is set, on a local master (tests), is a scratch folder
+    made; elsewhere that would be a machine-local one, so it is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    chosen = spark.sparkContext.getCheckpointDir()
+    if chosen:
+        return chosen
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = fallback_root or tempfile.mkdtemp(prefix="gatewise-ckpt-")
     path = os.path.join(root, "checkpoints")
     try:

@@ -38,9 +38,10 @@ def with_month(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
 
 def write_monthly(df: DataFrame, path: str, ts_col: str = "timestamp") -> str:
     """Append rows into month partitions (``month=yyyy-MM``); rows of a
-    month are clustered before the write so each task writes few files."""
+    month are clustered before the write so each task writes few files, and a
+    large month is split over tasks by size (adaptive rebalancing)."""
     out = with_month(df, ts_col)
-    out.repartition("month").write.mode("append").partitionBy("month").parquet(path)
+    out.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
     return path
 
 

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from gatewise.operators import canary as C
 from gatewise.operators import folds
 from gatewise.operators import jsonmask as J
+from gatewise.operators import metrics as A
 from gatewise.operators import providers as B
 from gatewise.operators import quota as Q
+from gatewise.operators.common import in_intervals
 
 
 def _ts(col):
@@ -122,13 +124,46 @@ def test_stage_scenarios():
 
 
 def test_error_rate_verdicts(spark):
-    rows = [  # route, bucket, version, win_total, error_rate
-        ("healthy", 0, "canary", 1000, 0.005), ("healthy", 0, "baseline", 1000, 0.003),
-        ("breach", 0, "canary", 1000, 0.04), ("breach", 0, "baseline", 1000, 0.01),
-        ("both", 0, "canary", 1000, 0.15), ("both", 0, "baseline", 1000, 0.12),
-        ("few", 0, "canary", 2, 0.5), ("few", 0, "baseline", 1000, 0.0),
-        ("zero", 0, "canary", 1000, 0.03), ("zero", 0, "baseline", 1000, 0.0),
+    rows = [  # route, version, requests, errors
+        ("healthy", "canary", 1000, 5), ("healthy", "baseline", 1000, 3),
+        ("breach", "canary", 1000, 40), ("breach", "baseline", 1000, 10),
+        ("both", "canary", 1000, 150), ("both", "baseline", 1000, 120),
+        ("few", "canary", 2, 1), ("few", "baseline", 1000, 0),
+        ("zero", "canary", 1000, 30), ("zero", "baseline", 1000, 0),
+        ("alone", "baseline", 1000, 0),
     ]
-    df = spark.createDataFrame(rows, "route_id string, b long, version string, win_total long, error_rate double").withColumn("bucket_start", _ts("b"))
-    got = {r.route_id: r.verdict for r in C.health_verdict(df).collect()}
-    assert got == {"healthy": "ok", "breach": "breach", "both": "baseline_unhealthy", "few": "insufficient", "zero": "breach"}
+    df = spark.createDataFrame(rows, "route_id string, version string, n int, bad int").select("route_id", "version", "bad", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    df = df.withColumn("status", F.when(F.col("i") <= F.col("bad"), 500).otherwise(200)).withColumn("b", F.lit(0)).withColumn("ts_dense", _ts("b"))
+    got = {r.route_id: r.verdict for r in C.verdicts_from_traffic(df).collect()}
+    assert got == {"healthy": "ok", "breach": "breach", "both": "baseline_unhealthy", "few": "insufficient", "zero": "breach", "alone": "insufficient"}
+
+
+def test_overlapping_intervals_give_one_row(spark):
+    ts = lambda *c: [F.col(x).cast("timestamp_ntz").alias(x) for x in c]
+    o = spark.createDataFrame([("2024-01-01 00:00:00", "2024-01-01 03:00:00"), ("2024-01-01 01:00:00", "2024-01-01 05:30:00"), ("2024-01-02 00:00:00", "2024-01-01 00:00:00")], "start string, end string").select(*ts("start", "end"))
+    r = spark.createDataFrame([(1, "2024-01-01 02:00:00"), (2, "2024-01-01 05:30:00"), (3, "2024-01-01 05:30:01"), (4, "2023-12-31 23:59:59")], "id long, ts string").select("id", *ts("ts"))
+    both = in_intervals(r, "ts", o, "left", closed=True).orderBy("id").collect()
+    assert [(x.id, x._start is not None) for x in both] == [(1, True), (2, True), (3, False), (4, False)]
+    out = in_intervals(r, "ts", o, "left_anti")
+    assert sorted(x.id for x in out.collect()) == [2, 3, 4]
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+
+
+def test_gap_between_ticks_breaks_an_alert(spark):
+    df = spark.createDataFrame([("r", 60 * m) for m in (1, 2, 120, 240, 241)], "route string, b long").withColumn("ts", _ts("b"))
+    got = A.alert_episodes(df, ["route"], "ts", F.lit(True), 2).orderBy("start_ts").collect()
+    assert [(x.ticks, x.fired) for x in got] == [(2, True), (1, False), (2, True)]
+
+
+def test_small_weights_get_their_share(spark):
+    df = spark.range(200_000).select(F.col("id").cast("string").alias("k"))
+    w = spark.createDataFrame([("a", 999), ("b", 1), ("c", 0)], "group string, weight int")
+    n = {r.group: r["count"] for r in C.weighted_assignment(df, w, "k").groupBy("group").count().collect()}
+    assert set(n) == {"a", "b"} and 120 <= n["b"] <= 290
+
+
+def test_most_restrictive_quota_with_many_limits(spark):
+    lim = spark.range(300_000).select(F.col("id").cast("string").alias("consumer_id"), F.lit(None).cast("string").alias("route_id"), (F.col("id") + 10).alias("limit_tokens"))
+    use = spark.createDataFrame([("7", "r", 1, 4, 1), ("x", "r", 1, 1, 1)], "consumer_id string, route_id string, used_cr long, used_c long, used_r long")
+    got = {r.consumer_id: r.remaining_tokens for r in Q.most_restrictive_quota(use, lim).collect()}
+    assert got == {"7": 13, "x": None}
