@@ -44,13 +44,12 @@ from pyspark.sql import functions as F
 from gatewise.llm.batches import bound_batches
 from gatewise.llm.components import components
 from gatewise.llm.hashing import U64, WordHashes, ascii_words, mix, set_id, shingle_set
-from gatewise.llm.store import hold, written
+from gatewise.llm.store import hold, small, written
 
 MAX_LIGHT = 40  # the boundary is searched among set sizes up to this
 FLUSH_ROWS = 500_000  # list entries a task sorts at once
 ROWS_PER_BUCKET = 1_000_000
 SKETCH_WORDS = 64  # longs of a set's parity sketch
-MOST_BROADCAST = 1_000_000  # rows of a few longs: at most 50 MB
 SHORT_LIST = 16
 BLOCK = 1024
 
@@ -310,12 +309,6 @@ def sets_of(docs: DataFrame, owners: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, sketch array<long>, shingles array<long>")
 
 
-def small(rows: DataFrame) -> DataFrame:
-    """A table of ids, held; marked for broadcast when it has few enough rows, else joined by shuffle."""
-    rows = hold(rows)
-    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
-
-
 def parity_sketch(s: np.ndarray) -> np.ndarray:
     """SKETCH_WORDS longs: per hash bucket, whether the set has an odd number of shingles there.
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gatewise.llm.batches import bound_batches
 from gatewise.llm.hashing import U64, WordHashes, ascii_words, gram_hashes
-from gatewise.llm.store import hold
+from gatewise.llm.store import hold, small
 
 GRAM = 25
 WINDOW = 26  # GRAM + WINDOW - 1 = 50 words
@@ -184,8 +184,11 @@ def repeated_passages(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     bound_batches(docs.sparkSession)
     least = gram + window - 1
     kept = hold(places(docs, gram, window))
-    shared = kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("gram", "n")
-    wanted = kept.join(shared, "gram")
+    shared = hold(kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("gram", "n"))
+    # the places of very common grams (at most one in PLACES_PER_TASK of all) never meet in one task
+    common = small(shared.where(F.col("n") > PLACES_PER_TASK))
+    rare = kept.join(common, "gram", "left_anti").join(shared.where(F.col("n") <= PLACES_PER_TASK), "gram")
+    wanted = kept.join(common, "gram").select("gram", "doc_id", "at", "n").unionAll(rare.select("gram", "doc_id", "at", "n"))
     found = matches(contexts(docs, wanted, gram), gram, least)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
