@@ -1,23 +1,24 @@
-"""Repeated passages: sparse suffix arrays at minimiser positions.
+"""Repeated passages: word windows keyed at minimiser positions.
 
-Of all suffixes (by words) only those are kept whose first K words have the
-smallest hash of some window of W starts.  Any passage of ``K + W - 1`` words
-that stands in two documents keeps a suffix at the same place of both, and
-kept places inside a passage are at most W words apart.
+A passage of ``K + W - 1`` words holds W starts of K words; its *place* is the
+start with the smallest hash (the first of equals).  The same words have the
+same place wherever they stand, so two documents that share a passage share
+the K-gram at its place, and every passage of a text belongs to one place.
 
 1. Keep the places whose K words occur in two documents or more (a count over
    all kept places; everything else is dropped before any text moves).
-2. Bring those places to their texts and cut the K words before and after each.
-3. Sort the suffixes and compare neighbours: per K-gram in the order of what
-   follows and in the order of what precedes, each place is compared with the
-   nearest place of another document on either side; the match is extended
-   right and left.  What reaches ``K + W - 1`` words is a repeated passage.
-4. Overlapping matches of a document are merged.
-
-A K-gram of very many places is dealt over several tasks by the word that
-follows and again by the word that precedes, so that no task holds it whole
-and neighbours by either order still meet; inside a task places are compared
-in overlapping blocks.
+2. Bring those places to their texts and hash the passages of each: a run of
+   at most W consecutive starts.
+3. Places with equal runs are one row from here on: a run that stands in two
+   documents is repeated as a whole.  The passages of the distinct runs are
+   counted by document; what two documents hold is repeated.  All of this is
+   grouping by hash, with partial sums before any shuffle, so every passage
+   meets all others that are equal, however common they are.
+4. The repeated passages of a place overlap, and so do those of neighbouring
+   places; they are merged per document.
+
+Passages and runs are told apart by 64-bit hashes (N of them give N^2 / 2^65
+expected confusions).
 """
 
 from __future__ import annotations
@@ -30,24 +31,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewise.llm.batches import bound_batches
-from gatewise.llm.hashing import U64, WordHashes, ascii_words, gram_hashes
+from gatewise.llm.hashing import U64, WordHashes, ascii_words, gram_hashes, mix, multipliers
 from gatewise.llm.store import hold, small
 
 GRAM = 25
 WINDOW = 26  # GRAM + WINDOW - 1 = 50 words
 PLACES_PER_TASK = 50_000
-BLOCK = 16_384
-CARRY = 256
 
 
 def kept_places(words: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Minimiser places and their K-gram hashes; none for a text too short for a passage."""
+    at, g, _, _ = _placed(words, gram, window)
+    return at, g[at]
+
+
+def _placed(words: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, all K-gram hashes, and each place's first passage and number of passages."""
     g = gram_hashes(words, gram)
     if len(g) < window:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=U64)
+        none = np.empty(0, dtype=np.int64)
+        return none, np.empty(0, dtype=U64), none, none
     view = np.lib.stride_tricks.sliding_window_view(g, window)
-    at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-    return at, g[at]
+    at, first, count = np.unique(view.argmin(axis=1) + np.arange(len(view)), return_index=True, return_counts=True)
+    return at, g, first, count
+
+
+def passage_runs(words: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, their K-gram hashes, first passage, number of passages, hash of the run; and the hashes of all passages."""
+    at, g, first, count = _placed(words, gram, window)
+    if not len(at):
+        return at, g, first, count, g, g
+    n = len(g) - window + 1
+    steps = [*range(0, window - 1, gram), window - 1]  # K-grams that cover a passage
+    whole = np.zeros(n, dtype=U64)
+    for k, step in zip(multipliers(len(steps)), steps, strict=True):
+        whole += g[step : step + n] * k
+    whole = mix(whole)
+    along = np.arange(n) - np.repeat(first, count)
+    run = mix(np.add.reduceat(whole * multipliers(window)[along], first) + count.astype(U64))
+    return at, g[at], first, count, run, whole
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -72,104 +94,50 @@ def places(docs: DataFrame, gram: int, window: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "gram long, doc_id long, at int")
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
-    """The K words before (nearest first) and after each wanted place, as 32-bit hashes (0: none)."""
+def runs(docs: DataFrame, wanted: DataFrame, gram: int, window: int) -> DataFrame:
+    """(doc_id, first, run, passages): the run of passages of each wanted place."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            for doc, body, at, grams, counts in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                words = cache.array(ascii_words(body))
-                g = gram_hashes(words, gram).astype(np.int64)
-                at, grams, counts = np.array(at, dtype=np.int64), np.array(grams, dtype=np.int64), np.array(counts, dtype=np.int64)
-                own = at < len(g)
-                own[own] = g[at[own]] == grams[own]  # rows that share a doc_id have different texts
-                at, grams, counts = at[own], grams[own], counts[own]
-                if not len(at):
-                    continue
-                short = np.concatenate([np.zeros(gram, np.uint32), (words >> U64(32)).astype(np.uint32) | np.uint32(1), np.zeros(2 * gram, np.uint32)])
-                step = np.arange(gram)
-                left = short[at[:, None] + gram - 1 - step[None, :]]
-                right = short[at[:, None] + 2 * gram + step[None, :]]
-                for a in range(0, len(at), 5000):
-                    s = slice(a, a + 5000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(grams[s]), pa.array(counts[s]), pa.array(np.full(len(at[s]), doc, dtype=np.int64)), pa.array(at[s].astype(np.int32)), pa.array([r.tobytes() for r in left[s]], pa.binary()), pa.array([r.tobytes() for r in right[s]], pa.binary())],
-                        ["gram", "n", "doc_id", "at", "before", "after"],
-                    )
-
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "gram", "n")).alias("w"))  # at most the places of one text
-    rows = _texts(docs).join(per_doc, "doc_id").select("doc_id", "body", F.col("w.at").alias("at"), F.col("w.gram").alias("gram"), F.col("w.n").alias("n"))
-    return rows.mapInArrow(run, "gram long, n long, doc_id long, at int, before binary, after binary")
-
-
-def _run_length(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    same = (a == b) & (a != 0)
-    return np.where(same.all(axis=1), a.shape[1], same.argmin(axis=1))
-
-
-def compare_neighbours(grams: np.ndarray, docs: np.ndarray, before: np.ndarray, after: np.ndarray, gram: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per place: words matched to the left, to the right, and a partner (-1: no match of ``least`` words)."""
-    n = len(grams)
-    left, right, partner = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    if not n:
-        return left, right, partner
-    width = before.shape[1] * 4
-    for near in (after, before):
-        text = np.ascontiguousarray(near.astype(">u4")).view(f"S{width}").reshape(-1)
-        order = np.lexsort((docs, text, grams))
-        g, d = grams[order], docs[order]
-        new = np.ones(n, dtype=bool)
-        new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-        run = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], n)
-        for other in (starts[run] - 1, ends[run]):
-            ok = (other >= 0) & (other < n)
-            ok[ok] = g[other[ok]] == g[ok]
-            i, j = order[ok], order[other[ok]]
-            a, b = _run_length(before[i], before[j]), _run_length(after[i], after[j])
-            far = a + gram + b >= least
-            i, j, a, b = i[far], j[far], a[far], b[far]
-            np.maximum.at(left, i, a)
-            np.maximum.at(right, i, b)
-            partner[i] = docs[j]
-    return left, right, partner
-
-
-def matches(places_: DataFrame, gram: int, least: int) -> DataFrame:
-    """(doc_id, start, stop, other): matches of at least ``least`` words with another document."""
-    deals = F.ceil(F.col("n") / PLACES_PER_TASK)
-    by = lambda c: F.when(deals > 1, F.pmod(F.xxhash64(F.substring(c, 1, 4)), deals)).otherwise(0)
-    once = places_.withColumn("deal", by("after"))
-    again = places_.where(deals > 1).withColumn("deal", -1 - by("before"))
-    rows = once.unionAll(again).drop("n").repartition("gram", "deal").sortWithinPartitions("gram", "deal", "after")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            if len(held) < BLOCK:
-                continue
-            key = held.column("gram").to_numpy()
-            cut = int(np.searchsorted(key == key[-1], True))
-            yield compared(held.slice(0, cut) if cut else held)
-            held = held.slice(cut) if cut else held.slice(max(0, len(held) - CARRY))
-        if held is not None:
-            yield compared(held)
-
-    def compared(t: pa.Table) -> pa.RecordBatch:
-        c = lambda k: t.column(k).to_numpy()
-        wide = lambda k: np.frombuffer(b"".join(t.column(k).to_pylist()), dtype=np.uint32).reshape(-1, gram)
-        docs, at = c("doc_id"), c("at").astype(np.int64)
-        group = c("gram") + c("deal").astype(np.int64) * 0x5851F42D4C957F2D
-        left, right, partner = compare_neighbours(group, docs, wide("before"), wide("after"), gram, least)
-        far = left + gram + right >= least
-        far &= partner != -1
-        return pa.RecordBatch.from_arrays([docs[far], at[far] - left[far], at[far] + gram + right[far], partner[far]], ["doc_id", "start", "stop", "other"])
-
-    return rows.mapInArrow(run, "doc_id long, start long, stop long, other long")
+            for doc, body, at, grams in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                places_, g, first, count, run, whole = passage_runs(cache.array(ascii_words(body)), gram, window)
+                asked = dict(zip(at, grams, strict=True))
+                # rows that share a doc_id have different texts
+                own = np.array([i for i, (p, h) in enumerate(zip(places_.tolist(), g.astype(np.int64).tolist(), strict=True)) if asked.get(p) == h], dtype=np.int64)
+                for a in range(0, len(own), 5000):
+                    i = own[a : a + 5000]
+                    ends = np.cumsum(count[i])
+                    held = whole[np.repeat(first[i] - ends + count[i], count[i]) + np.arange(ends[-1])].astype(np.int64)
+                    passages = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(held))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), doc, dtype=np.int64)), pa.array(first[i].astype(np.int32)), pa.array(run[i].astype(np.int64)), passages], ["doc_id", "first", "run", "passages"])
+
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("at", "gram")).alias("w"))  # at most the places of one text
+    rows = _texts(docs).join(per_doc, "doc_id").select("doc_id", "body", F.col("w.at").alias("at"), F.col("w.gram").alias("gram"))
+    return rows.mapInArrow(found, "doc_id long, first int, run long, passages array<long>")
+
+
+def _met(rows: DataFrame, keyed: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``rows`` joined with ``keyed`` (key, n, ...); keys of very many rows (n) meet without a shuffle of the rows."""
+    common = small(keyed.where(F.col("n") > PLACES_PER_TASK).drop("n"))  # at most one in PLACES_PER_TASK of all rows
+    rare = rows.join(common.select(key), key, "left_anti").join(keyed.where(F.col("n") <= PLACES_PER_TASK).drop("n"), key)
+    return rows.join(common, key).select(*columns).unionAll(rare.select(*columns))
+
+
+def matches(rows: DataFrame, least: int) -> DataFrame:
+    """(doc_id, start, stop, other): per place, what other documents hold too of its passages."""
+    groups = hold(rows.groupBy("run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.first("passages").alias("passages")))
+    each = groups.select("run", "lo", "hi", F.posexplode("passages").alias("i", "passage"))
+    shared = hold(each.groupBy("passage").agg(F.min("lo").alias("least_doc"), F.max("hi").alias("most_doc"), F.count(F.lit(1)).alias("n")).where("least_doc < most_doc"))
+    lone = each.where("lo = hi").select("run", "lo", "i", "passage")  # runs of one document
+    hits = _met(lone, shared, "passage", ["run", "lo", "i", "least_doc", "most_doc"])
+    other = F.when(F.col("least_doc") != F.col("lo"), F.col("least_doc")).otherwise(F.col("most_doc"))
+    part = hits.groupBy("run").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.min(other).alias("other"))
+    part = part.join(groups.where("lo = hi").select("run", "n"), "run").select("run", "n", "a", "b", F.col("other").alias("lo"), F.col("other").alias("hi"))
+    whole = groups.where("lo < hi").select("run", "n", F.lit(0).alias("a"), (F.size("passages") - 1).alias("b"), "lo", "hi")
+    spans = _met(rows.select("doc_id", "first", "run"), hold(whole.unionAll(part)), "run", ["doc_id", "first", "a", "b", "lo", "hi"])
+    start, stop = F.col("first") + F.col("a"), F.col("first") + F.col("b") + least
+    return spans.select("doc_id", start.cast("long").alias("start"), stop.cast("long").alias("stop"), F.when(F.col("lo") != F.col("doc_id"), F.col("lo")).otherwise(F.col("hi")).alias("other"))
 
 
 def repeated_passages(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -177,7 +145,7 @@ def repeated_passages(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
 
     A passage has at least ``gram + window - 1`` words (lower-cased, split on
     white space) that also stand, word for word, in a document with another
-    doc_id; ``other_doc`` is the smallest such document met.  Rows with a null
+    doc_id; ``other_doc`` is one of them.  Rows with a null
     doc_id or text take no part; rows that share a doc_id are one document;
     other columns are ignored.  No passage gives an empty result.
     """
@@ -188,8 +156,8 @@ def repeated_passages(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     # the places of very common grams (at most one in PLACES_PER_TASK of all) never meet in one task
     common = small(shared.where(F.col("n") > PLACES_PER_TASK))
     rare = kept.join(common, "gram", "left_anti").join(shared.where(F.col("n") <= PLACES_PER_TASK), "gram")
-    wanted = kept.join(common, "gram").select("gram", "doc_id", "at", "n").unionAll(rare.select("gram", "doc_id", "at", "n"))
-    found = matches(contexts(docs, wanted, gram), gram, least)
+    wanted = kept.join(common, "gram").select("gram", "doc_id", "at").unionAll(rare.select("gram", "doc_id", "at"))
+    found = matches(hold(runs(docs, wanted, gram, window)), least)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
