@@ -37,3 +37,17 @@ def test_words_before_a_common_gram(spark):
     texts = [f"a{i // 2} b{i // 2} c{i // 2} {common} r{i} s{i} t{i}" for i in range(40_000)]
     got, want = covered(spark, texts, 3, 4)
     assert got == want and len(want) == 40_000
+
+
+def test_partner_behind_nearer_ones(spark):
+    # A and B share two words before and three after; the Cs share more of what follows, the Ds more of what precedes
+    texts = []
+    for k, common in enumerate(small_grams(5, 30)):
+        x, y = [f"x{k}n{i}" for i in range(3)], " ".join(f"y{k}n{i}" for i in range(3))
+        texts.append(f"u{k}a {x[2]} {x[1]} {x[0]} {common} {y} y{k}n3 v{k}a")
+        texts.append(f"u{k}b w{k}b {x[1]} {x[0]} {common} {y} z{k}b v{k}b")
+        for c in range(8):
+            texts.append(f"u{k}c{c} w{k}c{c} q{k}c{c} {common} {y} y{k}n3 v{k}c{c}")
+            texts.append(f"u{k}d{c} {x[2]} {x[1]} {x[0]} {common} r{k}d{c} s{k}d{c} v{k}d{c}")
+    got, want = covered(spark, texts, 5, 6)
+    assert got == want and len(want) == 60
