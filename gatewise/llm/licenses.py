@@ -1,8 +1,12 @@
 """License scan: base phrases, and an exact set-similarity join with templates.
 
-A text block is a line; its set is its distinct words, a template's its own.
-A block carries a template's label when it contains at least ``share`` of the
-template's words.  The join is exact:
+A text block is a line, or a window of the text that is as long as a template
+of m words with a tenth more (m / share words, over any line ends), so that
+hard-wrapped notices count as those on one line do.  Its set is its distinct
+words, a template's its own.  A block carries a template's label when it
+contains at least ``share`` of the template's words.  The join is exact; the
+windows of a text are slid only for templates that the text as a whole
+contains:
 
 * words are ordered by how many blocks of the whole table hold them, rarest
   first (counted over all documents);
@@ -90,24 +94,47 @@ class TemplateIndex:
             need = -(-share[0] * len(words) // share[1])
             for at, word in enumerate(words[: len(words) - need + 1]):
                 self.index.setdefault(word, []).append((len(self.templates), at))
-            self.templates.append((label, words, need))
+            self.templates.append((label, words, need, -(-len(words_of(text.encode())) * share[1] // share[0])))
         self.prefixes = frozenset(self.index)
 
     def match(self, block: list[bytes]) -> list[tuple[str, float]]:
         """(label, containment) of the templates that the block contains."""
-        words = set(block)
+        return [(self.templates[t][0], shared / len(self.templates[t][1])) for t, shared in self._contained(set(block))]
+
+    def match_windows(self, text: list[bytes]) -> list[tuple[str, float]]:
+        """(label, containment) of the templates that a window of the text contains."""
+        out = []
+        for template, _ in self._contained(set(text)):
+            label, ordered, need, width = self.templates[template]
+            own, held, shared, back = set(ordered), Counter(), 0, 0
+            places = [i for i, w in enumerate(text) if w in own]
+            for i in places:
+                held[text[i]] += 1
+                while places[back] <= i - width:
+                    gone = text[places[back]]
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                    back += 1
+                shared = max(shared, len(held))
+            if shared >= need:
+                out.append((label, shared / len(ordered)))
+        return out
+
+    def _contained(self, words: set[bytes]) -> list[tuple[int, int]]:
+        """(template, shared words) of the templates that a set of words contains."""
         first: dict[int, int] = {}
         for word in self.prefixes & words:
             for template, at in self.index[word]:
                 first[template] = min(at, first.get(template, at))
         out = []
         for template, at in first.items():
-            label, ordered, need = self.templates[template]
+            _, ordered, need, _ = self.templates[template]
             if len(words) < need or len(ordered) - at < need:  # length and positional filters
                 continue
             shared = sum(w in words for w in ordered[at:])
             if shared >= need:
-                out.append((label, shared / len(ordered)))
+                out.append((template, shared))
         return out
 
 
@@ -137,10 +164,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
                             starts += places
                             base.update([label] * bool(places))
                 if index.prefixes & present:
-                    for line in body.split(b"\n"):
-                        for label, part in index.match(words_of(line)):
-                            labels.add(label)
-                            score = max(score, part)
+                    found = [hit for line in body.split(b"\n") for hit in index.match(words_of(line))]
+                    for label, part in found + index.match_windows(words):
+                        labels.add(label)
+                        score = max(score, part)
                 if base:
                     score = 1.0
                 out.append((doc, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score))
