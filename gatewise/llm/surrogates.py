@@ -1,7 +1,11 @@
 """PII surrogates: keyed, type-consistent replacements, by DataFrame functions only.
 
 Found entities: e-mail addresses, IPv4 addresses, card numbers, IBANs, social
-security numbers, phone numbers, and personal names behind a title.  Each
+security numbers, Turkish national ids (11 digits, by their check digits),
+phone numbers, and personal names: behind a title, and any capitalised mention
+of such a name's words in the same text.  Not found: names that no title
+introduces in their text, and bare digits other than Turkish mobile numbers
+as phone numbers (they look like any other number).  Each
 distinct entity (each word of a name) gets one surrogate in the whole table,
 drawn from a keyed digest of its type and normal form:
 
@@ -10,7 +14,8 @@ drawn from a keyed digest of its type and normal form:
 * the format stays: digits for digits, letters for letters in their case,
   separators in place, card numbers with a valid check digit, IBANs with their
   country and valid check digits, addresses in ranges that nobody owns;
-* names keep gender (of the title) and script (Latin, Cyrillic, Greek).
+* names keep gender (of the title) and script (Latin, Cyrillic, Greek); behind a
+  neutral title a first name is that of the gendered titles, if those agree.
 
 *Collision check*: a surrogate must differ from every other surrogate and from
 every real entity of its type.  Rejected ones are drawn again with the next
@@ -28,22 +33,30 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewise.functions.pii import tc_kimlik_valid
 from gatewise.llm.batches import bound_batches
 from gatewise.llm.store import hold
 from gatewise.operators.common import materialize
 
-# Titles by the gender they state.
+# Titles by the gender they state (_N: none).
 TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "госпожа", "κυρία")
 TITLES_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин", "κύριος")
+TITLES_N = ("Dr", "Prof", "Professor", "Doctor")
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![\w.])\d{4}[ -]?(?:\d{4}[ -]?\d{4}[ -]?\d{1,7}|\d{6}[ -]?\d{4,5})(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{2,4}|\d{2,4}(?<=\+\d{1,3}[ .-]?\d{2,4})[ .-]\d{2,4}|\d{3}[.-]\d{3})(?:[ .-]?\d{2,4}){1,3}(?!\w)"
-NAME = r"(?<![\p{L}\p{N}_])(?:" + "|".join(TITLES_F + TITLES_M) + r")\.? \p{Lu}[\p{L}'’]+(?: \p{Lu}[\p{L}'’]+){0,2}"
-ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, IP, IBAN, CARD, SSN, PHONE, NAME))
+GROUPED = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{2,4}|\d{2,4}(?<=\+\d{1,3}[ .-]?\d{2,4})[ .-]\d{2,4}|\d{3}[.-]\d{3})(?:[ .-]?\d{2,4}){1,3}(?!\w)"
+MOBILE = r"(?:90[ .-]?|0)?5\d{2}[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2}"
+COMPACT = r"(?<![\w+.])(?:\+\d{1,3}[ .-]?\d{6,12}|" + MOBILE + r"|(?:1 )?[2-9]\d{2} [2-9]\d{2} \d{4})(?!\w|\.\d)"
+PHONE = f"{GROUPED}|{COMPACT}"
+NATIONAL = r"(?<![\w+.])[1-9]\d{10}(?!\w|\.\d)"
+TITLES = r"(?:(?:" + "|".join(TITLES_F + TITLES_M + TITLES_N) + r")\.? )+"
+NAME_WORD = r"\p{Lu}[\p{L}'’]*\p{L}(?<!['’][sS])"
+NAME = rf"(?<![\p{{L}}\p{{N}}_]){TITLES}{NAME_WORD}(?: {NAME_WORD}){{0,2}}"
+ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, IP, IBAN, CARD, SSN, PHONE, NATIONAL, NAME))
 
 # Syllables of surrogate names, by script.
 SYLLABLES = {
@@ -51,8 +64,9 @@ SYLLABLES = {
     "cyrillic": ("ба", "де", "фи", "го", "ха", "ке", "ли", "мо", "на", "пе", "ри", "со", "та", "ве", "ви", "зо"),
     "greek": ("βα", "δε", "φι", "γο", "χα", "κε", "λι", "μο", "να", "πε", "ρι", "σο", "τα", "βε", "ζι", "θο"),
 }
-# Endings of (feminine first name, masculine first name, surname), by script.
-ENDINGS = {"latin": ("lia", "ric", "man"), "cyrillic": ("лия", "рик", "ман"), "greek": ("λια", "ρικος", "μανης")}
+# Endings of (feminine, masculine first name, surname, first name of unknown gender), by script.
+ENDINGS = {"latin": ("lia", "ric", "man", "ren"), "cyrillic": ("лия", "рик", "ман", "рен"), "greek": ("λια", "ρικος", "μανης", "ρεν")}
+FIRST_NAMES = ("first_f", "first_m", "first_n")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -63,7 +77,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def may_hold(text: Column) -> Column:
     """Cheap guard: a text without a digit, an @ or a title holds no entity."""
     guard = text.contains("@") | text.rlike("[0-9]")
-    for title in TITLES_F + TITLES_M:
+    for title in TITLES_F + TITLES_M + TITLES_N:
         guard = guard | text.contains(title)
     return F.coalesce(guard, F.lit(False))
 
@@ -77,6 +91,7 @@ def kind_of(entity: Column) -> Column:
         .when(entity.rlike(r"^[A-Z]{2}"), "iban")
         .when(whole(SSN), "ssn")
         .when(whole(CARD), "card")
+        .when(whole(NATIONAL) & ~whole(PHONE), F.when(tc_kimlik_valid(entity), "national"))  # null: some other number
         .otherwise("phone")
     )
 
@@ -87,9 +102,10 @@ def _digits(c: Column) -> Column:
 
 def _name_parts(entity: Column) -> Column:
     """(type, form) of a name's words: first names carry the title's gender, the last word is the surname."""
-    words = F.split(F.regexp_replace(entity, r"^\S+ ", ""), " ")
-    female = F.regexp_replace(F.regexp_extract(entity, r"^(\S+) ", 1), r"\.$", "").isin(*TITLES_F)
-    first = F.when(female, "first_f").otherwise("first_m")
+    words = F.split(F.regexp_replace(entity, f"^{TITLES}", ""), " ")
+    titles = F.transform(F.split(F.regexp_extract(entity, f"^{TITLES}", 0), " "), lambda t: F.regexp_replace(t, r"\.$", ""))
+    has = lambda those: F.arrays_overlap(titles, F.array(*map(F.lit, those)))
+    first = F.when(has(TITLES_F), "first_f").when(has(TITLES_M), "first_m").otherwise("first_n")
     return F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "surname").otherwise(first).alias("type"), F.lower(w).alias("form")))
 
 
@@ -103,7 +119,7 @@ def parts_of(entity: Column) -> Column:
     )
     plain = F.when(kind == "ip", entity).when(kind == "iban", F.regexp_replace(entity, " ", "")).otherwise(_digits(entity))
     plain = F.when((kind == "phone") & entity.startswith("+"), F.concat(F.lit("+"), plain)).otherwise(plain)
-    return F.when(kind == "email", mail).when(kind == "name", _name_parts(entity)).otherwise(one(kind, plain))
+    return F.when(kind == "email", mail).when(kind == "name", _name_parts(entity)).when(kind.isNotNull(), one(kind, plain))
 
 
 # ---- surrogates of normal forms ---------------------------------------------------
@@ -159,6 +175,14 @@ def _iban(form: Column) -> Column:
     return F.concat(F.substring(form, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), F.substring(form, F.lit(5), F.length(form)))
 
 
+def _national(form: Column) -> Column:
+    """``form`` with the two check digits of its first nine digits."""
+    d = lambda i: F.substring(form, i, 1).try_cast("int")
+    odd, even = d(1) + d(3) + d(5) + d(7) + d(9), d(2) + d(4) + d(6) + d(8)
+    tenth = F.pmod(odd * 7 - even, F.lit(10))
+    return F.concat(F.substring(form, 1, 9), tenth.cast("string"), F.pmod(odd + even + tenth, F.lit(10)).cast("string"))
+
+
 def _octet(noise: Column, i: int) -> Column:
     return F.element_at(noise, i).cast("string")
 
@@ -197,6 +221,8 @@ def _drawn(kind: Column, form: Column, noise: Column, attempt: Column) -> Column
         .when(kind == "iban", _iban(_like(form, noise, 2)))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_like(form, noise), 2, 8)))
         .when(kind == "card", _luhn(_like(form, noise, 1)))
+        .when(kind == "national", _national(_like(form, noise, 1)))
+        .when(kind == "first_n", _word(form, noise, 3, attempt))
         .when(kind == "first_f", _word(form, noise, 0, attempt))
         .when(kind == "first_m", _word(form, noise, 1, attempt))
         .when(kind == "surname", _word(form, noise, 2, attempt))
@@ -246,8 +272,8 @@ def written(entity: Column, surrogates: Column) -> Column:
 
 def _written(kind: Column, entity: Column, surrogates: Column) -> Column:
     first = F.element_at(surrogates, 1)
-    words = F.split(F.regexp_replace(entity, r"^\S+ ", ""), " ")
-    name = F.concat_ws(" ", F.regexp_extract(entity, r"^(\S+) ", 1), F.array_join(F.zip_with(words, surrogates, _case_like), " "))
+    words = F.split(F.regexp_replace(entity, f"^{TITLES}", ""), " ")
+    name = F.concat(F.regexp_extract(entity, f"^{TITLES}", 0), F.array_join(F.zip_with(words, surrogates, _case_like), " "))
     numeric = _spaced(entity, F.when(kind == "phone", F.regexp_replace(first, r"\D", "")).otherwise(first), "[0-9]")
     return (
         F.when(kind == "email", F.concat_ws("@", first, F.element_at(surrogates, 2)))
@@ -258,6 +284,26 @@ def _written(kind: Column, entity: Column, surrogates: Column) -> Column:
     )
 
 
+def _with_neutral(parts: DataFrame, key: str) -> DataFrame:
+    """``surrogate_table``, with first names behind neutral titles as behind the gendered ones that all state one gender."""
+    real = hold(parts.distinct())
+    told = real.where(F.col("type").isin("first_f", "first_m")).groupBy("form").agg(F.min("type").alias("as"), F.max("type").alias("other")).where(F.col("as") == F.col("other"))
+    known = hold(real.where(F.col("type") == "first_n").join(told.select("form", "as"), "form").select("type", "form", "as"))
+    drawn = surrogate_table(real.join(known.select("type", "form"), ["type", "form"], "left_anti"), key)
+    again = known.join(drawn.select(F.col("type").alias("as"), "form", "surrogate"), ["as", "form"]).select("type", "form", "surrogate")
+    return drawn.unionByName(again)
+
+
+def _pieces(piece: Column) -> Column:
+    """Words (letters and apostrophes, no possessive ending) and what stands between them."""
+    return F.split(piece, r"(?<![\p{L}'’])(?=\p{L})|(?<=\p{L})(?![\p{L}'’])|(?<=\p{L})(?=['’](?:[sS]?(?!\p{L})))", -1)
+
+
+def _named(word: Column, names: Column) -> Column:
+    """The surrogate of a capitalised word that the text's names hold, else null."""
+    return F.when(word.rlike(r"^\p{Lu}"), F.element_at(names, F.lower(word)))
+
+
 def surrogate_texts(docs: DataFrame, key: str = "gatewise") -> DataFrame:
     """``docs`` with every entity in ``text`` replaced, and ``n_entities``.
 
@@ -274,16 +320,23 @@ def surrogate_texts(docs: DataFrame, key: str = "gatewise") -> DataFrame:
     found = hold(holding.groupBy("__key").agg(F.first("entities").alias("entities")))
     each = found.select("__key", F.posexplode("entities").alias("at", "entity"))
     parts = each.select("__key", "at", F.posexplode(parts_of(F.col("entity"))).alias("part", "p")).select("__key", "at", "part", "p.type", "p.form")
-    table = surrogate_table(parts.select("type", "form"), key)
-    told = parts.join(table, ["type", "form"]).groupBy("__key", "at").agg(F.array_sort(F.collect_list(F.struct("part", "surrogate"))).alias("s"))
-    new = told.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("at", F.col("s.surrogate").alias("surrogates")))).alias("new"))
-
-    rows = guarded.withColumn("__row", F.md5(text.cast("binary"))).join(new, F.col("__row") == F.col("__key"), "left")
+    table = _with_neutral(parts.select("type", "form"), key)
+    with_surrogates = hold(parts.join(table, ["type", "form"]))
+    told = with_surrogates.groupBy("__key", "at").agg(F.array_sort(F.collect_list(F.struct("part", "surrogate"))).alias("s"))
+    new = told.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("at", F.col("s.surrogate").alias("surrogates")))).alias("new"))
+    words = with_surrogates.where(F.col("type").isin("surname", *FIRST_NAMES)).groupBy("__key", "form").agg(F.max(F.struct("type", "surrogate")).alias("s"))  # surnames first
+    names = words.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("form", F.col("s.surrogate").alias("surrogate")))).alias("names"))
+
+    rows = guarded.withColumn("__row", F.md5(text.cast("binary"))).join(new.join(names, "__key", "left"), F.col("__row") == F.col("__key"), "left")
     pieces = F.split(text, ENTITY, -1)
     entities = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    rewritten = F.zip_with(entities, F.col("new.surrogates"), written)
-    joined = F.array_join(F.zip_with(pieces, rewritten, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
-    changed = rows.withColumn("n_entities", F.coalesce(F.size("new"), F.lit(0))).withColumn("n_entities", F.greatest("n_entities", F.lit(0)))
+    given = lambda i: F.element_at(F.col("new"), i)
+    rewritten = F.transform(entities, lambda e, i: F.when(given(i).isNull(), e).otherwise(written(e, given(i))))
+    mention = lambda w: F.coalesce(_case_like(w, _named(w, F.col("names"))), w)
+    between = F.when(F.col("names").isNull(), pieces).otherwise(F.transform(pieces, lambda p: F.array_join(F.transform(_pieces(p), mention), "")))
+    mentions = F.aggregate(pieces, F.lit(0), lambda n, p: n + F.size(F.filter(_pieces(p), lambda w: _named(w, F.col("names")).isNotNull())))
+    joined = F.array_join(F.zip_with(between, rewritten, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
+    changed = rows.withColumn("n_entities", F.when(F.col("new").isNull(), 0).otherwise(F.size("new") + F.when(F.col("names").isNull(), 0).otherwise(mentions)))
     changed = changed.withColumn("text", F.when(F.col("new").isNull(), text).otherwise(joined))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
