@@ -110,8 +110,11 @@ def _name_parts(entity: Column) -> Column:
 
 
 def parts_of(entity: Column) -> Column:
-    """The replaceable parts of an entity: its type and normal form (formatting removed)."""
-    kind = kind_of(entity)
+    """The replaceable parts of an entity: its type and normal form (formatting removed); null for none."""
+    return _let(kind_of(entity), lambda kind: _parts(kind, entity))
+
+
+def _parts(kind: Column, entity: Column) -> Column:
     one = lambda t, f: F.array(F.struct(t.alias("type"), f.alias("form")))
     mail = F.array(
         F.struct(F.lit("mailbox").alias("type"), F.lower(entity).alias("form")),
@@ -221,7 +224,7 @@ def _drawn(kind: Column, form: Column, noise: Column, attempt: Column) -> Column
         .when(kind == "iban", _iban(_like(form, noise, 2)))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_like(form, noise), 2, 8)))
         .when(kind == "card", _luhn(_like(form, noise, 1)))
-        .when(kind == "national", _national(_like(form, noise, 1)))
+        .when(kind == "national", _let(_like(form, noise, 1), _national))
         .when(kind == "first_n", _word(form, noise, 3, attempt))
         .when(kind == "first_f", _word(form, noise, 0, attempt))
         .when(kind == "first_m", _word(form, noise, 1, attempt))
@@ -332,7 +335,7 @@ def surrogate_texts(docs: DataFrame, key: str = "gatewise") -> DataFrame:
     entities = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
     given = lambda i: F.element_at(F.col("new"), i)
     rewritten = F.transform(entities, lambda e, i: F.when(given(i).isNull(), e).otherwise(written(e, given(i))))
-    mention = lambda w: F.coalesce(_case_like(w, _named(w, F.col("names"))), w)
+    mention = lambda w: _let(_named(w, F.col("names")), lambda new: F.coalesce(_case_like(w, new), w))
     between = F.when(F.col("names").isNull(), pieces).otherwise(F.transform(pieces, lambda p: F.array_join(F.transform(_pieces(p), mention), "")))
     mentions = F.aggregate(pieces, F.lit(0), lambda n, p: n + F.size(F.filter(_pieces(p), lambda w: _named(w, F.col("names")).isNotNull())))
     joined = F.array_join(F.zip_with(between, rewritten, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
