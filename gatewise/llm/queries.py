@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewise.llm import decontam, jaccard, licenses, packing, secrets, suffix_dedup, surrogates, token_counts, topk, toxicity
+from gatewise.llm import decontam, jaccard, licenses, packing, secrets, suffix_dedup, surrogates, token_counts, topk, toxicity, warc
+from gatewise.llm.store import shared_path
 from gatewise.sources import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +56,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_pages(read_table(spark, sf_dir, "pages"), path)
+    return warc.page_digests(warc.read_records(spark, path))
+
+
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_jaccard_join, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_topk, op7_pii_surrogates, op8_license_scan, op9_packing, op10_secret_scan)
+    for f in (op1_decontamination, op2_jaccard_join, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_topk, op7_pii_surrogates, op8_license_scan, op9_packing, op10_secret_scan, op11_warc)
 }
 
 # ---- SQL ---------------------------------------------------------------------------
@@ -113,4 +120,13 @@ from w left join b using (rid) left join lab using (rid) left join blab using (r
 """
 
 
-ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op6_topk": _OP6, "op8_license_scan": _op8()}
+_OP11 = f"""
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+d as (select page_id, octet_length(b)::bigint n, sha1(b) h, sha256(b) s from p),
+k as (select *, max(page_id) over (partition by s) top from d)
+select page_id, n payload_bytes, h payload_digest, case when n >= {warc.LEAST_REVISIT} and top <> page_id then 'revisit' else 'response' end record_type,
+  case when n >= {warc.LEAST_REVISIT} and top <> page_id then top end refers_to, null::varchar problem from k
+"""
+
+
+ORACLES: dict[str, str] = {"op11_warc": _OP11, "op1_decontamination": _OP1, "op6_topk": _OP6, "op8_license_scan": _op8()}
