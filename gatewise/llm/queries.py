@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewise.llm import decontam, jaccard, licenses, packing, secrets, suffix_dedup, surrogates, token_counts, topk, toxicity, warc
+from gatewise.llm import decontam, jaccard, licenses, packing, ranked, secrets, suffix_dedup, surrogates, token_counts, topk, toxicity, warc
 from gatewise.llm.store import shared_path
 from gatewise.sources import read_table
 
@@ -62,9 +62,13 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.read_records(spark, path))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_jaccard_join, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_topk, op7_pii_surrogates, op8_license_scan, op9_packing, op10_secret_scan, op11_warc)
+    for f in (op1_decontamination, op2_jaccard_join, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_topk, op7_pii_surrogates, op8_license_scan, op9_packing, op10_secret_scan, op11_warc, op12_ranked_search)
 }
 
 # ---- SQL ---------------------------------------------------------------------------
@@ -129,4 +133,20 @@ select page_id, n payload_bytes, h payload_digest, case when n >= {warc.LEAST_RE
 """
 
 
-ORACLES: dict[str, str] = {"op11_warc": _OP11, "op1_decontamination": _OP1, "op6_topk": _OP6, "op8_license_scan": _op8()}
+_TERM12 = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+_OP12 = f"""
+with d as (select row_number() over () rid, doc_id, regexp_extract_all({_LOWER}, '{_TERM12}') w from documents),
+st as (select count(*) filter (len(w) > 0) n_docs, sum(len(w))::bigint n_terms from d),
+i as (select row_number() over () iid, item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM12}')) t from (select distinct item_id, text from benchmark)),
+it as (select iid, item_id, t, count(*) c from i group by all),
+p as (select rid, t, count(*) tf from (select rid, unnest(w) t from d) where t in (select t from it) group by all),
+f as (select t, count(*) df from p group by t),
+wt as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint w from f, st),
+m as (select rid, doc_id, 25 + ((75 * len(w)::bigint * n_docs) // n_terms) m from d, st where len(w) > 0),
+s as (select iid, item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score from it join wt using (t) join p using (t) join m using (rid) group by iid, item_id, rid, doc_id),
+r as (select *, row_number() over (partition by iid order by score desc, doc_id nulls last) k from s where score > 0)
+select item_id, k::int as rank, doc_id, score from r where k <= 10
+"""
+
+ORACLES: dict[str, str] = {"op12_ranked_search": _OP12, "op11_warc": _OP11, "op1_decontamination": _OP1, "op6_topk": _OP6, "op8_license_scan": _op8()}
