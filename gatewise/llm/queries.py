@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewise.llm import decontam, jaccard, licenses, packing, ranked, secrets, suffix_dedup, surrogates, token_counts, topk, toxicity, warc
+from gatewise.llm import alignment, decontam, jaccard, licenses, packing, ranked, secrets, suffix_dedup, surrogates, token_counts, topk, toxicity, warc
 from gatewise.llm.store import shared_path
 from gatewise.sources import read_table
 
@@ -66,9 +66,13 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_jaccard_join, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_topk, op7_pii_surrogates, op8_license_scan, op9_packing, op10_secret_scan, op11_warc, op12_ranked_search)
+    for f in (op1_decontamination, op2_jaccard_join, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_topk, op7_pii_surrogates, op8_license_scan, op9_packing, op10_secret_scan, op11_warc, op12_ranked_search, op13_alignment)
 }
 
 # ---- SQL ---------------------------------------------------------------------------

@@ -36,16 +36,16 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
 
-def hot_join(rows: DataFrame, keyed: DataFrame, key: str, share: int = 1000) -> DataFrame:
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, share: int = 1000, few: int | None = None) -> DataFrame:
     """Left join of ``rows`` to ``keyed`` (one row per ``key``) when a key may hold many of the rows.
 
-    A ``keyed`` of few rows is broadcast.  Otherwise a key with more than
+    A ``keyed`` of at most ``few`` rows is broadcast.  Otherwise a key with more than
     1/``share`` of the rows is hot; there are fewer than ``share`` of them, so
     their part of ``keyed`` is broadcast and their rows do not move.  All other
     rows are joined by shuffle.  Null keys meet nothing.
     """
     keyed = hold(keyed)
-    if keyed.count() <= MOST_BROADCAST // 4:
+    if keyed.count() <= (MOST_BROADCAST // 4 if few is None else few):
         return rows.join(F.broadcast(keyed), key, "left")
     counts = hold(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
