@@ -7,13 +7,11 @@ the last A and the last B token of a group are linked.
 A stretch of tokens is a ``Fragment``: an open head up to its first common
 end, closed groups, an open tail.  ``compose`` joins two neighbours by merging
 the left one's open end with the right one's head.  It is associative, so a
-document may be cut anywhere where its tokenizer cannot merge across:
-
-* a text's units (a run of blanks and what follows it) end both tokenizers'
-  tokens; a worker keeps the fragments of the units it has seen;
-* a very long text is dealt as byte ranges to many tasks.  Each tokenizer has
-  its own cuts (A at any white space, B at blanks), so tokens hang over on
-  either side; the fragments are composed by a tree of Spark groupings.
+document may be cut anywhere where its tokenizer cannot merge across.  A text
+is one fragment, but a very long one is dealt as byte ranges to many tasks.
+Each tokenizer has its own cuts (A at any white space, B at blanks), so tokens
+hang over on either side; the fragments are composed by a tree of Spark
+groupings.
 
 Where texts are cut follows from the tokenizers: A's pattern never matches a
 sign and a following white space in one token, and B has no piece with a blank
@@ -25,10 +23,9 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, pairwise
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -44,15 +41,12 @@ from gatewise.operators.common import materialize
 LONG = 48 * 1024  # characters; longer texts are dealt in ranges
 RANGE = 16 * 1024
 FAN = 8
-CACHE_UNITS, CACHE_CHARS = 200_000, 64
 BLANK = "▁"
 
-_UNIT = re.compile(r"(?<=\S)(?= )")
-_SPACES = re.compile(r"\s ")
 _CUT_A = re.compile(r"(?<=\S)[ \n\t\r]")
 _CUT_B = re.compile(r"(?<=[^ ]) ")
 
-Tokens = tuple[list[int], list[int]]  # ids and the byte offsets where they end
+Tokens = tuple[np.ndarray, np.ndarray]  # ids and the byte offsets where they end
 
 
 # ---- the monoid ----------------------------------------------------------------------------
@@ -61,11 +55,11 @@ Tokens = tuple[list[int], list[int]]  # ids and the byte offsets where they end
 class Closed(NamedTuple):
     """Groups with both ends known: counts, their text form, their links (A id * 2^32 + B id)."""
 
-    n_a: int = 0
-    n_b: int = 0
-    n_groups: int = 0
-    text: bytes = b""
-    links: tuple[int, ...] = ()
+    n_a: int
+    n_b: int
+    n_groups: int
+    text: str
+    links: np.ndarray
 
 
 class Fragment(NamedTuple):
@@ -77,60 +71,89 @@ class Fragment(NamedTuple):
     cut: bool
 
 
-NOTHING: Tokens = ([], [])
+NO_IDS = np.empty(0, np.int64)
+NOTHING: Tokens = (NO_IDS, NO_IDS)
 OPEN = (NOTHING, NOTHING)
+NONE_CLOSED = Closed(0, 0, 0, "", NO_IDS)
 
 
 def _plus(x: Tokens, y: Tokens) -> Tokens:
-    return x[0] + y[0], x[1] + y[1]
+    return np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]])
+
+
+def _part(x: Tokens, start: int, end: int | None) -> Tokens:
+    return x[0][start:end], x[1][start:end]
 
 
 def _join(*parts: Closed) -> Closed:
     parts = tuple(p for p in parts if p.n_groups)
-    return Closed(sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts), b";".join(p.text for p in parts), tuple(chain.from_iterable(p.links for p in parts)))
+    if len(parts) == 1:
+        return parts[0]
+    return Closed(sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts), ";".join(p.text for p in parts), np.concatenate([NO_IDS, *(p.links for p in parts)]))
 
 
-def _merge(a: Tokens, b: Tokens) -> tuple[list[tuple[Tokens, Tokens]], tuple[Tokens, Tokens]]:
-    """Groups that end together, and what is left behind the last of them."""
-    (a_ids, a_ends), (b_ids, b_ends) = a, b
-    groups, i, j, i0, j0 = [], 0, 0, 0, 0
-    while i < len(a_ends) and j < len(b_ends):
-        x, y = a_ends[i], b_ends[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            groups.append(((a_ids[i0:i], a_ends[i0:i]), (b_ids[j0:j], b_ends[j0:j])))
-            i0, j0 = i, j
-    return groups, ((a_ids[i0:], a_ends[i0:]), (b_ids[j0:], b_ends[j0:]))
+def common_ends(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the A and of the B tokens that end where the other side ends too."""
+    if not len(a[1]) or not len(b[1]):
+        return NO_IDS, NO_IDS
+    base = min(a[1][0], b[1][0])
+    both = np.zeros(max(a[1][-1], b[1][-1]) - base + 1, np.int8)
+    both[a[1] - base] += 1
+    both[b[1] - base] += 1
+    return np.flatnonzero(both[a[1] - base] == 2), np.flatnonzero(both[b[1] - base] == 2)
 
 
-def _close(groups: list[tuple[Tokens, Tokens]]) -> Closed:
-    text = ";".join(f"{','.join(map(str, a[0]))}|{','.join(map(str, b[0]))}" for a, b in groups)
-    return Closed(sum(len(a[0]) for a, _ in groups), sum(len(b[0]) for _, b in groups), len(groups), text.encode(), tuple(a[0][-1] << 32 | b[0][-1] for a, b in groups))
+@cache
+def _written(n: int) -> np.ndarray:
+    """Text of each id behind a comma, a semicolon and a bar."""
+    return np.array([f"{sign}{i}" for sign in ",;|" for i in range(n)], dtype=object)
+
+
+def close(a: Tokens, b: Tokens) -> Closed:
+    """Of tokens whose last ones end together: every group, written in order."""
+    last_a, last_b = common_ends(a, b)
+    if not len(last_a):
+        return NONE_CLOSED
+    n = int(max(a[0].max(), b[0].max())) + 1
+    n = 1 << n.bit_length()
+    first_a, first_b = np.append(0, last_a[:-1] + 1), np.append(0, last_b[:-1] + 1)
+    sizes_a, sizes_b = last_a + 1 - first_a, last_b + 1 - first_b
+    out = np.empty(len(a[0]) + len(b[0]), np.int64)
+    sign_a, sign_b = a[0].copy(), b[0].copy()
+    sign_a[first_a] += n
+    sign_b[first_b] += 2 * n
+    out[np.arange(len(a[0])) + np.repeat(first_b, sizes_a)] = sign_a  # behind the B tokens of earlier groups
+    out[np.arange(len(b[0])) + np.repeat(last_a + 1, sizes_b)] = sign_b  # behind the A tokens up to this group
+    return Closed(len(a[0]), len(b[0]), len(last_a), "".join(_written(n)[out].tolist())[1:], a[0][last_a] << 32 | b[0][last_b])
 
 
 def fragment(a: Tokens, b: Tokens) -> Fragment:
     """Of the tokens of one byte range; offsets are those in the whole document."""
-    groups, rest = _merge(a, b)
-    return Fragment(groups[0], _close(groups[1:]), rest, True) if groups else Fragment((a, b), Closed(), OPEN, False)
+    last_a, last_b = common_ends(a, b)
+    if not len(last_a):
+        return Fragment((a, b), NONE_CLOSED, OPEN, False)
+    x, y, i, j = last_a[0] + 1, last_b[0] + 1, last_a[-1] + 1, last_b[-1] + 1
+    return Fragment((_part(a, 0, x), _part(b, 0, y)), close(_part(a, x, i), _part(b, y, j)), (_part(a, i, None), _part(b, j, None)), True)
 
 
 def compose(x: Fragment, y: Fragment) -> Fragment:
     """``x`` followed by ``y``; associative, with ``fragment(NOTHING, NOTHING)`` as its one."""
     left = x.tail if x.cut else x.head
-    seam, rest = _merge(_plus(left[0], y.head[0]), _plus(left[1], y.head[1]))
+    seam = fragment(_plus(left[0], y.head[0]), _plus(left[1], y.head[1]))
+    if not seam.cut:
+        return Fragment(x.head, x.closed, seam.head, True) if x.cut else seam
+    tail = y.tail if y.cut else seam.tail
     if x.cut:
-        return Fragment(x.head, _join(x.closed, _close(seam), y.closed), y.tail if y.cut else rest, True)
-    if seam:
-        return Fragment(seam[0], _join(_close(seam[1:]), y.closed), y.tail if y.cut else rest, True)
-    return Fragment(rest, Closed(), OPEN, False)
+        return Fragment(x.head, _join(x.closed, close(*seam.head), seam.closed, y.closed), tail, True)
+    return Fragment(seam.head, _join(seam.closed, y.closed), tail, True)
 
 
 def whole(f: Fragment) -> Closed | None:
     """All groups of a whole document; None if tokens are left over."""
-    if not f.cut:
-        return None if f.head[0][0] or f.head[1][0] else Closed()
-    return None if f.tail[0][0] or f.tail[1][0] else _join(_close([f.head]), f.closed)
+    left = f.tail if f.cut else f.head
+    if len(left[0][0]) or len(left[1][0]):
+        return None
+    return _join(close(*f.head), f.closed) if f.cut else NONE_CLOSED
 
 
 # ---- the tokenizers --------------------------------------------------------------------------
@@ -144,7 +167,7 @@ def byte_signs() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, the bytes of their entries, and the fragments of units seen before."""
+    """Both tokenizers, and the bytes of their entries."""
 
     def __init__(self, a_path: str | None = None, b_path: str | None = None):
         import sentencepiece
@@ -155,24 +178,24 @@ class Pair:
         self.exact.encode_special_tokens = True  # their strings are plain text
         sign = byte_signs()
         special = {t.content for t in self.exact.get_added_tokens_decoder().values()}
-        self.a_bytes: dict[int, bytes] = {i: bytes(sign[c] for c in t) for t, i in self.exact.get_vocab().items() if t not in special}
+        entries = [b""] * self.exact.get_vocab_size()
+        for t, i in self.exact.get_vocab().items():
+            entries[i] = t.encode() if t in special else bytes(sign[c] for c in t)
+        self.a_bytes = entries, np.array([len(e) for e in entries])
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path or vocabulary_path("piece_bpe_32k.model"))
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
         if any(BLANK in p.lstrip(BLANK) for p in pieces):
             raise ValueError("the piece model has pieces with a blank behind another sign; texts cannot be cut at blanks")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+        entries = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+        self.b_bytes = entries, np.array([len(e) for e in entries])
         self.lead = self.b.encode("x")
-        self.units: dict[str, Closed | None] = {}
 
-    def _tokens(self, ids: list[int], table, base: int, text: bytes) -> Tokens | None:
-        parts = [table[i] for i in ids]
-        if b"".join(parts) != text:
+    def _tokens(self, ids, table, base: int, text: str) -> Tokens | None:
+        entries, sizes = table
+        if b"".join(map(entries.__getitem__, ids)) != text.encode():
             return None
-        ends = []
-        for p in parts:
-            base += len(p)
-            ends.append(base)
-        return ids, ends
+        ids = np.array(ids, np.int64)
+        return ids, np.cumsum(sizes[ids]) + base
 
     def tokens_a(self, text: str, base: int = 0) -> Tokens | None:
         """Of a range that starts at a cut; None if its bytes do not come back."""
@@ -180,49 +203,29 @@ class Pair:
             ids = self.exact.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode(text, disallowed_special=())
-        return self._tokens(ids, self.a_bytes, base, text.encode())
+        return self._tokens(ids, self.a_bytes, base, text)
 
     def tokens_b(self, text: str, base: int = 0) -> Tokens | None:
         """The same for B: a range starts with a blank, here behind a sign that is a piece of its own."""
         ids = self.b.encode("x" + text)
         n = len(self.lead)
-        return self._tokens(ids[n:], self.b_bytes, base, text.encode()) if ids[:n] == self.lead else None
+        return self._tokens(ids[n:], self.b_bytes, base, text) if ids[:n] == self.lead else None
 
     def closed(self, text: str) -> Closed | None:
-        a, b = self.tokens_a(text), self.tokens_b(text)
-        return None if a is None or b is None else whole(fragment(a, b))
-
-    def unit(self, unit: str) -> Closed | None:
-        found = self.units.get(unit, self)
-        if found is self:
-            found = self.closed(unit)
-            if len(unit) <= CACHE_CHARS:
-                if len(self.units) >= CACHE_UNITS:
-                    self.units.clear()
-                self.units[unit] = found
-        return found
+        """Of space + ``text`` in one piece."""
+        a = self.tokens_a(" " + text)
+        b = None if a is None else self._tokens(self.b.encode(text), self.b_bytes, 0, " " + text)
+        return None if b is None else whole(fragment(a, b))
 
     def document(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, digest, links, how often each) of a text in one piece."""
-        if text and BLANK not in text:  # B writes blanks as that sign, so its bytes cannot come back
-            row = " " + text
-            units = _UNIT.split(row) if _SPACES.search(row) else [" " + w for w in text.split(" ")]
-            seen = {u: self.unit(u) for u in dict.fromkeys(units)}
-            if None not in seen.values():
-                return closed_row(Counter(units), seen, b";".join([seen[u].text for u in units]))
-        return EMPTY
-
-
-def closed_row(counts: dict, seen: dict[object, Closed], text: bytes) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
-    parts = [(seen[u], n) for u, n in counts.items()]
-    links = np.fromiter(chain.from_iterable(c.links for c, _ in parts), np.int64)
-    times = np.repeat(np.array([n for _, n in parts], np.int64), [len(c.links) for c, _ in parts])
-    pairs, at = np.unique(links, return_inverse=True)
-    return sum(c.n_a * n for c, n in parts), sum(c.n_b * n for c, n in parts), sum(c.n_groups * n for c, n in parts), hashlib.sha256(text).hexdigest(), pairs, np.bincount(at, times, len(pairs)).astype(np.int64)
+        return closed_row(self.closed(text) if text else None)
 
 
-NO_LINKS = np.empty(0, np.int64)
-EMPTY = (0, 0, 0, "", NO_LINKS, NO_LINKS)
+def closed_row(c: Closed | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
+    if c is None or not c.n_groups:
+        return 0, 0, 0, "", NO_IDS, NO_IDS
+    return c.n_a, c.n_b, c.n_groups, hashlib.sha256(c.text.encode()).hexdigest(), *np.unique(c.links, return_counts=True)
 
 
 @cache
@@ -254,7 +257,7 @@ ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 s
 def _rows(ids: list, doc_ids: list, found: list[tuple]) -> pa.RecordBatch:
     def lists(j: int) -> pa.Array:
         ends = np.cumsum([0, *(len(f[j]) for f in found)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([NO_LINKS, *(f[j] for f in found)])))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([NO_IDS, *(f[j] for f in found)])))
 
     counts = [pa.array([f[j] for f in found], pa.int64()) for j in range(3)]
     columns = [pa.array(ids, pa.int64()), pa.array(doc_ids, pa.int64()), *counts, pa.array([f[3] for f in found], pa.string()), lists(4), lists(5)]
@@ -291,8 +294,7 @@ def _in_ranges(rows: DataFrame, a_path: str | None, b_path: str | None, size: in
             found = []
             for data in b.column("f").to_pylist():
                 f = pickle.loads(data)
-                done = None if f is None else whole(f)
-                found.append(EMPTY if done is None or not done.n_groups else closed_row({0: 1}, {0: done}, done.text))
+                found.append(closed_row(None if f is None else whole(f)))
             yield _rows(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), found)
 
     shape = "row long, doc_id long, k long, f binary"

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -102,6 +103,10 @@ def test_long_texts_in_ranges(spark, libraries):
     assert _run(spark, docs, long=0, size=400) == _brute(libraries, docs)
 
 
+def _same(x, y):
+    return x[:4] == y[:4] and x.links.tolist() == y.links.tolist()
+
+
 def test_ranges_hang_over(libraries):
     """A cuts at line ends, B at blanks: heads and tails are open, and composition closes them."""
     both = al.pair()
@@ -109,8 +114,8 @@ def test_ranges_hang_over(libraries):
     parts = []
     for _, a_at, a, b_at, b in al.ranges(text, 25):
         parts.append(al.fragment(both.tokens_a(a, a_at), both.tokens_b(b, b_at)))
-    assert any(p.tail != al.OPEN for p in parts)
-    want = both.closed(" " + text)
+    assert any(len(p.tail[0][0]) or len(p.tail[1][0]) for p in parts)
+    want = both.closed(text)
     for order in ("left", "right", "tree"):
         now = list(parts)
         while len(now) > 1:
@@ -120,7 +125,7 @@ def test_ranges_hang_over(libraries):
                 now = [*now[:-2], al.compose(now[-2], now[-1])]
             else:
                 now = [al.compose(now[i], now[i + 1]) if i + 1 < len(now) else now[i] for i in range(0, len(now), 2)]
-        assert al.whole(now[0]) == want
+        assert _same(al.whole(now[0]), want)
 
 
 def test_composition_of_arbitrary_token_streams():
@@ -128,7 +133,8 @@ def test_composition_of_arbitrary_token_streams():
     for _ in range(300):
         n = rnd.randint(1, 40)
         ends = [sorted(rnd.sample(range(1, n + 1), rnd.randint(0, n - 1)) + [n + 1]) for _ in range(2)]
-        ids = [list(range(len(e))) for e in ends]
+        ends = [np.array(e, np.int64) for e in ends]
+        ids = [np.arange(len(e)) for e in ends]
         want = al.whole(al.fragment((ids[0], ends[0]), (ids[1], ends[1])))
         cuts = [sorted(rnd.choices(range(n + 2), k=3)) for _ in range(2)]
         parts = []
@@ -136,12 +142,12 @@ def test_composition_of_arbitrary_token_streams():
             both = []
             for side in range(2):
                 lo, hi = ([-1, *cuts[side]][k] if k else -1), ([*cuts[side], n + 1][k])
-                keep = [i for i, e in enumerate(ends[side]) if lo < e <= hi]
-                both.append(([ids[side][i] for i in keep], [ends[side][i] for i in keep]))
+                keep = (ends[side] > lo) & (ends[side] <= hi)
+                both.append((ids[side][keep], ends[side][keep]))
             parts.append(al.fragment(*both))
         left = al.compose(al.compose(al.compose(parts[0], parts[1]), parts[2]), parts[3])
         right = al.compose(parts[0], al.compose(parts[1], al.compose(parts[2], parts[3])))
-        assert al.whole(left) == al.whole(right) == want
+        assert _same(al.whole(left), want) and _same(al.whole(right), want)
 
 
 def test_empty_table_and_clashing_columns(spark):
