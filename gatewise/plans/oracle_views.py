@@ -42,7 +42,7 @@ VIEWS: dict[str, str] = {
  100 + cast(event_id % 50 as bigint) as bytes_primary, 100 + cast(event_id % 50 as bigint) + (case when event_id % 9 = 0 then 3 else 0 end) as bytes_shadow,
  '{"id":'||cast(event_id as string)||',"v":1,"tags":["a","b"]}' as body_primary,
  case when event_id % 5 = 0 then '{"id":'||cast(event_id as string)||',"v":2,"tags":["a","b"],"x":true}' else '{"id":'||cast(event_id as string)||',"v":1,"tags":["a","b"]}' end as body_shadow,
- cast(floor(value*10) as bigint)+20 as latency_primary_ms, cast(floor(value*11) as bigint)+15 as latency_shadow_ms from events where event_id % 10 = 3 or event_id % 10 = 5""",
+ cast(floor(value*10) as bigint)+20 as latency_primary_ms, cast(floor(value*11) as bigint)+15 as latency_shadow_ms from events""",
     "gw_payloads": """select event_id, case event_id % 4 when 0 then 'openai' when 1 then 'anthropic' when 2 then 'google' else 'anthropic_error' end as provider,
  case event_id % 4 when 0 then '{"id":"c'||cast(event_id as string)||'","model":"gpt-4o","choices":[{"index":0,"message":{"role":"assistant","content":"hi"},"finish_reason":"stop"}],"usage":{"prompt_tokens":'||cast(event_id % 400 as string)||',"completion_tokens":7}}'
  when 1 then '{"id":"m'||cast(event_id as string)||'","model":"claude-sonnet-4-6","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}],"stop_reason":"max_tokens","usage":{"input_tokens":'||cast(event_id % 400 as string)||',"output_tokens":5}}'
