@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gatewise.operators import folds
 from gatewise.operators.common import in_intervals
+from gatewise.operators.walks import failure_rule, walk
 from gatewise.operators.jsontree import json_leaves
 
 BUCKET_S = 10
@@ -171,47 +172,17 @@ def shadow_sample(requests: DataFrame, pct: int = 10, key: str = "request_id", h
 
 
 def shadow_auto_disable(
-    outcomes: DataFrame, key: str, ts_col: str = "ts", id_col: str = "id", threshold: int = 3, window_s: float = 300.0, disable_s: float = 300.0, chunk_s: int = 3600
+    outcomes: DataFrame, key: str, ts_col: str = "ts", id_col: str = "id", threshold: int = 3, window_s: float = 300.0, disable_s: float = 300.0, **how
 ) -> DataFrame:
-    """Keyed fold of the shadow auto-disable rule.
-
-    Exact segmentation: an event with no failure in the preceding
-    max(window, disable) seconds starts from a fresh state (no failure chain
-    to continue, no disable period running), whatever came before.  Such
-    sync events are found with a chunked last-failure scan, segments are
-    numbered by a chunked running count and packed 512 to a group, so a busy
-    key is spread over many groups.
+    """At ``threshold`` failures, each within ``window_s`` of the one before,
+    shadowing pauses for ``disable_s``; rows inside the pause are skipped.
+
+    A walk by chunk maps (``walks``): an outage of any length and a key with
+    all rows are many tasks.
     """
-    from gatewise.operators import scan as SC
-
-    memory = max(window_s, disable_s)
-    order = [ts_col, id_col]
-    t = F.unix_micros(F.col(ts_col).cast("timestamp")) / 1e6
-    d = outcomes.withColumn("_chunk", SC.time_chunk(F.col(ts_col), chunk_s)).withColumn("_t", t)
-    # pass 1: previous failure time and previous event kind
-    from gatewise.operators.common import materialize
-
-    # each chunked pass reads its input twice (rows + chunk summary): cut lineage between passes
-    d = materialize(SC.last_values(d, [key], "_chunk", order, {"_prev_fail": F.when(~F.col("success"), F.col("_t"))}, inclusive=False,
-                                   also_exclusive={"_prev_ok": F.col("success")}), "shadow1")
-    # chains: consecutive failures, no success between, gaps <= window
-    start = ~F.col("success") & (F.col("_prev_ok").isNull() | F.col("_prev_ok") | F.col("_prev_fail").isNull() | (F.col("_t") - F.col("_prev_fail") > window_s))
-    d = materialize(SC.running_sums(d.withColumn("_start", start.cast("int")), [key], "_chunk", order, {"_cf": (~F.col("success")).cast("int")}), "shadow2")
-    d = materialize(SC.last_values(d, [key], "_chunk", order, {"_cf_at_start": F.when(F.col("_start") == 1, F.col("_cf"))}, inclusive=True), "shadow3")
-    pos = F.when(~F.col("success"), F.col("_cf") - F.col("_cf_at_start") + 1)
-    # pass 3: latest failure that is third or later in its chain (only such failures can trip)
-    d = materialize(SC.last_values(d.withColumn("_pos", pos), [key], "_chunk", order, {"_prev_trip_cand": F.when(F.col("_pos") >= threshold, F.col("_t"))}, inclusive=False), "shadow4")
-    quiet = F.col("_prev_fail").isNull() | (F.col("_t") - F.col("_prev_fail") > memory)
-    free_ok = F.col("success") & (F.col("_prev_trip_cand").isNull() | (F.col("_t") - F.col("_prev_trip_cand") >= disable_s))
-    # an event starts a fresh state when no failure precedes it within the rule's memory, or it is a
-    # success that no trip can have silenced (a trip needs a third-in-chain failure within disable_s)
-    d = d.withColumn("_sync", (quiet | free_ok).cast("int"))
-    d = SC.running_sums(d, [key], "_chunk", order, {"_seg": F.col("_sync")})
-    inp = d.select(F.col(key).alias("k"), F.floor(F.col("_seg") / 512).alias("pack"), F.col(ts_col).alias("ts"), F.col(id_col).alias("id"), "success")
-    res = inp.groupBy("k", "pack").applyInPandas(
-        lambda pdf: folds.shadow_disable_fold(pdf, threshold, window_s, disable_s), "id long, skipped boolean, tripped boolean, fail_count long"
-    )
-    return outcomes.join(res.withColumnRenamed("id", id_col), id_col, "left")
+    found = walk(outcomes, key, ts_col, id_col, "success", failure_rule(threshold, window_s, disable_s), threshold, max(window_s, disable_s), **how)
+    marks = found.select(id_col, (~F.col("visited")).alias("skipped"), F.col("jumped").alias("tripped"), F.col("lane").alias("fail_count"))
+    return outcomes.join(marks, id_col, "left")
 
 
 def weighted_assignment(df: DataFrame, weights: DataFrame, key: str) -> DataFrame:

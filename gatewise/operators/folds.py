@@ -1,37 +1,16 @@
-"""Keyed ordered folds for rules that depend on their own earlier output.
+"""Sequential rules over one key's rows, as plain functions on a pandas frame.
 
-Each fold is a pure function over one key's rows (a pandas frame sorted by
-(ts, id)); ``keyed_fold`` runs it with ``groupBy(...).applyInPandas``.  The
-streaming drivers call the same functions from
-``transformWithStateInPandas`` so batch and stream agree.
-
-Scale: folds only ever see (a) pre-aggregated ticks (stage replay: one row
-per route per 10 s) or (b) segments cut where the rule's state provably
-resets (a quiet gap longer than the rule's memory), so a hot key is split
-into many independent groups.
+``shadow_disable_fold`` states C12 row by row; the batch operator walks chunk
+maps instead (``walks``) and is tested against it.  ``stage_fold`` is run on a
+route's evaluation ticks (one per 10 s).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-
-def segment_by_gap(df: DataFrame, key: str, ts_col: str, id_col: str, gap_seconds: float, out: str = "seg") -> DataFrame:
-    """Number the runs of a key that are separated by more than ``gap_seconds``."""
-    w = Window.partitionBy(key).orderBy(ts_col, id_col)
-    t = F.col(ts_col).cast("timestamp").cast("double")
-    brk = (t - F.lag(t).over(w)) > gap_seconds
-    return df.withColumn(out, F.sum(F.when(brk, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def keyed_fold(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.groupBy(*keys).applyInPandas(fn, schema)
-
 
 def _secs(s: pd.Series) -> np.ndarray:
     return s.astype("datetime64[us]").astype("int64").to_numpy() / 1e6

@@ -1,104 +1,23 @@
 """Greedy spacing: admit a row when ``window`` seconds have passed since the
 last admitted row of its key (the throttle rule, one request per 60 s).
 
-The rule feeds on its own output, so it is not a window function.  It is
-computed exactly in two ways and the rows are routed by segment size:
-
-* segments (runs of a key whose consecutive rows are closer than the window;
-  the rule's state resets at every larger gap) of at most ``max_group_rows``
-  rows are folded sequentially in pandas, packed many to a group;
-* larger segments -- a key that never pauses -- use pointer jumping: every
-  row points to the first row at least ``window`` later (``next``), pointer
-  tables are doubled by self-joins on the row id, and the admitted rows are
-  the path from the segment's first row, expanded in ceil(log2 n) join
-  rounds.  Every join shuffles by row id, so no task holds a whole key;
-  every round is materialized so the plan stays linear.
+The rule feeds on its own output, so it is not a window function; it is a walk
+that skips (``walks``), exact for keys of any length without a group that
+holds a whole key.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewise.operators import scan as SC
-from gatewise.operators.common import materialize
-
-
-def _secs(c):
-    return F.unix_micros(c.cast("timestamp")) / 1e6
-
-
-def _fold(pdf: pd.DataFrame, window_s: float) -> pd.DataFrame:
-    pdf = pdf.sort_values(["_t", "_id"], kind="mergesort")
-    t = pdf["_t"].to_numpy()
-    allow = np.zeros(len(pdf), dtype=bool)
-    last = None
-    for i in range(len(pdf)):
-        if last is None or t[i] - last >= window_s:
-            allow[i] = True
-            last = t[i]
-    return pd.DataFrame({"_id": pdf["_id"].to_numpy(), "admitted": allow})
-
-
-def _next_pointers(rows: DataFrame, window_s: float, chunk_s: int) -> DataFrame:
-    """``_nx`` = id of the first row of the same segment at or after t + window.
-
-    Probe rows at t + window are unioned with the rows; scanning in
-    descending time order, the last row id seen before a probe is the first
-    row at or after it.  Chunked by time, so a hot key is spread out.
-    """
-    ev = rows.select("_k", "_seg", "_t", "_id", F.lit(1).alias("_kind"), F.col("_id").alias("_rid"), F.lit(None).cast("long").alias("_src"))
-    pr = rows.select("_k", "_seg", (F.col("_t") + window_s).alias("_t"), F.col("_id"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_rid"), F.col("_id").alias("_src"))
-    u = ev.unionByName(pr).withColumn("_nt", -F.col("_t")).withColumn("_nkind", -F.col("_kind")).withColumn("_nid", -F.col("_id"))
-    u = u.withColumn("_chunk", -F.floor(F.col("_t") / chunk_s).cast("long"))
-    u = SC.last_values(u, ["_k", "_seg"], "_chunk", ["_nt", "_nkind", "_nid"], {"_nx": F.col("_rid")}, inclusive=False)
-    return u.where(F.col("_kind") == 0).select(F.col("_src").alias("_id"), "_nx")
-
-
-def _path_nodes(nodes: DataFrame, nxt: DataFrame, roots: DataFrame, n_max: int) -> DataFrame:
-    """All nodes on the paths starting at ``roots`` (pointer doubling)."""
-    rounds = max(1, math.ceil(math.log2(max(n_max, 2))))
-    jumps = [materialize(nxt.select(F.col("_id").alias("a"), F.col("_nx").alias("b")).where(F.col("b").isNotNull()), "jump0")]
-    for r in range(1, rounds + 1):
-        j = jumps[-1]
-        nj = j.alias("x").join(j.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        jumps.append(materialize(nj, f"jump{r}"))
-    path = roots.select(F.col("_id").alias("n"))
-    for j in reversed(jumps):
-        step = path.join(j, path["n"] == j["a"]).select(F.col("b").alias("n"))
-        path = materialize(path.unionByName(step).distinct(), "path")
-    return path
+from gatewise.operators.walks import spacing_rule, walk
 
 
-def greedy_spacing(
-    df: DataFrame, key: str, ts_col: str, id_col: str, window_s: float, max_group_rows: int = 1_000_000, chunk_s: int = 3600
-) -> DataFrame:
-    """Rows (``id_col``, admitted, retry_after) for every input row."""
-    rows = df.select(F.col(key).alias("_k"), _secs(F.col(ts_col)).alias("_t"), F.col(id_col).cast("long").alias("_id"), F.col(ts_col).alias("_ts"))
-    rows = rows.withColumn("_chunk", F.floor(F.col("_t") / chunk_s).cast("long"))
-    rows = SC.last_values(rows, ["_k"], "_chunk", ["_t", "_id"], {"_prev_t": F.col("_t")}, inclusive=False)
-    rows = rows.withColumn("_brk", (F.col("_prev_t").isNull() | (F.col("_t") - F.col("_prev_t") >= window_s)).cast("int"))
-    rows = materialize(SC.running_sums(rows, ["_k"], "_chunk", ["_t", "_id"], {"_seg": F.col("_brk")}), "spacing_rows")
-    sizes = rows.groupBy("_k", "_seg").agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.where(F.col("_n") > max_group_rows)
-    n_max = big.agg(F.max("_n")).first()[0]
-    small_rows = rows.join(big.select("_k", "_seg"), ["_k", "_seg"], "left_anti")
-    packed = small_rows.withColumn("_pack", F.floor(F.col("_seg") / 512))
-    out = packed.groupBy("_k", "_pack").applyInPandas(lambda p: _fold(p, window_s), "_id long, admitted boolean")
-    if n_max:
-        big_rows = rows.join(big.select("_k", "_seg"), ["_k", "_seg"])
-        nxt = _next_pointers(big_rows, window_s, chunk_s)
-        roots = big_rows.where(F.col("_brk") == 1).select("_id")
-        path = _path_nodes(big_rows.select("_id"), nxt, roots, int(n_max))
-        jumped = big_rows.select("_id").join(path.withColumn("admitted", F.lit(True)), F.col("_id") == F.col("n"), "left").select(
-            "_id", F.coalesce("admitted", F.lit(False)).alias("admitted")
-        )
-        out = out.unionByName(jumped)
-    res = rows.join(out, "_id")
-    res = SC.last_values(res, ["_k"], "_chunk", ["_t", "_id"], {"_last_adm": F.when(F.col("admitted"), F.col("_t"))}, inclusive=False)
-    retry = F.when(~F.col("admitted"), F.ceil(F.lit(window_s) - (F.col("_t") - F.col("_last_adm"))).cast("long"))
-    return res.select(F.col("_id").alias(id_col), "admitted", retry.alias("retry_after"))
+def greedy_spacing(df: DataFrame, key: str, ts_col: str, id_col: str, window_s: float, **how) -> DataFrame:
+    """(``id_col``, admitted, retry_after) for every input row; ids may be of any type."""
+    rows = df.select(F.col(key).alias("_k"), F.col(ts_col).alias("_ts"), F.col(id_col), F.lit(True).alias("_m"))
+    found = walk(rows, "_k", "_ts", id_col, "_m", spacing_rule(window_s), 1, window_s, **how)
+    left = F.col("_waits") - F.unix_micros(F.col("_ts").cast("timestamp"))
+    timed = found.select(F.col(id_col), F.col("visited").alias("admitted"), F.col("waits_us").alias("_waits")).join(rows.select(id_col, "_ts"), id_col)
+    return timed.select(id_col, "admitted", F.when(~F.col("admitted"), F.ceil(left / 1_000_000)).cast("long").alias("retry_after"))

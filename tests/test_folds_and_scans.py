@@ -78,8 +78,8 @@ def test_entry_contract(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-def test_shadow_segmentation_is_exact(spark):
-    """Segments cut at sync events give the same rows as one fold per key."""
+def test_shadow_walk_is_exact(spark):
+    """Chunk maps give the same rows as one fold per key."""
     from gatewise.plans import q_canary
     from gatewise.plans.catalog import queries
 
@@ -93,8 +93,8 @@ def test_shadow_segmentation_is_exact(spark):
     assert exp.tripped.sum() > 0
 
 
-def test_greedy_spacing_exact_both_routes(spark):
-    """Bounded-group fold and pointer jumping both equal the sequential rule."""
+def test_greedy_spacing_is_exact(spark):
+    """One chunk per key and many chunks both equal the sequential rule."""
     from gatewise.operators.spacing import greedy_spacing
 
     rnd = random.Random(3)
@@ -114,6 +114,6 @@ def test_greedy_spacing_exact_both_routes(spark):
     df = spark.createDataFrame(rows, "k string, t double, id long").withColumn(
         "ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("t").cast("decimal(18,6)"))
     )
-    for max_rows in (1_000_000, 5):
-        got = {r.id: r.admitted for r in greedy_spacing(df, "k", "ts", "id", 60.0, max_group_rows=max_rows, chunk_s=300).collect()}
+    for rows_of_chunk in (50_000, 5):
+        got = {r.id: r.admitted for r in greedy_spacing(df, "k", "ts", "id", 60.0, chunk_rows=rows_of_chunk).collect()}
         assert got == exp
