@@ -13,11 +13,9 @@ Scale notes
 * Quota verdicts for ``block`` with up to three limits are exact with
   windows only: inside a period the allowed prefix is monotone, so the
   requests admitted under the daily limit alone are computed first, then the
-  monthly prefix of those, then the true allowed prefix.  Only ``throttle``
-  needs a greedy rule (one admitted request per 60 s): ``spacing.py``
-  computes it exactly with bounded pandas groups for segments split where
-  exhausted requests are 60 s apart, and pointer jumping for consumers that
-  never pause.
+  monthly prefix of those, then the true allowed prefix.  ``throttle`` (one
+  admitted request per 60 s) feeds on its own output: ``overage_replay``
+  repeats prefix sums and an ordered walk (``walks``) until nothing changes.
 """
 
 from __future__ import annotations
@@ -37,6 +35,7 @@ from gatewise.functions.pricing import (
 )
 from gatewise.operators.common import bounded_broadcast, in_intervals, materialize
 from gatewise.operators.scan import join_back
+from gatewise.operators.spacing import greedy_spacing
 
 # ---------------------------------------------------------------- Q1 / Q2
 
@@ -223,10 +222,27 @@ def quota_decision(
         },
         "u",
     )
+    return _verdict(df, daily_tokens, monthly_tokens, monthly_dollars).drop("_d0", "_a_d", "_m1_tok_day", "_m1_tok_month", "_m1_usd_day", "_m1_usd_month")
+
+
+def _hits(daily_tokens: int | None, monthly_tokens: int | None, monthly_dollars: str | float | None) -> tuple[Column, Column, Column]:
+    """Which limits the usage before the row (``u_*``) has reached; ``used >= limit`` is exhausted."""
+    none = F.lit(False)
+    return (
+        none if daily_tokens is None else F.col("u_tok_day") >= F.lit(daily_tokens),
+        none if monthly_tokens is None else F.col("u_tok_month") >= F.lit(monthly_tokens),
+        none if monthly_dollars is None else F.col("u_usd_month").cast("decimal(22,6)") >= F.lit(str(monthly_dollars)).cast("decimal(22,6)"),
+    )
+
+
+def _verdict(df: DataFrame, daily_tokens: int | None, monthly_tokens: int | None, monthly_dollars: str | float | None) -> DataFrame:
+    """Reason, period, limit, used and remaining amounts from the usage before each row."""
+    big = 1 << 62
+    ld = F.lit(daily_tokens if daily_tokens is not None else big).cast("bigint")
+    lm = F.lit(monthly_tokens if monthly_tokens is not None else big).cast("bigint")
+    lusd = F.lit(str(monthly_dollars) if monthly_dollars is not None else "1e15").cast("decimal(22,6)")
+    daily_hit, monthly_hit, usd_hit = _hits(daily_tokens, monthly_tokens, monthly_dollars)
     d_used, m_used, usd_used = F.col("u_tok_day"), F.col("u_tok_month"), F.col("u_usd_month").cast("decimal(22,6)")
-    daily_hit = F.lit(daily_tokens is not None) & (d_used >= ld)
-    monthly_hit = F.lit(monthly_tokens is not None) & (m_used >= lm)
-    usd_hit = F.lit(monthly_dollars is not None) & (usd_used >= lusd)
     reason = (
         F.when(daily_hit, "daily_token_quota_exceeded")
         .when(monthly_hit, "monthly_token_quota_exceeded")
@@ -259,7 +275,7 @@ def quota_decision(
         .withColumnRenamed("u_tok_day", "day_tokens_before")
         .withColumnRenamed("u_tok_month", "month_tokens_before")
         .withColumn("month_dollars_before", usd_used)
-        .drop("_d0", "_a_d", "_m1_tok_day", "_m1_tok_month", "_m1_usd_day", "_m1_usd_month", "u_usd_day", "u_usd_month")
+        .drop("u_usd_day", "u_usd_month")
     )
 
 
@@ -278,48 +294,88 @@ def reset_time(period: Column, ts: Column) -> Column:
 # ---------------------------------------------------------------- Q6 overage
 
 
-def overage(
-    decisions: DataFrame,
-    policy: str = "block",
+def overage(decisions: DataFrame, ts_col: str = "ts") -> DataFrame:
+    """Q6, policy ``block``: exhausted requests (``allowed = false``) get 402 with the reset time.
+
+    A blocked request adds no usage, so the decisions of ``quota_decision``
+    are final.  The other policies let requests through, whose usage counts:
+    see ``overage_replay``.
+    """
+    exhausted = ~F.col("allowed")
+    return (
+        decisions.withColumn("exhausted", exhausted)
+        .withColumn("final_allowed", F.col("allowed"))
+        .withColumn("overage_status", F.when(exhausted, 402))
+        .withColumn("resets_at", F.when(exhausted, reset_time(F.col("period"), F.col(ts_col))))
+        .withColumn("retry_after", F.lit(None).cast("bigint"))
+    )
+
+
+def overage_replay(
+    requests: DataFrame,
+    policy: str,
+    daily_tokens: int | None = None,
+    monthly_tokens: int | None = None,
+    monthly_dollars: str | float | None = None,
     key: str = "consumer_id",
     ts_col: str = "ts",
     id_col: str = "event_id",
     throttle_s: int = 60,
 ) -> DataFrame:
-    """Q6: apply the overage policy to exhausted requests (``allowed = false``).
-
-    block -> 402 with reset time; allow -> pass, alert at 100 %;
-    throttle -> one admitted request per ``throttle_s`` per consumer, else
-    429 with ``retry_after = ceil(60 - elapsed)`` (greedy keyed fold).
+    """Q6, policies ``allow`` and ``throttle``: what passes adds to the usage that later requests meet.
+
+    ``requests`` needs ``usage_tokens`` and ``usage_cost``; ids are unique.
+    Adds the columns of ``quota_decision`` and exhausted, final_allowed,
+    overage_status, retry_after, resets_at (null here) and alert: the first
+    exhausted request of a consumer, limit and period (the 100 % alert).
+
+    ``allow`` admits everything, so the plain ledger holds.  ``throttle``
+    admits one exhausted request per ``throttle_s``.  Which requests are
+    exhausted and which of those are admitted depend on each other, but only
+    forwards in time, so the rule has one solution: the set of exhausted
+    requests that gives itself back.  It is found from the daily limit alone
+    by repeating (exhausted -> throttle walk -> usage -> exhausted).  Every
+    round settles at least the next crossing of each consumer's month; months
+    start afresh, so two rounds and one that changes nothing are usual.  Each
+    round is prefix sums over hours and a walk by chunk maps, and is written
+    once; no task holds a consumer.
     """
-    exhausted = ~F.col("allowed")
-    base = decisions.withColumn("exhausted", exhausted)
-    if policy == "block":
-        return base.withColumn("final_allowed", ~F.col("exhausted")).withColumn(
-            "overage_status", F.when(F.col("exhausted"), 402)
-        ).withColumn("resets_at", F.when(F.col("exhausted"), reset_time(F.col("period"), F.col(ts_col)))).withColumn(
-            "retry_after", F.lit(None).cast("bigint")
-        )
-    if policy == "allow":
-        return base.withColumn("final_allowed", F.lit(True)).withColumn("overage_status", F.lit(None).cast("int")).withColumn(
-            "resets_at", F.lit(None).cast("timestamp_ntz")
-        ).withColumn("retry_after", F.lit(None).cast("bigint"))
-    if policy != "throttle":
+    if policy not in ("allow", "throttle"):
         raise ValueError(policy)
-    # greedy keyed rule (one admitted request per window): exact, with
-    # bounded pandas groups and pointer jumping for keys that never pause
-    from gatewise.operators.spacing import greedy_spacing
+    order = [ts_col, id_col]
+    limits = daily_tokens, monthly_tokens, monthly_dollars
 
-    ex = base.where(F.col("exhausted")).select(key, ts_col, id_col)
-    folded = greedy_spacing(ex, key, ts_col, id_col, float(throttle_s)).select(
-        F.col(id_col).alias("id"), F.col("admitted").alias("throttle_allowed"), "retry_after"
-    )
-    out = base.join(folded.withColumnRenamed("id", id_col), id_col, "left")
+    def ledger(df: DataFrame, admitted: Column) -> DataFrame:
+        sums = {"tok": F.when(admitted, F.col("usage_tokens")).otherwise(F.lit(0).cast("bigint")), "usd": F.when(admitted, F.col("usage_cost")).otherwise(F.lit(0).cast("decimal(22,6)"))}
+        return _prefix_in_month(df, key, order, sums, "u")
+
+    def exhausted(limits: tuple) -> Column:
+        daily, monthly, usd = _hits(*limits)
+        return daily | monthly | usd
+
+    rows = _day_month(requests, ts_col)
+    used = ["u_tok_day", "u_tok_month", "u_usd_day", "u_usd_month"]
+    now = materialize(ledger(rows, F.lit(True)).withColumn("exhausted", exhausted(limits if policy == "allow" else (daily_tokens, None, None))), "overage")
+    if policy == "allow":
+        now = now.withColumn("final_allowed", F.lit(True)).withColumn("retry_after", F.lit(None).cast("bigint"))
+    else:
+        changed = 1
+        while changed:
+            spaced = greedy_spacing(now.where("exhausted").select(key, ts_col, id_col), key, ts_col, id_col, float(throttle_s))
+            told = now.drop(*used).join(spaced, id_col, "left").withColumn("final_allowed", ~F.col("exhausted") | F.coalesce("admitted", F.lit(False))).withColumnRenamed("exhausted", "_was").drop("admitted")
+            now = materialize(ledger(told, F.col("final_allowed")).withColumn("exhausted", exhausted(limits)), "overage")
+            changed = now.where("exhausted <> _was").count()
+            if changed:
+                now = now.drop("_was", "final_allowed", "retry_after")
+        now = now.drop("_was")
+    out = _verdict(now, *limits)
+    period_start = F.when(F.col("period") == "daily", F.col("day")).otherwise(F.col("month"))
+    first = out.where("exhausted").groupBy(key, "reason", period_start.alias("_p")).agg(F.min_by(id_col, F.struct(*order)).alias("_first"))
+    out = out.join(first.select(F.col("_first").alias(id_col), F.lit(True).alias("alert")), id_col, "left").withColumn("alert", F.coalesce("alert", F.lit(False)))
     return (
-        out.withColumn("final_allowed", F.coalesce(F.col("throttle_allowed"), F.lit(True)))
+        out.withColumn("allowed", ~F.col("exhausted"))
         .withColumn("overage_status", F.when(~F.col("final_allowed"), 429))
         .withColumn("resets_at", F.lit(None).cast("timestamp_ntz"))
-        .drop("throttle_allowed")
     )
 
 

@@ -205,36 +205,71 @@ def q5_most_restrictive_quota(spark, sf):
     ),
 )
 def q6_overage_block(spark, sf):
-    d = Q.overage(_decisions(spark, sf), "block")
+    d = Q.overage(_decisions(spark, sf))
     return d.select("event_id", "final_allowed", "overage_status", "resets_at")
 
 
-_THROTTLE_SQL = """, ex as (select consumer_id, ts, event_id, row_number() over (partition by consumer_id order by ts, event_id) as rn from dec where reason is not null),
+# usage that throttle lets through counts: one row after another, with the rule's own state
+_REPLAY_SQL = f"""
+ ev as (select *, row_number() over (partition by consumer_id order by ts, event_id) as rn from usage),
  rec as (
-  select consumer_id, rn, event_id, ts, ts as last_ok, true as ok, null::bigint as retry from ex where rn = 1
+  select consumer_id, rn, event_id, ts, day, month, 0::bigint as du, 0::bigint as mu, 0::decimal(22,6) as cu, false as ex, true as ok, null::timestamp as last_ok, null::bigint as retry,
+   usage_tokens as add_tok, usage_cost::decimal(22,6) as add_usd from ev where rn = 1
   union all
-  select e.consumer_id, e.rn, e.event_id, e.ts,
-   case when epoch(e.ts) - epoch(r.last_ok) >= 60 then e.ts else r.last_ok end,
-   epoch(e.ts) - epoch(r.last_ok) >= 60,
-   case when epoch(e.ts) - epoch(r.last_ok) >= 60 then null else cast(ceil(60 - (epoch(e.ts) - epoch(r.last_ok))) as bigint) end
-  from rec r join ex e on e.consumer_id = r.consumer_id and e.rn = r.rn + 1)"""
+  select consumer_id, rn, event_id, ts, day, month, du, mu, cu, ex, ok, case when ex and ok then ts else last_ok end, case when not ok then cast(ceil(60 - (epoch(ts) - epoch(last_ok))) as bigint) end,
+   case when ok then usage_tokens else 0 end, case when ok then usage_cost else 0 end::decimal(22,6)
+  from (select *, not ex or last_ok is null or epoch(ts) - epoch(last_ok) >= 60 as ok
+   from (select *, du >= {DAILY_LIMIT} or mu >= {MONTHLY_LIMIT} or cu >= {MONTHLY_DOLLARS} as ex
+    from (select x.consumer_id, x.rn, x.event_id, x.ts, x.day, x.month, x.usage_tokens, x.usage_cost, r.last_ok,
+      case when x.day = r.day then r.du + r.add_tok else 0 end::bigint as du, case when x.month = r.month then r.mu + r.add_tok else 0 end::bigint as mu,
+      case when x.month = r.month then r.cu + r.add_usd else 0 end::decimal(22,6) as cu
+     from rec r join ev x on x.consumer_id = r.consumer_id and x.rn = r.rn + 1)))),
+ led as (select *, case when du >= {DAILY_LIMIT} then 'daily_token_quota_exceeded' when mu >= {MONTHLY_LIMIT} then 'monthly_token_quota_exceeded' when cu >= {MONTHLY_DOLLARS} then 'monthly_dollar_budget_exceeded' end as reason from rec)"""
+
+_ALLOW_SQL = f"""
+ l0 as (select *, coalesce(sum(usage_tokens) over (partition by consumer_id, day order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as du,
+   coalesce(sum(usage_tokens) over (partition by consumer_id, month order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as mu,
+   coalesce(sum(usage_cost) over (partition by consumer_id, month order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as cu from usage),
+ led as (select *, case when du >= {DAILY_LIMIT} then 'daily_token_quota_exceeded' when mu >= {MONTHLY_LIMIT} then 'monthly_token_quota_exceeded' when cu >= {MONTHLY_DOLLARS} then 'monthly_dollar_budget_exceeded' end as reason from l0)"""
+
+_ALERT_SQL = "coalesce(reason is not null and row_number() over (partition by consumer_id, reason, case when reason like 'daily%' then day else month end order by ts, event_id) = 1, false) as alert"
+
+
+def _replay(spark, sf, policy):
+    u = _usage(spark, sf).select("event_id", "consumer_id", "ts", "usage_tokens", "usage_cost")
+    return Q.overage_replay(u, policy, DAILY_LIMIT, MONTHLY_LIMIT, MONTHLY_DOLLARS)
 
 
 @register(
     "q6_overage_throttle",
     "WITH RECURSIVE "
     + with_views(
-        """select d.event_id, d.consumer_id, d.ts, d.reason is not null as exhausted, coalesce(r.ok, true) as final_allowed,
- case when r.ok = false then 429 end as overage_status, r.retry as retry_after
- from dec d left join rec r on d.event_id = r.event_id""",
+        f"""select event_id, consumer_id, ts, ex as exhausted, ok as final_allowed, case when not ok then 429 end as overage_status, retry as retry_after,
+ reason, du as day_tokens_before, mu as month_tokens_before, cast(cu as double) as month_dollars_before, {_ALERT_SQL} from led""",
         "gw_requests",
         extra=PRICED + [("usage", USAGE)],
-        raw=_DECISION_SQL + _THROTTLE_SQL,
+        raw=_REPLAY_SQL,
     )[len("WITH ") :],
 )
 def q6_overage_throttle(spark, sf):
-    d = Q.overage(_decisions(spark, sf), "throttle")
-    return d.select("event_id", "consumer_id", "ts", "exhausted", "final_allowed", "overage_status", "retry_after")
+    d = _replay(spark, sf, "throttle")
+    usage = [F.col(c).cast("bigint").alias(c) for c in ("day_tokens_before", "month_tokens_before")]
+    return d.select("event_id", "consumer_id", "ts", "exhausted", "final_allowed", "overage_status", "retry_after", "reason", *usage, F.col("month_dollars_before").cast("double").alias("month_dollars_before"), "alert")
+
+
+@register(
+    "q6_overage_allow",
+    with_views(
+        f"select event_id, consumer_id, reason is not null as exhausted, true as final_allowed, reason, cast(du as bigint) as day_tokens_before, cast(mu as bigint) as month_tokens_before, cast(cu as double) as month_dollars_before, {_ALERT_SQL} from led",
+        "gw_requests",
+        extra=PRICED + [("usage", USAGE)],
+        raw=_ALLOW_SQL,
+    ),
+)
+def q6_overage_allow(spark, sf):
+    d = _replay(spark, sf, "allow")
+    usage = [F.col(c).cast("bigint").alias(c) for c in ("day_tokens_before", "month_tokens_before")]
+    return d.select("event_id", "consumer_id", "exhausted", "final_allowed", "reason", *usage, F.col("month_dollars_before").cast("double").alias("month_dollars_before"), "alert")
 
 
 @register(

@@ -48,7 +48,7 @@ def test_quota_scenarios(spark):
     assert d[1].allowed and d[1].remaining_tokens == 50000  # under quota: 50K used of 100K
     assert not d[2].allowed and d[2].reason == "monthly_token_quota_exceeded" and d[2].used_value == 100000.0  # at limit
     assert not d[3].allowed  # over the limit stays blocked
-    blk = Q.overage(Q.quota_decision(Q.usage_columns(Q.with_cost(df)), monthly_tokens=100000), "block").orderBy("event_id").collect()
+    blk = Q.overage(Q.quota_decision(Q.usage_columns(Q.with_cost(df)), monthly_tokens=100000)).orderBy("event_id").collect()
     assert blk[2].overage_status == 402 and str(blk[2].resets_at) == "2024-02-01 00:00:00"
     # Redis down: fail-open passes degraded, fail-closed rejects with 503
     o = spark.createDataFrame([("2024-01-01 00:00:15", "2024-01-01 00:00:25")], "start string, end string").select(
