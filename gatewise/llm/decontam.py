@@ -17,16 +17,17 @@ Items are read in blocks of bounded size, one scan of the documents a block.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from gatewise.llm.batches import bound_batches
 from gatewise.llm.hashing import U64, WordHashes, gram_hashes, mix, multipliers
-from gatewise.llm.store import hold
 
 N = 5
 SHARE = (8, 10)  # containment from which an item counts as leaked
@@ -150,6 +151,27 @@ _TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = N, share: tuple[int, int] = SHARE) -> DataFrame:
-    """``docs`` without the documents that contain an item; all columns, null doc_ids kept."""
-    leaks = hold(contained_items(docs, items, n, share).where("doc_id is not null").select(F.col("doc_id").alias("__leaked")).distinct())
-    return docs.join(leaks, docs["doc_id"] == leaks["__leaked"], "left_anti")
+    """``docs`` without the rows whose text contains an item; all columns.
+
+    Decided row by row: of several texts under one doc_id only those that hold
+    an item go, also where the id is null.  Null and empty texts stay; without
+    items all rows stay.
+    """
+    bound_batches(docs.sparkSession)
+    for block in _blocks(items):
+        docs = docs.where(~_holds(_Index(block, n, share))(F.coalesce(F.col("text"), F.lit(""))))
+    return docs
+
+
+def _holds(index: _Index) -> Callable[[Column], Column]:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache = WordHashes()
+        for part in parts:
+            out = []
+            for text in part:
+                words = words_of(text)
+                out.append(bool(words) and bool(index.search(words, cache.array([w.encode("utf-8", "replace") for w in words]))))
+            yield pd.Series(out, dtype="bool")
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return pandas_udf(run, "boolean")

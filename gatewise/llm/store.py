@@ -3,7 +3,7 @@
 ``hold`` keeps a table on the executors' disks with its lineage: a lost
 executor's part is computed again.  Loops cut their lineage with ``written``:
 a table under ``spark.checkpoint.dir`` in as many files as its rows need.
-Held tables go with ``spark.catalog.clearCache()`` or the session.
+Held tables go with ``release``, which a job calls once their results are written.
 """
 
 from __future__ import annotations
@@ -26,8 +26,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_HELD: list[DataFrame] = []
+
+
 def hold(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.DISK_ONLY)
+    df = df.persist(StorageLevel.DISK_ONLY)
+    _HELD.append(df)
+    return df
+
+
+def release() -> None:
+    """Gives back all tables held so far; one that is still read is computed again from its lineage."""
+    while _HELD:
+        _HELD.pop().unpersist()
 
 
 def small(rows: DataFrame) -> DataFrame:

@@ -330,7 +330,12 @@ def surrogate_texts(docs: DataFrame, key: str = "gatewise") -> DataFrame:
     words = with_surrogates.where(F.col("type").isin("surname", *FIRST_NAMES)).groupBy("__key", "form").agg(F.max(F.struct("type", "surrogate")).alias("s"))  # surnames first
     names = words.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("form", F.col("s.surrogate").alias("surrogate")))).alias("names"))
 
-    rows = guarded.withColumn("__row", F.md5(text.cast("binary"))).join(new.join(names, "__key", "left"), F.col("__row") == F.col("__key"), "left")
+    # written once: the rewrite below is planned on a fresh read of it
+    mapping = materialize(new.join(names, "__key", "left"), "surrogates")
+    found.unpersist()
+    with_surrogates.unpersist()
+
+    rows = guarded.withColumn("__row", F.md5(text.cast("binary"))).join(mapping, F.col("__row") == F.col("__key"), "left")
     pieces = F.split(text, ENTITY, -1)
     entities = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
     given = lambda i: F.element_at(F.col("new"), i)
