@@ -8,7 +8,7 @@ returns:
 * ``toxicity`` drops documents that the nnPU classifier predicts toxic;
 * ``near_duplicates`` keeps one document (smallest doc_id) of each group linked
   by a Jaccard similarity of 0.8 or more over five-word shingles;
-* ``decontamination`` drops documents that hold a benchmark item;
+* ``decontamination`` drops rows whose text holds a benchmark item;
 * ``pii`` replaces personal data by surrogates;
 * ``packing`` packs the tokens of what is left into sequences.
 
@@ -24,34 +24,41 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gatewise.llm import decontam, jaccard, packing, surrogates, toxicity
+from gatewise.llm.store import release
 from gatewise.session import ensure_checkpoint_dir, ship_package
 from gatewise.sources import read_table
 
 NEAR = jaccard.Rule(n=5, num=80, den=100)
 
 
-def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _begin(spark: SparkSession) -> None:
+    """The stage before is written by now: what it held on executors goes."""
+    release()
     ship_package(spark)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _begin(spark)
     return jaccard.keep_one(docs, NEAR)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _begin(spark)
     return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _begin(spark)
     return surrogates.surrogate_texts(docs).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _begin(spark)
     return packing.pack(docs)
 
 
