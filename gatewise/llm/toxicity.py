@@ -49,7 +49,7 @@ def features_of(word: str) -> list[int]:
 
 def document_features(text: str) -> np.ndarray:
     """Sorted distinct feature ids of a whole text."""
-    return np.unique(np.array([f for w in set(WORD.findall(text.lower())) for f in features_of(w)], dtype=np.int64))
+    return np.unique(np.array([f for w in set(WORD.findall(text.lower())) for f in features_of(w)], dtype=np.uint32))
 
 
 def in_training(doc_id: Column) -> Column:
@@ -89,26 +89,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_unl
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id").select("positive", "text"), share
 
 
+def _places(ids: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Where the features of one example stand in the sorted ``ids`` (those that do)."""
+    if not len(ids):
+        return np.empty(0, np.int64)
+    at = np.searchsorted(ids, own)
+    at[at == len(ids)] = 0
+    return at[ids[at] == own]
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
     """nnPU training; each example is its set of features."""
     if not positive or not unlabelled:
         return ToxicityModel({}, -4.0, prior)
     prior = min(max(prior, 1e-3), 0.5)
-    flat_p, flat_u = np.concatenate(positive), np.concatenate(unlabelled)
-    ids, a = np.unique(flat_p, return_counts=True)
+    ids, a = np.unique(np.concatenate(positive), return_counts=True)
     ids, a = ids[a >= 3], a[a >= 3]
-    at = np.searchsorted(ids, flat_u) if len(ids) else np.empty(0, np.int64)
-    known = at < len(ids)
-    known[known] = ids[at[known]] == flat_u[known]
-    b = np.bincount(at[known], minlength=len(ids))
+    b = np.zeros(len(ids), np.int64)
+    for own in unlabelled:  # example by example: no second copy of all features
+        b[_places(ids, own)] += 1
     ratio = np.log((a + 0.5) / (len(positive) + 1)) - np.log((b + 0.5) / (len(unlabelled) + 1))
     sure = ratio - SURE * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     names, scale = ids[sure > 0], sure[sure > 0]
 
     def matrix(examples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rows, cols = np.repeat(np.arange(len(examples)), list(map(len, examples))), np.concatenate(examples)
-        own = np.isin(cols, names)
-        return rows[own], np.searchsorted(names, cols[own])
+        cols = [_places(names, own) for own in examples]
+        return np.repeat(np.arange(len(examples)), list(map(len, cols))), np.concatenate(cols)
 
     (pr, pc), (ur, uc) = matrix(positive), matrix(unlabelled)
     w, bias = np.full(len(names), 0.5), -1.0
