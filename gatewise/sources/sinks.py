@@ -88,15 +88,20 @@ def constraint_split(df: DataFrame, table: str = "billing_records") -> tuple[Dat
 
 
 def audit_drain(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """T5 (batch): parse buffered JSON events; good rows (parsed, required
-    fields present) deduplicated on (request_id, event_type); the rest go to
-    a dead-letter table with the reason."""
+    """T5 (batch): ``audit_split`` with the good rows deduplicated on (request_id, event_type)."""
+    good, dead = audit_split(raw, value_col)
+    return good.dropDuplicates(["request_id", "event_type"]), dead
+
+
+def audit_split(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Parse buffered JSON events; rows without the required fields go to a
+    dead-letter table with the reason."""
     parsed = raw.withColumn("e", F.from_json(F.col(value_col), AUDIT_EVENT_SCHEMA, {"mode": "PERMISSIVE", **JSON_TS_OPTIONS})).withColumn(
         "_valid_json", F.try_parse_json(F.col(value_col)).isNotNull()
     )
     ok = F.col("_valid_json") & F.col("e.consumer_id").isNotNull() & F.col("e.event_type").isin(*EVENT_TYPES) & F.col("e.timestamp").isNotNull()
     reason = F.when(~F.col("_valid_json"), "unparseable").when(~F.coalesce(F.col("e.event_type").isin(*EVENT_TYPES), F.lit(False)), "bad_event_type").otherwise("missing_field")
-    good = parsed.where(ok).select("e.*").dropDuplicates(["request_id", "event_type"])
+    good = parsed.where(ok).select("e.*")
     dead = parsed.where(~F.coalesce(ok, F.lit(False))).select(F.col(value_col).alias("raw"), reason.alias("reason"))
     return good, dead
 

@@ -1,4 +1,4 @@
-"""Structured Streaming drivers.
+"""Structured Streaming drivers (T5, C3/C4, Q8, U5, B1; the walks of C12 and Q6 are in ``walks``).
 
 The same Column expressions as the batch operators, on ``readStream``
 sources.  Event time is the ``ts`` column; watermarks play the role of the
@@ -10,6 +10,7 @@ the shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,19 +28,67 @@ def checkpoint_for(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
 
-def audit_drain_stream(spark: SparkSession, raw_dir: str, table_path: str, dead_path: str, name: str = "audit_drain", trigger: dict | None = None) -> StreamingQuery:
-    """T5: JSON lines -> audit_events (deduplicated within the watermark on
-    request_id + event_type) and a dead-letter table, every micro-batch."""
-    raw = spark.readStream.format("text").load(raw_dir).withColumnRenamed("value", "value")
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        good, dead = T.audit_drain(batch)
-        T.with_month(good).write.mode("append").partitionBy("month").parquet(table_path)
-        dead.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(dead_path)
-
-    w = raw.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_for(spark, name))
-    w = w.trigger(**(trigger or {"processingTime": "5 seconds"}))
-    return w.start()
+def commit_batch(batch: DataFrame, epoch: int, path: str, partition: str | None = None) -> bool:
+    """Publishes a micro-batch once, however often it is replayed.
+
+    Its rows go to ``path/batch=<epoch>``, which a replay overwrites; then the
+    epoch is written to ``path``'s manifest.  An epoch that the manifest holds
+    is left alone, one that it does not hold is invisible to ``committed``.
+    Returns whether the batch was written now.
+    """
+    spark = batch.sparkSession
+    manifest = f"{path.rstrip('/')}_commits"
+    if _commits(spark, manifest).where(F.col("batch") == epoch).count():
+        return False
+    writer = batch.write.mode("overwrite")
+    (writer.partitionBy(partition) if partition else writer).parquet(f"{path.rstrip('/')}/batch={epoch}")
+    spark.range(1).select(F.lit(epoch).cast("long").alias("batch")).write.mode("append").parquet(manifest)
+    return True
+
+
+def _commits(spark: SparkSession, manifest: str) -> DataFrame:
+    # no file yet: an empty manifest (only Spark's own readers look at the path)
+    try:
+        return spark.read.schema("batch long").parquet(manifest)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "batch long")
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all published batches under ``path``, each batch once."""
+    commits = _commits(spark, f"{path.rstrip('/')}_commits").distinct()
+    return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("long")).join(commits, "batch", "left_semi")
+
+
+def audit_drain_stream(
+    spark: SparkSession, raw_dir: str, table_path: str, dead_path: str, name: str = "audit_drain", trigger: dict | None = None, watermark: str = "48 hours", files_per_trigger: int | None = None
+) -> list[StreamingQuery]:
+    """T5: JSON lines -> audit events by month, each (request_id, event_type)
+    once, and a dead-letter table with reasons.
+
+    Duplicates are dropped across micro-batches, within the watermark on the
+    event's own time; both tables are published batch by batch through a
+    manifest (``commit_batch``), so a replayed batch leaves no second row.
+    Read them with ``committed``.  Two queries: dead letters have no event time.
+    """
+    trigger = trigger or {"processingTime": "5 seconds"}
+
+    def lines() -> DataFrame:
+        reader = spark.readStream.format("text")
+        return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).load(raw_dir)
+
+    def started(df: DataFrame, path: str, part: str, partition: str | None) -> StreamingQuery:
+        def sink(batch: DataFrame, epoch: int) -> None:
+            commit_batch(T.with_month(batch) if partition else batch, epoch, path, partition)
+
+        return df.writeStream.queryName(f"{name}-{part}").foreachBatch(sink).option("checkpointLocation", checkpoint_for(spark, f"{name}-{part}")).trigger(**trigger).start()
+
+    good, _ = T.audit_split(lines())
+    _, dead = T.audit_split(lines())
+    once = good.withColumn("_at", F.col("timestamp").cast("timestamp")).withWatermark("_at", watermark).dropDuplicatesWithinWatermark(["request_id", "event_type"]).drop("_at")
+    return [started(once, table_path, "events", "month"), started(dead, dead_path, "dead", None)]
 
 
 def error_buckets_stream(events: DataFrame, ts_col: str = "ts", watermark: str = "2 minutes") -> DataFrame:
