@@ -116,6 +116,18 @@ def marked(t: np.ndarray, gaps: np.ndarray, marks: np.ndarray, rule: Rule, lanes
     return visited, behind, jumped, waits
 
 
+def step_state(t: np.ndarray, visited: np.ndarray, lane: np.ndarray, jumped: np.ndarray, waits: np.ndarray, at: State, rule: Rule, gaps: np.ndarray, marks: np.ndarray) -> State:
+    """Where the walker stands behind rows that ``marked`` has gone through."""
+    seen = np.flatnonzero(visited)
+    if not len(seen):
+        return at
+    last = int(seen[-1])
+    if not jumped[last]:
+        return State(int(lane[last]), NEVER)
+    before = at.lane if last == 0 and at.until == NEVER else int(lane[last - 1]) if last and visited[last - 1] else 0
+    return State(0, int(rule(t[last : last + 1], gaps[last : last + 1], marks[last : last + 1], before)[1][0]))
+
+
 def _runs(pdf: pd.DataFrame, cols: list[str]) -> list[tuple[int, int]]:
     """(start, end) of the rows of a sorted frame that agree in ``cols``."""
     if not len(pdf):
