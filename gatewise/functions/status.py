@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Error catalogue (code, http status, category, log level, retry class).
@@ -72,6 +72,49 @@ def outcome_code(status: Column, error_kind: Column | None = None) -> Column:
     )
 
 
-def severity(log_level: Column, category: Column) -> Column:
-    """critical for ERROR on external/system faults, warning for WARN, else info."""
-    return F.when((log_level == "ERROR") & category.isin("EXT", "SYS"), "critical").when(log_level.isin("ERROR", "WARN"), "warning").otherwise("info")
+# Alert severity per code, and what must hold besides (None: nothing).
+SEVERITIES = [
+    ("ARIA_SH_ALL_PROVIDERS_DOWN", "critical", None),
+    ("ARIA_RT_SIDECAR_UNAVAILABLE", "critical", "sustained"),
+    ("ARIA_SYS_INTERNAL_ERROR", "critical", "rate"),
+    ("ARIA_SH_QUOTA_SERVICE_UNAVAILABLE", "warning", None),
+    ("ARIA_SH_PROVIDER_AUTH_FAILED", "warning", None),
+    ("ARIA_CN_CANARY_UPSTREAM_UNHEALTHY", "warning", None),
+    ("ARIA_MK_TOKENIZE_UNAVAILABLE", "warning", None),
+    ("ARIA_RT_DEPENDENCY_UNAVAILABLE", "warning", None),
+    ("ARIA_SH_QUOTA_EXCEEDED", "info", None),
+    ("ARIA_SH_PROMPT_INJECTION_DETECTED", "info", None),
+    ("ARIA_SH_PII_IN_PROMPT_DETECTED", "info", None),
+    ("ARIA_SH_CONTENT_FILTERED", "info", None),
+    ("ARIA_SH_EXFILTRATION_DETECTED", "info", None),
+]
+SUSTAINED_S = 300
+RATE_PER_MINUTE = 10
+
+
+def severity(code: Column, per_minute: Column | None = None, sustained_s: Column | None = None) -> Column:
+    """alert severity of a code; NULL for codes that raise no alert.
+
+    A lost sidecar counts once it lasts over five minutes, internal errors
+    above ten a minute; without the measured column they raise none.
+    """
+    met = {
+        None: F.lit(True),
+        "rate": F.lit(False) if per_minute is None else per_minute > RATE_PER_MINUTE,
+        "sustained": F.lit(False) if sustained_s is None else sustained_s > SUSTAINED_S,
+    }
+    return F.coalesce(*[F.when((code == c) & met[needs], level) for c, level, needs in SEVERITIES])
+
+
+def alert_severities(errors: DataFrame, code_col: str = "error_code", ts_col: str = "ts", bucket_s: int = 60) -> DataFrame:
+    """F5 with its rates: (code, minute, errors, sustained_s, severity) of every minute with errors of a code.
+
+    ``sustained_s`` is how long, up to the end of the minute, every minute
+    held the code.  Minutes are pre-aggregated; null codes are left out.
+    """
+    minute = F.floor(F.unix_timestamp(F.col(ts_col).cast("timestamp")) / bucket_s)
+    counts = errors.where(F.col(code_col).isNotNull()).groupBy(F.col(code_col).alias("code"), minute.alias("minute")).agg(F.count(F.lit(1)).alias("errors"))
+    order = Window.partitionBy("code").orderBy("minute")
+    run = F.col("minute") - F.row_number().over(order)  # the same along neighbouring minutes
+    runs = counts.withColumn("_run", run).withColumn("sustained_s", F.row_number().over(Window.partitionBy("code", "_run").orderBy("minute")) * bucket_s)
+    return runs.select("code", F.timestamp_seconds(F.col("minute") * bucket_s).cast("timestamp_ntz").alias("minute"), "errors", "sustained_s", severity(F.col("code"), F.col("errors") * 60 / bucket_s, F.col("sustained_s")).alias("severity"))

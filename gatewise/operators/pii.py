@@ -145,7 +145,15 @@ def injection_scan(
 
 # ---------------------------------------------------------------- P7 similarity to an attack corpus
 
-CORPUS_MAX_BYTES = 256 * 1024 * 1024
+BLOCK_VECTORS = 4096
+FEW_BLOCKS = 16  # blocks of the corpus that are broadcast; more are joined by shuffle
+DEALS = 16
+
+
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    m = np.vstack(vectors.to_numpy()).astype(np.float64)
+    norms = np.linalg.norm(m, axis=1)
+    return m / np.where(norms == 0, 1, norms)[:, None]
 
 
 def injection_similarity(
@@ -158,45 +166,58 @@ def injection_similarity(
 ) -> DataFrame:
     """Cosine top-1 of each query vector against a known-attack corpus.
 
-    The corpus is a reference set, not a fact table: its size is checked
-    (rows x dim x 4 bytes <= 256 MiB) and it ships once per executor as a
-    broadcast matrix.  Query rows stream through ``mapInPandas`` in Arrow
-    batches; each batch is one matrix product, so no pair rows are ever
-    materialised.  Ties go to the lowest corpus id.
+    Exact, and on executors only.  The corpus becomes blocks of about
+    ``BLOCK_VECTORS`` unit vectors, queries come in Arrow batches; each (batch,
+    block) pair is one matrix product that leaves a row per query, and the
+    best row per query is taken with partial aggregation.  A corpus of at most
+    ``FEW_BLOCKS`` blocks is broadcast, a larger one is joined by shuffle on
+    (block, deal).  Ties (to twelve digits) go to the lowest corpus id; null
+    vectors take no part; an empty corpus leaves null matches and ``allow``.
     """
-    spark = queries.sparkSession
-    n = corpus.count()
-    dim = len(corpus.select(vec_col).first()[0]) if n else 0
-    if n * max(dim, 1) * 4 > CORPUS_MAX_BYTES:
-        raise ValueError("attack corpus exceeds the broadcast bound; use an ANN index job instead")
-    pdf = corpus.select(id_col, vec_col, category_col).orderBy(id_col).toPandas()  # bounded above
-    mat = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64) if n else np.zeros((0, dim))
-    norms = np.linalg.norm(mat, axis=1)
-    mat = mat / np.where(norms == 0, 1, norms)[:, None]
-    bc = spark.sparkContext.broadcast((mat, pdf[id_col].to_numpy(), pdf[category_col].to_numpy()))
+    rows = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(category_col).cast("int").alias("category"), F.col(vec_col).cast("array<double>").alias("v"))
+    n_blocks = rows.count() // BLOCK_VECTORS + 1
+    keyed = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).cast("int"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="mergesort")
+        m = _unit_rows(pdf["v"])
+        category = pdf["category"].fillna(-1).to_numpy(np.int64)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "categories": [category.tobytes()], "unit": [m.tobytes()]})
+
+    blocks = keyed.groupBy("block").applyInPandas(pack, "block int, ids binary, categories binary, unit binary")
+    numbered = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col).cast("array<double>").alias("v"))
+
+    def batched(it):
+        for b in it:
+            for i in range(0, len(b), BLOCK_VECTORS):
+                part = b.iloc[i : i + BLOCK_VECTORS]
+                yield pd.DataFrame({"asked": [part[id_col].to_numpy(np.int64).tobytes()], "q": [_unit_rows(part["v"]).tobytes()]})
+
+    packed = numbered.mapInPandas(batched, "asked binary, q binary")
+    each = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
+    if n_blocks <= FEW_BLOCKS:
+        pairs = packed.select("asked", "q", each).join(F.broadcast(blocks), "block")
+    else:
+        deals = F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal")
+        pairs = packed.select("asked", "q", F.pmod(F.crc32("asked"), F.lit(DEALS)).cast("int").alias("deal"), each).join(blocks.select("*", deals), ["block", "deal"])
 
     def score(it):
-        m, ids, cats = bc.value
         for b in it:
-            q = np.vstack(b[vec_col].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, m.shape[1]))
-            qn = np.linalg.norm(q, axis=1)
-            q = q / np.where(qn == 0, 1, qn)[:, None]
-            sims = q @ m.T
-            best = sims.argmax(axis=1) if m.shape[0] else np.zeros(len(b), dtype=int)
-            s = sims[np.arange(len(b)), best] if m.shape[0] else np.zeros(len(b))
-            yield pd.DataFrame(
-                {
-                    id_col: b[id_col].to_numpy(),
-                    "match_id": ids[best] if m.shape[0] else None,
-                    "match_category": cats[best] if m.shape[0] else None,
-                    "confidence": np.round(s, 4),
-                    "is_injection": s >= threshold,
-                }
-            )
-
-    schema = f"{id_col} long, match_id long, match_category int, confidence double, is_injection boolean"
-    out = queries.select(id_col, vec_col).mapInPandas(score, schema)
-    return out.withColumn("recommendation", F.when(F.col("is_injection"), "block").otherwise("allow"))
+            for asked, q, ids, categories, unit in zip(b["asked"], b["q"], b["ids"], b["categories"], b["unit"], strict=True):
+                asked, ids, categories = (np.frombuffer(x, np.int64) for x in (asked, ids, categories))
+                m = np.frombuffer(unit).reshape(len(ids), -1)
+                sims = np.round(np.frombuffer(q).reshape(len(asked), -1) @ m.T, 12)
+                best = sims.argmax(axis=1)  # the first of equals: ids are in order
+                yield pd.DataFrame({id_col: asked, "sim": sims[np.arange(len(asked)), best], "match_id": ids[best], "category": categories[best]})
+
+    scored = pairs.select("asked", "q", "ids", "categories", "unit").mapInPandas(score, f"{id_col} long, sim double, match_id long, category long")
+    best = scored.groupBy(id_col).agg(F.max(F.struct("sim", (-F.col("match_id")).alias("least"), "category")).alias("b"))
+    found = numbered.select(id_col).distinct().join(best, id_col, "left")
+    sim, category = F.col("b.sim"), F.col("b.category").cast("int")
+    hit = F.coalesce(sim >= threshold, F.lit(False))
+    return found.select(
+        id_col, (-F.col("b.least")).alias("match_id"), F.when(category >= 0, category).alias("match_category"), F.round(F.coalesce(sim, F.lit(0.0)), 4).alias("confidence"), hit.alias("is_injection"), F.when(hit, "block").otherwise("allow").alias("recommendation")
+    )
 
 
 # ---------------------------------------------------------------- P8 exfiltration

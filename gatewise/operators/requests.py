@@ -60,7 +60,7 @@ def with_error_catalogue(df: DataFrame, code_col: str = "error_code") -> DataFra
     """F4 + F5: http status, category, log level, retry class and severity."""
     cat = ST.catalogue_frame(df.sparkSession).withColumnRenamed("error_code", "_code").withColumnRenamed("http_status", "gateway_http_status")
     j = df.join(bounded_broadcast(cat, known_rows=len(ST.ERROR_CATALOGUE)), F.col(code_col) == F.col("_code"), "left").drop("_code")
-    return j.withColumn("severity", F.when(F.col("log_level").isNotNull(), ST.severity(F.col("log_level"), F.col("category"))))
+    return j.withColumn("severity", ST.severity(F.col(code_col)))
 
 
 def maskable_gate(bodies: DataFrame, max_body_size: int = MAX_BODY_SIZE) -> DataFrame:

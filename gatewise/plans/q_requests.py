@@ -71,6 +71,10 @@ def _cat_values() -> str:
     return ", ".join("(" + ", ".join(q(v) for v in row) + ")" for row in ST.ERROR_CATALOGUE)
 
 
+def _severity_values() -> str:
+    return ", ".join(f"('{code}', '{level}')" for code, level, needs in ST.SEVERITIES if needs is None)
+
+
 _F3_SQL = """case when status is null then 'ARIA_SH_PROVIDER_UNREACHABLE' when status >= 500 then 'ARIA_SH_PROVIDER_ERROR'
  when status in (401, 403) then 'ARIA_SH_PROVIDER_AUTH_FAILED' when status = 429 then 'ARIA_SH_PROVIDER_RATE_LIMITED' end"""
 
@@ -80,10 +84,10 @@ _F3_SQL = """case when status is null then 'ARIA_SH_PROVIDER_UNREACHABLE' when s
     with_views(
         f"""select r.event_id, cast(floor(r.status / 100) as bigint) || 'xx' as status_class, r.status >= 500 as is_error, r.error_code,
  c.http_status as gateway_http_status, c.category, c.log_level, c.retry_class,
- case when c.log_level is null then null when c.log_level = 'ERROR' and c.category in ('EXT', 'SYS') then 'critical'
-  when c.log_level in ('ERROR', 'WARN') then 'warning' else 'info' end as severity
+ s.severity
  from (select *, {_F3_SQL} as error_code from gw_requests) r
- left join (values {_cat_values()}) c(error_code, http_status, category, log_level, retry_class) on r.error_code = c.error_code""",
+ left join (values {_cat_values()}) c(error_code, http_status, category, log_level, retry_class) on r.error_code = c.error_code
+ left join (values {_severity_values()}) s(error_code, severity) on r.error_code = s.error_code""",
         "gw_requests",
     ),
 )
@@ -92,6 +96,26 @@ def f2_f5_status_and_errors(spark, sf):
     return d.select("event_id", "status_class", "is_error", "error_code", "gateway_http_status", "category", "log_level", "retry_class", "severity")
 
 
+# internal faults: what the gateway reports as its own for statuses of 500 and more, every fifth as a lost sidecar
+_F5_CODES = [("ARIA_SYS_INTERNAL_ERROR", "not event_id % 5 = 0"), ("ARIA_RT_SIDECAR_UNAVAILABLE", "event_id % 5 = 0")]
+
+
+@register(
+    "f5_alert_severities",
+    with_views(
+        f"""select code, minute, errors, sustained_s, case when code = '{_F5_CODES[0][0]}' and errors > {ST.RATE_PER_MINUTE} or code = '{_F5_CODES[1][0]}' and sustained_s > {ST.SUSTAINED_S} then 'critical' end as severity
+ from (select code, minute, errors, row_number() over (partition by code, run order by minute) * 60 as sustained_s
+  from (select *, epoch(minute) / 60 - row_number() over (partition by code order by minute) as run
+   from (select case when {_F5_CODES[0][1]} then '{_F5_CODES[0][0]}' else '{_F5_CODES[1][0]}' end as code, date_trunc('minute', ts_dense) as minute, count(*) as errors from gw_requests where status >= 500 group by all)))""",
+        "gw_requests",
+    ),
+)
+def f5_alert_severities(spark, sf):
+    code = F.when(F.expr(_F5_CODES[0][1]), _F5_CODES[0][0]).otherwise(_F5_CODES[1][0])
+    errors = gw_requests(spark, sf).where("status >= 500").select(code.alias("error_code"), F.col("ts_dense").alias("ts"))
+    return ST.alert_severities(errors).select("code", "minute", "errors", F.col("sustained_s").cast("bigint").alias("sustained_s"), "severity")
+
+
 @register(
     "f6_maskable_gate",
     with_views(
