@@ -1,5 +1,6 @@
 """Repeated passages around very common words, against brute force."""
 
+import random
 from collections import defaultdict
 
 from gatewise.llm import suffix_dedup
@@ -51,3 +52,32 @@ def test_partner_behind_nearer_ones(spark):
             texts.append(f"u{k}d{c} {x[2]} {x[1]} {x[0]} {common} r{k}d{c} s{k}d{c} v{k}d{c}")
     got, want = covered(spark, texts, 5, 6)
     assert got == want and len(want) == 60
+
+
+def test_texts_under_one_doc_id_are_apart(spark):
+    w = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(w[:100])), (1, " ".join(w[100:])), (1, " ".join(w[100:])), (2, " ".join(w[140:] + ["end"])), (3, " ".join(["start"] + w[:60])), (4, " ".join(w[20:69])), (None, " ".join(w)), (5, None)]
+    got = sorted(map(tuple, suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 0, 60, 60, 3), (1, 40, 100, 60, 2), (2, 0, 60, 60, 1), (3, 1, 61, 60, 1)]
+
+
+def row(doc, tail, at=0):
+    return suffix_dedup.Row(b"g ", tail.encode(), b"", doc, 0, at, 0, 4, 4, -1, -1, -1, None)
+
+
+def test_neighbours_across_partitions():
+    # partitions of every size, some of one document only, give what one partition gives
+    rng = random.Random(4)
+    for _ in range(300):
+        rows = sorted({row(rng.choice((1, 1, 1, 2, 3)), "".join(rng.choice("ab") + " " for _ in range(3)), at) for at in range(rng.randrange(1, 14))}, key=lambda r: (r.tail, r.doc_id, r.at))
+        want = {o.row._replace(tail_reach=o.best) for o in suffix_dedup.compared(rows, 4, 0)}
+        cuts = sorted(rng.choices(range(len(rows) + 1), k=rng.randrange(4)))
+        borders, outs = {}, {}
+        for p, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+            if a < b:
+                borders[p] = suffix_dedup.Border()
+                outs[p] = list(suffix_dedup.compared(borders[p].passing(rows[a:b]), 4, 0))
+        over = suffix_dedup.beyond(borders)
+        assert {suffix_dedup.ended(o, over[p], 4, 0) for p, found in outs.items() for o in found} == want
+        for r in want:  # the longest shared tail of any other document
+            assert r.tail_reach == max((suffix_dedup.shared_words(r.tail, q.tail) for q in rows if q.doc_id != r.doc_id), default=-1)
