@@ -70,6 +70,7 @@ class Out(NamedTuple):
     row: Row
     edge: int  # 1: no row of another document before it in its partition, 2: none behind it, 3: both
     best: int  # longest part shared along the sort
+    copies: int  # neighbours on either side that have all its words
 
 
 ROW = "gram binary, tail binary, head binary, doc_id long, copy long, at int, before int, count int, lo int, hi int, tail_reach int, head_reach int, other long"
@@ -77,15 +78,18 @@ IDENTITY = ("doc_id", "copy", "at")
 REACHES = ("tail_reach", "head_reach")
 
 
-def kept_places(words: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places, the hashes of their K words, each place's first passage and number of passages."""
+def kept_places(words: np.ndarray, ends: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places in joined texts that end at ``ends``, the hashes of their K words, each place's first passage and number of passages."""
     g = gram_hashes(words, gram)
     if len(g) < window:
         none = np.empty(0, dtype=np.int64)
         return none, np.empty(0, dtype=U64), none, none
-    view = np.lib.stride_tricks.sliding_window_view(g, window)
-    at, first, count = np.unique(view.argmin(axis=1) + np.arange(len(view)), return_index=True, return_counts=True)
-    return at, g[at], first, count
+    starts = np.arange(len(g) - window + 1)
+    stops = np.repeat(ends, np.diff(ends, prepend=0))[: len(starts)]
+    inside = starts + gram + window - 1 <= stops  # passages of one text
+    at = (np.lib.stride_tricks.sliding_window_view(g, window).argmin(axis=1) + starts)[inside]
+    new = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[new], g[at[new]], starts[inside][new], np.diff(new, append=len(at))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -99,11 +103,15 @@ def places(docs: DataFrame, gram: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            for doc, copy, body in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                at, g, first, count = kept_places(cache.array(ascii_words(body)), gram, window)
-                own = [pa.array(np.full(len(at), v, dtype=np.int64)) for v in (doc, copy)]
-                where = [pa.array(v.astype(np.int32)) for v in (at, at - first, count)]
-                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), *own, *where], ["hash", "doc_id", "copy", "at", "before", "count"])
+            texts = [cache.array(ascii_words(body)) for body in b.column(2).to_pylist()]
+            if not texts:
+                continue
+            ends = np.cumsum([len(t) for t in texts])
+            at, g, first, count = kept_places(np.concatenate(texts), ends, gram, window)
+            text = np.searchsorted(ends, at, side="right")
+            own = [b.column(i).take(pa.array(text)) for i in range(2)]
+            where = [pa.array(v.astype(np.int32)) for v in (at - np.append(0, ends)[text], at - first, count)]
+            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), *own, *where], ["hash", "doc_id", "copy", "at", "before", "count"])
 
     return _texts(docs).mapInArrow(run, "hash long, doc_id long, copy long, at int, before int, count int")
 
@@ -127,24 +135,23 @@ def suffixes(docs: DataFrame, wanted: DataFrame, gram: int, window: int) -> Data
     """The rows (``Row``) of the wanted places, with their words."""
     least = gram + window - 1
 
-    def joined(words: list[bytes]) -> bytes:
-        return b" ".join(words) + b" " if words else b""
-
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, copy, body, at, before, count in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                w = ascii_words(body)
-                rows = []
-                for p, n, c in zip(at, before, count, strict=True):
-                    head = w[p - n : p]
-                    rows.append(Row(joined(w[p : p + gram]), joined(w[p + gram : p - n + c - 1 + least]), joined(head[::-1]), doc, copy, p, n, c, window, -1, -1, -1, None))
-                    if len(rows) == ROWS_PER_BATCH:
-                        yield pa.RecordBatch.from_arrays(_batch(rows), list(Row._fields))
-                        rows = []
-                yield pa.RecordBatch.from_arrays(_batch(rows), list(Row._fields))
+            for doc, copy, body, *w in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                words = ascii_words(body)
+                ahead, back = b" ".join(words) + b" ", b" ".join(words[::-1]) + b" "
+                off = np.append(0, np.cumsum([len(x) + 1 for x in words]))
+                for k in range(0, len(w[0]), ROWS_PER_BATCH):
+                    at, before, count = (np.array(v[k : k + ROWS_PER_BATCH], dtype=np.int32) for v in w)
+                    bounds = zip(*(off[i].tolist() for i in (at - before, at, at + gram, at - before + count - 1 + least)), strict=True)
+                    cut = [(ahead[p:q], ahead[q:stop], back[off[-1] - p : off[-1] - start]) for start, p, q, stop in bounds]
+                    own = [pa.array(np.full(len(at), v, dtype=np.int64)) for v in (doc, copy)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in zip(*cut, strict=True)), *own, *map(pa.array, (at, before, count))], list(Row._fields[:8]))
 
     rows = _texts(docs).join(wanted, ["doc_id", "copy"]).select("doc_id", "copy", "body", F.col("w.at").alias("at"), F.col("w.before").alias("before"), F.col("w.count").alias("count"))
-    return rows.mapInArrow(found, ROW)
+    none = {"lo": window, "hi": -1, "tail_reach": -1, "head_reach": -1, "other": None}
+    rows = rows.mapInArrow(found, ", ".join(ROW.split(", ")[:8]))
+    return rows.select("*", *(F.lit(v).cast("long" if c == "other" else "int").alias(c) for c, v in none.items()))
 
 
 def shared_words(a: bytes, b: bytes) -> int:
@@ -188,13 +195,13 @@ def compared(rows: Iterable[Row], window: int, along: int) -> Iterator[Out]:
             if row.doc_id != last.doc_id:
                 for o in waiting:
                     now, *ext = met(o.row, row, window)
-                    yield Out(now, o.edge, max(o.best, ext[along]))
+                    yield Out(now, o.edge, max(o.best, ext[along]), o.copies + (o.row[:3] == row[:3]))
                 waiting, other = [], last
         now, *ext = met(row, other, window)
-        waiting.append(Out(now, 1 if other is None else 0, ext[along]))
+        waiting.append(Out(now, 1 if other is None else 0, ext[along], int(other is not None and other[:3] == row[:3])))
         last = row
     for o in waiting:
-        yield Out(o.row, o.edge | 2, o.best)
+        yield o._replace(edge=o.edge | 2)
 
 
 class Border:
@@ -251,13 +258,15 @@ def _rows(batch: pa.RecordBatch) -> Iterator[Row]:
 def neighbours(rows: DataFrame, order: list[str], window: int, along: int) -> DataFrame:
     """``rows`` sorted by ``order``, each compared with its neighbours; ``along`` is 0 for tails, 1 for heads.
 
+    ``copies`` is 2 for rows between two rows of other documents with all their words.
+
     Compared rows are written once; the few at partition borders are compared
     again with the rows beyond (four rows per partition pass through the driver).
     """
     spark = rows.sparkSession
     dealt = rows.repartitionByRange(*order, *IDENTITY).sortWithinPartitions(*order, *IDENTITY)
     dealt = dealt.select(*Row._fields, F.spark_partition_id().alias("part"))
-    extra = f"{ROW}, part int, edge int, best int, mark int"
+    extra = f"{ROW}, part int, edge int, best int, copies int, mark int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, border, out = [0], Border(), []
@@ -268,18 +277,18 @@ def neighbours(rows: DataFrame, order: list[str], window: int, along: int) -> Da
                     part[0] = b.column(len(Row._fields))[0].as_py()
                     yield from _rows(b)
 
-        def flush(rows_: list[Row], edge: list[int], best: list[int], mark: list[int]) -> pa.RecordBatch:
-            more = [[part[0]] * len(rows_), edge, best, mark]
-            return pa.RecordBatch.from_arrays([*_batch(rows_), *(pa.array(m, pa.int32()) for m in more)], [*Row._fields, "part", "edge", "best", "mark"])
+        def flush(rows_: list[Row], edge: list[int], best: list[int], copies: list[int], mark: list[int]) -> pa.RecordBatch:
+            more = [[part[0]] * len(rows_), edge, best, copies, mark]
+            return pa.RecordBatch.from_arrays([*_batch(rows_), *(pa.array(m, pa.int32()) for m in more)], [*Row._fields, "part", "edge", "best", "copies", "mark"])
 
         for o in compared(border.passing(read()), window, along):
             out.append(o)
             if len(out) == ROWS_PER_BATCH:
-                yield flush([o.row for o in out], [o.edge for o in out], [o.best for o in out], [0] * len(out))
+                yield flush([o.row for o in out], [o.edge for o in out], [o.best for o in out], [o.copies for o in out], [0] * len(out))
                 out = []
-        yield flush([o.row for o in out], [o.edge for o in out], [o.best for o in out], [0] * len(out))
+        yield flush([o.row for o in out], [o.edge for o in out], [o.best for o in out], [o.copies for o in out], [0] * len(out))
         ends = [(i, r) for i, r in enumerate((border.first, border.second, border.last, border.other), 1) if r is not None]
-        yield flush([r for _, r in ends], [0] * len(ends), [0] * len(ends), [i for i, _ in ends])
+        yield flush([r for _, r in ends], *([[0] * len(ends)] * 3), [i for i, _ in ends])
 
     path = shared_path(spark, "suffixes")
     dealt.mapInArrow(run, extra).write.option("compression", "zstd").parquet(path)
@@ -295,11 +304,11 @@ def neighbours(rows: DataFrame, order: list[str], window: int, along: int) -> Da
         n = len(Row._fields)
         for b in batches:
             rest = zip(_rows(b), *(b.column(i).to_pylist() for i in range(n, n + 3)), strict=True)
-            rows_ = [ended(Out(row, edge, best), over[part], window, along) for row, part, edge, best in rest]
+            rows_ = [ended(Out(row, edge, best, 0), over[part], window, along) for row, part, edge, best in rest]
             yield pa.RecordBatch.from_arrays(_batch(rows_), list(Row._fields))
 
-    inner = done.where("mark = 0 and edge = 0").withColumn(reach, F.col("best")).select(*Row._fields)
-    return inner.unionByName(done.where("mark = 0 and edge > 0").drop("mark").mapInArrow(finish, ROW))
+    inner = done.where("mark = 0 and edge = 0").withColumn(reach, F.col("best")).select(*Row._fields, "copies")
+    return inner.unionByName(done.where("mark = 0 and edge > 0").drop("copies", "mark").mapInArrow(finish, ROW).withColumn("copies", F.lit(0)))
 
 
 def _keyed(rows: DataFrame, window: int) -> DataFrame:
@@ -345,9 +354,11 @@ def repeated_passages(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     kept = hold(places(docs, gram, window))
     rows = suffixes(docs, shared_places(kept), gram, window)
     rows = neighbours(rows, ["gram", "tail", "head"], window, 0)
-    rows = neighbours(rows, ["gram", "head", "tail"], window, 1)
-    settled = rows.where("lo <= hi").select(*IDENTITY, "lo", "hi", "other")
-    spans = settled.unionByName(unsettled(rows, window))
+    # a row between copies is shared as a whole; the first and last copy (smallest and largest doc_id) stand for it from here on
+    between = rows.where("copies = 2")
+    rows = neighbours(rows.where("copies < 2").drop("copies"), ["gram", "head", "tail"], window, 1)
+    settled = [r.where("lo <= hi").select(*IDENTITY, "lo", "hi", "other") for r in (between, rows)]
+    spans = settled[0].unionByName(settled[1]).unionByName(unsettled(rows, window))
     spans = spans.select("doc_id", "copy", (F.col("at") - F.col("hi")).cast("long").alias("start"), (F.col("at") - F.col("lo") + least).cast("long").alias("stop"), "other")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
