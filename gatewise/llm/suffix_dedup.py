@@ -44,6 +44,7 @@ GRAM = 25
 WINDOW = 26  # GRAM + WINDOW - 1 = 50 words
 PLACES_PER_TASK = 50_000
 ROWS_PER_BATCH = 2_000
+WORDS_AT_ONCE = 16_384  # of short texts, so that their arrays stay in a core's cache
 
 
 class Row(NamedTuple):
@@ -100,18 +101,24 @@ def _texts(docs: DataFrame) -> DataFrame:
 def places(docs: DataFrame, gram: int, window: int) -> DataFrame:
     """(hash, doc_id, copy, at, before, count) of every place; ``copy`` tells texts of one doc_id apart."""
 
+    def placed(texts: list[np.ndarray], b: pa.RecordBatch) -> pa.RecordBatch:
+        ends = np.cumsum([len(t) for t in texts])
+        at, g, first, count = kept_places(np.concatenate(texts), ends, gram, window)
+        text = np.searchsorted(ends, at, side="right")
+        own = [b.column(i).take(pa.array(text)) for i in range(2)]
+        where = [pa.array(v.astype(np.int32)) for v in (at - np.append(0, ends)[text], at - first, count)]
+        return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), *own, *where], ["hash", "doc_id", "copy", "at", "before", "count"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            texts = [cache.array(ascii_words(body)) for body in b.column(2).to_pylist()]
-            if not texts:
-                continue
-            ends = np.cumsum([len(t) for t in texts])
-            at, g, first, count = kept_places(np.concatenate(texts), ends, gram, window)
-            text = np.searchsorted(ends, at, side="right")
-            own = [b.column(i).take(pa.array(text)) for i in range(2)]
-            where = [pa.array(v.astype(np.int32)) for v in (at - np.append(0, ends)[text], at - first, count)]
-            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), *own, *where], ["hash", "doc_id", "copy", "at", "before", "count"])
+            texts, size = [], 0
+            for i, body in enumerate(b.column(2).to_pylist()):
+                texts.append(cache.array(ascii_words(body)))
+                size += len(texts[-1])
+                if size >= WORDS_AT_ONCE or i + 1 == b.num_rows:
+                    yield placed(texts, b.slice(i + 1 - len(texts), len(texts)))
+                    texts, size = [], 0
 
     return _texts(docs).mapInArrow(run, "hash long, doc_id long, copy long, at int, before int, count int")
 
