@@ -95,12 +95,15 @@ def scan(text: str) -> list[Node] | None:
 def live(text: str) -> list[tuple[str, str, str, str | None]]:
     """(path, parent_type, type, value) of every value a reader sees: of repeated keys the last counts."""
     nodes, out, i = scan(text) or [], [], 0
+    repeats = any(n.shadowed for n in nodes)
     while i < len(nodes):
         n = nodes[i]
         if n.shadowed:
             i = n.last + 1
             continue
         raw = text[n.start : n.end]
+        if repeats and n.type in ("object", "array"):
+            raw = splice(raw, {})
         out.append((n.path, n.parent_type, n.type, None if n.type == "null" else json.loads(raw) if n.type == "string" else raw))
         i += 1
     return out

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from gatewise.operators import folds
 from gatewise.operators.common import in_intervals
+from gatewise.operators.jsondiff import diff_bodies
 from gatewise.operators.walks import failure_rule, walk
-from gatewise.operators.jsontree import json_leaves
 
 BUCKET_S = 10
 
@@ -215,24 +215,15 @@ def basic_diff(primary: DataFrame, shadow: DataFrame, key: str = "request_id") -
 
 def structural_diff(pairs: DataFrame, key: str = "request_id", body_p: str = "body_p", body_s: str = "body_s") -> DataFrame:
     """Leaf-level diff of two JSON bodies: Sorensen-Dice similarity over
-    (path, type, value) leaves, differing paths, has_diff.
+    (path, type, value) leaves and the differing paths.
 
-    Both sides are walked (J1) and full-outer joined on (request, path): one
-    shuffle by request id, every pair of bodies stays in one partition.
+    One pass over each row (``jsondiff``): equal subtrees are settled by their
+    text, no shuffle.  Bodies without leaves on either side are alike (1.0).
     """
-    a = json_leaves(pairs, [key], body_p).select(key, "path", F.struct("value_type", "value").alias("a"))
-    b = json_leaves(pairs, [key], body_s).select(key, "path", F.struct("value_type", "value").alias("b"))
-    j = a.join(b, [key, "path"], "full_outer")
-    same = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") == F.col("b"))
-    agg = j.groupBy(key).agg(
-        F.sum(F.col("a").isNotNull().cast("int")).alias("n_a"),
-        F.sum(F.col("b").isNotNull().cast("int")).alias("n_b"),
-        F.sum(same.cast("int")).alias("n_same"),
-        F.array_sort(F.collect_list(F.when(~same, F.col("path")))).alias("diff_fields"),
-    )
-    sim = F.when(F.col("n_a") + F.col("n_b") == 0, F.lit(1.0)).otherwise(2.0 * F.col("n_same") / (F.col("n_a") + F.col("n_b")))
-    out = pairs.select(key).join(agg, key, "left").withColumn("similarity", F.coalesce(sim, F.lit(1.0)))
-    return out.select(key, F.round("similarity", 6).alias("similarity"), F.coalesce("diff_fields", F.array().cast("array<string>")).alias("diff_fields"))
+    d = diff_bodies(pairs.select(key, body_p, body_s), body_p, body_s)
+    leaves = F.col("n_a") + F.col("n_b")
+    sim = F.when(leaves == 0, F.lit(1.0)).otherwise(2.0 * F.col("n_same") / leaves)
+    return d.select(key, F.round(sim, 6).alias("similarity"), "diff_fields")
 
 
 def diff_choice(pairs: DataFrame, max_bytes: int = 1024 * 1024) -> DataFrame:

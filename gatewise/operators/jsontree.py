@@ -8,6 +8,12 @@ DataFrame work without Python.  Paths use one canonical form, ``$.a[0].b``
 ``LEVELS`` levels are planned.  Bodies that nest deeper, and bodies that
 VARIANT refuses for a repeated key, are walked by a text scan in Arrow batches
 instead and give the same rows, so no depth is cut off.
+
+Values have one form in both walks.  Numbers are written by value: no
+trailing zeros, and whole numbers below 1e15 without exponent or point (``1.10``
+is ``1.1``, ``1e2`` is ``100``).  Containers are compact with sorted keys, the
+last of repeated keys kept; those that VARIANT cannot hold (over 1000 levels)
+stay as written.
 """
 
 from __future__ import annotations
@@ -38,9 +44,18 @@ def _kind(v: Column) -> Column:
     )
 
 
+def bare_text(body: Column, literal: str = "") -> Column:
+    """JSON text with ``literal`` for every string ($1 is the colon behind a key).
+
+    Escapes go first, so that no pattern repeats a group: the JVM would need
+    stack for every character of a long string.
+    """
+    return F.regexp_replace(F.regexp_replace(body, r"\\.", "e"), '"[^"]*+"(:?)', literal)
+
+
 def nesting_depth(body: Column) -> Column:
     """Depth of open brackets outside string literals."""
-    bare = F.regexp_replace(body, r'"(?:[^"\\]|\\.)*"', "")
+    bare = bare_text(body)
     steps = F.transform(F.regexp_extract_all(bare, F.lit(r"[\[{}\]]"), F.lit(0)), lambda b: F.when(b.isin("[", "{"), 1).otherwise(-1))
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
     return F.aggregate(
@@ -48,7 +63,14 @@ def nesting_depth(body: Column) -> Column:
     )
 
 
-def _step(key: Column) -> Column:
+def number_text(shown: Column) -> Column:
+    """A number as VARIANT prints it, whole numbers below 1e15 as integers."""
+    d = shown.try_cast("double")
+    whole = shown.rlike("[.eE]") & (F.abs(d) < 1e15) & (d == F.floor(d))
+    return F.when(whole, d.cast("bigint").cast("string")).otherwise(shown)
+
+
+def key_step(key: Column) -> Column:
     quoted = F.concat(F.lit('"'), F.regexp_replace(key, r'(["\\])', r"\\$1"), F.lit('"'))
     return F.concat(F.lit("."), F.when(key.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), key).otherwise(quoted))
 
@@ -68,7 +90,7 @@ def json_nodes(df: DataFrame, keys: Sequence[str], body_col: str) -> DataFrame:
         kind = _kind(F.col("v"))
         members = F.transform(
             F.map_entries(F.try_variant_get(F.col("v"), "$", "map<string,variant>")),
-            lambda e: F.struct(F.concat(F.col("path"), _step(e["key"])).alias("path"), F.lit("object").alias("parent_type"), F.lit(True).alias("open"), e["value"].alias("v")),
+            lambda e: F.struct(F.concat(F.col("path"), key_step(e["key"])).alias("path"), F.lit("object").alias("parent_type"), F.lit(True).alias("open"), e["value"].alias("v")),
         )
         items = F.transform(
             F.try_variant_get(F.col("v"), "$", "array<variant>"),
@@ -82,7 +104,12 @@ def json_nodes(df: DataFrame, keys: Sequence[str], body_col: str) -> DataFrame:
         )
         cur = cur.select(*keys, F.inline(grown))
     kind = _kind(F.col("v"))
-    value = F.when(kind.isin("object", "array"), F.to_json(F.col("v"))).otherwise(F.try_variant_get(F.col("v"), "$", "string"))
+
+    def rendered(kind: Column, v: Column) -> Column:
+        text = F.try_variant_get(v, "$", "string")
+        return F.when(kind.isin("object", "array"), F.to_json(v)).when(kind == "number", number_text(text)).otherwise(text)
+
+    value = rendered(kind, F.col("v"))
     out = cur.select(*keys, "path", "parent_type", kind.alias("value_type"), value.alias("value"))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,7 +121,9 @@ def json_nodes(df: DataFrame, keys: Sequence[str], body_col: str) -> DataFrame:
                 yield pd.DataFrame(found, columns=columns, dtype=object)
 
     schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(c, T.StringType()) for c in ("path", "parent_type", "value_type", "value"))])
-    return out.unionByName(rows.where(~planned).select(*keys, "_body").mapInPandas(walk, schema))
+    walked = rows.where(~planned).select(*keys, "_body").mapInPandas(walk, schema)
+    again = F.when(F.col("value_type").isin("object", "array", "number"), rendered(F.col("value_type"), F.try_parse_json("value")))
+    return out.unionByName(walked.withColumn("value", F.coalesce(again, F.col("value"))))
 
 
 def json_leaves(df: DataFrame, keys: Sequence[str], body_col: str) -> DataFrame:
@@ -109,7 +138,8 @@ def sql_nodes(source: str, keys: Sequence[str], body_col: str) -> str:
     ks = ", ".join(f"s.{k}" for k in keys)
     return f"""select {ks}, t.fullkey as path,
  case t.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end as value_type,
- case when t.type = 'NULL' then null else t.value ->> '$' end as value
+ case when t.type = 'NULL' then null when t.type = 'DOUBLE' and abs((t.value ->> '$')::double) < 1e15 and (t.value ->> '$')::double = floor((t.value ->> '$')::double)
+  then ((t.value ->> '$')::double)::bigint::varchar else t.value ->> '$' end as value
  from {source} s, json_tree(s.{body_col}) t where json_valid(s.{body_col})"""
 
 

@@ -52,9 +52,7 @@ def _ctes():
 
 @register("j1_json_leaves", with_views("select body_id, path, value_type, value from lv", "gw_bodies", extra=_ctes()))
 def j1_json_leaves(spark, sf):
-    # numbers come as written; the oracle's json_tree prints them anew, without trailing zeros
-    shown = F.when(F.col("value_type") == "number", F.regexp_replace("value", r"(\.\d*[1-9])0+$", "$1")).otherwise(F.col("value"))
-    return json_leaves(_maskable(spark, sf), ["body_id"], "body").select("body_id", "path", "value_type", shown.alias("value"))
+    return json_leaves(_maskable(spark, sf), ["body_id"], "body").select("body_id", "path", "value_type", "value")
 
 
 @register(
@@ -240,9 +238,11 @@ def _j9_sql() -> str:
         """'{"id":' || cast(body_id as varchar) || ',"user":{"name":' """, """to_json('N' || cast(body_id as varchar))""", """',"email":'""", text("$.user.email", "email"), """',"phone":'""", text("$.user.phone", "phone"),
         """'},"items":[{"pan":'""", text("$.items[0].pan", "pan"), """',"note":'""", text("$.items[0].note", "'call ' || phone"),
         """'},{"pan":null,"note":'""", text("$.items[1].note", "'ip ' || ip"), """'}],"tc":'""", text("$.tc", "national_id"),
-        """',"amt":1.10,"a.b":'""", text('$."a.b"', "email"),
+        """',"amt":1.10,"e":1e2,"z":1.0,"a.b":'""", text('$."a.b"', "email"),
         """',"extra":'""", at("$.extra", "'{\"owner\":' || " + text("$.extra.owner", "email") + " || ',\"tags\":[]}'"),
-        """',"deep":' || repeat('{"l":', 9)""", text("$.deep" + ".l" * 9, "email"), "repeat('}', 10)",
+        """',"deep":' || repeat('{"l":', case when body_id % 3 = 0 then 9 else 1 end)""",
+        f"case when body_id % 3 = 0 then {text('$.deep' + '.l' * 9, 'email')} else {text('$.deep.l', 'email')} end",
+        "repeat('}', case when body_id % 3 = 0 then 10 else 2 end)",
     ]
     return f"""select body_id, role, {" || ".join(parts)} as masked_body from (
  select mb.body_id, mb.role, email, phone, pan, ip, national_id, coalesce(u, map([], [])) as u from mb join gw_customers c on c.cust_id = mb.body_id

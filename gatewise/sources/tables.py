@@ -132,6 +132,7 @@ def gw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gw_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = gw_customers(spark, sf_dir)
     cid = _s("cust_id")
+    levels = F.when(F.col("cust_id") % 3 == 0, 9).otherwise(1)  # deep and flat bodies
     body = F.concat(
         F.lit('{"id":'), cid,
         F.lit(',"user":{"name":"N'), cid,
@@ -141,10 +142,10 @@ def gw_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","note":"call '), F.col("phone"),
         F.lit('"},{"pan":null,"note":"ip '), F.col("ip"),
         F.lit('"}],"tc":"'), F.col("national_id"),
-        F.lit('","amt":1.10,"a.b":"'), F.col("email"),
+        F.lit('","amt":1.10,"e":1e2,"z":1.0,"a.b":"'), F.col("email"),
         F.lit('","extra":{"owner":"'), F.col("email"),
-        F.lit('","tags":[]},"deep":' + '{"l":' * 9 + '"'), F.col("email"),
-        F.lit('"' + "}" * 10),
+        F.lit('","tags":[]},"deep":'), F.repeat(F.lit('{"l":'), levels), F.lit('"'), F.col("email"),
+        F.lit('"'), F.repeat(F.lit("}"), levels + 1),
     )
     return c.select(
         F.col("cust_id").alias("body_id"),
@@ -173,13 +174,15 @@ def gw_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     eid = F.col("event_id")
     base = F.concat(F.lit('{"id":'), _s(eid), F.lit(',"v":1,"tags":["a","b"]}'))
     changed = F.concat(F.lit('{"id":'), _s(eid), F.lit(',"v":2,"tags":["a","b"],"x":true}'))
+    nested = F.concat(F.lit('{"tags":["a","b"],"v":1.0,"id":'), _s(eid), F.lit(',"m":' + '{"l":' * 8 + "[1,2]" + "}" * 9))
+    emptied = F.concat(F.lit('{"id":'), _s(eid), F.lit(',"v":1e0,"tags":[]}'))
     return e.select(
         F.concat(F.lit("req-"), _s(eid)).alias("request_id"),
         F.when(eid % 17 == 0, 500).otherwise(200).alias("status"),
         (F.lit(100) + (eid % 50).cast("bigint")).alias("bytes_primary"),
         (F.lit(100) + (eid % 50).cast("bigint") + F.when(eid % 9 == 0, 3).otherwise(0)).alias("bytes_shadow"),
         base.alias("body_primary"),
-        F.when(eid % 5 == 0, changed).otherwise(base).alias("body_shadow"),
+        F.when(eid % 5 == 0, changed).when(eid % 35 == 7, nested).when(eid % 11 == 3, emptied).otherwise(base).alias("body_shadow"),
         (F.floor(F.col("value") * 10).cast("bigint") + 20).alias("latency_primary_ms"),
         (F.floor(F.col("value") * 11).cast("bigint") + 15).alias("latency_shadow_ms"),
     )
