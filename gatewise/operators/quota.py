@@ -438,13 +438,19 @@ def budget_alerts(
     )
 
 
-def utilization(ledger: DataFrame, daily_limit: int, monthly_limit: int, key: str = "consumer_id", ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """Q9: utilization at the end of each period, each period from its own usage."""
-    last_day = ledger.groupBy(key, "day").agg(F.max_by("day_tokens_after", F.struct(ts_col, id_col)).alias("used"))
-    last_month = ledger.groupBy(key, "month").agg(F.max_by("month_tokens_after", F.struct(ts_col, id_col)).alias("used"))
-    d = last_day.select(key, F.lit("daily").alias("period"), F.col("day").alias("period_start"), "used", (F.col("used") / F.lit(float(daily_limit)) * 100).alias("utilization_pct"))
-    m = last_month.select(key, F.lit("monthly").alias("period"), F.col("month").alias("period_start"), "used", (F.col("used") / F.lit(float(monthly_limit)) * 100).alias("utilization_pct"))
-    return d.unionByName(m)
+def utilization(usage: DataFrame, daily_limit: int, monthly_limit: int, key: str = "consumer_id", ts_col: str = "ts") -> DataFrame:
+    """Q9: utilization at the end of each period, each period from its own usage.
+
+    The end of a period holds its sum: no ledger.  Input needs
+    ``usage_tokens``; months add up the days.
+    """
+    days = _day_month(usage, ts_col).groupBy(key, "day", "month").agg(F.sum("usage_tokens").alias("used"))
+    months = days.groupBy(key, "month").agg(F.sum("used").alias("used"))
+
+    def period(df: DataFrame, name: str, start: str, limit: int) -> DataFrame:
+        return df.select(key, F.lit(name).alias("period"), F.col(start).alias("period_start"), "used", (F.col("used") / F.lit(float(limit)) * 100).alias("utilization_pct"))
+
+    return period(days, "daily", "day", daily_limit).unionByName(period(months, "monthly", "month", monthly_limit))
 
 
 # ---------------------------------------------------------------- Q5 most restrictive

@@ -16,7 +16,19 @@ PCT = 10
 MD5PCT = "((('0x' || substr(md5({k}), 1, 8))::BIGINT) % 100)"
 
 
-@register("c1_assign_version_crc32")
+# CRC-32 bit by bit: the table of a byte's eight steps, then one step per byte of an (ASCII) key.
+_CRC_TABLE = "select list(v order by i) as tab from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as v from range(256) t(i))"
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({k}, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295)"
+
+
+@register(
+    "c1_assign_version_crc32",
+    with_views(
+        f"select event_id, client_ip, case when {_CRC32.format(k='client_ip')} % 100 < {PCT} then 'canary' else 'baseline' end as assigned_version from gw_requests, crc",
+        "gw_requests",
+        extra=[("crc", _CRC_TABLE)],
+    ),
+)
 def c1_assign_version_crc32(spark, sf):
     return C.assign_version(gw_requests(spark, sf), "client_ip", PCT, "crc32").select("event_id", "client_ip", "assigned_version")
 

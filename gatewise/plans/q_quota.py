@@ -363,7 +363,7 @@ def q8_budget_alerts(spark, sf):
     ),
 )
 def q9_utilization(spark, sf):
-    u = Q.utilization(_ledger(spark, sf), DAILY_LIMIT, MONTHLY_LIMIT)
+    u = Q.utilization(_usage(spark, sf), DAILY_LIMIT, MONTHLY_LIMIT)
     return u.select("consumer_id", "period", "period_start", F.col("used").cast("bigint").alias("used"), "utilization_pct")
 
 

@@ -156,10 +156,40 @@ def billing_facts(priced_requests: DataFrame) -> DataFrame:
     )
 
 
-def append_only_violations(before: DataFrame, after: DataFrame) -> DataFrame:
+def month_fingerprints(df: DataFrame, ts_col: str = "ts") -> DataFrame:
+    """(month, rows, h1, h2): the multiset of rows of each month as a count and two sums of 64-bit halves of a row hash.
+
+    Sums do not depend on row order, so they are built map-side and can be
+    stored with a snapshot.  Rows without a time form the month ''.  Nulls,
+    column names and microseconds are part of a row's hash; repeated rows count.
+    """
+    row = F.md5(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false", **JSON_TS_OPTIONS}))
+    half = [F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17)]
+    rows = df.select(_month(ts_col).alias("month"), half[0].alias("_1"), half[1].alias("_2"))
+    return rows.groupBy("month").agg(F.count(F.lit(1)).alias("rows"), F.sum("_1").alias("h1"), F.sum("_2").alias("h2"))
+
+
+def _month(ts_col: str) -> Column:
+    return F.coalesce(F.date_format(F.col(ts_col), "yyyy-MM"), F.lit(""))
+
+
+def changed_months(before_prints: DataFrame, after_prints: DataFrame) -> DataFrame:
+    """Months of the earlier snapshot whose fingerprint the later one does not show."""
+    return before_prints.join(after_prints, ["month", "rows", "h1", "h2"], "left_anti").select("month")
+
+
+def append_only_violations(before: DataFrame, after: DataFrame, ts_col: str = "ts", before_prints: DataFrame | None = None) -> DataFrame:
     """Rows of the earlier snapshot that changed or vanished (must be
-    empty for an append-only table).  Multiset difference on whole rows."""
-    return before.exceptAll(after.select(*before.columns))
+    empty for an append-only table), as a multiset difference of whole rows.
+
+    Months of equal fingerprints hold the same rows and are not compared; only
+    rows of other months (appended to or tampered with) are shuffled.
+    ``before_prints`` are fingerprints stored with the earlier snapshot.
+    """
+    after = after.select(*before.columns)
+    prints = month_fingerprints(before, ts_col) if before_prints is None else before_prints
+    months = changed_months(prints, month_fingerprints(after, ts_col)).agg(F.collect_list("month")).scalar()
+    return before.where(F.array_contains(months, _month(ts_col))).exceptAll(after.where(F.array_contains(months, _month(ts_col))))
 
 
 def report_export(df: DataFrame, path: str, fmt: str = "json") -> str:
