@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gatewise.functions import pii as PF
 from gatewise.functions import status as ST
+from gatewise.operators import alerting as AL
 from gatewise.operators import metrics as A
 from gatewise.operators import pii as P
 from gatewise.operators import quota as Q
@@ -202,3 +203,48 @@ def a14_pii_leak_check(spark, sf):
     ex = P.audit_excerpt(gw_prompts(spark, sf))
     m = ex.withColumn("_n", F.size(PF.scan(F.col("payload_excerpt"))))
     return m.agg(F.count(F.lit(1)).alias("excerpts"), F.sum("_n").cast("bigint").alias("leaks"))
+
+
+# every status of 500 and more is dealt to one of the ruled codes; the first ones come in bursts of 4096 events
+_CODES = [r.code for r in AL.CODE_RULES]
+_DEALT = "case " + " ".join(f"when event_id % 7 = {i} then '{c}'" for i, c in enumerate(_CODES)) + " end"
+_FAULT = "status >= 500 and (event_id % 7 > 1 or floor(event_id / 4096) % 2 = 0)"
+_RUNS = """select {keys}, make_timestamp(a * 60000000) as pending_at, case when a + wait <= b then make_timestamp((a + wait) * 60000000) end as firing_at,
+ case when b < until then make_timestamp((b + 1) * 60000000) end as resolved_at,
+ case when b >= until then case when a + wait <= b then 'firing' else 'pending' end when a + wait <= b then 'resolved' else 'dropped' end as state{more}
+ from (select {keys}, min(tick) as a, max(tick) as b, any_value(wait) as wait, any_value(until) as until{any}
+  from (select *, tick - row_number() over (partition by {keys} order by tick) as run from met where tick <= until) group by {keys}, run)"""
+
+
+@register(
+    "a3_error_code_alerts",
+    with_views(
+        f"""with e as (select {_DEALT} as code, ts_dense as ts from gw_requests where {_FAULT}),
+ rules(code, window_s, over, for_s, severity) as (values {", ".join(f"('{r.code}', {r.window_s}, {r.over}, {r.for_s}, '{r.severity}')" for r in AL.CODE_RULES)}),
+ grid as (select code, unnest(generate_series(1, (select cast(ceil(epoch_us(max(ts)) / 60000000) as bigint) - cast(floor(epoch_us(min(ts)) / 60000000) as bigint) from e))) + (select cast(floor(epoch_us(min(ts)) / 60000000) as bigint) from e) as tick from rules),
+ met as (select g.code, g.tick, r.severity, r.for_s // 60 as wait, (select cast(ceil(epoch_us(max(ts)) / 60000000) as bigint) from e) as until
+  from grid g join rules r on r.code = g.code join e on e.code = g.code and epoch_us(e.ts) >= (g.tick * 60 - r.window_s) * 1000000 and epoch_us(e.ts) < g.tick * 60000000
+  group by all having count(*) > any_value(r.over))
+ {_RUNS.format(keys="code", more=", severity", any=", any_value(severity) as severity")}""",
+        "gw_requests",
+    ),
+)
+def a3_error_code_alerts(spark, sf):
+    errors = gw_requests(spark, sf).where(_FAULT).select(F.expr(_DEALT).alias("code"), F.col("ts_dense").alias("ts"))
+    return AL.code_alerts(errors, "code", "ts")
+
+
+@register(
+    "a3_stale_gauge_alert",
+    with_views(
+        f"""with s as (select user_id, ts, event_id, epoch_us(ts) as us, value from events),
+ grid as (select user_id, unnest(generate_series(cast(ceil(min(us) / 60000000) as bigint), cast(ceil(max(us) / 60000000) as bigint) + 5)) as tick from s group by user_id),
+ seen as (select g.user_id, g.tick, s.us, s.value from grid g asof join (select user_id, us, arg_max(value, event_id) as value from s group by all) s on s.user_id = g.user_id and g.tick * 60000000 >= s.us),
+ met as (select user_id, tick, 2 as wait, (select cast(ceil(max(us) / 60000000) as bigint) from s) as until from seen where tick * 60000000 < us + 300000000 and value > 20)
+ {_RUNS.format(keys="user_id", more="", any="")}""",
+    ),
+)
+def a3_stale_gauge_alert(spark, sf):
+    s = read_table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
+    ticks = AL.gauge_ticks(s, ["user_id"], "ts", "event_id", "value")
+    return AL.alert_runs(ticks, ["user_id"], F.col("value") > 20, 120, AL.last_tick(s, "ts"))
