@@ -97,6 +97,42 @@ def breaker_replay(
     )
 
 
+def provider_breaker(
+    outcomes: DataFrame,
+    key: Sequence[str] = ("provider", "route_id"),
+    ts_col: str = "ts",
+    id_col: str = "event_id",
+    threshold: int = 5,
+    cooldown_s: float = 30.0,
+    chunk_s: int = 3600,
+) -> DataFrame:
+    """B1, provider variant: any success closes the breaker and clears its failures.
+
+    Adds ``seen`` (closed / open / half_open: what a call finds before its own
+    outcome; half_open from ``cooldown_s`` after the failure that opened it or
+    kept it open), ``failures`` and ``state`` after the outcome, and
+    ``transition`` (opened / probe_failed / closed).  As one success is enough,
+    a call's state follows from the failures since the latest success: one
+    running sum and one last-value scan, both in chunks, so no task holds a key.
+    """
+    key = list(key)
+    d = outcomes.withColumn("_chunk", SC.time_chunk(F.col(ts_col), chunk_s))
+    d = SC.running_sums(d, key, "_chunk", [ts_col, id_col], {"_failed": (~F.col("success")).cast("bigint")})
+    marks = {"_at_success": F.when(F.col("success"), F.col("_failed")), "_last_fail": F.when(~F.col("success"), F.col(ts_col))}
+    d = SC.last_values(d, key, "_chunk", [ts_col, id_col], marks, inclusive=False)
+    before = F.col("_failed") - (~F.col("success")).cast("bigint") - F.coalesce(F.col("_at_success"), F.lit(0))
+    cooled = _secs(F.col(ts_col)) - _secs(F.col("_last_fail")) >= cooldown_s
+    d = d.withColumn("seen", F.when(before < threshold, "closed").when(cooled, "half_open").otherwise("open"))
+    d = d.withColumn("failures", F.when(F.col("success"), F.lit(0)).otherwise(before + 1))
+    d = d.withColumn("state", F.when(F.col("failures") >= threshold, "open").otherwise("closed"))
+    transition = (
+        F.when((F.col("seen") == "closed") & (F.col("state") == "open"), "opened")
+        .when((F.col("seen") != "closed") & F.col("success"), "closed")
+        .when((F.col("seen") == "half_open") & ~F.col("success"), "probe_failed")
+    )
+    return d.select(*outcomes.columns, "seen", "failures", "state", transition.alias("transition"))
+
+
 def failure_streaks(outcomes: DataFrame, key: Sequence[str] = ("provider",), ts_col: str = "ts", id_col: str = "event_id", chunk_s: int = 3600) -> DataFrame:
     """B2: longest run of consecutive failures per key (gaps and islands:
     island id = running count of successes)."""
