@@ -11,6 +11,8 @@ from gatewise.operators import metrics as A
 from gatewise.operators import pii as P
 from gatewise.operators import quota as Q
 from gatewise.operators import requests as R
+from gatewise.operators import sketches as SK
+from gatewise.operators.common import materialize
 from gatewise.plans.catalog import register
 from gatewise.plans.oracle_views import with_views
 from gatewise.plans.q_pii import PII_ACTIONS, WHITELIST_CONSUMERS, _inj_sql, _pii_action_sql, _INJ_ACTION
@@ -248,3 +250,37 @@ def a3_stale_gauge_alert(spark, sf):
     s = read_table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
     ticks = AL.gauge_ticks(s, ["user_id"], "ts", "event_id", "value")
     return AL.alert_runs(ticks, ["user_id"], F.col("value") > 20, 120, AL.last_tick(s, "ts"))
+
+
+@register(
+    "a6_distinct_from_states",
+    with_views(
+        """select model, count(request_id) as rows, count(distinct request_id) as exact_requests, true as within_2pct from gw_requests group by model""",
+        "gw_requests",
+    ),
+)
+def a6_distinct_from_states(spark, sf):
+    r = gw_requests(spark, sf)
+    state = materialize(SK.distinct_state(r, ["model", "status"], F.to_date("ts"), "request_id"), "distinct-state")
+    exact = r.groupBy("model").agg(F.count_distinct("request_id").alias("exact_requests"))
+    rolled = SK.distinct_rollup(state, ["model"]).join(exact, "model")
+    near = F.abs(F.col("distinct_values") - F.col("exact_requests")) <= 0.02 * F.col("exact_requests")
+    return rolled.select("model", "rows", "exact_requests", near.alias("within_2pct"))
+
+
+@register(
+    "a4_quantiles_from_states",
+    with_views("select route_id, version, quantile, count(*) as rows, true as within_2pct_rank from gw_canary, (values ('p50'), ('p95'), ('p99')) q(quantile) group by all", "gw_canary"),
+)
+def a4_quantiles_from_states(spark, sf):
+    labels, ranks = ["route_id", "version"], {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    r = gw_canary(spark, sf)
+    state = materialize(SK.quantile_state(r, labels, F.window("ts_dense", "1 minute")["start"], "latency_ms"), "quantile-state")
+    rolled = SK.quantile_rollup(state, labels, ranks)
+    est = rolled.select(*labels, "rows", F.explode(F.create_map(*[x for n in ranks for x in (F.lit(n), F.col(n))])).alias("quantile", "value"))
+    want = F.coalesce(*[F.when(F.col("quantile") == n, v) for n, v in ranks.items()])
+    # the exact share of rows below and up to the estimate must enclose the rank, 2 % aside
+    seen = r.select(*labels, "latency_ms").join(est, labels).groupBy(*labels, "quantile", "rows", "value").agg(
+        F.avg((F.col("latency_ms") < F.col("value")).cast("int")).alias("below"), F.avg((F.col("latency_ms") <= F.col("value")).cast("int")).alias("upto")
+    )
+    return seen.select(*labels, "quantile", "rows", ((F.col("below") <= want + 0.02) & (F.col("upto") >= want - 0.02)).alias("within_2pct_rank"))
