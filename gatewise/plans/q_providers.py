@@ -60,12 +60,14 @@ def b1_breaker_replay(spark, sf):
     return _breaker(spark, sf).select("model", "event_id", "streak", "state", "prev_state", "transition")
 
 
+# by the time of the request, whose gaps lie on both sides of the cooldown
 _PROVIDER_KEY = [KEY, "route_id"]
+PROVIDER_COOLDOWN = 14400
 # the stored state, one call after the other
-_WALK_SQL = f"""with n as (select model, route_id, event_id, epoch_us(ts_dense) as us, status < 500 as success, row_number() over (partition by model, route_id order by ts_dense, event_id) as rn from gw_requests),
+_WALK_SQL = f"""with n as (select model, route_id, event_id, epoch_us(ts) as us, status < 500 as success, row_number() over (partition by model, route_id order by ts, event_id) as rn from gw_requests),
  w as (select model, route_id, event_id, rn, success, 'closed' as seen, case when success then 0 else 1 end as failures, case when not success and {THRESHOLD} <= 1 then 'open' else 'closed' end as state, us as opened_us from n where rn = 1
  union all select model, route_id, event_id, rn, success, seen, failures, case when success then 'closed' when failures >= {THRESHOLD} then 'open' else stored end, case when not success and failures >= {THRESHOLD} then us else opened_us end
-  from (select n.*, case when w.state = 'open' and n.us - w.opened_us >= {COOLDOWN} * 1000000 then 'half_open' else w.state end as seen,
+  from (select n.*, case when w.state = 'open' and n.us - w.opened_us >= {PROVIDER_COOLDOWN}::bigint * 1000000 then 'half_open' else w.state end as seen,
    case when n.success then 0 else w.failures + 1 end as failures, w.state as stored, w.opened_us from w join n on n.model = w.model and n.route_id = w.route_id and n.rn = w.rn + 1))
 select model, route_id, event_id, seen, cast(failures as bigint) as failures, state,
  case when seen = 'closed' and state = 'open' then 'opened' when seen <> 'closed' and success then 'closed' when seen = 'half_open' then 'probe_failed' end as transition from w"""
@@ -73,7 +75,8 @@ select model, route_id, event_id, seen, cast(failures as bigint) as failures, st
 
 @register("b1_provider_breaker", "WITH RECURSIVE " + with_views(_WALK_SQL, "gw_requests")[len("WITH ") :])
 def b1_provider_breaker(spark, sf):
-    b = B.provider_breaker(_outcomes(spark, sf), _PROVIDER_KEY, "ts", "event_id", THRESHOLD, COOLDOWN)
+    calls = gw_requests(spark, sf).select(*_PROVIDER_KEY, "ts", "event_id", (F.col("status") < 500).alias("success"))
+    b = B.provider_breaker(calls, _PROVIDER_KEY, "ts", "event_id", THRESHOLD, PROVIDER_COOLDOWN, chunk_s=86400)
     return b.select(*_PROVIDER_KEY, "event_id", "seen", F.col("failures").cast("bigint").alias("failures"), "state", "transition")
 
 
