@@ -24,6 +24,10 @@ attempt number until none is left, so distinct entities stay distinct.
 Replacement: texts are split at their entities, the entities' surrogates are
 joined on, and text and surrogates are zipped.  Only texts that may hold an
 entity (a cheap guard) are searched or shuffled.
+
+Tables that are read again are written under ``spark.checkpoint.dir``: plans on
+cached tables repeat the cached plans inside one another, and the driver keeps
+and logs each of them.
 """
 
 from __future__ import annotations
@@ -35,7 +39,6 @@ from pyspark.sql import functions as F
 
 from gatewise.functions.pii import tc_kimlik_valid
 from gatewise.llm.batches import bound_batches
-from gatewise.llm.store import hold
 from gatewise.operators.common import materialize
 
 # Titles by the gender they state (_N: none).
@@ -240,21 +243,21 @@ def surrogate_table(parts: DataFrame, key: str) -> DataFrame:
     two addresses can never meet.  The smallest form wins a contested
     surrogate; the others, and surrogates equal to a real form, try again.
     """
-    real = hold(parts.distinct())
+    real = materialize(parts.distinct(), "forms")
     taken_forms = real.select("type", F.when(F.col("type") == "mailbox", F.regexp_extract("form", "^(.*)@", 1)).otherwise(F.lower("form")).alias("surrogate")).distinct()
-    todo, done, attempt, keep = real, None, 0, hold
+    todo, done, attempt = real, None, 0
     while True:
-        drawn = hold(todo.select("type", "form", F.lower(surrogate_of(F.col("type"), F.col("form"), F.lit(key), F.lit(attempt))).alias("surrogate")))
+        drawn = materialize(todo.select("type", "form", F.lower(surrogate_of(F.col("type"), F.col("form"), F.lit(key), F.lit(attempt))).alias("surrogate")), "drawn")
         free = drawn.join(taken_forms, ["type", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
-        won = keep(free.groupBy("type", "surrogate").agg(F.min("form").alias("form")).select("type", "form", "surrogate"))
+        won = materialize(free.groupBy("type", "surrogate").agg(F.min("form").alias("form")).select("type", "form", "surrogate"), "won")
         done = won if done is None else done.unionAll(won)
-        lost = keep(drawn.select("type", "form").join(won.select("type", "form"), ["type", "form"], "left_anti"))
+        lost = materialize(drawn.select("type", "form").join(won.select("type", "form"), ["type", "form"], "left_anti"), "redrawn")
         attempt += 1
         if lost.isEmpty():
             return done
-        todo, keep = lost, lambda df: materialize(df, "redrawn")  # later attempts are small and cut their lineage
+        todo = lost
 
 
 def _spaced(original: Column, new: Column, pattern: str) -> Column:
@@ -289,9 +292,9 @@ def _written(kind: Column, entity: Column, surrogates: Column) -> Column:
 
 def _with_neutral(parts: DataFrame, key: str) -> DataFrame:
     """``surrogate_table``, with first names behind neutral titles as behind the gendered ones that all state one gender."""
-    real = hold(parts.distinct())
+    real = materialize(parts.distinct(), "parts")
     told = real.where(F.col("type").isin("first_f", "first_m")).groupBy("form").agg(F.min("type").alias("as"), F.max("type").alias("other")).where(F.col("as") == F.col("other"))
-    known = hold(real.where(F.col("type") == "first_n").join(told.select("form", "as"), "form").select("type", "form", "as"))
+    known = materialize(real.where(F.col("type") == "first_n").join(told.select("form", "as"), "form").select("type", "form", "as"), "known")
     drawn = surrogate_table(real.join(known.select("type", "form"), ["type", "form"], "left_anti"), key)
     again = known.join(drawn.select(F.col("type").alias("as"), "form", "surrogate"), ["as", "form"]).select("type", "form", "surrogate")
     return drawn.unionByName(again)
@@ -320,11 +323,11 @@ def surrogate_texts(docs: DataFrame, key: str = "gatewise") -> DataFrame:
     others = docs.where(~may_hold(text)).withColumn("n_entities", F.lit(0))
 
     holding = guarded.select(F.md5(text.cast("binary")).alias("__key"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("entities")).where(F.size("entities") > 0)
-    found = hold(holding.groupBy("__key").agg(F.first("entities").alias("entities")))
+    found = materialize(holding.groupBy("__key").agg(F.first("entities").alias("entities")), "entities")
     each = found.select("__key", F.posexplode("entities").alias("at", "entity"))
     parts = each.select("__key", "at", F.posexplode(parts_of(F.col("entity"))).alias("part", "p")).select("__key", "at", "part", "p.type", "p.form")
     table = _with_neutral(parts.select("type", "form"), key)
-    with_surrogates = hold(parts.join(table, ["type", "form"]))
+    with_surrogates = materialize(parts.join(table, ["type", "form"]), "drawn-parts")
     told = with_surrogates.groupBy("__key", "at").agg(F.array_sort(F.collect_list(F.struct("part", "surrogate"))).alias("s"))
     new = told.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("at", F.col("s.surrogate").alias("surrogates")))).alias("new"))
     words = with_surrogates.where(F.col("type").isin("surname", *FIRST_NAMES)).groupBy("__key", "form").agg(F.max(F.struct("type", "surrogate")).alias("s"))  # surnames first
@@ -332,8 +335,6 @@ def surrogate_texts(docs: DataFrame, key: str = "gatewise") -> DataFrame:
 
     # written once: the rewrite below is planned on a fresh read of it
     mapping = materialize(new.join(names, "__key", "left"), "surrogates")
-    found.unpersist()
-    with_surrogates.unpersist()
 
     rows = guarded.withColumn("__row", F.md5(text.cast("binary"))).join(mapping, F.col("__row") == F.col("__key"), "left")
     pieces = F.split(text, ENTITY, -1)
