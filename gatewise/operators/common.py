@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Dimensions above this many rows are joined by shuffle instead of broadcast.
@@ -53,6 +53,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
+def bound_batch_bytes(spark: SparkSession, most: int = 16 * 1024 * 1024) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to ``most``, for
+    rows of megabytes each (a lower bound that the caller has set stays)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(name, str(most))
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage between stages of a multi-pass operator.
 

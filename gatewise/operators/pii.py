@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewise.functions import pii as PF
-from gatewise.operators.common import spread
+from gatewise.operators.common import bound_batch_bytes, spread
 
 # ---------------------------------------------------------------- P1-P4
 
@@ -146,6 +147,7 @@ def injection_scan(
 # ---------------------------------------------------------------- P7 similarity to an attack corpus
 
 BLOCK_VECTORS = 4096
+SCORED_AT_ONCE = 256  # queries of a batch in one matrix product
 FEW_BLOCKS = 16  # blocks of the corpus that are broadcast; more are joined by shuffle
 DEALS = 16
 
@@ -168,12 +170,15 @@ def injection_similarity(
 
     Exact, and on executors only.  The corpus becomes blocks of about
     ``BLOCK_VECTORS`` unit vectors, queries come in Arrow batches; each (batch,
-    block) pair is one matrix product that leaves a row per query, and the
-    best row per query is taken with partial aggregation.  A corpus of at most
+    block) pair leaves a row per query, and the best row per query is taken with
+    partial aggregation.  A worker reads its pairs in place and multiplies
+    ``SCORED_AT_ONCE`` queries by the block at a time, so its memory does not
+    grow with the tables.  A corpus of at most
     ``FEW_BLOCKS`` blocks is broadcast, a larger one is joined by shuffle on
     (block, deal).  Ties (to twelve digits) go to the lowest corpus id; null
     vectors take no part; an empty corpus leaves null matches and ``allow``.
     """
+    bound_batch_bytes(corpus.sparkSession)
     rows = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(category_col).cast("int").alias("category"), F.col(vec_col).cast("array<double>").alias("v"))
     n_blocks = rows.count() // BLOCK_VECTORS + 1
     keyed = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).cast("int"))
@@ -203,14 +208,16 @@ def injection_similarity(
 
     def score(it):
         for b in it:
-            for asked, q, ids, categories, unit in zip(b["asked"], b["q"], b["ids"], b["categories"], b["unit"], strict=True):
-                asked, ids, categories = (np.frombuffer(x, np.int64) for x in (asked, ids, categories))
-                m = np.frombuffer(unit).reshape(len(ids), -1)
-                sims = np.round(np.frombuffer(q).reshape(len(asked), -1) @ m.T, 12)
-                best = sims.argmax(axis=1)  # the first of equals: ids are in order
-                yield pd.DataFrame({id_col: asked, "sim": sims[np.arange(len(asked)), best], "match_id": ids[best], "category": categories[best]})
-
-    scored = pairs.select("asked", "q", "ids", "categories", "unit").mapInPandas(score, f"{id_col} long, sim double, match_id long, category long")
+            for row in range(b.num_rows):
+                asked, q, ids, categories, unit = (np.frombuffer(column[row].as_buffer(), kind) for column, kind in zip(b.columns, (np.int64, float, np.int64, np.int64, float), strict=True))
+                q, m = q.reshape(len(asked), -1), unit.reshape(len(ids), -1)
+                for i in range(0, len(asked), SCORED_AT_ONCE):
+                    sims = np.round(q[i : i + SCORED_AT_ONCE] @ m.T, 12)
+                    best = sims.argmax(axis=1)  # the first of equals: ids are in order
+                    columns = (asked[i : i + SCORED_AT_ONCE], sims[np.arange(len(best)), best], ids[best], categories[best])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, from_pandas=True) for c in columns], names=[id_col, "sim", "match_id", "category"])
+
+    scored = pairs.select("asked", "q", "ids", "categories", "unit").mapInArrow(score, f"{id_col} long, sim double, match_id long, category long")
     best = scored.groupBy(id_col).agg(F.max(F.struct("sim", (-F.col("match_id")).alias("least"), "category")).alias("b"))
     found = numbered.select(id_col).distinct().join(best, id_col, "left")
     sim, category = F.col("b.sim"), F.col("b.category").cast("int")
